@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, packing, sharding
 
 QUERIES = {
     "op3_kd_sharding": sharding.op3_kd_sharding,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.ORACLE,
