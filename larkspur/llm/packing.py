@@ -8,6 +8,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 from unicodedata import is_normalized
 
@@ -16,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, read, shown_id, slices
+from .common import cut, id_text, read, shown_id, slices, text_bytes
+from .words import span_hashes, word_spans
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: str.split() parts words at these four too; the tokenizer takes them for symbols.
-ODD = re.compile("[\x1c-\x1f]")
-SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Words on which normalising is lower-casing alone.
+#: Words on which normalising is lower-casing alone, and characters that white space classes disagree on.
 PLAIN = re.compile("[\x00-\u024f]*")
+ODD = re.compile("[\x1c-\x1f]")
 # fixed values: the pre-tokenizer's pattern and the normalizer's steps in the vocabulary file
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 STEPS = ["NFC", "Replace", "Lowercase"]
@@ -32,20 +32,18 @@ STEPS = ["NFC", "Replace", "Lowercase"]
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and joins nothing across it.
 
-    Each distinct word of a slice is encoded once, and up to ``remember`` words are kept for later slices, which
-    gives the ids of the whole text at a fraction of the time. Where the vocabulary file has the known
-    normalizer and pattern, plain words go straight to its BPE model; all other words, and all words of another
-    file, go through the whole tokenizer.
+    Each distinct word is encoded once: words are told apart by 64-bit hashes, and the ids of up to ``remember``
+    words are kept in flat arrays for later slices, which gives the ids of whole texts at a fraction of the time.
+    Where the vocabulary file has the known normalizer and pattern, plain words go straight to its BPE model; all
+    other words, and all words of another file, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, remember: int = 150_000) -> None:
+    def __init__(self, path: str, remember: int = 1_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
-        self.known: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
         with open(path) as f:
             told = json.load(f)
         steps = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])]
@@ -56,52 +54,66 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [i for i in range(256) if i not in shown]
         self.letters = {i: chr(i) for i in shown} | {i: chr(256 + k) for k, i in enumerate(hidden)}
+        self.parts: dict[str, list[int]] = {}
+        self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # hash, first id, number of ids
+        self.ids = np.zeros(1 << 20, np.uint32)
+        self.used = 0
 
     def _part(self, part: str) -> list[int]:
         ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        if len(self.parts) < self.remember and len(part) < 40:
+        if len(self.parts) < 100_000 and len(part) < 20:
             self.parts[part] = ids
         return ids
 
     def _words(self, words: list[str]) -> list[list[int]]:
         whole, out, known, part = [], [], self.parts.get, self._part
         for w in words:
-            plain = self.plain and (w.isascii() or PLAIN.fullmatch(w) and is_normalized("NFC", w)) and "<|" not in w
-            if not plain:
-                whole.append(len(out))
-                out.append([])
-            elif w.isalpha():
+            if self.plain and w.isalpha() and (w.isascii() or PLAIN.fullmatch(w) and is_normalized("NFC", w)):
                 w = w.lower()
                 out.append(known(w) or part(w))
-            else:
+            elif self.plain and PLAIN.fullmatch(w) and is_normalized("NFC", w) and "<|" not in w and not ODD.search(w):
                 out.append([i for p in self.split(w.lower()) for i in known(p) or part(p)])
+            else:
+                whole.append(len(out))
+                out.append([])
         if whole:
             for k, e in zip(whole, self.tokenizer.encode_batch([words[k] for k in whole], add_special_tokens=False), strict=True):
                 out[k] = e.ids
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and the number of ids of each text."""
-        words = [SPACE.split(t) if ODD.search(t) else t.split() for t in texts]
-        seen = dict.fromkeys(chain.from_iterable(words))
-        ids = [*map(self.known.get, seen)]
-        new = [w for w, i in zip(seen, ids, strict=True) if i is None]
-        fresh = self._words(new)
-        if len(self.known) < self.remember:
-            self.known.update((w, i) for w, i in zip(new, fresh, strict=True) if len(w) < 40)
-        fresh = iter(fresh)
-        ids = [next(fresh) if i is None else i for i in ids]
-        seen = dict(zip(seen, range(len(seen)), strict=True))
-        place = np.fromiter(map(seen.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        first = np.cumsum(sizes) - sizes
-        each = sizes[place]
-        upto = np.cumsum(each)
-        out = flat[np.repeat(first[place] - (upto - each), each) + np.arange(int(each.sum()))]
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        upto = np.append(0, upto)[ends]
-        return out, np.diff(upto, prepend=0)
+    def encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (bytes end to end, with their offsets), and the n+1 offsets of the ids of each text."""
+        starts, ends, of_text = word_spans(body, offsets)
+        words, first, place = np.unique(span_hashes(body, starts, ends), return_index=True, return_inverse=True)
+        hashes, at, sizes = self.known
+        found = np.searchsorted(hashes, words)
+        hit = found < len(hashes)
+        hit[hit] = hashes[found[hit]] == words[hit]
+        whole, new = body.tobytes(), np.flatnonzero(~hit)
+        fresh = self._words([whole[a:b].decode() for a, b in zip(starts[first[new]], ends[first[new]], strict=True)])
+        fresh_sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        total = int(fresh_sizes.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(fresh), np.uint32, total)
+        fresh_at = self.used + np.cumsum(fresh_sizes) - fresh_sizes
+        word_at, word_sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        word_at[hit], word_sizes[hit] = at[found[hit]], sizes[found[hit]]
+        word_at[new], word_sizes[new] = fresh_at, fresh_sizes
+        each = word_sizes[place]
+        upto = np.append(0, np.cumsum(each))
+        out = self.ids[np.repeat(word_at[place] - upto[:-1], each) + np.arange(int(upto[-1]))]
+        if len(hashes) < self.remember:
+            self.used += total
+            order = np.argsort(np.concatenate([hashes, words[new]]), kind="stable")
+            self.known = tuple(np.concatenate(p)[order] for p in ((hashes, words[new]), (at, fresh_at), (sizes, fresh_sizes)))
+        return out, upto[of_text]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a Python worker: later tasks find its vocabulary loaded and its words remembered."""
+    return WordEncoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, budget: int, grain: int) -> DataFrame:
@@ -109,20 +121,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, budget: int,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # lists of numbers make no cycles, and looking for some takes a tenth of the time
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                ids, counts = encoder.encode(part.column("text").to_pylist())
-                at = 0
-                for doc, n in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
-                    own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
-                    at += n
-                    whole, rest = n + 1 - (n + 1) % budget, (n + 1) % budget
-                    marks = [*range(0, whole + 1, budget), whole + rest - rest % grain, n + 1]
+                ids, upto = encoder.encode(*text_bytes(part.column("text")))
+                for doc, a, b in zip(part.column("doc_id").to_pylist(), upto[:-1], upto[1:], strict=True):
+                    own, n = np.append(ids[a:b], np.uint32(end_id)).astype("<u4"), int(b - a) + 1
+                    whole, rest = n - n % budget, n % budget
+                    marks = [*range(0, whole + 1, budget), whole + rest - rest % grain, n]
                     for a, b in zip(marks, marks[1:], strict=False):
                         if b > a:
-                            rows.append((doc, a, b - a, zlib.crc32(own[a:b].tobytes()), n + 1))
+                            rows.append((doc, a, b - a, zlib.crc32(own[a:b].tobytes()), n))
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
