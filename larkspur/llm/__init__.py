@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding
+from . import exact_dedup, ngram_join, packing, sharding
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op3_kd_sharding": sharding.op3_kd_sharding,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
