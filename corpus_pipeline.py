@@ -1,7 +1,62 @@
-"""The corpus pipeline (stages follow)."""
-STAGES = []
+"""The corpus pipeline: quality, exact copies, near copies, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir); ``run`` writes each result as Parquet in the shared folder and reads it
+again for the next stage. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm.common import cut, read
+from larkspur.llm.exact_dedup import exact_groups
+from larkspur.llm.ngram_join import jaccard_components
+from larkspur.llm.packing import pack, word_bpe_path
+from larkspur.llm.pii import redacted
+from larkspur.llm.quality import fit, keep_quality
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return keep_quality(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest id stays."""
+    gone = exact_groups(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a five-word shingle similarity of 0.8 or more the one with the smallest id stays."""
+    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data give way to their kinds; n_chars follows the text."""
+    return redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of 4096."""
+    return pack(docs, word_bpe_path())
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact_dedup", exact_copies),
+    ("ngram_join", near_copies),
+    ("pii", personal_data),
+    ("packing", packing),
+]
+#: Nearest neighbours, boosted trees and linear programs have no SQL form; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
