@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join, packing, pii, quality, sharding
+from . import exact_dedup, licenses, ngram_join, packing, pii, quality, sharding, simhash
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_kd_sharding": sharding.op3_kd_sharding,
     "op4_pii": pii.op4_pii,
+    "op5_simhash": simhash.op5_simhash,
     "op8_quality": quality.op8_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,

@@ -181,10 +181,8 @@ def train(spark: SparkSession) -> tuple[Trees, dict[str, float]]:
     score, limits = model.scores(x[~half]), {}
     for i, k in enumerate(kinds):
         own = x[~half][:, 0] == i
-        order = np.argsort(-score[own], kind="stable")
-        right = np.cumsum(y[~half][own][order]) / np.arange(1, own.sum() + 1)
-        good = np.flatnonzero(right >= PRECISION)
-        limits[k] = max(0.5, float(score[own][order][good[-1]])) if len(good) else 2.0
+        good = [t for t in np.unique(score[own]) if y[~half][own][score[own] >= t].mean() >= PRECISION]
+        limits[k] = max(0.5, float(min(good))) - 1e-9 if good else 2.0
     return model, limits
 
 
