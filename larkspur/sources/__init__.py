@@ -1,0 +1,49 @@
+"""Reading and writing tables: Parquet by name, all-string CSV, JSON, and idempotent page stores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def csv_strings(spark: SparkSession, path: str, columns: list[str], null_value: str | None = None) -> DataFrame:
+    """A headered CSV with every column a string (S01, S02); ``null_value`` decides what the literal 'null' means."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+    return (reader.option("nullValue", null_value) if null_value is not None else reader).csv(path)
+
+
+def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A file that holds one JSON array of records."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def xml_items(spark: SparkSession, path: str, row_tag: str, schema: T.StructType | str) -> DataFrame:
+    """The items of an XML list."""
+    return spark.read.schema(schema).format("xml").option("rowTag", row_tag).load(path)
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Store page artifacts (doc_id, page, content), one folder a document; writing a document again replaces it."""
+    pages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+
+
+def page_manifest(pages: DataFrame) -> DataFrame:
+    """Per document: number of pages, bytes in total, and a checksum over its pages in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", F.sha2("content", 256).alias("sum"))))
+    return pages.groupBy("doc_id").agg(
+        F.count("*").alias("pages"), F.sum(F.octet_length("content")).alias("bytes"),
+        F.sha2(F.array_join(F.transform(ordered, lambda p: p["sum"]), ""), 256).alias("checksum"),
+    )
+
+
+def split_valid(rows: DataFrame, errors: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows that break no rule, and the others with the names of the rules they break."""
+    named = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in errors.items())), lambda e: e.isNotNull())
+    told = rows.withColumn("errors", named)
+    return told.where(F.size("errors") == 0).drop("errors"), told.where(F.size("errors") > 0)
