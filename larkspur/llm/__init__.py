@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, ngram_join, packing, pii, quality, sharding, simhash, substrings
+from . import exact_dedup, licenses, ngram_join, packing, pieces, pii, quality, sharding, simhash, substrings
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_kd_sharding": sharding.op3_kd_sharding,
     "op4_pii": pii.op4_pii,
     "op5_simhash": simhash.op5_simhash,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_suffix_dedup": substrings.op7_suffix_dedup,
     "op8_quality": quality.op8_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, id_text, read, shown_id, slices, text_bytes
-from .words import span_hashes, word_spans
+from .words import CachedEncoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words on which normalising is lower-casing alone, and characters that white space classes disagree on.
@@ -29,7 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 STEPS = ["NFC", "Replace", "Lowercase"]
 
 
-class WordEncoder:
+class WordEncoder(CachedEncoder):
     """Ids of texts by a tokenizer that drops white space and joins nothing across it.
 
     Each distinct word is encoded once: words are told apart by 64-bit hashes, and the ids of up to ``remember``
@@ -43,7 +43,8 @@ class WordEncoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        super().__init__(remember)
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
             told = json.load(f)
         steps = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])]
@@ -55,9 +56,6 @@ class WordEncoder:
         hidden = [i for i in range(256) if i not in shown]
         self.letters = {i: chr(i) for i in shown} | {i: chr(256 + k) for k, i in enumerate(hidden)}
         self.parts: dict[str, list[int]] = {}
-        self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # hash, first id, number of ids
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.used = 0
 
     def _part(self, part: str) -> list[int]:
         ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
@@ -65,6 +63,9 @@ class WordEncoder:
             self.parts[part] = ids
         return ids
 
+    def encode_new(self, words: list[bytes]) -> list[list[int]]:
+        return self._words([w.decode() for w in words])
+
     def _words(self, words: list[str]) -> list[list[int]]:
         whole, out, known, part = [], [], self.parts.get, self._part
         for w in words:
@@ -81,34 +82,6 @@ class WordEncoder:
                 out[k] = e.ids
         return out
 
-    def encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (bytes end to end, with their offsets), and the n+1 offsets of the ids of each text."""
-        starts, ends, of_text = word_spans(body, offsets)
-        words, first, place = np.unique(span_hashes(body, starts, ends), return_index=True, return_inverse=True)
-        hashes, at, sizes = self.known
-        found = np.searchsorted(hashes, words)
-        hit = found < len(hashes)
-        hit[hit] = hashes[found[hit]] == words[hit]
-        whole, new = body.tobytes(), np.flatnonzero(~hit)
-        fresh = self._words([whole[a:b].decode() for a, b in zip(starts[first[new]], ends[first[new]], strict=True)])
-        fresh_sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-        total = int(fresh_sizes.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(fresh), np.uint32, total)
-        fresh_at = self.used + np.cumsum(fresh_sizes) - fresh_sizes
-        word_at, word_sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        word_at[hit], word_sizes[hit] = at[found[hit]], sizes[found[hit]]
-        word_at[new], word_sizes[new] = fresh_at, fresh_sizes
-        each = word_sizes[place]
-        upto = np.append(0, np.cumsum(each))
-        out = self.ids[np.repeat(word_at[place] - upto[:-1], each) + np.arange(int(upto[-1]))]
-        if len(hashes) < self.remember:
-            self.used += total
-            order = np.argsort(np.concatenate([hashes, words[new]]), kind="stable")
-            self.known = tuple(np.concatenate(p)[order] for p in ((hashes, words[new]), (at, fresh_at), (sizes, fresh_sizes)))
-        return out, upto[of_text]
-
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> WordEncoder:
