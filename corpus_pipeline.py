@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, read
+from larkspur.llm.common import cut, read, release_shuffles
 from larkspur.llm.exact_dedup import exact_groups
 from larkspur.llm.ngram_join import jaccard_components
 from larkspur.llm.packing import pack, word_bpe_path
@@ -24,12 +24,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id stays."""
+    release_shuffles(spark)
     gone = exact_groups(docs).where(~F.col("kept")).select("doc_id")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a five-word shingle similarity of 0.8 or more the one with the smallest id stays."""
+    release_shuffles(spark)
     gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 

@@ -66,6 +66,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """From now on the shuffle files of a query go when it ends: for jobs that write each of their steps."""
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` once nothing reads it any more."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import NULL_ID, connected_components, cut, id_text, mix64, random_words, read, shown_id, slices, text_bytes
+from .common import NULL_ID, connected_components, cut, drop_table, id_text, mix64, random_words, read, shown_id, slices, text_bytes
 from .words import span_hashes, word_spans
 
 _SALT = random_words(201, 64)
@@ -177,11 +177,12 @@ def jaccard_components(
                 )
 
     scanned = cut(rows.mapInArrow(scan, "doc_id long, n_shingles long, set1 long, set2 long, keys array<long>"))
-    nodes = scanned.select("doc_id", "n_shingles", "set1", "set2")
+    nodes = cut(scanned.select("doc_id", "n_shingles", "set1", "set2"))
     keyed = scanned.select("doc_id", F.explode("keys").alias("key"))
     met = keyed.withColumn("first", F.min("doc_id").over(Window.partitionBy("key"))).where("first <> doc_id")
     clusters = connected_components(met.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
     clusters = clusters.withColumnRenamed("node", "doc_id")
+    drop_table(scanned)  # the keys have met; what follows needs the nodes alone
     weight = nodes.where("n_shingles > 0").join(clusters, "doc_id").groupBy("root").agg(
         F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")
     )
