@@ -42,7 +42,8 @@ def kd_shards(
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     size = (F.octet_length(text) + F.lit(overhead)).cast("long")
-    tie = F.shiftright(F.shiftleft(F.crc32(text), 15) + F.pmod(F.xxhash64(key), F.lit(1 << 15)), 47 - TIE_BITS)
+    # half of the tie bits from the text, so that equal texts are neighbours, half from the id, so that they can be parted
+    tie = F.shiftleft(F.shiftright(F.crc32(text), 32 - TIE_BITS // 2), TIE_BITS // 2) + F.pmod(F.xxhash64(key), F.lit(1 << TIE_BITS // 2))
     columns = {c.lower(): c for c in docs.columns}
     named = [columns[c] for c in labels if c in columns]
     table = cut(
@@ -51,7 +52,7 @@ def kd_shards(
             *(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(2**32)).alias(f"label{i}") for i, c in enumerate(named)),
         )
     )
-    low, high = table.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = table.where(F.col("doc_id") != NULL_ID).agg(F.min("doc_id"), F.max("doc_id")).first()
     spread = max(1, (high or 0) - (low or 0))
     values = {
         "size": F.least(F.col("size") * 4096, F.lit(2**32 - 1)),
