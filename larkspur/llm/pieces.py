@@ -27,7 +27,7 @@ def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.n
         for b in key:
             node = node.setdefault(b, {})
         node[-1] = v
-    size = 1 << 22
+    size = 1 << 20
     base, check, value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
     check[0], low, start, top, todo = 0, 257, 257, 0, [(0, tree)]
     while todo:
@@ -55,7 +55,7 @@ def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.n
         check[[at + b for b in kids]] = s
         todo += [(at + b, node[b]) for b in kids]
     end = int(np.flatnonzero(check >= 0)[-1]) + 257
-    return base[:end], check[:end], value[:end]
+    return base[:end].copy(), check[:end].copy(), value[:end].copy()
 
 
 class PieceEncoder(CachedEncoder):
@@ -65,7 +65,7 @@ class PieceEncoder(CachedEncoder):
     of one or more spaces with what follows them are segmented independently, all new ones of a slice at once.
     """
 
-    def __init__(self, path: str, remember: int = 1_500_000) -> None:
+    def __init__(self, path: str, remember: int = 500_000) -> None:
         super().__init__(remember)
         import sentencepiece
 
