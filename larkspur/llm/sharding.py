@@ -56,7 +56,9 @@ def kd_shards(
     spread = max(1, (high or 0) - (low or 0))
     values = {
         "size": F.least(F.col("size") * 4096, F.lit(2**32 - 1)),
-        "doc_id": ((F.col("doc_id").cast("double") - float(low or 0)) / float(spread) * (2**32 - 1)).cast("long"),
+        "doc_id": F.when(F.col("doc_id") == NULL_ID, 0).otherwise(
+            (F.greatest(F.lit(0.0), (F.col("doc_id").cast("double") - float(low or 0)) / float(spread)) * (2**32 - 1)).cast("long")
+        ),
     } | {f"label{i}": F.col(f"label{i}") for i in range(len(named))}
     dims = list(values)
     points = table.select(
