@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, cut, read, shown_id
 
 #: Histogram digits: a node's median is found in ROUNDS passes, each splitting its bucket into 2**DIGIT_BITS.
-DIGIT_BITS, ROUNDS = 11, 4
+DIGIT_BITS, ROUNDS = 11, 6
 #: Every coordinate is the metadata value above so many hash bits that break its ties.
 TIE_BITS = 30
 
@@ -27,7 +27,7 @@ def kd_shards(
     The law is ``bytes``: sizes (UTF-8 bytes of the text plus ``overhead``) are near equal over the shards. A node
     that stands for k > 1 shards is split along its widest dimension, in proportion k//2 to the rest, at the
     weighted median; the dimensions are size, id and each label column (by hash), each scaled by its range in
-    the whole table. Medians are distributed: four passes of a 2048-bucket histogram fix each to 2**-44 of the
+    the whole table. Medians are distributed: six passes of a 2048-bucket histogram fix each exactly within the
     node's range, on all nodes of a level at once, so what reaches the driver is a row per node (at most
     ``shards``). Equal coordinates are parted by a hash of the text and then of the id, so that one label, source
     or group of copies that holds a third of all rows is split like any other; equal texts are neighbours but
