@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import NULL_ID, connected_components, cut, drop_table, id_text, mix64, random_words, read, shown_id, slices, text_bytes
+from .common import NULL_ID, SLICE_BYTES, connected_components, cut, drop_table, id_text, mix64, random_words, read, shown_id, slices, text_bytes
 from .words import span_hashes, word_spans
 
 _SALT = random_words(201, 64)
@@ -18,6 +18,11 @@ _SALT = random_words(201, 64)
 GROUPS, LEAF = 32, 16
 #: Shingles of one block of a candidate cluster.
 BLOCK_SHINGLES = 250_000
+#: Documents of one block of a bucket, of which a task compares two.
+BUCKET_BLOCK = 1000
+#: Hash slots in which repeated shingles are counted.
+SLOTS = 1 << 20
+_SLOT_SHIFT = np.uint64(64 - 20)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -43,48 +48,71 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-class Levels:
-    """Size classes for a threshold num/den: sets that link stand in the same class or in neighbouring ones."""
+def shingle_counts(rows: DataFrame, n: int) -> np.ndarray:
+    """How often the shingles of each of SLOTS hash slots repeat among documents that a task reads together.
 
-    def __init__(self, num: int, den: int) -> None:
-        self.num, self.den, self.first = num, den, [1]
-
-    def upto(self, size: int) -> int:
-        """The largest set that can link with one of this size."""
-        return size * self.den // self.num
-
-    def of(self, size: int) -> int:
-        while self.first[-1] <= size:
-            self.first.append(self.upto(self.first[-1]) + 1)
-        return int(np.searchsorted(self.first, size, "right")) - 1
+    Frequent shingles stand out from the many that occur once. The counts decide an order of shingles, never a
+    result, and their number is fixed, so each task may hold all of them.
+    """
 
-    def groups(self, level: int) -> tuple[int, int]:
-        """(d, g): sets of which the smaller is of this class differ in d shingles at most; g groups are made."""
-        d = self.upto(self.first[level]) * (self.den - self.num) // self.num
-        return d, d + 3 + d // 20
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in slices(batch, limit=2 * SLICE_BYTES):
+                hashes, times = np.unique(np.concatenate(shingle_sets(part.column("text"), n)), return_counts=True)
+                again = times > 1
+                np.add.at(slots, (hashes[again] >> _SLOT_SHIFT).astype(np.int64), times[again])
+        used = np.flatnonzero(slots)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(slots[used])], ["slot", "times"])
+
+    summed = rows.select("text").mapInArrow(count, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[summed.column("slot").to_numpy()] = summed.column("times").to_numpy()
+    return out
 
 
-def signatures(own: np.ndarray, levels: Levels) -> np.ndarray:
-    """Keys of which two sets that link, but are not equal, share at least one.
+def rare_prefix(own: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets that link share at least one of theirs.
 
-    Hashes are dealt to g groups by their leading bits. Linked sets differ in d shingles at most, which touch d
-    groups at most, so a set with more than d groups that are not empty has one that its partner has, too. A set
-    with fewer gets one more key, which all such sets of the class share.
+    A partner holds at least num/den of the set, so in one common order of all shingles (by the count of their
+    slot, then by hash) the two cannot have their first common shingle behind this prefix.
     """
     if not len(own):
-        return np.zeros(0, np.uint64)
-    at, keys = levels.of(len(own)), []
-    for level in range(max(0, at - 1), at + 1):
-        d, g = levels.groups(level)
-        if not d:
-            continue  # sets that small link with equal ones only
-        group = ((own >> np.uint64(32)) * np.uint64(g)) >> np.uint64(32)
-        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        sums = np.add.reduceat(own * _SALT[40], starts)
-        keys.append(mix64(sums ^ mix64(group[starts] + np.uint64(level << 32) + np.uint64(1))))
-        if len(starts) <= d:
-            keys.append(mix64(np.array([(level << 32) + 7], np.uint64) ^ _SALT[41]))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        return own
+    keep = len(own) - -(-num * len(own) // den) + 1
+    order = np.argsort(counts[(own >> _SLOT_SHIFT).astype(np.int64)], kind="stable")
+    return own[order[:keep]]
+
+
+def count_vector(own: np.ndarray) -> np.ndarray:
+    """Shingles in each hash group: a power of two of groups that grows with the set, so that vectors of unrelated
+    sets stay apart. A vector folds to fewer groups by adding its parts."""
+    groups = max(64, 1 << (len(own) // 8).bit_length())
+    return np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+
+
+def fold(vector: np.ndarray, groups: int) -> np.ndarray:
+    return vector.reshape(-1, groups).sum(axis=0, dtype=np.int64)
+
+
+def close_pairs(ids: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose summed minima of counts let their sets link."""
+    order = np.argsort(sizes, kind="stable")
+    ids, sizes, vectors = ids[order], sizes[order], [vectors[i] for i in order]
+    coarse = min(map(len, vectors))
+    points, root, out = np.array([fold(v, coarse) for v in vectors]), np.arange(len(ids)), []
+    for i in range(1, len(ids)):
+        n = int(sizes[i])
+        first = int(np.searchsorted(sizes, -(-n * num // den)))  # smaller sets cannot link
+        bound = np.minimum(points[first:i], points[i]).sum(axis=1)
+        for j in (first + np.flatnonzero(bound * (num + den) >= num * (n + sizes[first:i]))).tolist():
+            if root[i] == root[j]:
+                continue
+            g = min(len(vectors[i]), len(vectors[j]))
+            if int(np.minimum(fold(vectors[i], g), fold(vectors[j], g)).sum()) * (num + den) >= num * (n + int(sizes[j])):
+                root[root == root[i]] = root[j]
+                out.append((int(ids[i]), int(ids[j])))
+    return out
 
 
 def linked_pairs(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -136,6 +164,33 @@ def linked_pairs(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
     return out
 
 
+def in_block_pairs(rows: DataFrame) -> DataFrame:
+    """Each row once for every pair (low, high) of blocks that it is compared in; up to two blocks are one pair."""
+    few = F.col("blocks") <= 2
+    other = F.explode(F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("other", other).select(
+        *rows.drop("blocks", "block").columns,
+        F.when(few, 0).otherwise(F.least("block", "other")).alias("low"),
+        F.when(few, 0).otherwise(F.greatest("block", "other")).alias("high"),
+    )
+
+
+def group_ends(table: pa.Table) -> list[int]:
+    """Where runs of rows with the same (key, low, high) end."""
+    if not table.num_rows:
+        return []
+    cols = [table.column(c).to_numpy() for c in ("key", "low", "high")]
+    new = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    return [*(np.flatnonzero(new) + 1).tolist(), table.num_rows]
+
+
+def split_last(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The runs that are over, and the last one, which the next batch may go on with."""
+    ends = group_ends(table)
+    at = ends[-2] if len(ends) > 1 else 0
+    return table.slice(0, at), table.slice(at)
+
+
 def jaccard_components(
     docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -144,8 +199,10 @@ def jaccard_components(
     Two documents link when den * |A and B| >= num * |A or B| for their sets of distinct n-word shingles (with
     fewer words, the whole sequence is one). Empty or null texts have no shingle and link with nothing.
 
-    Candidates meet by group signatures (see ``signatures``), which Spark shuffles and groups: rows of two numbers.
-    What shares signatures forms clusters; each is dealt into blocks of about BLOCK_SHINGLES, and one task takes
+    Candidates meet by the rarest shingles of each set (see ``rare_prefix``), which Spark shuffles and groups: rows
+    of two numbers. What shares one is a bucket; of buckets with the same documents one is kept. Within a bucket
+    (a large one is dealt into blocks, compared two at a time) documents whose count vectors allow a link are
+    chained, and the chains form clusters; each is dealt into blocks of about BLOCK_SHINGLES, and one task takes
     two blocks at most, so a hot cluster is many tasks, none of them large. Within a task a count-vector R-tree
     finds the pairs to verify, and only a spanning forest of the verified links leaves it: no link between
     components is lost, and no group is written out as pairs. Equal sets are joined by their 128-bit hash, and
@@ -156,44 +213,72 @@ def jaccard_components(
     """
     num, den = threshold
     rows = id_text(docs, id_col, text_col)
+    repeats = shingle_counts(rows, n)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(num, den)
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"), n)
-                seen, keys = set(), []
+                seen, keys, counted = set(), [], []
                 ids = np.zeros((len(sets), 2), np.int64)
                 for i, own in enumerate(sets):
                     ids[i] = np.array([own.sum(), mix64(own ^ _SALT[42]).sum()], np.uint64).view(np.int64)
                     first = (whole := ids[i].tobytes()) not in seen
                     seen.add(whole)
-                    keys.append(signatures(own, levels).view(np.int64) if first else np.zeros(0, np.int64))
+                    counted.append(count_vector(own).tobytes() if first and len(own) else b"")
+                    keys.append(rare_prefix(own, repeats, num, den).view(np.int64) if first else np.zeros(0, np.int64))
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                    ["doc_id", "n_shingles", "set1", "set2", "keys"],
+                     pa.array(counted, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
+                    ["doc_id", "n_shingles", "set1", "set2", "counts", "keys"],
                 )
 
-    scanned = cut(rows.mapInArrow(scan, "doc_id long, n_shingles long, set1 long, set2 long, keys array<long>"))
-    nodes = cut(scanned.select("doc_id", "n_shingles", "set1", "set2"))
-    keyed = scanned.select("doc_id", F.explode("keys").alias("key"))
-    met = keyed.withColumn("first", F.min("doc_id").over(Window.partitionBy("key"))).where("first <> doc_id")
-    clusters = connected_components(met.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
-    clusters = clusters.withColumnRenamed("node", "doc_id")
-    drop_table(scanned)  # the keys have met; what follows needs the nodes alone
+    scanned = cut(rows.mapInArrow(scan, "doc_id long, n_shingles long, set1 long, set2 long, counts binary, keys array<long>"))
+    nodes = cut(scanned.drop("keys"))
+    w = Window.partitionBy("key")
+    met = cut(
+        scanned.select("doc_id", F.explode("keys").alias("key"))
+        .select(
+            "doc_id", "key", F.count("*").over(w).alias("size"), F.min("doc_id").over(w).alias("least"),
+            F.sum(F.shiftrightunsigned(F.xxhash64("doc_id"), 33)).over(w).alias("sum"),
+            F.bit_xor(F.xxhash64("doc_id", F.lit(1))).over(w).alias("xor"),
+        )
+        .where("size > 1")
+    )
+    drop_table(scanned)  # the keys have met
+    kept = met.groupBy("size", "least", "sum", "xor").agg(F.min("key").alias("key")).select("key")
+    buckets = met.join(kept.hint("merge"), "key", "left_semi").withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int"))
+    buckets = buckets.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    buckets = in_block_pairs(buckets.select("doc_id", "key", "blocks", "block")).join(
+        nodes.where("length(counts) > 0").select("doc_id", "n_shingles", "counts").hint("merge"), "doc_id"
+    )
+
+    def chain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            done, rest = split_last(rest)
+            yield chained(done)
+        if rest is not None:
+            yield chained(rest)
+
+    def chained(table: pa.Table) -> pa.RecordBatch:
+        ids, sizes = table.column("doc_id").to_numpy(), table.column("n_shingles").to_numpy()
+        vectors = [np.frombuffer(v, np.uint16) for v in table.column("counts").to_pylist()]
+        ends, pairs = group_ends(table), []
+        for a, b in zip([0, *ends[:-1]], ends, strict=False):
+            pairs += close_pairs(ids[a:b], sizes[a:b], vectors[a:b], num, den)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    near = buckets.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(chain, "a long, b long")
+    clusters = connected_components(near).withColumnRenamed("node", "doc_id")
     weight = nodes.where("n_shingles > 0").join(clusters, "doc_id").groupBy("root").agg(
         F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")
     )
     members = cut(clusters.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
-    other = F.explode(F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # a merge join at every size, so that the plan measured on small inputs is the one that large ones get
-    dealt = rows.join(members.hint("merge"), "doc_id").withColumn("other", other).select(
-        "doc_id", "text", "root", "block",
-        F.when(F.col("blocks") <= 2, 0).otherwise(F.least("block", "other")).alias("low"),
-        F.when(F.col("blocks") <= 2, 0).otherwise(F.greatest("block", "other")).alias("high"),
-    )
+    dealt = in_block_pairs(rows.join(members.hint("merge"), "doc_id").select("doc_id", "text", "root", "blocks", "block"))
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
