@@ -31,7 +31,19 @@ def truncated(v: Column, n: int) -> Column:
 
 def sanitized(v: Column, n: int = 500) -> Column:
     """Trimmed, white space squeezed, cut to n."""
-    return F.left(F.regexp_replace(F.trim(v), r"\s+", " "), F.lit(n))
+    return F.left(F.trim(F.regexp_replace(v, r"\s+", " ")), F.lit(n))
+
+
+def embeddable(v: Column) -> Column:
+    """Whether a text is worth an embedding: two characters at least, 8000 at most, two of them no digits or signs."""
+    told = F.length(F.trim(F.regexp_replace(v, r"\s+", " "))) >= 2
+    meant = F.length(F.regexp_replace(v, r"[\s\d\-./]", "")) >= 2
+    return F.coalesce(told & (F.length(v) <= 8000) & meant, F.lit(False))
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """``similarity`` regardless of case."""
+    return similarity(F.lower(a), F.lower(b))
 
 
 def backoff_ms(attempt: Column, base: int, cap: int) -> Column:

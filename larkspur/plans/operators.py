@@ -103,6 +103,24 @@ def v06(spark, d):
     return O.selected_candidates(r, "q", "pos", "score")
 
 
+@query("f05_embeddable", r"""
+SELECT doc_id, coalesce(length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 2 AND length(text) <= 8000 AND length(regexp_replace(text, '[\s\d\-./]', '', 'g')) >= 2, false) AS ok FROM documents""")
+def f05(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.embeddable(F.col("text")).alias("ok"))
+
+
+@query("f06_sanitized_text", r"SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 500) AS shown FROM documents")
+def f06(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.sanitized(F.col("text")).alias("shown"))
+
+
+@query("f12_folded_similarity", """
+SELECT n_nationkey, round(1 - levenshtein(lower(n_name), lower(r_name)) / greatest(length(n_name), length(r_name)), 6) AS similarity FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def f12(spark, d):
+    j = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five rows
+    return j.select("n_nationkey", F.round(X.name_similarity(F.col("n_name"), F.col("r_name")), 6).alias("similarity"))
+
+
 @query("f07_normalize_identifier", "SELECT s_suppkey, lower(regexp_replace(s_name, '[\\s\\-_#]', '', 'g')) AS v FROM supplier")
 def f07(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.replace(X.normalize_identifier(F.col("s_name")), F.lit("#"), F.lit("")).alias("v"))
