@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from larkspur.llm import ngram_join
 from larkspur.llm.ngram_join import jaccard_components
 
 SCHEMA = "doc_id long, text string, root string"
@@ -63,3 +64,17 @@ def test_edge_cases(spark):
     assert got(spark, [], 3, (9, 10)) == set()
     df = jaccard_components(spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d")], "doc_id long, text string"), 3)
     assert df.count() == 3
+
+
+def test_large_buckets_and_clusters_are_compared_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 100)
+    r = random.Random(8)
+    common = [f"c{i}" for i in range(12)]
+    base = [f"b{i}" for i in range(40)]
+    docs = []
+    for i in range(50):
+        own = list(base) if i % 2 else [f"w{r.randrange(500)}" for _ in range(40)]
+        own[r.randrange(40)] = f"x{i}"
+        docs.append((i, " ".join(own + common)))
+    assert got(spark, docs, 5, (4, 5)) == brute(docs, 5, 4, 5)
