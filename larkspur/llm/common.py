@@ -120,12 +120,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: each hangs the neighbours of a node on their smallest one, so
     the number of rounds grows with the logarithm of the longest chain. Rounds are cut in the shared folder;
     the driver sees one count a round. A hub's rows are pre-aggregated for the minimum, and the join back to
-    them can be split by adaptive execution.
+    them can be split by adaptive execution. Rounds go on until every node has one smaller neighbour and that
+    one has none: while a node has two, their trees are not merged yet.
     """
     stars = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        chained = stars.select(F.col("v").alias("u")).join(stars, "u", "left_semi").limit(1).count()
-        if not chained:
+        chained = stars.select(F.col("v").alias("u")).join(stars, "u", "left_semi")
+        forked = stars.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least <> most")
+        if not chained.union(forked.select("u")).limit(1).count():
             break
         both = stars.union(stars.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

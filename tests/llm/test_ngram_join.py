@@ -3,6 +3,7 @@ import re
 
 import pytest
 from larkspur.llm import ngram_join
+from larkspur.llm.common import connected_components
 from larkspur.llm.ngram_join import jaccard_components
 
 SCHEMA = "doc_id long, text string, root string"
@@ -78,3 +79,41 @@ def test_large_buckets_and_clusters_are_compared_block_by_block(spark, monkeypat
         own[r.randrange(40)] = f"x{i}"
         docs.append((i, " ".join(own + common)))
     assert got(spark, docs, 5, (4, 5)) == brute(docs, 5, 4, 5)
+
+
+@pytest.mark.parametrize("edges", [
+    [(5, 1), (5, 2)],
+    [(2, 5), (5, 6), (6, 9), (9, 1)],
+    [(8, 3), (3, 4), (12, 10), (12, 11), (13, 11), (20, 20)],
+])
+def test_components_have_one_row_a_node_and_the_smallest_root(spark, edges):
+    root = {n: n for a, b in edges if a != b for n in (a, b)}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == sorted(root.items())
+
+
+def test_random_trees(spark):
+    r = random.Random(11)
+    edges, root = [], {}
+    for k in range(60):
+        own = list(range(k * 20, k * 20 + r.choice([2, 3, 3, 5, 20])))
+        r.shuffle(own)
+        edges += [(own[i], own[i - 1] if k % 2 else own[r.randrange(i)]) for i in range(1, len(own))]
+        root |= dict.fromkeys(own, min(own))
+    found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == sorted(root.items())
+
+
+def test_document_that_links_two_smaller_ids_comes_out_once(spark):
+    words = [f"w{i}" for i in range(100)]
+    docs = [(5, " ".join(words)), (1, " ".join(["x", *words[1:]])), (2, " ".join([*words[:-1], "y"]))]
+    docs += [(12, " ".join(words[:50])), (11, " ".join(["x", *words[1:50]]))]
+    assert brute(docs, 3, 49, 50) == {(5, 98, 5), (1, 98, 1), (2, 98, 2), (12, 48, 12), (11, 48, 11)}
+    near = brute(docs, 3, 97, 100)
+    rows = jaccard_components(spark.createDataFrame([(i, x, "clash") for i, x in docs], SCHEMA), 3, (97, 100)).collect()
+    assert len(rows) == len(docs) and {tuple(r) for r in rows} == near
+    assert {r.component_id for r in rows if r.doc_id in (1, 2, 5)} == {1}
