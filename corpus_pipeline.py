@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, read, release_shuffles
+from larkspur.llm.common import NULL_ID, cut, read, release_shuffles
 from larkspur.llm.exact_dedup import exact_groups
 from larkspur.llm.ngram_join import jaccard_components
 from larkspur.llm.packing import pack, word_bpe_path
@@ -22,18 +22,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs, fit(docs, read(spark, sf_dir, "labels")))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row, as ids may be null or repeat; written, so that it stays."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def first_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each group in ``groups`` (_row, _group) the row with the smallest id, null before all others; of rows that
+    repeat this id the first."""
+    ids = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"))
+    heads = groups.join(ids.hint("merge"), "_row").groupBy("_group").agg(F.min(F.struct("_id", "_row")).alias("m")).select("m._row")
+    return rows.join(heads.hint("merge"), "_row", "left_semi").drop("_row")
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id stays."""
     release_shuffles(spark)
-    gone = exact_groups(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    groups = exact_groups(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("_group"))
+    return first_of_groups(rows, groups).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a five-word shingle similarity of 0.8 or more the one with the smallest id stays."""
     release_shuffles(spark)
-    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    groups = jaccard_components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    return first_of_groups(rows, groups).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +68,8 @@ STAGES = [
     ("pii", personal_data),
     ("packing", packing),
 ]
-#: Nearest neighbours, boosted trees and linear programs have no SQL form; tests compare the stages with plain versions.
+#: Nearest neighbours, boosted trees and linear programs have no SQL form; tests compare the stages that drop
+#: copies with plain versions.
 ORACLE_SQL = None
 
 
