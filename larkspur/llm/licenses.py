@@ -12,7 +12,7 @@ from .common import read, NULL_ID
 #: Complement of a word, in the text as it is (A-Z count as a-z later).
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
-#: label: (words that every match of the family has in a row, how the licence is called in words)
+#: label: (keys, parted by |, of which every match of the family has one as words in a row, how the licence is called)
 FAMILIES = {
     "apache-2.0": ("apache", "apache(?: software)? license(?:,? version)? 2 0|apache 2 0|apache license"),
     "mit": ("licen", "mit license|mit licence|expat license|x11 license"),
@@ -37,12 +37,12 @@ FAMILIES = {
     "boost": ("boost software", "boost software license"),
     "artistic-2.0": ("artistic license", "artistic license(?: 2 0)?"),
     "unlicense": ("unlicense", "the unlicense|unlicense org"),
-    "wtfpl": ("wtfpl", "wtfpl|do what the fuck you want to public license"),
+    "wtfpl": ("wtfpl|do what the fuck", "wtfpl|do what the fuck you want to public license"),
     "postgresql": ("postgresql license", "postgresql license"),
     "python": ("license", "python software foundation license|psf license"),
     "ofl": ("font license", "sil open font license|open font license"),
     "odbl": ("odbl", "odbl|open database license odbl"),
-    "cc0": ("cc0", "cc0(?: 1 0)?|creative commons zero"),
+    "cc0": ("cc0|creative commons zero", "cc0(?: 1 0)?|creative commons zero"),
     "cc-by-4.0": ("cc by", "cc by 4 0|cc by(?: 3 0| 2 5| 2 0)?"),
     "cc-by-sa": ("cc by", "cc by sa(?: 4 0| 3 0)?"),
     "cc-by-nc": ("cc by", "cc by nc(?: 4 0| 3 0)?"),
@@ -63,11 +63,37 @@ FORMS = [
     ("(?:see|read) (?:the )?(?:{})", 4, 0.7),
     ("(?:{})", 5, 0.6),
 ]
+#: (label, key, wording of the licence's own text, which need not name it, confidence).
+WORDING = [
+    ("mit", "to any person obtaining", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1.0),
+    ("mit", "the software is provided as is", "the software is provided as is without warranty of any kind", 0.7),
+    ("bsd", "source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted", 0.95),
+    ("bsd-3-clause", "endorse or promote products", "neither the names? of (?:[^ ]+ ){1,20}may be used to endorse or promote products derived from this software", 0.95),
+    ("isc", "this software for any purpose with or without fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 1.0),
+    ("postgresql", "without a written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 1.0),
+    ("zlib", "in no event will the authors", "in no event will the authors be held liable for any damages arising from the use of this software", 0.9),
+    ("zlib", "must not be misrepresented", "the origin of this software must not be misrepresented", 0.9),
+    ("boost", "accompanying documentation covered by this license", "obtaining a copy of the software and accompanying documentation covered by this license", 1.0),
+    ("ofl", "font software", "permission is hereby granted free of charge to any person obtaining a copy of the font software", 1.0),
+    ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain", 1.0),
+    ("wtfpl", "you just do what the fuck", "you just do what the fuck you want to", 0.95),
+    ("cc0", "related or neighboring rights", "waived all copyright and related or neighboring rights", 0.95),
+    ("gpl", "is free software you can redistribute", "(?:this|the) (?:program|library|software) is free software you can redistribute it and or modify it", 0.8),
+    ("gpl", "verbatim copies of this license document", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 0.8),
+    ("proprietary", "unauthorized copying", "unauthorized copying of this file via any medium is strictly prohibited", 0.95),
+    ("proprietary", "may be reproduced", "no part of this (?:publication|book|work|document) may be reproduced", 0.8),
+]
+#: Priority of WORDING: that of a licence given in full.
+WORDING_PRIORITY = 1
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, label, pattern over ' word word ', priority, confidence), in order: families times forms, then base."""
+    """(keywords, label, pattern over ' word word ', priority, confidence), in order: families times forms, wording, base.
+
+    Of the keywords, parted by |, every match holds one.
+    """
     made = [(k, label, form.format(name), p, c) for label, (k, name) in FAMILIES.items() for form, p, c in FORMS]
+    made += [(k, label, wording, WORDING_PRIORITY, c) for label, k, wording, c in WORDING]
     return made + [(phrase, label, phrase, 0, 0.9) for label, phrase in BASE.items()]
 
 
@@ -100,7 +126,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     table = rules()
-    keys = sorted({r[0] for r in table})
+    keys = sorted({k for r in table for k in r[0].split("|")})
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"))
     low = F.lower("text")
     # in the raw text the words of a key may be parted by anything, so each is looked for by itself
@@ -110,13 +136,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         lambda w: F.translate(w, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     words = F.concat(F.lit(" "), F.array_join(split, " "), F.lit(" "))
     rows = base.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, words).alias("words"))
-    detections = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(lb).alias("label"), F.lit(f"(?<= )(?:{p})(?= )").alias("pattern"), F.lit(pr).alias("priority"), F.lit(c).alias("confidence"), F.lit(i).alias("rule")) for i, (k, lb, p, pr, c) in enumerate(table)))
+    detections = F.array(*(F.struct(F.array(*map(F.lit, k.split("|"))).alias("k"), F.lit(lb).alias("label"), F.lit(f"(?<= )(?:{p})(?= )").alias("pattern"), F.lit(pr).alias("priority"), F.lit(c).alias("confidence"), F.lit(i).alias("rule")) for i, (k, lb, p, pr, c) in enumerate(table)))
     shape = "array<struct<label:string,priority:int,confidence:double,rule:int,start:int,end:int>>"
 
     def hits(words: Column, r: Column) -> Column:
         at = F.transform(places(words, r["pattern"]), lambda p: F.struct(
             r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].cast("double").alias("confidence"), r["rule"].alias("rule"), p["start"].alias("start"), p["end"].alias("end")))
-        return F.when(F.contains(words, r["k"]), at).otherwise(F.array().cast(shape))
+        return F.when(F.exists(r["k"], partial(F.contains, words)), at).otherwise(F.array().cast(shape))
 
     found = F.when(F.col("words").isNotNull(), F.flatten(F.transform(detections, partial(hits, F.col("words"))))).otherwise(F.array().cast(shape))
     rows = rows.withColumn("hits", found)

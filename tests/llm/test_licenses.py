@@ -1,6 +1,6 @@
 import re
 
-from larkspur.llm.licenses import BASE, license_scan, rules
+from larkspur.llm.licenses import BASE, FAMILIES, WORDING, license_scan, rules
 
 SCHEMA = "doc_id long, text string, words string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -47,3 +47,41 @@ def test_edge_cases(spark):
 
 def test_hundreds_of_rules():
     assert len(rules()) > 200 and len({(r[1], r[2]) for r in rules()}) == len(rules())
+
+
+def said(pattern):
+    """A few texts that a pattern without nested alternatives matches: all of its alternatives, with and without the optional parts."""
+    parts, depth, at = [""], 0, 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    for p in parts:
+        for optional in ("", r"\1"):
+            t = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)[?*]", optional, p)
+            t = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(?:\{1,20\})?", r"\1", t.replace("[^ ]+", "name"))
+            t = re.sub(r".\?", lambda m: m[0][0] if optional else "", t.replace("[0-9]", "7")) if "?" in t else t.replace("[0-9]", "7")
+            yield p, t
+
+
+def test_every_alternative_passes_its_own_gate(spark):
+    named = [(label, p, t) for label, (_, name) in FAMILIES.items() for p, t in said(name)]
+    worded = [(label, p, t) for label, _, wording, _ in WORDING for p, t in said(wording)]
+    cases = sorted({(label, t) for label, p, t in named + worded if re.fullmatch(p, t)})
+    alternatives = {(label, p) for label, p, t in named + worded}
+    assert alternatives == {(label, p) for label, p, t in named + worded if re.fullmatch(p, t)}  # each is tried
+    docs = spark.createDataFrame([(i, t.title(), "") for i, (_, t) in enumerate(cases)], SCHEMA)
+    rows = check(license_scan(docs), {i: t.title() for i, (_, t) in enumerate(cases)})
+    for r in rows:
+        assert r.labels and r.score > 0, cases[r.doc_id]
+
+
+def test_long_names_and_wording(spark):
+    texts = ["Creative Commons Zero", "Do What The Fuck You Want To Public License",
+             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")",
+             "Redistribution and use in source and binary forms, with or without modification, are permitted"]
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+    rows = {r.doc_id: r.labels for r in check(license_scan(docs), dict(enumerate(texts)))}
+    assert rows == {0: "cc0", 1: "wtfpl", 2: "mit", 3: "bsd"}
