@@ -19,12 +19,17 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Words behind which a key or password stands.
+TOLD_KEY = "(?i:password|passwd|pwd|secret|token|api.?key|access.?key|credential)"
 #: High-recall generators of further candidates; their spans may overlap.
 GENERATORS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "key": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,60}[0-9])[A-Za-z0-9_-]{10,80}(?![A-Za-z0-9_-])",
+    "key": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{10,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\) ?|0)[0-9]{2,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?(?![0-9A-Za-z])",
+    # not what the key generator takes as a whole
+    "secret": r"(?<=[=:]\x20?[\"']?)(?<=(?:" + TOLD_KEY + r")s?[\"']?\x20?[=:]\x20?[\"']?)"
+    r"(?!(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{10,}+(?![^\s\"'<>,;=:]))[^\s\"'<>,;=:]{4,}+",
 }
 CONTEXT = 24
 FEATURES = ["kind", "chars", "digits", "letters", "capitals", "separators", "switches", "hex", "told_key", "told_tel", "told_id", "told_bank"]
@@ -115,6 +120,21 @@ def examples(seed: int = 3, n: int = 250) -> list[tuple[str, str, str, int]]:
             ("tel", f"0{pick(d, 6)}", some, 0),
             ("tel", f"0{pick(d, 2)}.{pick(d, 3)}", some, 0),
         ]
+    for _ in range(n):
+        some = r.choice(plain)
+        told = r.choice(["password=", "password: ", 'token = "', "secret=", "api_key: ", "pwd:"])
+        slug = "-".join(pick(low, r.randint(2, 9)) for _ in range(r.randint(4, 24)))
+        out += [
+            ("key", pick(low + up + d, r.randint(60, 400)) + "1", some, 1),
+            ("key", pick("0123456789abcdef", r.choice([96, 128, 256])), some, 1),
+            ("key", f"{slug}-{pick(d, r.randint(1, 4))}", some, 0),
+            ("key", pick(d, r.randint(60, 200)), some, 0),
+            ("secret", pick(low, r.randint(2, 6)) + pick(d, r.randint(1, 4)) + pick("!#$%&*?" + low, r.randint(1, 3)), told, 1),
+            ("secret", pick(low + up, r.randint(3, 12)) + pick(d, r.randint(1, 3)), told, 1),
+            ("secret", pick(low, 1) + pick(low + up, r.randint(3, 10)) + pick(up, 1), told, 1),
+            ("secret", pick(up, r.randint(0, 1)) + pick(low, r.randint(4, 12)) + r.choice(["", ".", ")"]), told, 0),
+            ("secret", pick(low, r.randint(3, 9)) + "-" + pick(low, r.randint(3, 9)), told, 0),
+        ]
     return out
 
 
@@ -205,10 +225,11 @@ def span_lists(text: Column, model: Trees, limits: dict[str, float]) -> tuple[di
 def with_spans(docs: DataFrame, text: str, model: Trees, limits: dict[str, float]) -> DataFrame:
     """Adds _base (spans of each base kind) and _all (all spans), in the order of kinds, then of starts.
 
-    A text without a digit or an at sign has no candidate of any kind and is not searched further.
+    A text without a digit, an at sign or a word that tells of a key has no candidate of any kind and is not searched
+    further.
     """
     col = F.coalesce(F.col(text), F.lit(""))
-    gate = col.rlike("[0-9@]")
+    gate = col.rlike("[0-9@]") | col.rlike(TOLD_KEY)
     shape = "array<struct<kind:string,start:int,end:int>>"
     base, more = span_lists(col, model, limits)
     tagged = [F.transform(s, partial(lambda k, v: F.struct(F.lit(k).alias("kind"), v["start"].alias("start"), v["end"].alias("end")), k)) for k, s in base.items()]
@@ -233,7 +254,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: doc_id, counts of the base kinds, base_sha256, spans.
 
     Base spans are the leftmost matches of fixed patterns that pass their checks. Generators propose further
-    candidates (keys and passwords, bank accounts, social security numbers, local telephone numbers), boosted
+    candidates (keys and passwords, short ones where they are told, bank accounts, social security numbers, local telephone numbers), boosted
     trees score their format and the words before them, and those that reach the calibrated threshold of their
     kind and meet no base span are added; of overlapping ones the best scored. The trees are fitted on invented
     examples, compiled to one expression, and run where the text is: no Python on executors, no shuffle.

@@ -80,3 +80,17 @@ def test_trees_as_expression_and_held_out_accuracy(spark):
             right.append(((r.s >= limits[k]), bool(r.label)))
     kept = [y for s, y in right if s]
     assert np.mean(kept) > 0.95 and sum(kept) > 0.85 * sum(y for _, y in right)
+
+
+def test_long_keys_and_short_told_passwords(spark):
+    r = __import__("random").Random(6)
+    pick = lambda s, k: "".join(r.choice(s) for _ in range(k))
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    late = pick("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 70) + pick(mixed, 50) + "7"
+    slug = "a-very-long-title-of-an-article-about-the-gardens-of-the-old-town-and-their-owners-in-2019"
+    texts = ["of the " + pick("0123456789abcdef", 128) + " ok", "it was " + pick(mixed, 300) + "1 ok", "it was " + late, "password: hunter2 ok",
+             'token = "x9!k"', "password=corrHorsE", "see " + slug, "the secret: nobody knows", "my password is long gone", "z" * 200000 + "1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {row.doc_id: row.spans for row in personal_data(docs).collect()}
+    assert [got[k] for k in range(9)] == ["key:7:135", "key:7:308", "key:7:128", "secret:10:17", "secret:9:13", "secret:9:18", "", "", ""]
+    assert redacted(docs.where("doc_id = 3")).head().text == "password: <secret> ok"
