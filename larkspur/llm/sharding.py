@@ -2,139 +2,164 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, cut, read, shown_id
 
-#: Histogram digits: a node's median is found in ROUNDS passes, each splitting its bucket into 2**DIGIT_BITS.
-DIGIT_BITS, ROUNDS = 11, 6
-#: Every coordinate is the metadata value above so many hash bits that break its ties.
+#: Buckets of a node's histogram; each pass narrows a node to the keys of one bucket.
+BUCKETS = 1024
+#: Every coordinate is a metadata value (below 2**32) above so many hash bits that break its ties.
 TIE_BITS = 30
+#: Equal texts of at most this part of a shard's bytes stay together; larger groups can be split anywhere.
+WHOLE = 1 / 32
+#: Rows of a shard that are numbered together.
+SLOT_ROWS = 100_000
 
 
-def _coordinate(value: Column, tie: Column) -> Column:
-    """A metadata value (0 to 2**32 - 1) over tie-breaking hash bits."""
-    return F.shiftleft(F.greatest(F.lit(0), F.least(value, F.lit(2**32 - 1))).cast("long"), TIE_BITS) + tie
+@dataclass
+class Node:
+    """A part of the tree: a leaf is one shard; else keys up to ``last`` in ``dim`` go left."""
 
+    first: int
+    shards: int
+    dim: int | None = None
+    last: int = 0
+    left: Node | None = None
+    right: Node | None = None
 
-def kd_shards(
-    docs: DataFrame, shards: int, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text",
-    labels: tuple[str, ...] = ("lang", "source"), slot_buckets: int = 64,
-) -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+    def leaves(self) -> list[Node]:
+        return [self] if self.dim is None else self.left.leaves() + self.right.leaves()
 
-    The law is ``bytes``: sizes (UTF-8 bytes of the text plus ``overhead``) are near equal over the shards. A node
-    that stands for k > 1 shards is split along its widest dimension, in proportion k//2 to the rest, at the
-    weighted median; the dimensions are size, id and each label column (by hash), each scaled by its range in
-    the whole table. Medians are distributed: six passes of a 2048-bucket histogram fix each exactly within the
-    node's range, on all nodes of a level at once, so what reaches the driver is a row per node (at most
-    ``shards``). Equal coordinates are parted by a hash of the text and then of the id, so that one label, source
-    or group of copies that holds a third of all rows is split like any other; equal texts are neighbours but
-    are not promised one shard. Only a narrow table (id, size, checksum and coordinates) is written and read by
-    the passes; the texts are read once.
-
-    Slots count from 0 without gaps within a shard; they are given in ``slot_buckets`` independent parts a
-    shard, placed by the counts of the parts. Null text has no bytes; null ids and labels are values of their
-    own; rows that repeat an id stay separate rows. ``grown_shard`` is null under this law. An empty table gives
-    an empty result.
+    def shard(self) -> Column:
+        """The first shard of the leaf that a row falls into: nested comparisons, as deep as the tree."""
+        if self.dim is None:
+            return F.lit(self.first)
+        return F.when(F.col(f"at{self.dim}") <= self.last, self.left.shard()).otherwise(self.right.shard())
+
+
+def coordinates(docs: DataFrame, shards: int, overhead: int, id_col: str, text_col: str, labels: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """(doc_id, size, text_crc32, at0, at1, ...), written, and the number of dimensions: size, id and each label.
+
+    Equal texts share the coordinates of their smallest row, and a hash of the text breaks ties, so they are one
+    point; in a group of more than WHOLE of a shard's bytes a hash of the id breaks ties as well, so it can be split
+    anywhere. Groups are counted before their shuffle; rows meet them by a join that adaptive execution can split.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    size = (F.octet_length(text) + F.lit(overhead)).cast("long")
-    # half of the tie bits from the text, so that equal texts are neighbours, half from the id, so that they can be parted
-    tie = F.shiftleft(F.shiftright(F.crc32(text), 32 - TIE_BITS // 2), TIE_BITS // 2) + F.pmod(F.xxhash64(key), F.lit(1 << TIE_BITS // 2))
     columns = {c.lower(): c for c in docs.columns}
     named = [columns[c] for c in labels if c in columns]
-    table = cut(
+    own = [f"label{i}" for i in range(len(named))]
+    rows = cut(
         docs.select(
-            key.alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), tie.alias("tie"),
-            *(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(2**32)).alias(f"label{i}") for i, c in enumerate(named)),
+            F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
+            F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_key"),
+            *(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(2**32)).alias(o) for c, o in zip(named, own, strict=True)),
         )
-    )
-    low, high = table.where(F.col("doc_id") != NULL_ID).agg(F.min("doc_id"), F.max("doc_id")).first()
-    spread = max(1, (high or 0) - (low or 0))
-    values = {
-        "size": F.least(F.col("size") * 4096, F.lit(2**32 - 1)),
-        "doc_id": F.when(F.col("doc_id") == NULL_ID, 0).otherwise(
-            (F.greatest(F.lit(0.0), (F.col("doc_id").cast("double") - float(low or 0)) / float(spread)) * (2**32 - 1)).cast("long")
-        ),
-    } | {f"label{i}": F.col(f"label{i}") for i in range(len(named))}
-    dims = list(values)
-    points = table.select(
-        "doc_id", "size", "text_crc32", F.array(*(_coordinate(values[d], F.col("tie")) for d in dims)).alias("at"),
-        F.lit(1).alias("node"),
-    )
-    ranges = points.agg(*(f(F.col("at")[i]).alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    whole = [max(1, (ranges[f"hi{i}"] or 0) - (ranges[f"lo{i}"] or 0)) for i in range(len(dims))]
-    nodes = {1: (0, shards)}  # node -> (first shard, number of shards)
-    while any(k > 1 for _, k in nodes.values()):
-        open_nodes = {n: k for n, (_, k) in nodes.items() if k > 1}
-        splits = _medians(points, open_nodes, whole)
-        for n, k in open_nodes.items():
-            first = nodes.pop(n)[0]
-            nodes |= {2 * n: (first, k // 2), 2 * n + 1: (first + k // 2, k - k // 2)}
-        if not splits:  # no rows
-            break
-        cuts = _rows(points, "node, dim, last", [(n, *s) for n, s in splits.items()])
-        right = F.when(F.col("at")[F.col("dim")] > F.col("last"), 1).otherwise(0)
-        points = points.join(F.broadcast(cuts), "node", "left").select(
-            "doc_id", "size", "text_crc32", "at",
-            F.when(F.col("dim").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right).alias("node"),
-        )
-    leaves = _rows(points, "node, shard", [(n, first) for n, (first, _) in nodes.items()])
-    placed = points.join(F.broadcast(leaves), "node").select(  # a row for each shard
-        "doc_id", "size", "text_crc32", "shard",
-        F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slot_buckets)).cast("int").alias("part"),
-    )
-    by_shard = Window.partitionBy("shard").orderBy("part")
-    starts = placed.groupBy("shard", "part").count().select(
-        "shard", "part", (F.sum("count").over(by_shard) - F.col("count")).alias("start")
-    )
-    in_part = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
-    return (
-        placed.withColumn("n", F.row_number().over(in_part))
-        .join(F.broadcast(starts), ["shard", "part"])  # at most shards * slot_buckets rows
-        .select(
-            shown_id(), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-            (F.col("start") + F.col("n") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+    told = F.col("doc_id") != NULL_ID
+    whole = rows.agg(F.sum("size").alias("bytes"), F.min(F.when(told, F.col("doc_id"))).alias("lo"), F.max("doc_id").alias("hi")).first()
+    lo = whole["lo"] or 0
+    spread = float(max(1, (whole["hi"] or 0) - lo))
+    whole_bytes = max(1.0, (whole["bytes"] or 0) / shards * WHOLE)
+    same = ["text_key", "text_crc32", "size"]
+    groups = rows.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", *own)).alias("lead")).where("n > 1")
+    joined = rows.join(groups, same, "left")
+    lead = lambda c: F.coalesce(F.col("lead")[c], F.col(c))
+    large = F.coalesce("n", F.lit(1)) * F.col("size") > whole_bytes
+    piece = F.when(large, F.xxhash64("doc_id")).otherwise(F.lit(0).cast("long"))
+    tie = F.pmod(F.xxhash64("text_key", "text_crc32", piece), F.lit(1 << TIE_BITS))
+    id_value = F.when(lead("doc_id") == NULL_ID, F.lit(0).cast("long")).otherwise(((lead("doc_id").cast("double") - float(lo)) / spread * (2**32 - 1)).cast("long"))
+    values = [F.col("size"), id_value, *map(lead, own)]
+    at = [(F.shiftleft(F.greatest(F.lit(0), F.least(v, F.lit(2**32 - 1))).cast("long"), TIE_BITS) + tie).alias(f"at{i}") for i, v in enumerate(values)]
+    return cut(joined.select("doc_id", "size", "text_crc32", *at)), len(values)
+
+
+def split_level(points: DataFrame, root: Node, dims: int, whole: list[int]) -> bool:
+    """Split every open leaf of the tree along its widest dimension, at the weighted median; False if none has rows.
+
+    One aggregation gives the box and bytes of all open nodes; then histograms of BUCKETS buckets over what is left
+    of each node's keys narrow its median to one key. What reaches the driver is a row for each node and bucket.
+    """
+    open_nodes = {leaf.first: leaf for leaf in root.leaves() if leaf.shards > 1}
+    if not open_nodes:
+        return False
+    inside = points.withColumn("node", root.shard()).where(F.col("node").isin(*open_nodes))
+    ends = [f(f"at{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    state, last = {}, {}
+    for r in inside.groupBy("node").agg(F.sum("size").alias("bytes"), *ends).collect():
+        dim = max(range(dims), key=lambda i: ((r[f"hi{i}"] - r[f"lo{i}"]) / whole[i], -i))
+        leaf = open_nodes[r["node"]]
+        leaf.left, leaf.right = Node(leaf.first, leaf.shards // 2), Node(leaf.first + leaf.shards // 2, leaf.shards - leaf.shards // 2)
+        # dimension, least and largest key that the median may have, bytes that go left less those before the least key
+        state[r["node"]] = dim, r[f"lo{dim}"], r[f"hi{dim}"], r["bytes"] * (leaf.shards // 2) / leaf.shards
+    found = bool(state)
+    cuts = {n: s[0] for n, s in state.items()}
+    while state:
+        case = lambda of: F.coalesce(*(F.when(F.col("node") == n, of(s)) for n, s in state.items()))  # noqa: B023, E731
+        key = case(lambda s: F.col(f"at{s[0]}"))
+        bucket = case(lambda s: F.when(F.col("key").between(s[1], s[2]), F.floor((F.col("key") - s[1]) / ((s[2] - s[1]) // BUCKETS + 1))))
+        bars = inside.withColumn("key", key).withColumn("bucket", bucket).where("bucket IS NOT NULL").groupBy("node", "bucket").agg(
+            F.sum("size").alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi")
         )
-    )
+        after = {}
+        rows = sorted(bars.collect(), key=lambda r: (r["node"], r["bucket"]))  # BUCKETS rows a node at most
+        for n, (dim, _, _, goal) in state.items():
+            before = 0
+            for r in (r for r in rows if r["node"] == n):
+                if before + r["bytes"] > goal or r["hi"] == max(q["hi"] for q in rows if q["node"] == n):
+                    break
+                before += r["bytes"]
+            if r["lo"] == r["hi"]:  # one key: it goes to the side that comes nearer to the goal
+                last[n] = r["lo"] if (goal - before) * 2 > r["bytes"] else r["lo"] - 1
+            else:
+                after[n] = dim, r["lo"], r["hi"], goal - before
+        state = after
+    for leaf in open_nodes.values():  # a node without rows is split as well, so that the tree has all shards
+        leaf.left, leaf.right = leaf.left or Node(leaf.first, leaf.shards // 2), leaf.right or Node(leaf.first + leaf.shards // 2, leaf.shards - leaf.shards // 2)
+        leaf.dim, leaf.last = cuts.get(leaf.first, 0), last.get(leaf.first, 0)
+    return found
 
 
-def _rows(like: DataFrame, names: str, rows: list[tuple]) -> DataFrame:
-    """A small literal table; it has a row for each node of a level at most, so it is safe to broadcast."""
-    value = lambda v: f"{v}L" if isinstance(v, int) and abs(v) >= 2**31 else f"{v}D" if isinstance(v, float) else str(v)
-    body = ", ".join(f"({', '.join(map(value, r))})" for r in rows)
-    return like.sparkSession.sql(f"SELECT * FROM VALUES {body} AS t({names})")
-
+def kd_shards(
+    docs: DataFrame, shards: int, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text",
+    labels: tuple[str, ...] = ("lang", "source"),
+) -> DataFrame:
+    """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-def _medians(points: DataFrame, open_nodes: dict[int, int], whole: list[int]) -> dict[int, tuple[int, int]]:
-    """For each open node its widest dimension and the last key of its left part: k//2 of k shards' bytes."""
-    boxes = points.where(F.col("node").isin(list(open_nodes))).groupBy("node").agg(
-        F.sum("size").alias("bytes"),
-        *(f(F.col("at")[i]).alias(f"{n}{i}") for i in range(len(whole)) for n, f in (("lo", F.min), ("hi", F.max))),
+    The law is ``bytes``: sizes (UTF-8 bytes of the text plus ``overhead``) are near equal over the shards. A node
+    that stands for k > 1 shards is split along its widest dimension, in proportion k//2 to the rest, at the
+    weighted median; the dimensions are size, id and each label column (by hash), each scaled by its range in
+    the whole table. Medians are exact and distributed: histograms of all nodes of a level at once, narrowed
+    until one key is left. The tree is data on the driver (a node for each shard) and one expression of nested
+    comparisons in the plan. Only a narrow table (id, size, checksum, coordinates) is read by the passes; the
+    texts are read once.
+
+    Equal texts are one point and stay in one shard as long as they have at most WHOLE of a shard's bytes; a larger
+    group can be split anywhere. So a label, source or group of copies that holds a third of all rows
+    is split like any other, and shards differ by little more than WHOLE plus the largest text.
+
+    Slots count from 0 without gaps within a shard; they are given in parts of about SLOT_ROWS rows, placed by
+    the counts of the parts. Null text has no bytes; null ids and labels are values of their own; rows that repeat
+    an id stay separate rows. ``grown_shard`` is null under this law. An empty table gives an empty result.
+    """
+    points, dims = coordinates(docs, shards, overhead, id_col, text_col, labels)
+    ends = [f(f"at{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    box = points.agg(F.count("*").alias("n"), *ends).first()
+    whole = [max(1, (box[f"hi{i}"] or 0) - (box[f"lo{i}"] or 0)) for i in range(dims)]
+    root = Node(0, shards)
+    while split_level(points, root, dims, whole):
+        pass
+    parts = 1 + box["n"] // (shards * SLOT_ROWS)
+    placed = points.select("doc_id", "size", "text_crc32", root.shard().alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(8 * parts)).cast("int").alias("part"))
+    by_shard = Window.partitionBy("shard").orderBy("part")  # a row a part
+    starts = placed.groupBy("shard", "part").count().select("shard", "part", (F.sum("count").over(by_shard) - F.col("count")).alias("start"))
+    in_part = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
+    return placed.withColumn("n", F.row_number().over(in_part)).join(starts, ["shard", "part"]).select(
+        shown_id(), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        (F.col("start") + F.col("n") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
-    state = {}
-    for r in boxes.collect():  # a row for each node of a level
-        dim = max(range(len(whole)), key=lambda i: ((r[f"hi{i}"] - r[f"lo{i}"]) / whole[i], -i))
-        k = open_nodes[r["node"]]
-        state[r["node"]] = [dim, r[f"lo{dim}"], r[f"hi{dim}"] - r[f"lo{dim}"] + 1, r["bytes"] * (k // 2) / k, r["bytes"]]
-    for _ in range(ROUNDS if state else 0):
-        step = {n: max(1, -(-s[2] >> DIGIT_BITS)) for n, s in state.items()}
-        asked = _rows(points, "node, dim, lo, width, step, goal", [(n, s[0], s[1], s[2], step[n], float(s[3])) for n, s in state.items()])
-        key = F.col("at")[F.col("dim")]
-        inside = points.join(F.broadcast(asked), "node").where((key >= F.col("lo")) & (key < F.col("lo") + F.col("width")))
-        bucket = F.expr("(at[dim] - lo) div step")
-        bars = inside.groupBy("node", "goal", bucket.alias("bucket")).agg(F.sum("size").alias("bytes"))
-        # at most 2**DIGIT_BITS rows a node
-        bars = bars.withColumn("before", F.sum("bytes").over(Window.partitionBy("node").orderBy("bucket")) - F.col("bytes"))
-        found = bars.where("before <= goal").groupBy("node").agg(F.max(F.struct("bucket", "before", "bytes")).alias("b"))
-        for r in found.collect():  # the last bucket of each node that begins at or below the goal
-            s, b = state[r["node"]], r["b"]
-            s[1], s[2], s[3], s[4] = s[1] + b["bucket"] * step[r["node"]], step[r["node"]], s[3] - b["before"], b["bytes"]
-    # what is left in the last bucket goes to the side that comes nearer to the goal
-    return {n: (s[0], s[1] + s[2] - 1 if s[3] * 2 > s[4] else s[1] - 1) for n, s in state.items()}
 
 
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
