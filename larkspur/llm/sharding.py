@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,11 +34,15 @@ class Node:
     def leaves(self) -> list[Node]:
         return [self] if self.dim is None else self.left.leaves() + self.right.leaves()
 
-    def shard(self) -> Column:
-        """The first shard of the leaf that a row falls into: nested comparisons, as deep as the tree."""
+    def pick(self, of: Callable[[Node], Column]) -> Column:
+        """``of`` the leaf that a row falls into: nested comparisons, as deep as the tree, over stored columns only."""
         if self.dim is None:
-            return F.lit(self.first)
-        return F.when(F.col(f"at{self.dim}") <= self.last, self.left.shard()).otherwise(self.right.shard())
+            return of(self)
+        return F.when(F.col(f"at{self.dim}") <= self.last, self.left.pick(of)).otherwise(self.right.pick(of))
+
+    def shard(self) -> Column:
+        """The first shard of that leaf."""
+        return self.pick(lambda leaf: F.lit(leaf.first))
 
 
 def coordinates(docs: DataFrame, shards: int, overhead: int, id_col: str, text_col: str, labels: tuple[str, ...]) -> tuple[DataFrame, int]:
@@ -85,30 +90,37 @@ def split_level(points: DataFrame, root: Node, dims: int, whole: list[int]) -> b
     open_nodes = {leaf.first: leaf for leaf in root.leaves() if leaf.shards > 1}
     if not open_nodes:
         return False
-    inside = points.withColumn("node", root.shard()).where(F.col("node").isin(*open_nodes))
     ends = [f(f"at{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
-    state, last = {}, {}
-    for r in inside.groupBy("node").agg(F.sum("size").alias("bytes"), *ends).collect():
-        dim = max(range(dims), key=lambda i: ((r[f"hi{i}"] - r[f"lo{i}"]) / whole[i], -i))
-        leaf = open_nodes[r["node"]]
-        leaf.left, leaf.right = Node(leaf.first, leaf.shards // 2), Node(leaf.first + leaf.shards // 2, leaf.shards - leaf.shards // 2)
-        # dimension, least and largest key that the median may have, bytes that go left less those before the least key
-        state[r["node"]] = dim, r[f"lo{dim}"], r[f"hi{dim}"], r["bytes"] * (leaf.shards // 2) / leaf.shards
+    state, last, cuts = {}, {}, {}
+    for r in points.groupBy(root.shard().alias("node")).agg(F.sum("size").alias("bytes"), *ends).collect():
+        if (leaf := open_nodes.get(r["node"])) is not None:
+            dim = cuts[r["node"]] = max(range(dims), key=lambda i: ((r[f"hi{i}"] - r[f"lo{i}"]) / whole[i], -i))
+            # dimension, least and largest key that the median may have, bytes that go left less those before the least key
+            state[r["node"]] = dim, r[f"lo{dim}"], r[f"hi{dim}"], r["bytes"] * (leaf.shards // 2) / leaf.shards
     found = bool(state)
-    cuts = {n: s[0] for n, s in state.items()}
     while state:
-        case = lambda of: F.coalesce(*(F.when(F.col("node") == n, of(s)) for n, s in state.items()))  # noqa: B023, E731
-        key = case(lambda s: F.col(f"at{s[0]}"))
-        bucket = case(lambda s: F.when(F.col("key").between(s[1], s[2]), F.floor((F.col("key") - s[1]) / ((s[2] - s[1]) // BUCKETS + 1))))
-        bars = inside.withColumn("key", key).withColumn("bucket", bucket).where("bucket IS NOT NULL").groupBy("node", "bucket").agg(
-            F.sum("size").alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi")
-        )
+        none, now = F.lit(None).cast("long"), dict(state)
+
+        def key(leaf: Node) -> Column:
+            return F.col(f"at{now[leaf.first][0]}") if leaf.first in now else none  # noqa: B023
+
+        def bucket(leaf: Node) -> Column:
+            if leaf.first not in now:  # noqa: B023
+                return none
+            _, lo, hi, _ = now[leaf.first]  # noqa: B023
+            return F.when(key(leaf).between(lo, hi), F.floor((key(leaf) - lo) / ((hi - lo) // BUCKETS + 1)))  # noqa: B023
+
+        inside = points.select(root.shard().alias("node"), root.pick(bucket).alias("bucket"), root.pick(key).alias("key"), "size")
+        bars = inside.groupBy("node", "bucket").agg(F.sum("size").alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         after = {}
-        rows = sorted(bars.collect(), key=lambda r: (r["node"], r["bucket"]))  # BUCKETS rows a node at most
+        told: dict[int, list] = {n: [] for n in state}
+        for r in bars.collect():  # BUCKETS rows a node and one for what lies outside
+            if r["bucket"] is not None:
+                told[r["node"]].append(r)
         for n, (dim, _, _, goal) in state.items():
-            before = 0
-            for r in (r for r in rows if r["node"] == n):
-                if before + r["bytes"] > goal or r["hi"] == max(q["hi"] for q in rows if q["node"] == n):
+            before, rows = 0, sorted(told[n], key=lambda r: r["bucket"])
+            for r in rows:
+                if before + r["bytes"] > goal or r is rows[-1]:
                     break
                 before += r["bytes"]
             if r["lo"] == r["hi"]:  # one key: it goes to the side that comes nearer to the goal
@@ -117,7 +129,7 @@ def split_level(points: DataFrame, root: Node, dims: int, whole: list[int]) -> b
                 after[n] = dim, r["lo"], r["hi"], goal - before
         state = after
     for leaf in open_nodes.values():  # a node without rows is split as well, so that the tree has all shards
-        leaf.left, leaf.right = leaf.left or Node(leaf.first, leaf.shards // 2), leaf.right or Node(leaf.first + leaf.shards // 2, leaf.shards - leaf.shards // 2)
+        leaf.left, leaf.right = Node(leaf.first, leaf.shards // 2), Node(leaf.first + leaf.shards // 2, leaf.shards - leaf.shards // 2)
         leaf.dim, leaf.last = cuts.get(leaf.first, 0), last.get(leaf.first, 0)
     return found
 
