@@ -6,15 +6,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import NULL_ID, SLICE_BYTES, connected_components, cut, drop_table, id_text, mix64, random_words, read, shown_id, slices, text_bytes
 from .words import span_hashes, word_spans
 
 _SALT = random_words(201, 64)
-#: Token groups of a count vector, and points under one leaf box of the tree.
+#: Token groups of a count vector, and points or boxes under one box of the tree.
 GROUPS, LEAF = 32, 16
 #: Shingles of one block of a candidate cluster.
 BLOCK_SHINGLES = 250_000
@@ -95,39 +94,65 @@ def fold(vector: np.ndarray, groups: int) -> np.ndarray:
     return vector.reshape(-1, groups).sum(axis=0, dtype=np.int64)
 
 
+class CountTree:
+    """An R-tree of count vectors: boxes of up to LEAF neighbouring points, boxes of up to LEAF boxes, up to the root.
+
+    Points lie in the order of sizes, then of their first counts. The summed minima of two vectors bound the overlap of
+    their sets, those of a vector and a box's upper corner the overlap with any set in the box.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
+        self.order = np.lexsort((points[:, 1], points[:, 0], sizes))
+        self.points, self.sizes = points[self.order], sizes[self.order]
+        self.levels, corner, least, most = [], self.points, self.sizes, self.sizes
+        while len(corner) > LEAF:
+            at = np.arange(0, len(corner), LEAF)
+            corner, least, most = np.maximum.reduceat(corner, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
+            self.levels.append((corner, least, most))
+
+    def before(self, k: int, num: int, den: int) -> np.ndarray:
+        """Places before k, in order, of points that may link with that at k: overlap * (num + den) >= num * (n + m)."""
+        point, n = self.points[k], int(self.sizes[k])
+        floor = -(-n * num // den)  # smaller sets cannot link
+        some = np.arange(len(self.levels[-1][0]) if self.levels else k)
+        for level in range(len(self.levels) - 1, -1, -1):
+            corner, least, most = (x[some] for x in self.levels[level])
+            bound = np.minimum(corner, point).sum(axis=1)
+            open_boxes = (bound * (num + den) >= num * (n + np.maximum(least, floor))) & (least <= n) & (most >= floor)
+            some = (some[open_boxes][:, None] * LEAF + np.arange(LEAF)).ravel()
+            some = some[some < (len(self.levels[level - 1][0]) if level else k)]
+        bound = np.minimum(self.points[some], point).sum(axis=1)
+        return some[(self.sizes[some] >= floor) & (bound * (num + den) >= num * (n + self.sizes[some]))]
+
+
 def close_pairs(ids: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose summed minima of counts let their sets link."""
-    order = np.argsort(sizes, kind="stable")
-    ids, sizes, vectors = ids[order], sizes[order], [vectors[i] for i in order]
+    """A spanning forest of the pairs whose summed minima of counts let their sets link; the tree holds vectors folded
+    to the size of the shortest, pairs are judged on those of the shorter of the two."""
     coarse = min(map(len, vectors))
-    points, root, out = np.array([fold(v, coarse) for v in vectors]), np.arange(len(ids)), []
-    for i in range(1, len(ids)):
-        n = int(sizes[i])
-        first = int(np.searchsorted(sizes, -(-n * num // den)))  # smaller sets cannot link
-        bound = np.minimum(points[first:i], points[i]).sum(axis=1)
-        for j in (first + np.flatnonzero(bound * (num + den) >= num * (n + sizes[first:i]))).tolist():
+    tree = CountTree(np.array([fold(v, coarse) for v in vectors]), sizes)
+    root, out = np.arange(len(ids)), []
+    for k in range(1, len(ids)):
+        i = tree.order[k]
+        for j in tree.order[tree.before(k, num, den)].tolist():
             if root[i] == root[j]:
                 continue
             g = min(len(vectors[i]), len(vectors[j]))
-            if int(np.minimum(fold(vectors[i], g), fold(vectors[j], g)).sum()) * (num + den) >= num * (n + int(sizes[j])):
+            if g == coarse or int(np.minimum(fold(vectors[i], g), fold(vectors[j], g)).sum()) * (num + den) >= num * int(sizes[i] + sizes[j]):
                 root[root == root[i]] = root[j]
                 out.append((int(ids[i]), int(ids[j])))
     return out
 
 
 def linked_pairs(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``sets``.
-
-    Count vectors (shingles in each of GROUPS hash groups) are packed into an R-tree of leaf boxes. The summed
-    minima of two vectors bound the overlap of their sets, those of a vector and a box's upper corner the overlap
-    with any set in it. Pairs that pass both and are not yet connected are verified on the sets themselves.
-    """
+    """A spanning forest of the links among ``sets``: pairs that a tree of their counts in GROUPS hash groups lets
+    through, and that are not yet connected, are verified on the sets themselves."""
     sizes = np.array([len(s) for s in sets])
-    counts = np.zeros((len(sets), GROUPS), np.int32)
-    for i, s in enumerate(sets):
-        counts[i] = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    order = np.lexsort((counts[:, 1], counts[:, 0], sizes))  # packs like points under one box
-    root = np.arange(len(sets))
+    some = np.flatnonzero(sizes)
+    counts = np.zeros((len(some), GROUPS), np.int32)
+    for row, i in enumerate(some):
+        counts[row] = np.bincount((sets[i] & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    tree, root, out = CountTree(counts, sizes[some]), np.arange(len(sets)), []
+    order = some[tree.order]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -135,28 +160,13 @@ def linked_pairs(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
             i = root[i]
         return i
 
-    out = []
-    boxes = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-    corners = np.array([counts[b].max(axis=0) for b in boxes])
-    least, most = np.array([sizes[b].min() for b in boxes]), np.array([sizes[b].max() for b in boxes])
-    for i in order.tolist():
+    for k, i in enumerate(order.tolist()):
         n = int(sizes[i])
-        if not n:
-            continue
-        # overlap / union >= num / den  <=>  overlap * (num + den) >= num * (n + m); smaller partners were met before
-        bound = np.minimum(corners, counts[i]).sum(axis=1)
-        near = (bound * (num + den) >= num * (n + np.maximum(least, -(-n * num // den)))) & (least <= n) & (most * den >= n * num)
-        if not near.any():
-            continue
-        js = np.concatenate([boxes[k] for k in np.flatnonzero(near)])
-        js = js[(sizes[js] <= n) & (js != i)]
-        bound = np.minimum(counts[js], counts[i]).sum(axis=1)
-        js = js[(sizes[js] > 0) & (bound * (num + den) >= num * (n + sizes[js]))]
-        for j in js.tolist():
+        for j in order[tree.before(k, num, den)].tolist():
             a, b = find(i), find(j)
             if a == b:
                 continue
-            both = int(np.isin(sets[i], sets[j], assume_unique=True).sum()) if n * 20 < sizes[j] else len(
+            both = int(np.isin(sets[j], sets[i], assume_unique=True).sum()) if sizes[j] * 20 < n else len(
                 np.intersect1d(sets[i], sets[j], assume_unique=True))
             if both * (num + den) >= num * (n + int(sizes[j])):
                 root[max(a, b)] = min(a, b)
@@ -206,7 +216,7 @@ def jaccard_components(
     two blocks at most, so a hot cluster is many tasks, none of them large. Within a task a count-vector R-tree
     finds the pairs to verify, and only a spanning forest of the verified links leaves it: no link between
     components is lost, and no group is written out as pairs. Equal sets are joined by their 128-bit hash, and
-    only the first of a slice takes part in the rest. Every step up to the verification is exact; shingles
+    only one of them takes part in the rest. Every step up to the verification is exact; shingles
     are told apart by 64-bit hashes.
 
     Rows that repeat an id are one node; a null id is a node of its own, shown as null. Extra columns are ignored.
@@ -236,9 +246,14 @@ def jaccard_components(
 
     scanned = cut(rows.mapInArrow(scan, "doc_id long, n_shingles long, set1 long, set2 long, counts binary, keys array<long>"))
     nodes = cut(scanned.drop("keys"))
+    heads = cut(
+        nodes.where("n_shingles > 0").groupBy("set1", "set2", "n_shingles")
+        .agg(F.min("doc_id").alias("head"), F.min(F.when(F.length("counts") > 0, F.col("doc_id"))).alias("keeper"))
+    )
     w = Window.partitionBy("key")
     met = cut(
-        scanned.select("doc_id", F.explode("keys").alias("key"))
+        scanned.join(heads.select(F.col("keeper").alias("doc_id")), "doc_id", "left_semi")
+        .select("doc_id", F.explode("keys").alias("key"))
         .select(
             "doc_id", "key", F.count("*").over(w).alias("size"), F.min("doc_id").over(w).alias("least"),
             F.sum(F.shiftrightunsigned(F.xxhash64("doc_id"), 33)).over(w).alias("sum"),
@@ -290,7 +305,6 @@ def jaccard_components(
         return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.int64()), "b": pa.array([ids[j] for _, j in pairs], pa.int64())})
 
     links = dealt.groupBy("root", "low", "high").applyInArrow(verify, "a long, b long")
-    heads = nodes.where("n_shingles > 0").groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("head"))
     equal = nodes.join(heads, ["set1", "set2", "n_shingles"]).where("doc_id <> head").select("doc_id", "head")
     found = connected_components(links.union(equal.toDF("a", "b")))
     return nodes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
