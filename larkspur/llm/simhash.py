@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, read, shown_id
+from .common import NULL_ID, cut, id_text, read, shown_id
 
 BITS = 128
 #: Every 16th bit of a hash is a lane of one long; a lane holds the votes of one bit for up to SEGMENT terms.
@@ -62,74 +62,106 @@ def likeness(d: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), 1 - 2 * d / BITS), 6)
 
 
-def neighbours(queries: DataFrame, fps: DataFrame, radius: int = 7, blocks: int = 8) -> DataFrame:
-    """(doc_id, near_id, distance) for all rows of ``fps`` within ``radius`` bits of each of ``queries``.
+def blocks_of(blocks: int) -> list[Column]:
+    """The 128 bits of fp0, fp1 cut into that many runs of neighbouring bits, each as a long."""
+    ends = [BITS * i // blocks for i in range(blocks + 1)]
 
-    Both have doc_id, fp0, fp1. The 128 bits are cut into blocks; fingerprints within the radius agree on at least
-    blocks - radius of them, so one table for each choice of that many blocks finds them all. Equal fingerprints
-    are one row of a table, so a group of copies meets a query once and is spread only when results are written.
+    def bits(a: int, b: int) -> Column:  # within one half
+        part = F.shiftrightunsigned(F.col(f"fp{a // 64}"), a % 64)
+        return part if b - a == 64 else part.bitwiseAND(F.lit((1 << (b - a)) - 1))
+
+    def block(a: int, b: int) -> Column:
+        if a // 64 == (b - 1) // 64:
+            return bits(a, b)
+        return F.shiftleft(bits(64, b), 64 - a).bitwiseOR(bits(a, 64))
+
+    return [block(a, b) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def neighbours(queries: DataFrame, classes: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """(q0, q1, fp0, fp1, distance): all fingerprints of ``classes`` within ``radius`` bits of those of ``queries``.
+
+    Both have distinct fp0, fp1, so a group of copies is one row. The 128 bits are cut into blocks; fingerprints
+    within the radius agree on at least blocks - radius of them, so one table for each choice of that many blocks
+    finds them all. With the standard values that is four tables with keys of 32 bits.
     """
-    width = BITS // blocks
-    part = lambda i: F.expr(f"shiftrightunsigned(fp{i * width // 64}, {i * width % 64})").bitwiseAND(F.lit((1 << width) - 1))
-    choices = list(combinations(range(blocks), max(1, blocks - radius)))
-    tables = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.concat_ws(",", *(part(i).cast("string") for i in c)).alias("key")) for k, c in enumerate(choices))))
-    distinct = fps.select("fp0", "fp1").distinct().select("fp0", "fp1", tables.alias("k"))
-    asked = queries.select("fp0", "fp1").distinct().select(F.col("fp0").alias("q0"), F.col("fp1").alias("q1"), tables.alias("k"))
+    if not radius < blocks <= BITS // 2:
+        raise ValueError("there must be more blocks than bits in the radius")
+    parts = blocks_of(blocks)
+    choices = list(combinations(range(blocks), blocks - radius))
+    tables = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.array(*(parts[i] for i in c)).alias("key")) for k, c in enumerate(choices))))
+    held = classes.select("fp0", "fp1", tables.alias("k"))
+    asked = queries.select("fp0", "fp1", tables.alias("k")).select(F.col("fp0").alias("q0"), F.col("fp1").alias("q1"), "k")
     d = distance(("q0", "q1"), ("fp0", "fp1"))
-    near = asked.join(distinct, "k").where(d <= radius).select("q0", "q1", "fp0", "fp1", d.alias("distance")).distinct()
-    who = queries.select("doc_id", F.col("fp0").alias("q0"), F.col("fp1").alias("q1"))
-    return near.join(who, ["q0", "q1"]).join(fps.withColumnRenamed("doc_id", "near_id"), ["fp0", "fp1"]).where("doc_id <> near_id").select("doc_id", "near_id", "distance")
+    return asked.join(held, "k").where(d <= radius).select("q0", "q1", "fp0", "fp1", d.alias("distance")).distinct()
 
 
-def edited_pairs(rows: DataFrame, parts: int) -> DataFrame:
-    """doc_id, rn, next_doc, next_rn, text, edited: the last quarter replaced by the beginning of the next document.
+def next_documents(rows: DataFrame) -> DataFrame:
+    """(doc_id, tag, n_chars, times, next_doc, next_tag) for each distinct (doc_id, tag); behind the last comes the first.
 
-    Documents are dealt by ranges of ids (quantiles of all ids, ``parts`` of them), and the first document of each
-    range is also put at the end of the range before it, so that each finds the next one within its own range;
-    the last range gets the first document of all. Texts are shuffled once.
+    Only ids, tags and sizes are dealt by ranges and sorted; each range finds the next document within itself, its
+    last one the head of the next range. The number of ranges is that of shuffle partitions.
     """
-    marks = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    marks = sorted(set(marks))
-    bucket = F.size(F.filter(F.array(*(F.lit(m) for m in marks)).cast("array<long>"), lambda m: m < F.col("doc_id")))
-    rows = rows.withColumn("bucket", bucket)
-    firsts = {r["bucket"]: r["m"] for r in rows.groupBy("bucket").agg(F.min("doc_id").alias("m")).collect()}  # a row for each range
-    used = sorted(firsts)
-    before = {firsts[b]: used[i - 1] for i, b in enumerate(used)}
-    tail = rows.where(F.col("doc_id").isin(list(before))) if before else rows.limit(0)
-    # of rows that repeat an id the first text stands for the beginning of a range
-    tail = tail.groupBy("doc_id").agg(F.min("text").alias("text"))
-    to = F.coalesce(*(F.when(F.col("doc_id") == d, b) for d, b in before.items()), F.lit(0))
-    both = rows.withColumn("extra", F.lit(0)).unionByName(tail.withColumn("bucket", to).withColumn("extra", F.lit(1)))
-    order = Window.partitionBy("bucket").orderBy("extra", "doc_id", "text")
-    both = both.withColumn("rn", F.row_number().over(order)).withColumn("next_doc", F.lead("doc_id").over(order)).withColumn("next", F.lead("text").over(order))
-    out = both.where("extra = 0")
-    n = F.length("text")
-    quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next"), F.lit(1), quarter))
-    return out.select("bucket", "rn", "doc_id", "next_doc", "text", edited.alias("edited"))
-
-
-def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 64) -> DataFrame:
-    """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
-
-    Null text counts as empty. The next document is the one with the next larger id (rows that repeat an id come
-    in the order of their texts); a single document is its own next. A null id sorts first and is shown as null.
+    ids = rows.groupBy("doc_id", "tag").agg(F.max(F.length("text")).cast("long").alias("n_chars"), F.count("*").alias("times"))
+    ranged = cut(ids.repartitionByRange("doc_id", "tag").select("*", F.spark_partition_id().alias("range")))
+    here = F.struct("doc_id", "tag")
+    heads = ranged.groupBy("range").agg(F.min(here).alias("head"))  # a row a range
+    over = Window.orderBy("range")
+    first = F.first("head").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select("range", F.coalesce(F.lead("head").over(over), first).alias("after"))
+    own = F.lead(here).over(Window.partitionBy("range").orderBy("doc_id", "tag"))
+    chain = ranged.withColumn("own", own).join(F.broadcast(heads), "range").withColumn("next", F.coalesce("own", "after"))
+    return chain.select("doc_id", "tag", "n_chars", "times", F.col("next.doc_id").alias("next_doc"), F.col("next.tag").alias("next_tag"))
+
+
+def edited_pairs(rows: DataFrame, chain: DataFrame) -> DataFrame:
+    """doc_id, tag, text, edited: the last quarter replaced by the beginning of the next document.
+
+    Each document lends the document before it as many characters as that needs, so whole texts are shuffled once
+    and what is lent once more.
+    """
+    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    asked = chain.select(F.col("next_doc").alias("doc_id"), F.col("next_tag").alias("tag"), F.col("doc_id").alias("to_doc"), F.col("tag").alias("to_tag"), quarter.alias("quarter"))
+    lent = rows.join(asked.hint("merge"), ["doc_id", "tag"]).select(F.col("to_doc").alias("doc_id"), F.col("to_tag").alias("tag"), "quarter", F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("lent"))
+    lent = lent.groupBy("doc_id", "tag", "quarter").agg(F.max("lent").alias("lent"))  # of rows that repeat, one
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("quarter")), F.col("lent"))
+    return rows.join(lent.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", edited.alias("edited"))
+
+
+def simhash_report(docs: DataFrame, asked: Column, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    n_near, near_least.
+
+    Where ``asked`` holds of the doc_id, n_near is how many other rows have a fingerprint within ``radius`` bits and near_least
+    the smallest id among them and itself (see ``neighbours``); elsewhere both are null.
+
+    Null text counts as empty. The next document is the one with the next larger id; rows that repeat an id come
+    in the order of a hash of their texts, and rows that repeat both are one document with a row for each. A single
+    document is its own next. A null id sorts first, is shown as null and is not asked for. An empty table gives an
+    empty result.
     """
-    pairs = edited_pairs(id_text(docs, id_col, text_col), parts)
-    keys = ["bucket", "rn", "doc_id", "next_doc", "n_chars", "edited_sha256"]
-    made = pairs.select("bucket", "rn", "doc_id", "next_doc", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                        F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t"))
+    rows = id_text(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
+    chain = cut(next_documents(rows))
+    both = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))
+    keys = ["doc_id", "tag", "edited_sha256"]
+    made = edited_pairs(rows, chain).select("doc_id", "tag", F.sha2("edited", 256).alias("edited_sha256"), F.explode(both).alias("t"))
     fps = fingerprints(made.select(*keys, "t.which", "t.text"), [*keys, "which"])
     pick = lambda w, c: F.max(F.when(F.col("which") == w, F.col(c)))
-    rows = fps.groupBy(*keys).agg(*(pick(w, f"fp{h}").alias(f"{'fe'[w]}{h}") for w in (0, 1) for h in (0, 1)))
-    # of rows that repeat an id the first of them is the next one
-    heads = rows.groupBy("doc_id").agg(F.min_by(F.struct("f0", "f1"), F.struct("bucket", "rn")).alias("g"))
-    heads = heads.select(F.col("doc_id").alias("next_doc"), F.col("g.f0").alias("n0"), F.col("g.f1").alias("n1"))
-    return rows.join(heads.hint("merge"), "next_doc").select(
-        shown_id(), "n_chars", "edited_sha256", hex_of("f0", "f1").alias("fingerprint"), hex_of("e0", "e1").alias("edited_fingerprint"),
-        likeness(distance(("f0", "f1"), ("e0", "e1"))).alias("near_edited"), likeness(distance(("f0", "f1"), ("n0", "n1"))).alias("near_next"),
-    )
+    found = cut(fps.groupBy(*keys).agg(*(pick(w, f"fp{h}").alias(f"{'fe'[w]}p{h}") for w in (0, 1) for h in (0, 1))))
+    nexts = found.select(F.col("doc_id").alias("next_doc"), F.col("tag").alias("next_tag"), F.col("fp0").alias("n0"), F.col("fp1").alias("n1"))
+    whole = found.join(chain, ["doc_id", "tag"]).join(nexts, ["next_doc", "next_tag"])
+    whole = whole.withColumn("asked", F.coalesce(asked & (F.col("doc_id") != NULL_ID), F.lit(False)))
+    classes = whole.groupBy("fp0", "fp1").agg(F.sum("times").alias("n"), F.min("doc_id").alias("least"), F.max("asked").alias("asked"))
+    near = neighbours(classes.where("asked"), classes, radius, radius + 1).join(classes, ["fp0", "fp1"])
+    near = near.groupBy("q0", "q1").agg((F.sum("n") - 1).alias("n_near"), F.min("least").alias("near_least")).withColumnsRenamed({"q0": "fp0", "q1": "fp1"})
+    none = whole.where("NOT asked").withColumns({c: F.lit(None).cast("long") for c in ("n_near", "near_least")})
+    out = none.unionByName(whole.where("asked").join(near, ["fp0", "fp1"]))
+    return out.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select(
+        shown_id(), "n_chars", "edited_sha256", hex_of("fp0", "fp1").alias("fingerprint"), hex_of("ep0", "ep1").alias("edited_fingerprint"),
+        likeness(distance(("fp0", "fp1"), ("ep0", "ep1"))).alias("near_edited"), likeness(distance(("fp0", "fp1"), ("n0", "n1"))).alias("near_next"),
+        "n_near", shown_id("near_least"),
+    )
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_report(read(spark, sf_dir, "documents"))
+    return simhash_report(read(spark, sf_dir, "documents"), asked=F.col("doc_id") % 50 == 0)
