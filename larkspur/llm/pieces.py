@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -17,6 +18,8 @@ from .words import CachedEncoder
 MARK = "▁".encode()
 #: What an unknown character scores below the least piece.
 UNKNOWN_PENALTY = 10.0
+#: Bytes from which on a word is segmented by itself, and bytes of it whose pieces are held at a time.
+LONG, BLOCK = 1024, 1 << 18
 
 
 def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -27,10 +30,11 @@ def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.n
         for b in key:
             node = node.setdefault(b, {})
         node[-1] = v
-    size = 1 << 20
-    base, check, value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+    base, check, value = (np.full(1 << 16, v, np.int64) for v in (0, -1, -1))
     check[0], low, start, top, todo = 0, 257, 257, 0, [(0, tree)]
     while todo:
+        if max(start, top) + 600 > len(check):  # room for the tries below and for a node at the end
+            base, check, value = (np.concatenate([a, np.full(len(a), v, np.int64)]) for a, v in ((base, 0), (check, -1), (value, -1)))
         s, node = todo.pop()
         value[s] = node.get(-1, -1)
         kids = sorted(b for b in node if b >= 0)
@@ -55,6 +59,7 @@ def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.n
         check[[at + b for b in kids]] = s
         todo += [(at + b, node[b]) for b in kids]
     end = int(np.flatnonzero(check >= 0)[-1]) + 257
+    base, check, value = (np.concatenate([a, np.full(257, v, np.int64)]) for a, v in ((base, 0), (check, -1), (value, -1)))
     return base[:end].copy(), check[:end].copy(), value[:end].copy()
 
 
@@ -95,7 +100,10 @@ class PieceEncoder(CachedEncoder):
     def encode_new(self, words: list[bytes]) -> list[list[int]]:
         sizes = np.array([*map(len, words)])
         out: list = [None] * len(words)
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            out[i] = self._long(words[i])
         order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] <= LONG]
         at = 0
         while at < len(order):  # words of like length share a matrix of about a megabyte
             to = min(len(order), at + max(1, (1 << 20) // int(sizes[order[at]] + 16)))
@@ -150,6 +158,43 @@ class PieceEncoder(CachedEncoder):
             out.append(ids[::-1])
         return out
 
+    def _long(self, word: bytes) -> list[int]:
+        """The same for one long word: the pieces at all places of a block at once, then one pass over them."""
+        data, n = np.frombuffer(word, np.uint8).astype(np.int64), len(word)
+        best, came, by = array("d", [-np.inf]) * (n + 1), array("q", [0]) * (n + 1), array("q", [-1]) * (n + 1)
+        best[0] = 0.0
+        for a in range(0, n, BLOCK):
+            lead = data[a : a + BLOCK]
+            here = a + np.flatnonzero((lead & 0xC0) != 0x80)
+            chars = np.where(data[here] < 128, 1, np.where(data[here] < 224, 2, np.where(data[here] < 240, 3, 4)))
+            single = np.zeros(len(here), bool)
+            who, state, k, found = np.arange(len(here)), np.zeros(len(here), np.int64), 0, []
+            while len(who):
+                inside = here[who] + k < n
+                who, state = who[inside], state[inside]
+                there = self.base[state] + data[here[who] + k]
+                ok = self.check[there] == state
+                who, state, k = who[ok], there[ok], k + 1
+                hit = self.value[state] >= 0
+                single[who[hit][chars[who[hit]] == k]] = True
+                found.append((who[hit], np.full(int(hit.sum()), k), self.value[state[hit]]))
+            odd = np.flatnonzero(~single)
+            found.append((odd, chars[odd], np.full(len(odd), -1)))
+            place, size, piece = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((piece < 0, place))  # of one place, shorter pieces first and the unknown one last
+            place, size, piece = here[place[order]], size[order], piece[order]
+            worth = np.where(piece >= 0, self.scores[piece], self.unknown)
+            for i, to, p, w in zip(place.tolist(), (place + size).tolist(), piece.tolist(), worth.tolist(), strict=True):
+                if best[i] + w > best[to]:
+                    best[to], came[to], by[to] = best[i] + w, i, p
+        ids: list[int] = []
+        m = n
+        while m:
+            a, p = came[m], by[m]
+            ids += [p] if p >= 0 else self.byte[np.frombuffer(word[a:m], np.uint8)][::-1].tolist()
+            m = a
+        return ids[::-1]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids: marks become spaces, bytes bytes; the space that was put before the text goes."""
         size = self.shown_at[ids + 1] - self.shown_at[ids]

@@ -89,6 +89,6 @@ class CachedEncoder:
         out = self.ids[np.repeat(word_at[place] - upto[:-1], each) + np.arange(int(upto[-1]))]
         if len(hashes) < self.remember:
             self.used += total
-            order = np.argsort(np.concatenate([hashes, words[new]]), kind="stable")
-            self.known = tuple(np.concatenate(p)[order] for p in ((hashes, words[new]), (at, fresh_at), (sizes, fresh_sizes)))
+            # both are sorted, so the new ones are put between
+            self.known = tuple(np.insert(k, found[new], v) for k, v in ((hashes, words[new]), (at, fresh_at), (sizes, fresh_sizes)))
         return out, upto[of_text]

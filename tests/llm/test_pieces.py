@@ -57,3 +57,38 @@ def test_double_array():
         return value[s]
 
     assert [find(k) for k in keys] == list(range(6)) and find(b"z") == -1 and find(b"ac") == -1
+
+
+def test_long_words_match_plain_viterbi():
+    import random
+
+    r = random.Random(4)
+    e = PieceEncoder(piece_bpe_path())
+    texts = ["".join(r.choice(["the", "and", "tion", "x", "é", "日", "ꙮ", "qz"]) for _ in range(n)) for n in (400, 2000)] + ["x" * 5000]
+    for t in texts:
+        word = (" " + t).encode()
+        got = e._long(word)
+        assert e.decode(np.array(got)).decode() == t
+        assert abs(sum(e.scores[i] for i in brute(e, t)) - sum(e.scores[i] for i in got)) < 1e-6
+        assert got == e._viterbi([word])[0]
+
+
+def test_very_long_word_is_encoded_in_time():
+    import time
+
+    e, began = PieceEncoder(piece_bpe_path()), time.time()
+    text = "aloneword" * 100_000
+    ids, _ = e.encode(*(np.frombuffer((" " + text).encode(), np.uint8), np.array([0, len(text) + 1])))
+    assert e.decode(ids.astype(np.int64)).decode() == text and time.time() - began < 60
+
+
+def test_double_array_grows():
+    keys = [bytes([a, b, c]) for a in range(1, 60) for b in range(1, 60) for c in range(1, 60, 3)]
+    base, check, value = double_array(keys, list(range(len(keys))))
+    for k in range(0, len(keys), 997):
+        s = 0
+        for b in keys[k]:
+            t = base[s] + b
+            assert check[t] == s
+            s = t
+        assert value[s] == k
