@@ -87,7 +87,7 @@ class Neighbours:
         votes = np.maximum(np.take_along_axis(near, best, axis=1), 0) ** SHARPNESS * self.weights[best]
         told = votes.sum(axis=1)
         score = ((votes * self.labels[best]).sum(axis=1) + 0.01 * self.prior) / (told + 0.01)
-        return np.where(counts.any(axis=1), score, self.prior).astype(float).round(6)
+        return np.where(counts[:, :TERMS].any(axis=1), score, self.prior).astype(float).round(6)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -113,13 +113,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows = [np.minimum(c, 65535).astype("<u2").tobytes() for c in term_counts(part.column("text"))]
+                rows = [c.astype("<u4").tobytes() for c in term_counts(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(rows)], ["doc_id", "quality", "counts"])
 
-    rows = id_text(docs).join(F.broadcast(picked), "doc_id").mapInArrow(count, "doc_id long, quality int, counts binary").collect()
+    # of rows that repeat an id one text is learnt from; what is broadcast has 2 * per_class rows at most
+    some = id_text(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = some.mapInArrow(count, "doc_id long, quality int, counts binary").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["quality"], bytes(r["counts"])))
     have = {q: sum(r["quality"] == q for r in rows) for q in sizes}
-    counts = np.array([np.frombuffer(r["counts"], "<u2") for r in rows]).reshape(-1, TERMS + 2)
+    counts = np.array([np.frombuffer(r["counts"], "<u4") for r in rows]).reshape(-1, TERMS + 2)
     return Neighbours(counts, np.array([r["quality"] for r in rows]), np.array([sizes[r["quality"]] / have[r["quality"]] for r in rows]))
 
 
@@ -135,7 +137,7 @@ def quality_scores(docs: DataFrame, model: Neighbours, threshold: float = 0.7) -
 
     The model (SAMPLE_PER_CLASS vectors a class at most) goes to every task; each slice of documents meets all of
     it in one exact block of cosine products. Nothing is shuffled. The whole text counts, never labels, language,
-    source or id. Empty, null or one-character texts get the share of label 1 among labelled documents; without
+    source or id. Texts of less than three bytes, and null, get the share of label 1 among labelled documents; without
     any label that share is 1. Repeated rows are scored each; a null id is shown as null and is not held out.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # about 1.5 MB
