@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import cut, id_text, read, shown_id, slices, text_bytes
 from .words import CachedEncoder
 
+#: Pieces that are ranked together, about, and at most eight times as many of one length.
+PART_ROWS = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words on which normalising is lower-casing alone, and characters that white space classes disagree on.
 PLAIN = re.compile("[\x00-\u024f]*")
@@ -181,7 +183,7 @@ def plan_patterns(lengths: list[int], demand: list[int], budget: int, gap: float
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, budget: int = 4096, end_id: int = 2, grain: int = 64, parts: int = 64,
+    docs: DataFrame, tokenizer_path: str, budget: int = 4096, end_id: int = 2, grain: int = 64,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -189,14 +191,15 @@ def pack(
     A document is its token ids and ``end_id``. It is cut into whole sequences, one multiple of ``grain`` and one
     rest below it, so that at most budget/grain + grain lengths occur and their histogram has a bounded size
     whatever the input. ``plan_patterns`` decides what stands in a sequence; pieces are ranked within their length
-    (in ``parts`` independent parts each, joined up by their counts) and the rank gives sequence and offset.
+    (in independent parts of about PART_ROWS rows, joined up by their counts) and the rank gives sequence and offset.
     Texts are read once and never shuffled; only pieces are.
 
     Null or empty text is ``end_id`` alone; rows that repeat an id are packed each; a null id is shown as null. An
     empty table gives an empty result. The last sequences, fewer than the lengths, may have padding.
     """
     pieces = cut(token_pieces(id_text(docs, id_col, text_col), tokenizer_path, end_id, budget, grain))
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int")
+    parts = 1 + pieces.count() // PART_ROWS
+    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(8 * parts)).cast("int")
     pieces = pieces.withColumn("part", part)
     counts = pieces.groupBy("length", "part").count()
     held = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
@@ -229,7 +232,7 @@ def pack(
     in_part = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
     ranked = (
         pieces.withColumn("n", F.row_number().over(in_part))
-        .join(F.broadcast(starts), ["length", "part"])  # lengths * parts rows at most
+        .join(starts, ["length", "part"])
         .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("n") - 1).alias("rank"))
     )
     return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long").select(
