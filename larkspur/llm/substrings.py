@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from .common import cut, id_text, mix64, random_words, read, shown_id, slices, t
 FIRST = 32
 #: Bytes of the ranks that doubling begins with.
 SECOND = 64
+#: Shares of the rank pairs that are sorted one after the other, so that disk holds one share's shuffle at a time.
+SHARES = 2
 _BYTE = random_words(301, 256), random_words(302, 256)
 _BASE = (int(random_words(303, 1)[0]) | 1, int(random_words(304, 1)[0]) | 1)
 
@@ -109,8 +112,9 @@ def sampled_runs(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(scan, "rank long, span long, span2 long, doc_id long, tag long, first long, more int, known boolean")
 
 
-def rank_pairs(rows: DataFrame, runs: DataFrame, width: int, offset: int) -> DataFrame:
-    """(rank1, rank2, doc_id, tag, at): for each start of the runs the ranks of ``width`` bytes at it and ``offset`` behind it.
+def rank_pairs(rows: DataFrame, runs: DataFrame, width: int, offset: int, share: int) -> DataFrame:
+    """(rank1, rank2, doc_id, tag, at): for each start of the runs the ranks of ``width`` bytes at it and ``offset`` behind it, of those
+    whose first rank falls into one of SHARES equal shares.
 
     Ranks are content hashes, so that a position needs no rank from another row. Where two ranks cover what is
     compared, each is mixed of both hashes.
@@ -128,7 +132,8 @@ def rank_pairs(rows: DataFrame, runs: DataFrame, width: int, offset: int) -> Dat
                 text = np.repeat(of, each)
                 here, one, two = at + offsets[text], Ranges(body, 0), Ranges(body, 1)
                 rank1 = two.of(here, here + width) ^ mix64(one.of(here, here + width))
-                here = here + offset
+                own = np.flatnonzero(rank1 % np.uint64(SHARES) == share)
+                at, text, here, rank1 = at[own], text[own], here[own] + offset, rank1[own]
                 rank2 = two.of(here, here + width) + one.of(here, here + width)
                 ids, tags = part.column("doc_id").to_numpy(), part.column("tag").to_numpy()
                 for i in range(0, len(at), 200_000):
@@ -154,12 +159,12 @@ def covered_spans(rows: DataFrame, length: int) -> DataFrame:
     spans = ranked.where("covered").select("doc_id", "tag", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("upto"))
     left, width = ranked.where("NOT covered").select("doc_id", "tag", "first", "more"), min(SECOND, length)
     while 2 * width < length:
-        doubled = rank_pairs(rows, left, width, width)
-        met = doubled.withColumn("n", F.count("*").over(Window.partitionBy("rank1", "rank2"))).where("n > 1")
-        left, width = cut(met.select("doc_id", "tag", F.col("at").alias("first"), F.lit(0).alias("more"))), 2 * width
+        by_pair = Window.partitionBy("rank1", "rank2")
+        met = (rank_pairs(rows, left, width, width, k).withColumn("n", F.count("*").over(by_pair)).where("n > 1") for k in range(SHARES))
+        left, width = reduce(DataFrame.union, [cut(m.select("doc_id", "tag", F.col("at").alias("first"), F.lit(0).alias("more"))) for m in met]), 2 * width
     by_pair = Window.partitionBy("rank1", "rank2").orderBy("doc_id", "tag", "at")
-    late = rank_pairs(rows, left, width, length - width).withColumn("n", F.rank().over(by_pair)).where("n > 1")
-    return cut(spans.union(late.select("doc_id", "tag", F.col("at").alias("start"), (F.col("at") + length).alias("upto"))))
+    late = (rank_pairs(rows, left, width, length - width, k).withColumn("n", F.rank().over(by_pair)).where("n > 1") for k in range(SHARES))
+    return reduce(DataFrame.union, [cut(x.select("doc_id", "tag", F.col("at").alias("start"), (F.col("at") + length).alias("upto"))) for x in late], spans)
 
 
 def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
