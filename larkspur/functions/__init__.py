@@ -51,10 +51,26 @@ def backoff_ms(attempt: Column, base: int, cap: int) -> Column:
     return F.least(F.lit(float(cap)), base * F.pow(F.lit(2.0), attempt - 1))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two equally long arrays; null where a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(v: Column) -> Column:
+    """A vector over its norm, as array<double>; null where that is 0."""
+    norm = F.sqrt(_dot(v, v))
+    return F.when(norm > 0, F.element_at(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: x.cast("double") / n)), 1))
+
+
+def unit_dot(a: Column, b: Column) -> Column:
+    """The cosine of two unit vectors; an error where their lengths differ."""
+    wrong = F.raise_error(F.concat(F.lit("vectors of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"), F.lit(" dimensions"))).cast("double")
+    return F.when(F.size(a) != F.size(b), wrong).otherwise(_dot(a, b))
+
+
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """Cosine of two equally long arrays; null where a norm is 0, an error where lengths differ."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    return unit_dot(unit(a), unit(b))
 
 
 def age_years(birth: Column, as_of: Column) -> Column:

@@ -2,151 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
-from operator import and_
+from . import access, flags, graph, layout, model_output, queues, reconcile, records, retrieval, timeline
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-
-def timeline_filter(
-    events: DataFrame, categories: Iterable[str] | None = None, since: str | None = None, until: str | None = None,
-    min_value: float | None = None, search: str | None = None,
-) -> DataFrame:
-    """Events that meet every parameter which is given (P01, P02, P06); the search text is literal, any case."""
-    tests: list[Column] = []
-    if categories is not None:
-        tests.append(F.col("event_type").isin(*categories))
-    if since is not None:
-        tests.append(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-    if until is not None:
-        tests.append(F.col("ts") <= F.lit(until).cast("timestamp_ntz"))
-    if min_value is not None:
-        tests.append(F.col("value") >= min_value)
-    if search is not None:
-        tests.append(F.lower("props").contains(search.lower()))
-    return events.where(reduce(and_, tests)) if tests else events
-
-
-def keyset_page(rows: DataFrame, time: str, key: str, after: tuple[str, int] | None, size: int) -> DataFrame:
-    """One page, newest first and by key within a time, after a cursor, with has_more.
-
-    The scan keeps size + 1 rows a task, so paging costs the same on every page.
-    """
-    if after is not None:
-        at = F.lit(after[0]).cast("timestamp_ntz")
-        rows = rows.where((F.col(time) < at) | ((F.col(time) == at) & (F.col(key) > after[1])))
-    some = rows.orderBy(F.col(time).desc_nulls_last(), key).limit(size + 1)
-    n = F.row_number().over(Window.orderBy(F.col(time).desc_nulls_last(), key))  # size + 1 rows
-    seen = some.withColumn("n", n).withColumn("has_more", F.count("*").over(Window.partitionBy()) > size)
-    return seen.where(F.col("n") <= size).drop("n")
-
-
-def merged_ranges(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Ranges of each key merged where one begins at most 1 after what is covered so far."""
-    order = Window.partitionBy(key).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col(start) <= before + 1, 0).otherwise(1)
-    island = rows.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(order))
-    return island.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
-
-
-def longest_value(value: str, position: str) -> Column:
-    """Aggregate: the longest non-blank string, of equal ones the first."""
-    return F.max_by(value, F.when(F.trim(value) != "", F.struct(F.length(value), -F.col(position))))
-
-
-def weighted_confidence(confidence: str, weight: Column) -> Column:
-    """Aggregate: mean confidence by weight; missing or zero confidence counts as 0.5."""
-    c = F.when(F.col(confidence).isNull() | (F.col(confidence) == 0), 0.5).otherwise(F.col(confidence))
-    return F.try_divide(F.sum(c * weight), F.sum(weight))
-
-
-def current_versions(rows: DataFrame, key: list[str], effective: str, tie: str) -> DataFrame:
-    """Adds valid_to, superseded_by and is_current: one current row for each identity key."""
-    order = Window.partitionBy(*key).orderBy(effective, tie)
-    return rows.withColumn("valid_to", F.lead(effective).over(order)).withColumn("superseded_by", F.lead(tie).over(order)).withColumn(
-        "is_current", F.col("superseded_by").isNull()
-    )
-
-
-def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row by ``order`` of each key, new rows before old ones of the same order."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    last = Window.partitionBy(*key).orderBy(F.col(order).desc_nulls_last(), F.col("_new").desc())
-    return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_new")
-
-
-def secured(rows: DataFrame, grants: DataFrame, user: int, owner: str) -> DataFrame:
-    """Rows whose owner the user may see: a semi join with the grants that hold."""
-    mine = grants.where(F.col("user") == user).select(F.col("profile").alias(owner)).distinct()
-    return rows.join(mine, owner, "left_semi")
-
-
-def fixed_window_limit(events: DataFrame, key: str, seconds: str, limit: int, window: int, tie: str) -> DataFrame:
-    """Adds ``allowed``: at most ``limit`` events of a key in a window that opens at its first event.
-
-    A window is anchored where the one before it expired, so the answer depends on all earlier events of the key:
-    an ordered fold over each key's events. Keys are independent; one key's events stand in one task.
-    """
-    schema = events.schema
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([seconds, tie])
-        opened, count, out = None, 0, []
-        for t in rows[seconds]:
-            if opened is None or t > opened + window:
-                opened, count = t, 0
-            out.append(count < limit)
-            count += out[-1]
-        return rows.assign(allowed=out)
-
-    return events.groupBy(key).applyInPandas(fold, f"{fields}, allowed boolean")
-
-
-def lexical_matches(codes: DataFrame, text: str, variants: list[str], key: str, k: int = 20) -> DataFrame:
-    """Codes by the share of variants their text contains, any case; ties by key."""
-    used = [v.strip().lower() for v in variants if v.strip()][:5]
-    if not used:
-        raise ValueError("no variant")
-    hits = sum((F.lower(text).contains(v).cast("int") for v in used), F.lit(0))
-    found = codes.select(key, hits.alias("hits")).where("hits > 0")
-    return found.select(key, "hits", (F.col("hits") / len(used)).alias("score")).orderBy(F.desc("hits"), key).limit(k)
-
-
-def selected_candidates(rows: DataFrame, query: str, position: str, score: str) -> DataFrame:
-    """The candidate list of each query cut to size (V06); cuts follow ``position``, not the score.
-
-    Of candidates from 0.60 on: those from 0.85 on, filled up to 10; where more than 10 reach 0.75, the first 20
-    of these; padded to 5 where there are as many.
-    """
-    some = rows.where(F.col(score) >= 0.60)
-    by_query, order = Window.partitionBy(query), Window.partitionBy(query).orderBy(position)
-    some = some.withColumn("_n", F.row_number().over(order)).withColumn("_good", F.count_if(F.col(score) >= 0.75).over(by_query))
-    some = some.withColumn("_sure", F.count_if(F.col(score) >= 0.85).over(by_query))
-    good_n = F.count_if(F.col(score) >= 0.75).over(order)
-    rest_n = F.count_if(F.col(score) < 0.85).over(order)
-    many = (F.col(score) >= 0.75) & (good_n <= 20)
-    few = (F.col(score) >= 0.85) | (rest_n <= 10 - F.col("_sure"))
-    keep = F.when(F.col("_good") > 10, many).otherwise(few)
-    return some.withColumn("_keep", keep).where("_keep").drop("_n", "_good", "_sure", "_keep")
-
-
-def planned_batches(pages: int, splits: list[int], most: int = 50, least: int = 3, target: int = 10) -> list[tuple[int, int]]:
-    """Page ranges of one encounter's batches (D10): the small ordered rule that ``batches`` applies to each row."""
-    if pages <= target:
-        return [(1, pages)]
-    if not splits:
-        return [(1, pages)] if pages <= most else [(a, min(a + most - 1, pages)) for a in range(1, pages + 1, most)]
-    out, at = [], 1
-    while at <= pages:
-        goal = at + target
-        near = [s for s in splits if at + least <= s <= min(goal + 2, pages)]
-        cut = min(near, key=lambda s: (abs(s - goal), s)) if near and pages - at + 1 > target else None
-        end = cut - 1 if cut else min(at + most - 1, pages)
-        out.append((at, end))
-        at = end + 1
-    return out
+__all__ = ["access", "flags", "graph", "layout", "model_output", "queues", "reconcile", "records", "retrieval", "timeline"]

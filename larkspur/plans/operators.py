@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as X
-from .. import operators as O
+from ..operators import reconcile, retrieval, timeline
 from ..registry import query
 from ..sources import page_manifest, split_valid, table
 
@@ -14,7 +14,7 @@ from ..sources import page_manifest, split_valid, table
 SELECT event_id, user_id, event_type, ts, value FROM events WHERE event_type IN ('purchase', 'signup')
 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' AND value >= 1 AND contains(lower(props), '"k"')""")
 def p02(spark, d):
-    rows = O.timeline_filter(table(spark, d, "events"), ["purchase", "signup"], "2024-01-05", "2024-01-25", 1, '"K"')
+    rows = timeline.timeline_filter(table(spark, d, "events"), ["purchase", "signup"], "2024-01-05", "2024-01-25", 1, '"K"')
     return rows.select("event_id", "user_id", "event_type", "ts", "value")
 
 
@@ -22,7 +22,7 @@ def p02(spark, d):
 SELECT event_id, ts, true AS has_more FROM events WHERE ts < TIMESTAMP '2024-01-20' OR (ts = TIMESTAMP '2024-01-20' AND event_id > 5)
 ORDER BY ts DESC, event_id LIMIT 25""")
 def l06(spark, d):
-    return O.keyset_page(table(spark, d, "events").select("event_id", "ts"), "ts", "event_id", ("2024-01-20", 5), 25)
+    return timeline.keyset_page(table(spark, d, "events").select("event_id", "ts"), "ts", "event_id", ("2024-01-20", 5), 25)
 
 
 @query("w03_merge_ranges", """
@@ -32,75 +32,44 @@ i AS (SELECT *, sum(CASE WHEN a <= p + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY l
 SELECT l_orderkey, min(a) AS a, max(b) AS b FROM i GROUP BY l_orderkey, g""")
 def w03(spark, d):
     r = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 3).alias("a"), (F.col("l_linenumber") * 3 + F.col("l_quantity").cast("int") % 5).alias("b"))
-    return O.merged_ranges(r, "l_orderkey", "a", "b")
+    return reconcile.merged_ranges(r, "l_orderkey", "a", "b")
 
 
 @query("a26_longest_value", """
 SELECT c_nationkey, arg_max(c_mktsegment, length(c_mktsegment) * 1000000 - c_custkey) AS longest FROM customer GROUP BY c_nationkey""")
 def a26(spark, d):
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(O.longest_value("c_mktsegment", "c_custkey").alias("longest"))
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(reconcile.longest_value("c_mktsegment", "c_custkey").alias("longest"))
 
 
 @query("a14_weighted_confidence", """
 SELECT l_orderkey, round(sum(l_quantity * CASE WHEN l_discount IS NULL OR l_discount = 0 THEN 0.5 ELSE l_discount END) / sum(l_quantity), 9) AS confidence
 FROM lineitem GROUP BY l_orderkey""")
 def a14(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(O.weighted_confidence("l_discount", F.col("l_quantity")), 9).alias("confidence"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(reconcile.weighted_confidence("l_discount", F.col("l_quantity")), 9).alias("confidence"))
 
 
 @query("d02_current_versions", """
 SELECT o_orderkey, lead(o_orderdate) OVER w AS valid_to, lead(o_orderkey) OVER w AS superseded_by, lead(o_orderkey) OVER w IS NULL AS is_current
 FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey)""")
 def d02(spark, d):
-    rows = O.current_versions(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], "o_orderdate", "o_orderkey")
+    rows = reconcile.current_versions(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], "o_orderdate", "o_orderkey")
     return rows.select("o_orderkey", "valid_to", "superseded_by", "is_current")
 
 
 @query("d03_upsert", """
-WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice, 0 AS fresh FROM orders WHERE o_orderkey % 2 = 0 UNION ALL
-SELECT o_custkey, o_orderkey, o_totalprice + 1, 1 FROM orders WHERE o_orderkey % 3 = 0)
-SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM b QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, fresh DESC) = 1""")
+WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice, 0 AS fresh FROM orders UNION ALL SELECT o_custkey, o_orderkey + o_orderkey % 2, o_totalprice + 1, 1 FROM orders)
+SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM b QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, fresh DESC, o_totalprice DESC) = 1""")
 def d03(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    new = o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    return O.upsert(o.where("o_orderkey % 2 = 0"), new, ["o_custkey"], "o_orderkey").withColumn("o_totalprice", F.round("o_totalprice", 2))
-
-
-@query("r01_secured_rows", """
-SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)""")
-def r01(spark, d):
-    grants = table(spark, d, "customer").select(F.col("c_nationkey").alias("user"), F.col("c_custkey").alias("profile"))
-    return O.secured(table(spark, d, "orders").select("o_orderkey", "o_custkey"), grants, 7, "o_custkey").select("o_orderkey", "o_custkey")
-
-
-@query("t02_fixed_window_limit")
-def t02(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("s"))
-    return O.fixed_window_limit(e, "user_id", "s", limit=3, window=86400, tie="event_id")
-
-
-@query("v01_vector_top_k", """
-WITH q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 7),
-s AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]), 6) AS similarity FROM embeddings, q)
-SELECT * FROM s WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 10""")
-def v01(spark, d):
-    e = table(spark, d, "embeddings")
-    q = F.broadcast(e.where("vec_id = 7").limit(1).select(F.col("embedding").alias("q")))  # one row
-    s = e.join(q).select("vec_id", "label", F.round(X.cosine("embedding", "q"), 6).alias("similarity"))
-    return s.where("similarity >= 0.1").orderBy(F.desc("similarity"), "vec_id").limit(10)
+    new = o.select("o_custkey", (F.col("o_orderkey") + F.col("o_orderkey") % 2).alias("o_orderkey"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    return reconcile.upsert(o, new, ["o_custkey"], "o_orderkey").withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
 @query("v07_lexical_matches", """
-WITH h AS (SELECT p_partkey, contains(lower(p_name), 'part')::INT + contains(lower(p_name), '1')::INT + contains(lower(p_name), '22')::INT AS hits FROM part)
+WITH h AS (SELECT p_partkey, contains(lower(p_name), 'widget')::INT + contains(lower(p_name), 'bolt')::INT + contains(lower(p_name), 'cold')::INT AS hits FROM part)
 SELECT p_partkey, hits, hits / 3.0 AS score FROM h WHERE hits > 0 ORDER BY hits DESC, p_partkey LIMIT 20""")
 def v07(spark, d):
-    return O.lexical_matches(table(spark, d, "part"), "p_name", ["part", "1", " ", "22"], "p_partkey")
-
-
-@query("v06_selected_candidates")
-def v06(spark, d):
-    r = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("q"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), (F.col("l_quantity") / 50).alias("score"))
-    return O.selected_candidates(r, "q", "pos", "score")
+    return retrieval.lexical_matches(table(spark, d, "part"), "p_name", ["Widget", "bolt", " ", "cold"], "p_partkey")
 
 
 @query("f05_embeddable", r"""
@@ -144,10 +113,14 @@ def f25(spark, d):
     return table(spark, d, "documents").select("doc_id", X.truncated(F.col("text"), 80).alias("shown"))
 
 
-@query("f50_normalized_dates")
+@query("f50_normalized_dates", """
+WITH x AS (SELECT event_id, ts::DATE AS t, event_id % 5 AS k FROM events)
+SELECT event_id, strftime(CASE WHEN k = 1 AND day(t) <= 12 THEN make_date(2024, day(t), month(t)) ELSE t END, '%Y-%m-%d') AS iso, k IN (0, 1) AND day(t) <= 12 AS ambiguous,
+CASE WHEN k IN (0, 1) AND day(t) <= 12 THEN 'ambiguous_default' WHEN k = 0 THEN 'dd_mm' WHEN k = 1 THEN 'mm_dd' WHEN k = 2 THEN 'iso' ELSE 'text' END AS method, CASE WHEN k IN (0, 1) AND day(t) <= 12 THEN 'low' ELSE 'high' END AS confidence FROM x""")
 def f50(spark, d):
-    e = table(spark, d, "events").select("event_id", F.date_format("ts", "dd/MM/yyyy").alias("raw"))
-    return e.select("event_id", X.normalized_date(F.col("raw"), 2027).alias("date")).select("event_id", "date.*")
+    form = F.element_at(F.array(*map(F.lit, ("dd/MM/yyyy", "MM/dd/yy", "yyyy-MM-dd", "d MMM yyyy", "MMMM d, yyyy"))), (F.col("event_id") % 5 + 1).cast("int"))
+    raw = F.coalesce(*(F.when(form == p, F.date_format("ts", p)) for p in ("dd/MM/yyyy", "MM/dd/yy", "yyyy-MM-dd", "d MMM yyyy", "MMMM d, yyyy")))
+    return table(spark, d, "events").select("event_id", X.normalized_date(raw, 2027).alias("date")).select("event_id", "date.iso", "date.ambiguous", "date.method", "date.confidence")
 
 
 @query("f55_age_years", """

@@ -21,7 +21,6 @@ def report(name: str, sql: str, oracle: str | None = None) -> None:
 
 
 # aggregations
-report("a01_session_totals", "SELECT conv_id, coalesce(sum(length(text)), 0) AS chars, round(avg(length(text)), 6) AS mean_chars, count(*) AS turns FROM {conversations} GROUP BY conv_id")
 report("a02_conditional_counts", "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE value > 50) AS large, count(*) AS n FROM {events} GROUP BY user_id")
 report("a03_filtered_distinct", "SELECT o_orderpriority, count(DISTINCT o_custkey) FILTER (WHERE o_totalprice > 100000) AS customers FROM {orders} GROUP BY o_orderpriority")
 report("a04_distinct_lists", "SELECT o_custkey, array_join(array_sort(collect_set(o_orderpriority)), ',') AS priorities FROM {orders} GROUP BY o_custkey",
@@ -38,24 +37,11 @@ UNION ALL SELECT 'events', count(*), count(*) FILTER (WHERE event_type <> 'error
 report("a12_dashboard", "SELECT (SELECT count(*) FROM {orders}) AS orders, (SELECT count(*) FROM {events} WHERE event_type = 'error') AS errors, (SELECT round(avg(c_acctbal), 4) FROM {customer}) AS balance")
 report("a13_elapsed_ms", "SELECT user_id, timestampdiff(MILLISECOND, min(ts), max(ts)) AS elapsed_ms FROM {events} GROUP BY user_id", "SELECT user_id, date_sub('millisecond', min(ts), max(ts)) AS elapsed_ms FROM events GROUP BY user_id")
 report("a15_mean_default", "SELECT p.p_partkey, coalesce(round(avg(l.l_discount), 6), 0.85) AS confidence FROM {part} p LEFT JOIN {lineitem} l ON l.l_partkey = p.p_partkey AND l.l_quantity > 45 GROUP BY p.p_partkey")
-report("a16_flag_stats", """SELECT count(*) AS total, count(*) FILTER (WHERE quality = 1) AS open, count(*) FILTER (WHERE toxic = 1) AS critical,
-round(100.0 * count(*) FILTER (WHERE quality = 1) / count(*), 2) AS rate FROM {labels}""")
-report("a17_batch_rollup", """SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag <> 'R') AS succeeded, count(*) FILTER (WHERE l_returnflag = 'R') AS failed,
-greatest(sum(l_linenumber) - count(*), 0) AS retries, min(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS first_failed FROM {lineitem} GROUP BY l_orderkey""")
-report("a18_file_rollup", "SELECT o_custkey, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS done, count(*) AS n FROM {orders} GROUP BY o_custkey")
 report("a19_histogram", "SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type")
 report("a20_batch_sizes", "SELECT count(*) AS n, coalesce(round(avg(k), 6), 0) AS mean_k, coalesce(min(k), 0) AS min_k, coalesce(max(k), 0) AS max_k FROM (SELECT count(*) AS k FROM {lineitem} GROUP BY l_orderkey) t")
-report("a22_accuracy_at_k", "SELECT label, round(avg(CASE WHEN vec_id % 25 < 1 THEN 1 ELSE 0 END), 6) AS at_1, round(avg(CASE WHEN vec_id % 25 < 5 THEN 1 ELSE 0 END), 6) AS at_5 FROM {embeddings} GROUP BY label")
 report("a23_best_model", "SELECT o_orderpriority, min_by(o_orderstatus, m) AS best FROM (SELECT o_orderpriority, o_orderstatus, avg(o_totalprice) AS m FROM {orders} GROUP BY o_orderpriority, o_orderstatus) t GROUP BY o_orderpriority",
        "SELECT o_orderpriority, arg_min(o_orderstatus, m) AS best FROM (SELECT o_orderpriority, o_orderstatus, avg(o_totalprice) AS m FROM orders GROUP BY o_orderpriority, o_orderstatus) t GROUP BY o_orderpriority")
-report("a24_monthly_usage", "SELECT o_custkey, year(o_orderdate) * 100 + month(o_orderdate) AS m, count(*) AS files, round(100.0 * count(*) / 5, 1) AS pct, count(*) > 5 AS over_limit FROM {orders} GROUP BY o_custkey, year(o_orderdate) * 100 + month(o_orderdate)")
 report("a25_any_true", "SELECT l_orderkey, bool_or(l_returnflag = 'R') AS returned FROM {lineitem} GROUP BY l_orderkey")
-report("a29_session_performance", """SELECT o.o_orderkey, coalesce(a.n, 0) AS lines, coalesce(a.q, 0) AS quantity FROM {orders} o
-LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM {lineitem} GROUP BY l_orderkey) a ON a.l_orderkey = o.o_orderkey""")
-report("a30_latest_summary", "SELECT o_custkey, count(*) AS n, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS latest FROM {orders} GROUP BY o_custkey",
-       "SELECT o_custkey, count(*) AS n, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY o_custkey")
-report("a31_patterns", """SELECT user_id, 'frequent' AS pattern, count(*) AS n FROM {events} WHERE event_type = 'view' GROUP BY user_id HAVING count(*) >= 3
-UNION ALL SELECT user_id, 'attention', count(*) FROM {events} WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 2""")
 report("a32_health_check", "SELECT event_type, count(*) AS n, CASE WHEN count(*) > 3000 THEN 'CRITICAL' WHEN count(*) > 1000 THEN 'WARNING' ELSE 'OK' END AS status FROM {events} GROUP BY event_type")
 report("a34_quality", "SELECT round(avg(l_discount * l_quantity), 6) AS score, round(100.0 * count(*) FILTER (WHERE l_tax > 0) / nullif(count(*), 0), 1) AS complete FROM {lineitem}")
 # joins
@@ -65,21 +51,14 @@ report("j05_self_join", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM {supplie
 report("j06_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
 report("j07_anti_recent", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderdate > TIMESTAMP_NTZ '1998-01-01')".replace("TIMESTAMP_NTZ", "TIMESTAMP"))
 report("j09_either_side", """SELECT n_nationkey AS a, n_regionkey AS b, 'child' AS side FROM {nation} WHERE n_nationkey IN (1, 2, 3) UNION ALL SELECT n_nationkey, n_regionkey, 'parent' FROM {nation} WHERE n_regionkey IN (1, 2)""")
-report("j10_interval_join", """SELECT l_orderkey, l_linenumber, zone FROM (SELECT l.l_orderkey, l.l_linenumber, z.l_linenumber AS zone,
-row_number() OVER (PARTITION BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity ORDER BY CASE WHEN z.l_returnflag = l.l_returnflag THEN 0 ELSE 1 END, z.l_linenumber) AS n
-FROM {lineitem} l LEFT JOIN {lineitem} z ON z.l_orderkey = l.l_orderkey AND l.l_quantity BETWEEN z.l_quantity AND z.l_quantity + 10 AND z.l_linenumber <> l.l_linenumber) t WHERE n = 1""")
 report("j11_expand_pages", "SELECT l_orderkey, l_linenumber, explode(sequence(l_linenumber, l_linenumber + 2)) AS page FROM {lineitem}", "SELECT l_orderkey, l_linenumber, unnest(range(l_linenumber, l_linenumber + 3))::INT AS page FROM lineitem")
 report("j13_latest_of_group", "SELECT l_orderkey, max_by(l_partkey, struct(l_shipdate, l_linenumber, l_partkey)) AS part FROM {lineitem} GROUP BY l_orderkey", "SELECT l_orderkey, arg_max(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS part FROM lineitem GROUP BY l_orderkey")
 # windows, order, sets
-report("w01_normalized_score", "SELECT vec_id, round(vec_id / nullif(max(vec_id) OVER (PARTITION BY label), 0), 6) AS score FROM {embeddings}")
-report("w02_chunk_gaps", "SELECT conv_id, turn FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations} WHERE turn % 4 <> 2) t WHERE turn <> before + 1")
-report("w05_line_layout", """SELECT doc, line, array_join(transform(array_sort(collect_list(struct(x, w))), p -> p.w), ' ') AS text FROM (SELECT p_brand AS doc, p_size * 10 AS line, p_partkey AS x, p_name AS w FROM {part}) t GROUP BY doc, line""",
-       "SELECT p_brand AS doc, p_size * 10 AS line, string_agg(p_name, ' ' ORDER BY p_partkey) AS text FROM part GROUP BY p_brand, p_size")
+report("w02_chunk_gaps", """SELECT conv_id, turn FROM (SELECT conv_id, turn, turn + cast(floor(turn / 3) AS bigint) AS v, lag(turn + cast(floor(turn / 3) AS bigint)) OVER (PARTITION BY conv_id ORDER BY turn) AS before
+FROM {conversations}) t WHERE v <> before + 1""")
 report("w08_chunks", "SELECT event_id, cast(floor((event_id - 1) / 50) AS bigint) + 1 AS chunk FROM {events}")
 report("w09_renumber", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM {lineitem}")
 report("w10_total_with_page", "SELECT o_orderkey, o_custkey, count(*) OVER (PARTITION BY o_custkey) AS total FROM {orders}")
-report("w12_first_last", "SELECT conv_id, min_by(role, turn) AS first_role, max_by(role, turn) AS last_role FROM {conversations} GROUP BY conv_id", "SELECT conv_id, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
-report("w13_same_day", "SELECT event_id FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type, cast(ts AS date)) AS n FROM {events}) t WHERE n > 1")
 report("l02_ranked_order", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END AS rank FROM {orders} ORDER BY rank, o_orderdate, o_orderkey LIMIT 50")
 report("l05_offset_page", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
 report("u01_tagged_union", "SELECT 'customer' AS kind, c_custkey AS id, c_name AS name FROM {customer} UNION ALL SELECT 'supplier', s_suppkey, s_name FROM {supplier} UNION ALL SELECT 'part', p_partkey, p_name FROM {part}")
@@ -92,14 +71,4 @@ report("p12_json_field", "SELECT event_id, cast(get_json_object(props, '$.k') AS
 report("f57_month_bucket", "SELECT year(o_orderdate) * 100 + month(o_orderdate) AS m, count(*) AS n FROM {orders} GROUP BY year(o_orderdate) * 100 + month(o_orderdate)")
 report("s18_date_spine", "SELECT day, year(day) AS y, month(day) AS m, day(day) AS d FROM (SELECT explode(sequence(DATE'2000-01-01', DATE'2050-12-31')) AS day) t",
        "SELECT day::DATE AS day, year(day) AS y, month(day) AS m, day(day) AS d FROM (SELECT unnest(generate_series(DATE '2000-01-01', DATE '2050-12-31', INTERVAL 1 DAY)) AS day) t")
-report("r03_accessible", "SELECT c_custkey AS profile, 'owned' AS how FROM {customer} WHERE c_nationkey = 3 UNION ALL SELECT o_custkey, 'granted' FROM {orders} WHERE o_orderpriority LIKE '1%' AND o_totalprice > 200000")
-report("q01_quality_flags", """SELECT o_orderkey, 'future' AS flag, 0.85 AS confidence FROM {orders} WHERE o_orderdate > TIMESTAMP '1998-06-01'
-UNION ALL SELECT o_orderkey, 'range', 0.9 FROM {orders} WHERE o_totalprice > 250000""")
-report("d01_identity_keys", "SELECT p_partkey, CASE WHEN p_brand LIKE '%1' THEN concat('b:', p_brand) WHEN p_size > 25 THEN concat('s:', cast(p_size AS varchar(10))) ELSE concat('id:', cast(p_partkey AS varchar(20))) END AS identity FROM {part}")
-report("d13_retention", "SELECT event_type, count(*) AS kept FROM {events} WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL '20' DAY GROUP BY event_type")
-report("d18_alerts", """SELECT a.o_custkey, a.n, CASE WHEN a.n >= 20 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) >= 5) a
-WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = a.o_custkey AND o.o_orderstatus = 'P')""")
-report("t05_claim_classes", """SELECT event_id, CASE WHEN event_type = 'error' AND value > 50 THEN 'dead_letter' WHEN event_type = 'error' THEN 'reclaim' WHEN row_number() OVER (PARTITION BY event_type ORDER BY value DESC, ts, event_id) = 1 THEN 'claim' ELSE 'wait' END AS fate FROM {events}""")
-report("t06_watchdog", "SELECT CASE WHEN value > 50 THEN 'fail' ELSE 'requeue' END AS action, count(*) AS n FROM {events} WHERE ts < TIMESTAMP '2024-01-15' GROUP BY CASE WHEN value > 50 THEN 'fail' ELSE 'requeue' END")
-report("g01_reachable", """WITH RECURSIVE e AS (SELECT vec_id AS a, vec_id * 2 AS b FROM {embeddings}), r(node, depth) AS (SELECT 1L, 0 UNION ALL SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 12) SELECT DISTINCT node FROM r""",
-       "WITH RECURSIVE e AS (SELECT vec_id AS a, vec_id * 2 AS b FROM embeddings), r(node, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 12) SELECT DISTINCT node FROM r")
+report("d13_retention", "SELECT event_type, count(*) AS kept FROM {events} WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL '20' DAY GROUP BY event_type")
\ No newline at end of file

@@ -1,10 +1,11 @@
 import os
+import random
 
 import duckdb
 import pytest
 from larkspur import functions as X
-from larkspur import operators as O
 from larkspur import plans, registry, sources, streaming
+from larkspur.operators import queues, reconcile, retrieval
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -32,38 +33,95 @@ def test_query_agrees_with_its_oracle(spark, name):
 
 def test_merged_ranges(spark):
     rows = spark.createDataFrame([(1, 5, 7), (1, 1, 3), (1, 4, 4), (1, 10, 12)], "k int, a int, b int")
-    assert sorted(map(tuple, O.merged_ranges(rows, "k", "a", "b").collect())) == [(1, 1, 7), (1, 10, 12)]
+    assert sorted(map(tuple, reconcile.merged_ranges(rows, "k", "a", "b").collect())) == [(1, 1, 7), (1, 10, 12)]
 
 
-def test_fixed_window_limit(spark):
+def test_window_limit(spark):
     rows = spark.createDataFrame([(1, float(t), i) for i, t in enumerate([0, 10, 20, 30, 60, 61])], "k long, s double, i long")
-    got = O.fixed_window_limit(rows, "k", "s", 3, 60, "i").orderBy("i").collect()
+    got = queues.window_limit(rows, ["k"], "s", "i", 3, 60).orderBy("i").collect()
     assert [r.allowed for r in got] == [True, True, True, False, False, True]
 
 
+def test_a_hundred_events_a_minute(spark):
+    rows = spark.createDataFrame([(k, 0.1 * i, i) for k in (1, 2) for i in range(150)] + [(1, 61.0, 999)], "k long, s double, i long")
+    got = queues.window_limit(rows, ["k"], "s", "i").collect()
+    assert sum(r.allowed for r in got if r.k == 1) == 101 and sum(r.allowed for r in got if r.k == 2) == 100
+    assert all(r.allowed == (r.i < 100 or r.i == 999) for r in got)
+
+
+def test_limit_on_tokens(spark):
+    rows = spark.createDataFrame([(1, float(i), i, n) for i, n in enumerate([50, 40, 20, 10, None])], "k long, s double, i long, n int")
+    got = queues.window_limit(rows, ["k"], "s", "i", None, 60, "n", 100).orderBy("i").collect()
+    assert [r.allowed for r in got] == [True, True, False, True, True]
+
+
 def test_streamed_limit_agrees_with_the_batch_form(spark, tmp_path):
     rows = [(k, float(t)) for k in (1, 2) for t in range(0, 200, 7 * k)]
     for i in range(3):
-        spark.createDataFrame(sorted(rows, key=lambda r: r[1])[i::3] if i < 0 else [r for r in rows if i * 70 <= r[1] < (i + 1) * 70], "k long, s double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame([r for r in rows if i * 70 <= r[1] < (i + 1) * 70], "k long, s double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     batch = spark.read.parquet(str(tmp_path / "in")).withColumn("i", F.col("s"))
-    want = {(r.k, r.s, r.allowed) for r in O.fixed_window_limit(batch, "k", "s", 4, 60, "i").collect()}
+    want = {(r.k, r.s, r.allowed) for r in queues.window_limit(batch, ["k"], "s", "i", 4, 60).collect()}
     files = spark.readStream.schema("k long, s double").parquet(str(tmp_path / "in"))
-    q = streaming.limited(files, "k", "s", 4, 60).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True)
+    q = streaming.limited(files, "k", "s", 4, 60, expire=False).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True)
     q.option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(120)
     assert {tuple(r) for r in spark.table("limited").collect()} == want
 
 
+def test_a_feed_that_upserts_merges_its_batches(spark, tmp_path):
+    schema = "user_id long, n int, ts timestamp, op string"
+    at = "2024-01-0{} 00:00:00"
+    for i, rows in enumerate([[(1, 1, at.format(1), "INSERT"), (2, 1, at.format(1), "INSERT"), (9, 1, at.format(1), "INSERT")], [(1, 5, at.format(3), "UPDATE"), (1, 4, at.format(2), "UPDATE"), (3, 1, at.format(1), "INSERT"), (2, 1, at.format(3), "DELETE")]]):
+        df = spark.createDataFrame(rows, "user_id long, n int, ts string, op string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        feed = streaming.change_feed(spark, str(tmp_path / "in"), schema, [1, 2, 3])
+        feed.writeStream.foreachBatch(streaming.upserts_to(str(tmp_path / "out"), "user_id", "ts")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(120)
+        got = {(r.user_id, r.n) for r in streaming.latest(spark, str(tmp_path / "out")).collect()}
+        assert got == ({(1, 1), (2, 1)} if i == 0 else {(1, 5), (3, 1)})
+
+
+def test_windowed_counts(spark, tmp_path):
+    rows = [("a", "2024-01-01 01:00:00"), ("a", "2024-01-01 02:00:00"), ("b", "2024-01-01 03:00:00"), ("a", "2024-01-02 05:00:00"), ("a", "2024-01-05 00:00:00")]
+    spark.createDataFrame(rows, "event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    counts = streaming.windowed_counts(spark.readStream.schema("event_type string, ts timestamp").parquet(str(tmp_path / "in")))
+    q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True)
+    q.option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(120)
+    got = {(str(r.window.start)[:10], r.event_type, r.n) for r in spark.table("counts").collect()}
+    assert got == {("2024-01-01", "a", 2), ("2024-01-01", "b", 1), ("2024-01-02", "a", 1), ("2024-01-05", "a", 1)}
+
+
 @pytest.mark.parametrize(("scores", "kept"), [
     ([0.90, 0.86, 0.80, 0.78, 0.77, 0.76, 0.755, 0.75, 0.75, 0.75, 0.75, 0.62], 11), ([0.90, 0.70, 0.65], 3), ([0.5], 0)])
 def test_selected_candidates(spark, scores, kept):
     rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(scores)], "q int, p int, s double")
-    assert sorted(r.p for r in O.selected_candidates(rows, "q", "p", "s").collect()) == list(range(kept))
-
-
-def test_planned_batches():
-    assert O.planned_batches(25, [9, 12, 20]) == [(1, 11), (12, 19), (20, 25)]
-    assert O.planned_batches(120, []) == [(1, 50), (51, 100), (101, 120)]
-    assert O.planned_batches(30, []) == [(1, 30)]
+    got = retrieval.selected_candidates(rows, "q", "p", "s").orderBy("rank").collect()
+    assert sorted(r.p for r in got) == list(range(kept)) and [r.s for r in got] == sorted((r.s for r in got), reverse=True)
+
+
+def plain_batches(first, last, splits):
+    """The batches of a visit, step by step."""
+    n = last - first + 1
+    if n <= 10 or (not splits and n <= 50):
+        return [(first, last)]
+    cuts, at = [], first
+    if not splits:
+        cuts = list(range(first + 50, last, 50))
+    while splits and at + 10 <= last and len(cuts) <= 100:
+        near = [s for s in splits if at + 3 <= s <= min(at + 12, last)]
+        at = min(near, key=lambda s: abs(s - at - 10)) if near else at + 10
+        cuts.append(at)
+    return list(zip([first, *cuts], [*(c - 1 for c in cuts), last], strict=True))
+
+
+def test_planned_batches(spark):
+    r = random.Random(1)
+    cases = [(1, 25, [9, 12, 20]), (1, 120, []), (1, 30, []), (1, 40, [5]), (1, 40, None), (3, 12, [5]), (1, 51, []), (1, 101, []), (1, 20, [13, 7])]
+    cases += [(a, a + r.randrange(200), r.sample(range(200), r.randrange(12))) for a in range(1, 40)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "v int, a int, b int, s array<int>")
+    got = {}
+    for row in reconcile.planned_batches(df, "v", "a", "b", "s").orderBy("v", "index").collect():
+        got.setdefault(row.v, []).append((row.start, row.end))
+    assert got == {i: plain_batches(*c) for i, c in enumerate(cases)}
+    assert got[3] == [(1, 4), (5, 14), (15, 24), (25, 34), (35, 40)] and got[0] == [(1, 11), (12, 19), (20, 25)]
 
 
 @pytest.mark.parametrize(("raw", "iso", "method"), [
@@ -94,4 +152,4 @@ def test_sources(spark, tmp_path):
 
 def test_lexical_match_wants_a_variant(spark):
     with pytest.raises(ValueError, match="no variant"):
-        O.lexical_matches(spark.range(1), "id", [" "], "id")
+        retrieval.lexical_matches(spark.range(1), "id", [" "], "id")
