@@ -187,7 +187,7 @@ def retry_wait(attempt: Column, retry_after: Column, as_of: Column, base: int =
     told = F.regexp_extract(retry_after, r"(\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
     date = F.timestamp_diff("MILLISECOND", as_of, F.try_to_timestamp(F.concat(told, F.lit(" +0000")), F.lit("dd MMM yyyy HH:mm:ss xxxx")))
     own = F.least(F.lit(float(cap)), base * F.pow(F.lit(2.0), attempt - 1))
-    return F.when(attempt > most, F.lit(float(spare))).otherwise(F.coalesce(seconds, F.greatest(date, F.lit(0)).cast("double"), own))
+    return F.when(attempt > most, F.lit(float(spare))).otherwise(F.coalesce(seconds, F.when(date.isNotNull(), F.greatest(date, F.lit(0)).cast("double")), own))
 
 
 def uploads(requests: DataFrame, known: DataFrame) -> DataFrame:
