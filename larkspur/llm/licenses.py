@@ -7,7 +7,8 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, NULL_ID
+from .common import NULL_ID, read
+from .spans import let, matches, running
 
 #: Complement of a word, in the text as it is (A-Z count as a-z later).
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -99,18 +100,29 @@ def rules() -> list[tuple[str, str, str, int, float]]:
 
 def places(words: Column, pattern: Column) -> Column:
     """array<struct<start, end>> in words of the matches of a rule in ' word word ... ' text."""
-    found, gaps = F.regexp_extract_all(words, pattern, F.lit(0)), F.split(words, pattern, -1)
-    none = F.array().cast("array<struct<start:int,end:int>>")
     count = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+    # state: the blanks so far; the first word has one before it, and a match one less than it has words
+    starts = lambda found: running(found, F.lit(0), lambda at, x: at + count(x["gap"]) + count(x["match"]), lambda at, x: at + count(x["gap"]) - 1, "int")
+    return let(matches(words, pattern), lambda found: F.zip_with(
+        found, starts(found), lambda x, a: F.struct(a.alias("start"), (a + count(x["match"]) + 1).alias("end"))))
 
-    def step(acc: Column, pair: Column) -> Column:
-        # at: the blanks so far; the first word has one before it, and a match one less than it has words
-        start = acc["at"] + count(pair["gap"]) - 1
-        end = start + count(pair["match"]) + 1
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+HIT = "struct<start:int,behind:int,priority:int,rule:int,label:string,confidence:double>"
+
+
+def unsuppressed(hits: Column) -> Column:
+    """Detections (array of HIT; ``behind`` is minus the end) that no other of the same or a stronger priority holds.
+
+    In the order of starts, longer ones first, whatever may hold a detection stands before it, so one sweep that
+    remembers the farthest end of each priority decides. Of equal ones the earlier rule stays.
+    """
+    levels = max(r[3] for r in rules())
+    stays = lambda ordered: running(
+        ordered, F.array_repeat(F.lit(-1), levels),
+        lambda s, x: F.transform(s, lambda e, i: F.when(i + 1 >= x["priority"], F.greatest(e, -x["behind"])).otherwise(e)),
+        lambda s, x: F.element_at(s, x["priority"]) < -x["behind"], "boolean",
+    )
+    return let(F.array_sort(hits), lambda ordered: let(stays(ordered), lambda kept: F.filter(ordered, lambda x, i: F.get(kept, i))))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,24 +149,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words = F.concat(F.lit(" "), F.array_join(split, " "), F.lit(" "))
     rows = base.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, words).alias("words"))
     detections = F.array(*(F.struct(F.array(*map(F.lit, k.split("|"))).alias("k"), F.lit(lb).alias("label"), F.lit(f"(?<= )(?:{p})(?= )").alias("pattern"), F.lit(pr).alias("priority"), F.lit(c).alias("confidence"), F.lit(i).alias("rule")) for i, (k, lb, p, pr, c) in enumerate(table)))
-    shape = "array<struct<label:string,priority:int,confidence:double,rule:int,start:int,end:int>>"
 
     def hits(words: Column, r: Column) -> Column:
         at = F.transform(places(words, r["pattern"]), lambda p: F.struct(
-            r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].cast("double").alias("confidence"), r["rule"].alias("rule"), p["start"].alias("start"), p["end"].alias("end")))
-        return F.when(F.exists(r["k"], partial(F.contains, words)), at).otherwise(F.array().cast(shape))
+            p["start"].alias("start"), (-p["end"]).alias("behind"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].cast("double").alias("confidence")))
+        return F.when(F.exists(r["k"], partial(F.contains, words)), at).otherwise(F.array().cast(f"array<{HIT}>"))
 
-    found = F.when(F.col("words").isNotNull(), F.flatten(F.transform(detections, partial(hits, F.col("words"))))).otherwise(F.array().cast(shape))
+    found = F.when(F.col("words").isNotNull(), F.flatten(F.transform(detections, partial(hits, F.col("words"))))).otherwise(F.array().cast(f"array<{HIT}>"))
     rows = rows.withColumn("hits", found)
     rows = rows.withColumn("base", F.filter("hits", lambda h: h["priority"] == 0)).withColumn("more", F.filter("hits", lambda h: h["priority"] > 0))
-
-    def stronger(o: Column, h: Column) -> Column:
-        holds = (o["start"] <= h["start"]) & (o["end"] >= h["end"])
-        same = (o["start"] == h["start"]) & (o["end"] == h["end"]) & (o["priority"] == h["priority"])
-        return holds & (o["priority"] <= h["priority"]) & (~same | (o["rule"] < h["rule"]))
-
-    left = F.filter("more", lambda h: ~F.exists("more", lambda o: stronger(o, h)))
-    rows = rows.withColumn("left", left)
+    rows = rows.withColumn("left", F.when(F.size("more") > 1, unsuppressed(F.col("more"))).otherwise(F.col("more")))
     names = lambda *cols: F.array_join(F.array_sort(F.array_distinct(F.concat(*(F.transform(c, lambda h: h["label"]) for c in cols)))), ",")
     starts = F.transform("base", lambda h: h["start"].cast("long"))
     sure = F.coalesce(F.array_max(F.transform(F.concat("base", "left"), lambda h: h["confidence"])), F.lit(0.0))

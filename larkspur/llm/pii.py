@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, read, shown_id
+from .spans import let, located, replaced, running
 
 #: Base kinds in their order. Look-behinds and possessive loops keep the leftmost matches of the plain patterns and
 #: make the search linear in the text; \G lets a match begin where the last one ended.
@@ -36,21 +37,6 @@ FEATURES = ["kind", "chars", "digits", "letters", "capitals", "separators", "swi
 ROUNDS, RATE, PRECISION = 40, 0.3, 0.98
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of the leftmost matches, in code points, from what stands between them."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.lit(None).cast("array<struct<start:int,end:int,match:string>>")
-    none = F.coalesce(empty, F.array().cast("array<struct<start:int,end:int,match:string>>"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-
-
 def digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -208,42 +194,60 @@ def train(spark: SparkSession) -> tuple[Trees, dict[str, float]]:
 
 def span_lists(text: Column, model: Trees, limits: dict[str, float]) -> tuple[dict[str, Column], dict[str, Column]]:
     """For each base kind its spans that pass, for each further kind its scored candidates."""
-    base = {k: F.filter(located(text, p), partial(lambda k, s: passes(k, s["match"]), k)) for k, p in BASE.items()}
+    base = {k: F.filter(located(text, p, 0), partial(lambda k, s: passes(k, s["match"]), k)) for k, p in BASE.items()}
 
     def score(i: int, k: str, s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        at = features(i, s["match"], before)
-        return F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), model.column(at).alias("score"))
+        at = features(i, s["match"], s["before"])
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"), model.column(at).alias("score"), F.lit(False).alias("base"))
 
     more = {}
     for i, (k, p) in enumerate(GENERATORS.items()):
-        scored = F.transform(located(text, p), partial(score, i, k))
+        scored = F.transform(located(text, p, CONTEXT), partial(score, i, k))
         more[k] = F.filter(scored, partial(lambda k, s: s["score"] >= limits[k], k))
     return base, more
 
 
+SPAN, SCORED = "struct<kind:string,start:int,end:int>", "struct<start:int,end:int,kind:string,score:double,base:boolean>"
+
+
+def added(base: str, more: str) -> Column:
+    """array of SPAN: the candidates of ``more`` that meet no span of ``base``; overlapping ones become one span with the
+    kind of the best scored, of equal ones the first.
+
+    Sweeps over the sorted spans, once forwards and once backwards for each of the two questions.
+    """
+    as_scored = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind"), F.lit(0.0).alias("score"), F.lit(True).alias("base")))
+    both = F.array_sort(F.concat(as_scored, F.col(more)))
+    # the farthest end of base spans that begin before, and from the end the start of the next base span
+    reach = lambda b: running(b, F.lit(0), lambda s, x: F.when(x["base"], F.greatest(s, x["end"])).otherwise(s), lambda s, x: s, "int")
+    ahead = lambda b: F.reverse(running(F.reverse(b), F.lit(2**31 - 1), lambda s, x: F.when(x["base"], x["start"]).otherwise(s), lambda s, x: s, "int"))
+    clear = let(both, lambda b: let(reach(b), lambda low: let(ahead(b), lambda high: F.filter(
+        b, lambda x, i: ~x["base"] & (F.get(low, i) <= x["start"]) & (F.get(high, i) >= x["end"])))))
+    ends = lambda c: running(c, F.lit(0), lambda s, x: F.greatest(s, x["end"]), lambda s, x: s, "int")
+    fresh = let(clear, lambda c: F.zip_with(c, ends(c), lambda x, e: F.struct(*(x[f].alias(f) for f in ("start", "end", "kind", "score")), (x["start"] >= e).alias("fresh"))))
+    # from the end again: the end and the best of what follows in a run of overlapping spans, given out at its first span
+    rest = F.struct(F.lit(0).alias("end"), F.lit(-1.0).cast("double").alias("score"), F.lit("").alias("kind"))
+    best = lambda s, x: F.struct(F.greatest(s["end"], x["end"]).alias("end"), F.greatest(s["score"], x["score"]).alias("score"), F.when(x["score"] >= s["score"], x["kind"]).otherwise(s["kind"]).alias("kind"))
+    runs = running(F.reverse(fresh), rest, lambda s, x: F.when(x["fresh"], rest).otherwise(best(s, x)),
+                   lambda s, x: F.when(x["fresh"], F.struct(best(s, x)["kind"].alias("kind"), x["start"].alias("start"), best(s, x)["end"].alias("end"))), SPAN)
+    done = F.reverse(F.filter(runs, lambda r: r.isNotNull()))
+    return let(done, lambda d: F.concat(*(F.filter(d, partial(lambda k, r: r["kind"] == k, k)) for k in GENERATORS)))
+
+
 def with_spans(docs: DataFrame, text: str, model: Trees, limits: dict[str, float]) -> DataFrame:
-    """Adds _base (spans of each base kind) and _all (all spans), in the order of kinds, then of starts.
+    """Adds _base (spans of each base kind) and _all (all spans: these, then those added), each in the order of kinds, then of starts.
 
     A text without a digit, an at sign or a word that tells of a key has no candidate of any kind and is not searched
     further.
     """
     col = F.coalesce(F.col(text), F.lit(""))
     gate = col.rlike("[0-9@]") | col.rlike(TOLD_KEY)
-    shape = "array<struct<kind:string,start:int,end:int>>"
     base, more = span_lists(col, model, limits)
     tagged = [F.transform(s, partial(lambda k, v: F.struct(F.lit(k).alias("kind"), v["start"].alias("start"), v["end"].alias("end")), k)) for k, s in base.items()]
-    none = F.array().cast(shape)
+    none = F.array().cast(f"array<{SPAN}>")
     out = docs.withColumn("_base", F.when(gate, F.concat(*tagged)).otherwise(none))
-    out = out.withColumn("_more", F.when(gate, F.concat(*more.values())).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")))
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    clear = F.filter("_more", lambda s: ~F.exists("_base", lambda b: meets(s, b)))
-    # of overlapping candidates the best stays; of equal ones the first
-    ahead = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"]))))
-    out = out.withColumn("_clear", clear)
-    best = F.filter("_clear", lambda s: ~F.exists("_clear", lambda o: meets(s, o) & ahead(o, s)))
-    plain = F.transform(best, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return out.withColumn("_all", F.concat("_base", plain)).drop("_more", "_clear")
+    out = out.withColumn("_more", F.when(gate, F.concat(*more.values())).otherwise(F.array().cast(f"array<{SCORED}>")))
+    return out.withColumn("_all", F.when(F.size("_more") > 0, F.concat("_base", added("_base", "_more"))).otherwise(F.col("_base"))).drop("_more")
 
 
 def said(spans: str) -> Column:
@@ -256,7 +260,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Base spans are the leftmost matches of fixed patterns that pass their checks. Generators propose further
     candidates (keys and passwords, short ones where they are told, bank accounts, social security numbers, local telephone numbers), boosted
     trees score their format and the words before them, and those that reach the calibrated threshold of their
-    kind and meet no base span are added; of overlapping ones the best scored. The trees are fitted on invented
+    kind and meet no base span are added; overlapping ones become one span of the best scored kind. The trees are fitted on invented
     examples, compiled to one expression, and run where the text is: no Python on executors, no shuffle.
 
     Null or empty text has no span; rows that repeat are searched each; a null id is shown as null.
@@ -273,12 +277,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     out = with_spans(docs, text, model, limits)
     by_start = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        put = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], put).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                       lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
+    done = replaced(F.col(text), by_start, lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">")))
     return out.withColumn(text, F.when(F.size("_all") > 0, done).otherwise(F.col(text))).drop("_base", "_all")
 
 

@@ -94,3 +94,39 @@ def test_long_keys_and_short_told_passwords(spark):
     got = {row.doc_id: row.spans for row in personal_data(docs).collect()}
     assert [got[k] for k in range(9)] == ["key:7:135", "key:7:308", "key:7:128", "secret:10:17", "secret:9:13", "secret:9:18", "", "", ""]
     assert redacted(docs.where("doc_id = 3")).head().text == "password: <secret> ok"
+
+
+def test_very_many_spans_take_linear_time(spark):
+    import time
+
+    parts = [f"10.{i % 250}.{i // 250 % 250}.7" for i in range(100_000)]
+    text = "; ".join(parts) + " password=7602ad27cf5550de1c " + " ".join(f"ab{i:09d}f" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    personal_data(docs.limit(0)).count()
+    began = time.time()
+    row = personal_data(docs).head()
+    assert row.n_ip == 100_000 and time.time() - began < 60
+    assert row.base_sha256 == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
+    assert redacted(docs).head().text.startswith("<ip>; " * 1000)
+
+
+def test_overlapping_candidates_become_one_span_and_none_meets_a_base_span(spark):
+    from larkspur.llm.pii import SCORED, SPAN, added
+    from pyspark.sql import functions as F
+
+    r = __import__("random").Random(8)
+    rows = []
+    for _ in range(60):
+        cut = lambda n: [(a, a + 1 + r.randrange(12)) for a in r.sample(range(150), n)]
+        rows.append(([("ip", a, b) for a, b in cut(r.randrange(4))], [(a, b, r.choice(["key", "tel", "ssn"]), r.random(), False) for a, b in cut(r.randrange(20))]))
+    df = spark.createDataFrame(rows, f"base array<{SPAN}>, more array<{SCORED}>")
+    for row in df.withColumn("got", added("base", "more")).collect():
+        clear = sorted(tuple(m) for m in row.more if not any(m.start < b.end and b.start < m.end for b in row.base))
+        runs = []
+        for m in clear:
+            if runs and m[0] < runs[-1][1]:
+                runs[-1] = [runs[-1][0], max(runs[-1][1], m[1]), runs[-1][2] + [m]]
+            else:
+                runs.append([m[0], m[1], [m]])
+        want = [(max(ms, key=lambda m: m[3])[2], a, b) for a, b, ms in runs]
+        assert sorted(map(tuple, row.got)) == sorted(want)
