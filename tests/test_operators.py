@@ -144,10 +144,29 @@ def test_sources(spark, tmp_path):
     assert sources.json_array(spark, str(tmp_path / "a.json"), "x int").count() == 2
     (tmp_path / "a.xml").write_text("<l><Data><x>1</x></Data><Data><x>2</x></Data></l>")
     assert sources.xml_items(spark, str(tmp_path / "a.xml"), "Data", "x int").count() == 2
-    pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c")], "doc_id int, page int, content string")
-    for _ in range(2):
-        sources.write_pages(pages, str(tmp_path / "pages"))
-    assert spark.read.parquet(str(tmp_path / "pages")).count() == 3
+
+
+def test_page_store(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    assert sources.load_pages(spark, path, [1]) is None
+    pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c"), (3, 1, "d")], "doc_id int, page int, content string")
+    sources.write_pages(pages, path, 2)
+    sources.write_pages(pages.where("doc_id = 1 AND page = 1").withColumn("content", F.lit("new")), path, 2)
+    assert sorted(map(tuple, spark.read.parquet(path).select("doc_id", "page", "content").collect())) == [(1, 1, "new"), (2, 1, "c"), (3, 1, "d")]
+    assert {tuple(r) for r in sources.load_pages(spark, path, [1, 3, 9], 2).collect()} == {(1, 1, "new"), (3, 1, "d")}
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id int, v string")
+    errors = {"v": F.col("v").isNull()}
+    assert sources.insert_counted(rows, str(tmp_path / "t"), errors, dry_run=True) == {"inserted": 2, "failed": 1} and not sources.exists(spark, str(tmp_path / "t"))
+    assert sources.insert_counted(rows, str(tmp_path / "t"), errors) == {"inserted": 2, "failed": 1} and spark.read.parquet(str(tmp_path / "t")).count() == 2
+    sources.append_events(rows, str(tmp_path / "good"), str(tmp_path / "bad"), errors, F.concat(F.lit("c"), F.col("id").cast("string")))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [(2, None, "c2", ["v"])] and spark.read.parquet(str(tmp_path / "good")).count() == 2
+    sources.write_json(rows, str(tmp_path / "j"))
+    assert spark.read.schema("id int, v string").json(str(tmp_path / "j")).count() == 3
+    got = sources.scan(rows, ["id"], {"v": None}).collect() + sources.scan(rows, ["id"], among={"v": ["a", "c"]}, order=[F.desc("id")], limit=1).collect()
+    assert [r.id for r in got] == [2, 3]
 
 
 def test_lexical_match_wants_a_variant(spark):
