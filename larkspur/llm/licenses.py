@@ -81,6 +81,36 @@ WORDING = [
     ("cc0", "related or neighboring rights", "waived all copyright and related or neighboring rights", 0.95),
     ("gpl", "is free software you can redistribute", "(?:this|the) (?:program|library|software) is free software you can redistribute it and or modify it", 0.8),
     ("gpl", "verbatim copies of this license document", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 0.8),
+    ("apache-2.0", "except in compliance with the license", "you may not use this file except in compliance with the license", 0.95),
+    ("apache-2.0", "without warranties or conditions of any kind", "(?:distributed )?on an as is basis without warranties or conditions of any kind", 0.9),
+    ("apache-2.0", "terms and conditions for use reproduction", "terms and conditions for use reproduction and distribution", 0.9),
+    ("mit", "portions of the software", "(?:this|the above copyright notice and this) permission notice shall be included in all copies or substantial portions of the software", 1.0),
+    ("bsd", "retain the above copyright notice", "redistributions of source code must retain the above copyright notice this list of conditions", 0.95),
+    ("bsd", "reproduce the above copyright notice", "redistributions in binary form must reproduce the above copyright notice this list of conditions", 0.95),
+    ("bsd", "copyright holders and contributors as is", "this software is provided by the copyright holders and contributors as is", 0.9),
+    ("bsd-4-clause", "advertising materials mentioning", "all advertising materials mentioning features or use of this software must display", 1.0),
+    ("gpl-2.0", "either version 2 of the license", "either version 2 of the license or at your option any later version", 0.95),
+    ("gpl-3.0", "either version 3 of the license", "either version 3 of the license or at your option any later version", 0.95),
+    ("gpl", "without even the implied warranty", "without even the implied warranty of merchantability or fitness for a particular purpose", 0.8),
+    ("gpl", "you should have received a copy of the gnu", "you should have received a copy of the gnu (?:affero |lesser )?general public license", 0.9),
+    ("agpl-3.0", "interacting with it remotely", "all users interacting with it remotely through a computer network", 0.95),
+    ("lgpl-2.1", "either version 2 1 of the license", "either version 2 1 of the license or at your option any later version", 0.95),
+    ("mpl-2.0", "source code form is subject to", "this source code form is subject to the terms of the mozilla public license", 1.0),
+    ("mpl-2.0", "incompatible with secondary licenses", "incompatible with secondary licenses as defined by the mozilla public license", 0.9),
+    ("epl-2.0", "accompanying materials are made available", "this program and the accompanying materials are made available under the terms of the eclipse public license", 1.0),
+    ("cddl", "common development and distribution", "the contents of this file are subject to the terms of the common development and distribution license", 1.0),
+    ("artistic-2.0", "the package", "you may (?:modify your copy of|distribute verbatim copies of the source form of) the package", 0.7),
+    ("zlib", "altered source versions must be plainly marked", "altered source versions must be plainly marked as such", 0.95),
+    ("cc-by-attribution", "give appropriate credit", "you must give appropriate credit provide a link to the license and indicate if changes were made", 0.95),
+    ("cc-by-sa", "distribute your contributions under the same license", "you must distribute your contributions under the same license as the original", 0.95),
+    ("cc-by-nc", "for commercial purposes", "you may not use the material for commercial purposes", 0.9),
+    ("cc-by-nd", "distribute the modified material", "you may not distribute the modified material", 0.9),
+    ("cc0", "dedicate any and all copyright interest", "dedicate any and all copyright interest in the (?:software|work) to the public domain", 0.95),
+    ("odbl", "open database license", "this database is made available under the open database license", 1.0),
+    ("python", "psf is making python", "psf is making python available to licensee on an as is basis", 1.0),
+    ("openssl", "openssl toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit", 1.0),
+    ("beerware", "buy me a beer", "if we meet some day and you think this stuff is worth it you can buy me a beer in return", 1.0),
+    ("confidential", "contains confidential information", "this (?:document|message|file) contains confidential information", 0.7),
     ("proprietary", "unauthorized copying", "unauthorized copying of this file via any medium is strictly prohibited", 0.95),
     ("proprietary", "may be reproduced", "no part of this (?:publication|book|work|document) may be reproduced", 0.8),
 ]
