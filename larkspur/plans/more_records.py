@@ -235,13 +235,13 @@ def w04(spark, d):
 
 
 @query("v11_marker_matches", over("words", """
-SELECT page * 1000 + seq AS marker_id, text, y FROM (SELECT *, row_number() OVER (PARTITION BY page, text ORDER BY seq) AS n FROM words) t WHERE n = 1"""))
+SELECT page * 1000000 + seq AS marker_id, text, y FROM (SELECT *, row_number() OVER (PARTITION BY page, text ORDER BY seq) AS n FROM words) t WHERE n = 1"""))
 def v11(spark, d):
     words = stand_in(spark, d, "words")
     first = words.groupBy("page", "text").agg(F.min("seq").alias("seq"))
-    markers = first.select((F.col("page") * 1000 + F.col("seq")).alias("marker_id"), "page", F.concat(F.lit('"'), F.upper("text"), F.lit('"')).alias("marker"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("region"), F.lit(3300).alias("page_height"))
+    markers = first.select((F.col("page") * 1000000 + F.col("seq")).alias("marker_id"), "page", F.concat(F.lit('"'), F.upper("text"), F.lit('"')).alias("marker"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("region"), F.lit(3300).alias("page_height"))
     found = layout.marker_matches(words, markers)
-    at = words.join(first, ["page", "text", "seq"], "left_semi").select((F.col("page") * 1000 + F.col("seq")).alias("marker_id"), F.col("y").alias("own"))
+    at = words.join(first, ["page", "text", "seq"], "left_semi").select((F.col("page") * 1000000 + F.col("seq")).alias("marker_id"), F.col("y").alias("own"))
     return found.join(at, "marker_id").select("marker_id", "text", F.col("y").cast("int").alias("y"))
 
 

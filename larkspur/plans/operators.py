@@ -57,11 +57,11 @@ def d02(spark, d):
 
 
 @query("d03_upsert", """
-WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice, 0 AS fresh FROM orders UNION ALL SELECT o_custkey, o_orderkey + o_orderkey % 2, o_totalprice + 1, 1 FROM orders)
-SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM b QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, fresh DESC, o_totalprice DESC) = 1""")
+WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice, 0 AS fresh FROM orders UNION ALL SELECT o_custkey, xor(o_orderkey, 1), o_totalprice + 1, 1 FROM orders)
+SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM b QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, fresh DESC) = 1""")
 def d03(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    new = o.select("o_custkey", (F.col("o_orderkey") + F.col("o_orderkey") % 2).alias("o_orderkey"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    new = o.select("o_custkey", F.col("o_orderkey").bitwiseXOR(F.lit(1)).alias("o_orderkey"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
     return reconcile.upsert(o, new, ["o_custkey"], "o_orderkey").withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 

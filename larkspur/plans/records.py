@@ -419,7 +419,7 @@ def t06(spark, d):
     return queues.watchdog(stand_in(spark, d, "jobs"), late())
 
 
-LIMITED = """RECURSIVE e AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS s, value::BIGINT % 50 AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT, event_id) AS n FROM events),
+LIMITED = """RECURSIVE e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS s, floor(value)::BIGINT % 50 AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT, event_id) AS n FROM events),
 w(event_id, user_id, n, opened, used, spent, allowed) AS (SELECT event_id, user_id, n, s, 1, tokens, true FROM e WHERE n = 1
 UNION ALL SELECT e.event_id, e.user_id, e.n, CASE WHEN e.s > w.opened + 86400 THEN e.s ELSE w.opened END, CASE WHEN e.s > w.opened + 86400 THEN 1 ELSE w.used + (w.used < 3 AND w.spent + e.tokens <= 80)::INT END,
 CASE WHEN e.s > w.opened + 86400 THEN e.tokens ELSE w.spent + CASE WHEN w.used < 3 AND w.spent + e.tokens <= 80 THEN e.tokens ELSE 0 END END, e.s > w.opened + 86400 OR (w.used < 3 AND w.spent + e.tokens <= 80) FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)"""
@@ -427,7 +427,7 @@ CASE WHEN e.s > w.opened + 86400 THEN e.tokens ELSE w.spent + CASE WHEN w.used <
 
 @query("t02_t03_window_limit", f"WITH {LIMITED} SELECT event_id, allowed FROM w")
 def t02(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + 0.5).alias("s"), (F.round("value").cast("long") % 50).alias("tokens"))
+    e = table(spark, d, "events").select("event_id", "user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), (F.floor("value") % 50).alias("tokens"))
     return queues.window_limit(e, ["user_id"], "s", "event_id", 3, 86400, "tokens", 80).select("event_id", "allowed")
 
 
