@@ -10,6 +10,8 @@ from ..functions.text import DIAGNOSIS, MEASURED, MEDICATION, PROCEDURE
 
 #: Queries that meet a code in one row.
 BLOCK = 256
+#: Bytes of query vectors that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def vector_search(
@@ -35,7 +37,10 @@ def vector_search(
     have = codes.select(*key, *([F.col(kind).alias("_kind")] if kind else []), unit(F.col(vector)).alias("_v"))
     scored = F.transform("_asked", lambda q: F.struct(q[query].alias(query), F.round(unit_dot(q["_q"], F.col("_v")), 6).alias("similarity"), *([q[kind].alias("_wanted")] if kind else [])))
     hits = F.filter(scored, lambda h: (h["similarity"] >= minimum) & ((h["_wanted"].isNull() | (h["_wanted"] == F.col("_kind"))) if kind else F.lit(True)))
-    found = have.crossJoin(blocks).select(*key, F.inline(hits))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("_q")).alias("dims")).first()
+    # every code meets every query: sent to all tasks while that is small, else block by block in a product of partitions
+    small = size["n"] * 8 * max(size["dims"] or 0, 1) <= BROADCAST_BYTES
+    found = have.crossJoin(F.broadcast(blocks) if small else blocks).select(*key, F.inline(hits))
     order = Window.partitionBy(query).orderBy(F.desc("similarity"), *key)
     return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select(query, *key, "similarity", "position")
 
