@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import access, flags, graph, layout, model_output, processing, queues, reconcile, records, retrieval, timeline
+from . import access, aggregates, flags, graph, layout, model_output, processing, queues, reconcile, records, retrieval, timeline
 
-__all__ = ["access", "flags", "graph", "layout", "model_output", "processing", "queues", "reconcile", "records", "retrieval", "timeline"]
+__all__ = ["access", "aggregates", "flags", "graph", "layout", "model_output", "processing", "queues", "reconcile", "records", "retrieval", "timeline"]
