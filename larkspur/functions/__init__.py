@@ -63,7 +63,8 @@ def unit(v: Column) -> Column:
 
 def unit_dot(a: Column, b: Column) -> Column:
     """The cosine of two unit vectors; an error where their lengths differ."""
-    wrong = F.raise_error(F.concat(F.lit("vectors of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"), F.lit(" dimensions"))).cast("double")
+    wrong = F.raise_error(F.concat(F.lit("vectors of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"),
+        F.lit(" dimensions"))).cast("double")
     return F.when(F.size(a) != F.size(b), wrong).otherwise(_dot(a, b))
 
 
@@ -87,8 +88,10 @@ def normalized_date(raw: Column, max_year: int, birth: bool = False) -> Column:
     years pivot at 50. Dates of birth must lie in 1900..max_year.
     """
     t = F.trim(raw)
-    iso = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(F.regexp_extract(t, r"^(\d{4}-\d{1,2}-\d{1,2})", 1), F.lit("yyyy-M-d")).cast("date"))
-    text = F.coalesce(*(F.when(t.rlike("[A-Za-z]"), F.try_to_timestamp(t, F.lit(f)).cast("date")) for f in ("d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")))
+    iso = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(F.regexp_extract(t, r"^(\d{4}-\d{1,2}-\d{1,2})", 1),
+        F.lit("yyyy-M-d")).cast("date"))
+    text = F.coalesce(*(F.when(t.rlike("[A-Za-z]"), F.try_to_timestamp(t, F.lit(f)).cast("date")) for f in ("d MMM yyyy", "d MMMM yyyy",
+        "MMM d, yyyy", "MMMM d, yyyy")))
     part = lambda i: F.regexp_extract(t, r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2}|\d{4})$", i).try_cast("int")
     a, b, y = part(1), part(2), part(3)
     year = F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y)
@@ -99,8 +102,10 @@ def normalized_date(raw: Column, max_year: int, birth: bool = False) -> Column:
     date = F.coalesce(iso, text, numeric)
     sane = ~F.lit(birth) | F.year(date).between(1900, max_year)
     method = (
-        F.when(F.coalesce(t, F.lit("")) == "", "empty").when(date.isNotNull() & ~sane, "failed_sanity_check").when(iso.isNotNull(), "iso").when(text.isNotNull(), "text")
-        .when(numeric.isNotNull() & unsure, "ambiguous_default").when(numeric.isNotNull() & month_first, "mm_dd").when(numeric.isNotNull(), "dd_mm").otherwise("unparseable")
+        F.when(F.coalesce(t, F.lit("")) == "", "empty").when(date.isNotNull() & ~sane, "failed_sanity_check").when(iso.isNotNull(),
+            "iso").when(text.isNotNull(), "text")
+        .when(numeric.isNotNull() & unsure, "ambiguous_default").when(numeric.isNotNull() & month_first, "mm_dd").when(numeric.isNotNull(),
+            "dd_mm").otherwise("unparseable")
     )
     error = F.when(date.isNotNull() & ~sane, "year_out_of_range").when(date.isNull() & a.isNotNull(), "date_rollover")
     sure = F.when(F.coalesce(date.isNotNull() & sane, F.lit(False)) & ~F.coalesce(unsure, F.lit(False)), "high").otherwise("low")

@@ -11,7 +11,8 @@ from .text import squeezed
 # fixed values: words of dosage forms and of frequencies
 FORMS = "tablet|capsule|injection|syrup|cream|ointment|oral liquid|suppository|pessary|powder|solution|suspension"
 AMOUNT = r"\d+(?:\.\d+)?\s*(?:mg|g|ml|mcg|micrograms?|milligrams?)"
-FREQUENCIES = ["daily", "once.*day", "twice.*day", "three.*times.*day", "every.*hours?", "bid", "tid", "qid", r"q\d+h", "weekly", "monthly", "as.*needed", "prn"]
+FREQUENCIES = ["daily", "once.*day", "twice.*day", "three.*times.*day", "every.*hours?", "bid", "tid", "qid", r"q\d+h", "weekly", "monthly",
+    "as.*needed", "prn"]
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 
@@ -83,7 +84,8 @@ def content_hash(v: Column) -> Column:
 
 def redacted_file(v: Column) -> Column:
     """How many bytes a base64 text stands for."""
-    return F.when(F.coalesce(v, F.lit("")) == "", "[NO_DATA]").otherwise(F.concat(F.lit("[BASE64_REDACTED:"), F.length(F.unbase64(v)).cast("string"), F.lit("_bytes]")))
+    return F.when(F.coalesce(v, F.lit("")) == "", "[NO_DATA]").otherwise(F.concat(F.lit("[BASE64_REDACTED:"), F.length(F.unbase64(v)).cast("string"),
+        F.lit("_bytes]")))
 
 
 def redacted_log(patient: Column, ocr: Column, prompt: Column, data: Column, most: int = 200) -> Column:

@@ -34,8 +34,10 @@ def date_forms(date: Column) -> list[Column]:
     """The columns of a date dictionary."""
     d = date.cast("date")
     return [
-        d.alias("date"), F.date_format(d, "yyyy-MM-dd").alias("iso"), F.date_format(d, "dd/MM/yyyy").alias("day_first"), F.date_format(d, "MM/dd/yyyy").alias("month_first"),
-        F.date_format(d, "dd-MMM-yyyy").alias("short"), F.date_format(d, "d MMMM yyyy").alias("long"), F.upper(F.date_format(d, "EEEE")).alias("weekday"),
+        d.alias("date"), F.date_format(d, "yyyy-MM-dd").alias("iso"), F.date_format(d, "dd/MM/yyyy").alias("day_first"),
+            F.date_format(d, "MM/dd/yyyy").alias("month_first"),
+        F.date_format(d, "dd-MMM-yyyy").alias("short"), F.date_format(d, "d MMMM yyyy").alias("long"),
+            F.upper(F.date_format(d, "EEEE")).alias("weekday"),
         F.year(d).alias("year"), F.quarter(d).alias("quarter"), F.month(d).alias("month"), F.dayofmonth(d).alias("day"),
     ]
 
@@ -61,4 +63,5 @@ def visit_dates(real: Column, start: Column, end: Column, source: Column, file_d
     """struct<start, end, source>: a visit keeps what was read; else what was read, the file's date or today, as one day."""
     other = F.coalesce(start, file_date, today)
     told = F.when(start.isNotNull(), "ai_extracted").when(file_date.isNotNull(), "file_metadata").otherwise("upload_date")
-    return F.when(real, F.struct(start.alias("start"), end.alias("end"), source.alias("source"))).otherwise(F.struct(other.alias("start"), other.alias("end"), told.alias("source")))
+    return F.when(real, F.struct(start.alias("start"), end.alias("end"), source.alias("source"))).otherwise(F.struct(other.alias("start"),
+        other.alias("end"), told.alias("source")))

@@ -43,7 +43,8 @@ def sanitized_fields(v: Column, most: int = 200) -> Column:
 
 def cultural_context(v: Column, language: str = "en", country: str = "AU") -> Column:
     """The cultural context that a profile has, else a default one."""
-    return F.coalesce(F.nullif(F.nullif(v, F.lit("")), F.lit("{}")), F.to_json(F.struct(F.lit(language).alias("language"), F.lit(country).alias("country"))))
+    return F.coalesce(F.nullif(F.nullif(v, F.lit("")), F.lit("{}")),
+        F.to_json(F.struct(F.lit(language).alias("language"), F.lit(country).alias("country"))))
 
 
 def source_system(v: Column, suffix: str) -> Column:

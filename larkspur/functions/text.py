@@ -12,7 +12,8 @@ SALTS = [
     "hydrochloride", "arginine", "berbumine", "tosylate", "succinate", "maleate", "fumarate", "tartrate", "phosphate", "sulfate",
     "sulphate", "acetate", "citrate", "lactate", "oxalate", "benzoate", "trihydrate", "dihydrate", "monohydrate", "anhydrous",
 ]
-RELEASES = ["tablet (extended release)", "tablet (modified release)", "tablet (enteric coated)", "capsule (extended release)", "capsule (modified release)"]
+RELEASES = ["tablet (extended release)", "tablet (modified release)", "tablet (enteric coated)", "capsule (extended release)",
+    "capsule (modified release)"]
 # fixed values: entity types that share a rule
 MEDICATION, PROCEDURE = ("medication", "immunization"), ("procedure",)
 DIAGNOSIS, MEASURED = ("diagnosis", "allergy", "symptom"), ("vital_sign", "lab_result", "physical_finding")
@@ -36,7 +37,8 @@ def plain_number(v: Column) -> Column:
 def in_milligrams(v: Column, unit: str, factor: float) -> Column:
     """Each amount in ``unit`` as milligrams: what stands between the matches is joined with the amounts in turn."""
     pattern = rf"(?i)(\d+\.?\d*)\s*{unit}\b"
-    amounts = F.transform(F.regexp_extract_all(v, F.lit(pattern), F.lit(1)), lambda n: F.concat(plain_number(n.cast("double") * factor), F.lit(" mg")))
+    amounts = F.transform(F.regexp_extract_all(v, F.lit(pattern), F.lit(1)),
+        lambda n: F.concat(plain_number(n.cast("double") * factor), F.lit(" mg")))
     return F.array_join(F.transform(F.split(v, pattern, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(amounts, i), F.lit("")))), "")
 
 
@@ -59,7 +61,8 @@ def procedure_text(name: Column) -> Column:
 
 def code_text(kind: Column, name: Column, search: Column) -> Column:
     """The normaliser of an entity type; lower case for types without one."""
-    return F.when(kind == "medication", medication_text(name, search)).when(kind == "procedure", procedure_text(name)).otherwise(F.lower(F.trim(name)))
+    return F.when(kind == "medication", medication_text(name, search)).when(kind == "procedure",
+        procedure_text(name)).otherwise(F.lower(F.trim(name)))
 
 
 def embedding_text(kind: Column, text: Column, meaning: Column, context: Column) -> Column:
@@ -138,7 +141,8 @@ def valid_phone(v: Column) -> Column:
 def formatted_phone(v: Column) -> Column:
     """(ddd) ddd-dddd for ten digits, else as it is (F32)."""
     d = F.regexp_replace(v, r"\D", "")
-    return F.when(F.length(d) == 10, F.concat(F.lit("("), F.left(d, F.lit(3)), F.lit(") "), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4))).otherwise(v)
+    return F.when(F.length(d) == 10, F.concat(F.lit("("), F.left(d, F.lit(3)), F.lit(") "), F.substring(d, 4, 3), F.lit("-"),
+        F.substring(d, 7, 4))).otherwise(v)
 
 
 def title(*parts: Column) -> Column:

@@ -4,4 +4,5 @@ from __future__ import annotations
 
 from . import access, aggregates, flags, graph, layout, model_output, processing, queues, reconcile, records, retrieval, timeline
 
-__all__ = ["access", "aggregates", "flags", "graph", "layout", "model_output", "processing", "queues", "reconcile", "records", "retrieval", "timeline"]
+__all__ = ["access", "aggregates", "flags", "graph", "layout", "model_output", "processing", "queues", "reconcile", "records", "retrieval",
+    "timeline"]

@@ -64,16 +64,19 @@ def provider_access(asked: DataFrame, grants: DataFrame, as_of: Column) -> DataF
     first = open_grants.groupBy("provider_id", "patient_id", "resource").agg(F.min(F.struct("grant_id", "pledged", "expires_at")).alias("g"))
     pledged = F.coalesce(F.col("g.pledged"), F.lit(False))
     reason = F.when(F.col("g").isNull(), "no_active_permission").when(~pledged, "pledge_not_acknowledged")
-    return asked.join(first, ["provider_id", "patient_id", "resource"], "left").select(*asked.columns, reason.isNull().alias("granted"), reason.alias("reason"), F.col("g.grant_id").alias("grant_id"))
+    return asked.join(first, ["provider_id", "patient_id", "resource"], "left").select(*asked.columns, reason.isNull().alias("granted"),
+        reason.alias("reason"), F.col("g.grant_id").alias("grant_id"))
 
 
 def consented(asked: DataFrame, consents: DataFrame, as_of: Column, purpose: str = "healthcare_services") -> DataFrame:
     """Every question (patient_id, accessor_id, resource) with ``allowed``: a consent for that purpose holds, given to the
     accessor or to all, for the resource or for all (R05)."""
-    held = consents.where((F.col("purpose") == purpose) & F.col("granted") & valid_at(F.col("valid_from"), F.col("valid_until"), as_of) & F.col("revoked_at").isNull())
+    held = consents.where((F.col("purpose") == purpose) & F.col("granted") & valid_at(F.col("valid_from"), F.col("valid_until"),
+        as_of) & F.col("revoked_at").isNull())
     held = held.select("patient_id", F.col("granted_to").alias("_to"), F.col("resource_type").alias("_for")).distinct()
     n = held.groupBy("patient_id").agg(F.collect_set(F.struct("_to", "_for")).alias("_held"))  # who and what are few for a patient
-    some = F.exists("_held", lambda h: (h["_to"].isNull() | (h["_to"] == F.col("accessor_id"))) & (h["_for"].isNull() | (h["_for"] == F.col("resource"))))
+    some = F.exists("_held",
+        lambda h: (h["_to"].isNull() | (h["_to"] == F.col("accessor_id"))) & (h["_for"].isNull() | (h["_for"] == F.col("resource"))))
     return asked.join(n, "patient_id", "left").select(*asked.columns, F.coalesce(some, F.lit(False)).alias("allowed"))
 
 
@@ -94,7 +97,8 @@ def semantic_access(asked: DataFrame, access: DataFrame, consents: DataFrame, pr
     basic = access.select("user_id", "profile_id").distinct().withColumn("_basic", F.lit(True))
     given = consents.where((F.col("consent_type") == "ai_processing") & (F.col("status") == "granted") & unexpired(F.col("expires_at"), as_of))
     given = given.select(F.col("patient_id").alias("profile_id")).distinct().withColumn("_consent", F.lit(True))
-    active = relations.where((F.col("status") == "active") & F.col("consent_given")).join(providers.where("active").select("provider_id", "user_id"), "provider_id")
+    active = relations.where((F.col("status") == "active") & F.col("consent_given")).join(providers.where("active").select("provider_id", "user_id"),
+        "provider_id")
     active = active.select("user_id", F.col("patient_id").alias("profile_id")).distinct().withColumn("_provider", F.lit(True))
     rows = asked.join(basic, ["user_id", "profile_id"], "left").join(given, "profile_id", "left").join(active, ["user_id", "profile_id"], "left")
     is_set = lambda c: F.coalesce(c, F.lit(False))
@@ -106,10 +110,12 @@ def allowed_patients(profiles: DataFrame, as_of: Column) -> DataFrame:
     """(profile_id, patient_id, relationship, scope, valid_until): each profile itself, and its owner's other profiles of type
     self in an emergency (R07, J05)."""
     own = profiles.where(F.col("archived") == F.lit(False))
-    full = own.select("profile_id", F.col("profile_id").alias("patient_id"), F.col("profile_type").alias("relationship"), F.lit("full").alias("scope"), F.add_months(as_of, 12).alias("valid_until"))
+    full = own.select("profile_id", F.col("profile_id").alias("patient_id"), F.col("profile_type").alias("relationship"),
+        F.lit("full").alias("scope"), F.add_months(as_of, 12).alias("valid_until"))
     selves = profiles.where("profile_type = 'self'").select(F.col("owner_id"), F.col("profile_id").alias("patient_id"))
     other = own.select("profile_id", "owner_id").join(selves, "owner_id").where("patient_id <> profile_id")
-    emergency = other.select("profile_id", "patient_id", F.lit("emergency").alias("relationship"), F.lit("emergency").alias("scope"), F.add_months(as_of, 6).alias("valid_until"))
+    emergency = other.select("profile_id", "patient_id", F.lit("emergency").alias("relationship"), F.lit("emergency").alias("scope"),
+        F.add_months(as_of, 6).alias("valid_until"))
     return full.unionByName(emergency)
 
 
@@ -142,5 +148,6 @@ def given_consent(consents: DataFrame, fresh: DataFrame, as_of: Column) -> DataF
     hit = F.col("_fresh").isNotNull()
     return both.select(
         *key, F.when(hit, True).otherwise(F.col("granted")).alias("granted"), F.when(hit, as_of).otherwise(F.col("valid_from")).alias("valid_from"),
-        F.when(hit, F.lit(None)).otherwise(F.col("revoked_at")).cast("timestamp_ntz").alias("revoked_at"), F.when(hit, merged).otherwise(F.col("evidence")).alias("evidence"),
+        F.when(hit, F.lit(None)).otherwise(F.col("revoked_at")).cast("timestamp_ntz").alias("revoked_at"),
+            F.when(hit, merged).otherwise(F.col("evidence")).alias("evidence"),
     )

@@ -54,12 +54,14 @@ def overall(rows: DataFrame, measures: dict[str, Column], having: Column | None
 
 def category_stats(rows: DataFrame, key: list[str], time: str, major: Column) -> DataFrame:
     """Per key: rows, first and last time, rows that are major (A10)."""
-    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(time).alias("first_ts"), F.max(time).alias("last_ts"), F.count_if(major).alias("major"))
+    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(time).alias("first_ts"), F.max(time).alias("last_ts"),
+        F.count_if(major).alias("major"))
 
 
 def volume_stats(tables: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     """(source, total, active) of several tables."""
-    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("total"), F.count_if(active).alias("active")).select(F.lit(name).alias("source"), "total", "active") for name, (df, active) in tables.items()))
+    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("total"), F.count_if(active).alias("active")).select(F.lit(name).alias("source"),
+        "total", "active") for name, (df, active) in tables.items()))
 
 
 def dashboard(measures: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
@@ -91,7 +93,8 @@ def any_true(rows: DataFrame, key: list[str], condition: Column, name: str) -> D
 
 def quality_assessment(rows: DataFrame, a: str, b: str, complete: Column) -> DataFrame:
     """One row: the mean of a product, and the share of complete rows in percent; null without rows."""
-    return rows.agg(F.round(F.avg(F.col(a) * F.col(b)), 6).alias("score"), F.round(F.try_divide(100.0 * F.count_if(complete), F.count("*")), 1).alias("complete"))
+    return rows.agg(F.round(F.avg(F.col(a) * F.col(b)), 6).alias("score"),
+        F.round(F.try_divide(100.0 * F.count_if(complete), F.count("*")), 1).alias("complete"))
 
 
 def latest_of_group(rows: DataFrame, key: list[str], value: str, order: list[str], name: str) -> DataFrame:
@@ -119,7 +122,8 @@ def without_recent(rows: DataFrame, others: DataFrame, key: str, at: str, since:
 def either_side(edges: DataFrame, left: str, right: str, nodes: list, others: list) -> DataFrame:
     """(left, right, side) of edges whose left end is among the nodes, or whose right end is among the others (J09): an edge that meets both
     is there twice, once a side."""
-    return edges.where(F.col(left).isin(*nodes)).withColumn("side", F.lit("child")).unionByName(edges.where(F.col(right).isin(*others)).withColumn("side", F.lit("parent")))
+    return edges.where(F.col(left).isin(*nodes)).withColumn("side",
+        F.lit("child")).unionByName(edges.where(F.col(right).isin(*others)).withColumn("side", F.lit("parent")))
 
 
 def chunk_of(page: Column, size: int = 50) -> Column:

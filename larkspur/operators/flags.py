@@ -20,7 +20,8 @@ THRESHOLDS = {
     "provider_specialty_mismatch": 0.6, "low_ocr_confidence": 0.5, "incomplete_extraction": 0.6, "conflicting_data_points": 0.7,
 }
 # fixed values: words that tell of an age, a species or a kind of profile
-CHILDREN_ONLY, ADULTS_ONLY, ELDERLY = ["colic", "cradle cap", "infant reflux"], ["copd", "alzheimer", "osteoporosis", "menopause"], ["dementia", "parkinson", "heart failure"]
+CHILDREN_ONLY, ADULTS_ONLY, ELDERLY = ["colic", "cradle cap", "infant reflux"], ["copd", "alzheimer", "osteoporosis", "menopause"], ["dementia",
+    "parkinson", "heart failure"]
 NOT_FOR_PETS = ["aspirin", "ibuprofen", "acetaminophen"]
 RANGES = {
     "blood pressure systolic": (60.0, 250.0, "mmHg"), "blood pressure diastolic": (30.0, 150.0, "mmHg"), "heart rate": (20.0, 200.0, "bpm"),
@@ -47,8 +48,11 @@ class Rule:
         lit = lambda v: v if isinstance(v, Column) else F.lit(v)
         none = F.lit(None).cast("string")
         return F.when(F.coalesce(self.when, F.lit(False)), F.struct(
-            F.lit(self.code).alias("problem_code"), lit(self.severity).alias("severity"), lit(self.confidence).cast("double").alias("confidence"), F.lit(self.field).alias("field"),
-            self.raw.cast("string").alias("raw_value"), none.alias("suggestion") if self.suggestion is None else self.suggestion.cast("string").alias("suggestion"), lit(self.fixable).alias("auto_resolvable")))
+            F.lit(self.code).alias("problem_code"), lit(self.severity).alias("severity"), lit(self.confidence).cast("double").alias("confidence"),
+                F.lit(self.field).alias("field"),
+            self.raw.cast("string").alias("raw_value"),
+                none.alias("suggestion") if self.suggestion is None else self.suggestion.cast("string").alias("suggestion"),
+                lit(self.fixable).alias("auto_resolvable")))
 
 
 def any_word(v: Column, words: list[str]) -> Column:
@@ -80,7 +84,8 @@ def appointment_rules(as_of: Column) -> list[Rule]:
 def lab_rules(as_of: Column) -> list[Rule]:
     """Results from the future (Q03): a warning beyond 30 days, resolvable up to 7."""
     date, ahead = F.col("date"), F.ceil(days_ahead(F.col("date"), as_of))
-    return [Rule("future_date_check", ahead > 0, F.when(ahead > 30, "warning").otherwise("info"), 0.8, "date", date, corrected_year(date, as_of), ahead <= 7)]
+    return [Rule("future_date_check", ahead > 0, F.when(ahead > 30, "warning").otherwise("info"), 0.8, "date", date, corrected_year(date, as_of),
+        ahead <= 7)]
 
 
 def identity_rules(as_of: Column) -> list[Rule]:
@@ -91,15 +96,18 @@ def identity_rules(as_of: Column) -> list[Rule]:
     return [
         Rule("name_similarity_check", told & (like < 0.6), "critical", 1 - like, "name", F.col("name"), F.col("display_name")),
         Rule("age_consistency_check", ages > 1, "warning", 0.8, "date_of_birth", F.col("date_of_birth"), F.col("profile_birth")),
-        Rule("contact_format_check", (F.col("phone") != "") & ~valid_phone(F.col("phone")), "info", 0.7, "phone", F.col("phone"), formatted_phone(F.col("phone")), True),
+        Rule("contact_format_check", (F.col("phone") != "") & ~valid_phone(F.col("phone")), "info", 0.7, "phone", F.col("phone"),
+            formatted_phone(F.col("phone")), True),
     ]
 
 
 def condition_rules(as_of: Column) -> list[Rule]:
     """Conditions that do not fit the age (Q07): the first of three cases that holds."""
     age, c = age_years(F.col("date_of_birth"), as_of), F.col("condition")
-    case = F.when((age < 18) & any_word(c, ADULTS_ONLY), 1).when((age > 18) & any_word(c, CHILDREN_ONLY), 2).when((age < 65) & any_word(c, ELDERLY), 3)
-    return [Rule("age_appropriate_condition", case.isNotNull(), F.when(case == 3, "info").otherwise("warning"), F.when(case == 1, 0.8).when(case == 2, 0.7).otherwise(0.6), "condition", c)]
+    case = F.when((age < 18) & any_word(c, ADULTS_ONLY), 1).when((age > 18) & any_word(c, CHILDREN_ONLY), 2).when((age < 65) & any_word(c, ELDERLY),
+        3)
+    return [Rule("age_appropriate_condition", case.isNotNull(), F.when(case == 3, "info").otherwise("warning"),
+        F.when(case == 1, 0.8).when(case == 2, 0.7).otherwise(0.6), "condition", c)]
 
 
 def vital_rules() -> list[Rule]:
@@ -127,8 +135,10 @@ def suggested_profile(appointments: DataFrame, diagnoses: DataFrame) -> DataFram
     """(document_id, suggested): the kind of profile that a document's providers and conditions vote for (Q10)."""
     p, c = F.coalesce("provider", F.lit("")), F.col("condition")
     points = lambda cond, n: F.when(cond, n).otherwise(0)
-    votes = appointments.select("document_id", points(any_word(p, ["vet"]), 2).alias("pet"), points(any_word(p, ["pediatric"]), 2).alias("child"), points(any_word(p, ["obgyn", "cardiologist"]), 1).alias("human")).unionByName(
-        diagnoses.select("document_id", points(any_word(c, ["heartworm", "flea", "rabies vaccine"]), 2).alias("pet"), points(any_word(c, ["colic", "developmental"]), 1).alias("child"), F.lit(0).alias("human"))
+    votes = appointments.select("document_id", points(any_word(p, ["vet"]), 2).alias("pet"), points(any_word(p, ["pediatric"]), 2).alias("child"),
+        points(any_word(p, ["obgyn", "cardiologist"]), 1).alias("human")).unionByName(
+        diagnoses.select("document_id", points(any_word(c, ["heartworm", "flea", "rabies vaccine"]), 2).alias("pet"),
+            points(any_word(c, ["colic", "developmental"]), 1).alias("child"), F.lit(0).alias("human"))
     )
     n = votes.groupBy("document_id").agg(*(F.sum(k).alias(k) for k in ("pet", "child", "human")))
     kind = F.expr("CASE WHEN pet > human + child THEN 'pet' WHEN child > human AND child > 0 THEN 'child' WHEN human > 0 THEN 'self' END")
@@ -139,7 +149,8 @@ def profile_rules() -> list[Rule]:
     """A document that looks like another kind of profile than its own (Q10): grave between people and pets."""
     own, other = F.col("profile_type"), F.col("suggested")
     grave = ((own == "pet") & other.isin("self", "child")) | (own.isin("self", "child") & (other == "pet"))
-    return [Rule("profile_demographic_mismatch", other != own, F.when(grave, "critical").otherwise("warning"), F.when(grave, 0.9).otherwise(0.7), "profile_assignment", own, other)]
+    return [Rule("profile_demographic_mismatch", other != own, F.when(grave, "critical").otherwise("warning"), F.when(grave, 0.9).otherwise(0.7),
+        "profile_assignment", own, other)]
 
 
 def completeness(filled: dict[str, Column]) -> Column:
@@ -167,7 +178,8 @@ def conflict_rules() -> list[Rule]:
 def resolved(flags: DataFrame, decisions: DataFrame, key: str = "flag_id") -> DataFrame:
     """Flags with the status of their last decision, open where there is none (Q17): decisions have key, status, at, by."""
     last = decisions.groupBy(key).agg(F.max_by(F.struct("status", "at", "by"), F.struct("at", "status", "by")).alias("d"))
-    return flags.join(last, key, "left").select(*flags.columns, F.coalesce(F.col("d.status"), F.lit("open")).alias("status"), F.col("d.at").alias("resolved_at"), F.col("d.by").alias("resolved_by"))
+    return flags.join(last, key, "left").select(*flags.columns, F.coalesce(F.col("d.status"), F.lit("open")).alias("status"),
+        F.col("d.at").alias("resolved_at"), F.col("d.by").alias("resolved_by"))
 
 
 def flag_statistics(flags: DataFrame) -> DataFrame:

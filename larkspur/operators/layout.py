@@ -29,8 +29,10 @@ def page_text(words: DataFrame, keys: list[str], tolerance: int = 10, gap: int =
         bar = F.when(F.lead("x").over(order) - F.col("x") > gap, " |").otherwise("")
         said = F.concat(said, F.lit(" (x:"), F.col("x").cast("string"), F.lit(")"), bar)
     lines = lines.withColumn("said", said).groupBy(*keys, "line").agg(F.array_sort(F.collect_list(F.struct("x", "seq", "said"))).alias("w"))
-    lines = lines.select(*keys, "line", F.concat(F.lit("[Y:"), F.col("line").cast("string"), F.lit("] "), F.array_join(F.transform("w", lambda p: p["said"]), " ")).alias("said"))
-    return lines.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "said"))), lambda p: p["said"]), "\n").alias("text"))
+    lines = lines.select(*keys, "line", F.concat(F.lit("[Y:"), F.col("line").cast("string"), F.lit("] "),
+        F.array_join(F.transform("w", lambda p: p["said"]), " ")).alias("said"))
+    return lines.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "said"))), lambda p: p["said"]),
+        "\n").alias("text"))
 
 
 def estimated_text(text: Column, height: int = 2263, width: int = 100) -> Column:
@@ -48,16 +50,20 @@ def reading_order(blocks: Column) -> Column:
     A block is in the current row if it begins above the row's lowest end and not more than half the first block's height
     above that block. What a row is depends on its first block, so it is a fold over the blocks of a page.
     """
-    ordered = F.array_sort(F.transform(blocks, lambda b, i: F.struct(b["y"].cast("double").alias("y"), i.alias("seq"), b["x"].cast("double").alias("x"), b["h"].cast("double").alias("h"), b["id"].alias("id"))))
-    zero = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), F.lit(-1.0).alias("low"), F.array().cast("array<struct<row:int,x:double,seq:int,id:bigint>>").alias("out"))
+    ordered = F.array_sort(F.transform(blocks, lambda b, i: F.struct(b["y"].cast("double").alias("y"), i.alias("seq"),
+        b["x"].cast("double").alias("x"), b["h"].cast("double").alias("h"), b["id"].alias("id"))))
+    zero = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), F.lit(-1.0).alias("low"),
+        F.array().cast("array<struct<row:int,x:double,seq:int,id:bigint>>").alias("out"))
 
     def step(acc: Column, b: Column) -> Column:
         same = (acc["row"] >= 0) & (b["y"] < acc["low"]) & (b["y"] >= acc["y"] - acc["h"] * 0.5)
         row = F.when(same, acc["row"]).otherwise(acc["row"] + 1)
         low = F.when(same, F.greatest(acc["low"], b["y"] + b["h"])).otherwise(b["y"] + b["h"])
         return F.struct(
-            row.alias("row"), F.when(same, acc["y"]).otherwise(b["y"]).alias("y"), F.when(same, acc["h"]).otherwise(b["h"]).alias("h"), low.alias("low"),
-            F.array_append(acc["out"], F.struct(row.alias("row"), b["x"].alias("x"), b["seq"].alias("seq"), b["id"].cast("bigint").alias("id"))).alias("out"),
+            row.alias("row"), F.when(same, acc["y"]).otherwise(b["y"]).alias("y"), F.when(same, acc["h"]).otherwise(b["h"]).alias("h"),
+                low.alias("low"),
+            F.array_append(acc["out"], F.struct(row.alias("row"), b["x"].alias("x"), b["seq"].alias("seq"),
+                b["id"].cast("bigint").alias("id"))).alias("out"),
         )
 
     return F.transform(F.array_sort(F.aggregate(ordered, zero, step, lambda acc: acc["out"])), lambda b: b["id"])
@@ -79,7 +85,8 @@ def marked_lines(docs: DataFrame, key: str, text: str, keep: list[str]) -> DataF
     return lines.withColumn("page", F.last("start_of", ignorenulls=True).over(Window.partitionBy(key).orderBy("pos")))
 
 
-def sliced_text(docs: DataFrame, key: str, text: str, first: str, last: str, start_kind: str | None = None, end_kind: str | None = None, start_y: str | None = None, end_y: str | None = None, buffer: int = 150) -> DataFrame:
+def sliced_text(docs: DataFrame, key: str, text: str, first: str, last: str, start_kind: str | None = None, end_kind: str | None = None,
+    start_y: str | None = None, end_y: str | None = None, buffer: int = 150) -> DataFrame:
     """(key, text): the pages first to last of marked text with their markers (N38) and, where a boundary lies within a page, without
     the lines that stand more than ``buffer`` beyond it (P16). Lines without a place are kept; a text without such pages is empty.
     """
@@ -125,7 +132,8 @@ def marker_matches(words: DataFrame, markers: DataFrame, page: str = "page", thr
     top = F.array_min(F.transform("_run", lambda w: w["y"].cast("double")))
     low = F.array_max(F.transform("_run", lambda w: (w["y"] + w["height"]).cast("double")))
     mean = F.aggregate("_run", F.lit(0.0), lambda s, w: s + w["confidence"].cast("double")) / F.size("_run")
-    runs = runs.select("marker_id", page, "_want", "context", "seq", said.alias("text"), top.alias("y"), (low - top).alias("height"), mean.alias("confidence"))
+    runs = runs.select("marker_id", page, "_want", "context", "seq", said.alias("text"), top.alias("y"), (low - top).alias("height"),
+        mean.alias("confidence"))
     runs = runs.withColumn("_like", similarity(F.lower("text"), F.col("_want"))).where(F.col("_like") >= threshold)
     runs = runs.withColumn("exact", F.lower("text") == F.col("_want"))
     runs = runs.withColumn("_any", F.bool_or("exact").over(Window.partitionBy("marker_id"))).where(F.col("exact") | ~F.col("_any"))
@@ -136,7 +144,8 @@ def marker_matches(words: DataFrame, markers: DataFrame, page: str = "page", thr
     best = Window.partitionBy("marker_id").orderBy(F.desc(F.coalesce("_score", F.lit(0))), "seq")
     ranked = runs.join(scores, ["marker_id", "seq"], "left").withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
     ranked = ranked.where(F.col("y").between(0, 3300) & F.col("height").between(8, 500))
-    return ranked.select("marker_id", "text", "y", "height", (F.col("confidence") * F.when(F.col("exact"), 1.0).otherwise(0.8)).alias("confidence"), "exact")
+    return ranked.select("marker_id", "text", "y", "height", (F.col("confidence") * F.when(F.col("exact"), 1.0).otherwise(0.8)).alias("confidence"),
+        "exact")
 
 
 def text_height(words: DataFrame, asked: DataFrame, page: str = "page") -> DataFrame:
@@ -145,7 +154,8 @@ def text_height(words: DataFrame, asked: DataFrame, page: str = "page") -> DataF
     far = F.abs(F.col("_y") - F.col("y"))
     held = F.contains(F.lower("marker"), F.lower("text"))
     tier = F.when((far <= 5) & held, 0).when(far <= 10, 1)
-    first = both.withColumn("_tier", tier).where("_tier IS NOT NULL").groupBy("ask_id").agg(F.min_by("height", F.struct("_tier", "seq")).alias("height"))
+    first = both.withColumn("_tier", tier).where("_tier IS NOT NULL").groupBy("ask_id").agg(F.min_by("height",
+        F.struct("_tier", "seq")).alias("height"))
     return asked.select("ask_id").join(first, "ask_id", "left")
 
 
@@ -153,7 +163,8 @@ def visual_share(blocks: DataFrame, page: str = "page") -> DataFrame:
     """(page, visual_share, advice): the share of a page's block area that is no text, and how to read the page."""
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     share = F.coalesce(F.try_divide(F.sum(F.when(F.col("kind") != "text", area).otherwise(0.0)), F.sum(area)), F.lit(0.0))
-    return blocks.groupBy(page).agg(F.round(share, 6).alias("visual_share")).withColumn("advice", F.when(F.col("visual_share") > 0.2, "vision").otherwise("text"))
+    return blocks.groupBy(page).agg(F.round(share, 6).alias("visual_share")).withColumn("advice",
+        F.when(F.col("visual_share") > 0.2, "vision").otherwise("text"))
 
 
 def mean_confidence(pages: DataFrame, key: str, words: str, default: float = 0.85) -> DataFrame:

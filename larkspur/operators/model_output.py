@@ -20,7 +20,8 @@ MESSAGES = [
     ("API_AUTH", [["authentication"], ["unauthorized"], ["invalid api key"], ["invalid_api_key"]]),
     ("API_5XX", [["econnreset"], ["econnrefused"], ["enotfound"], ["socket hang up"], ["network"], ["connection"]]),
     ("PARSE_JSON", [["json", "parse"], ["json", "syntax"], ["json", "unexpected token"], ["json", "invalid"]]),
-    ("PARSE_SCHEMA", [["schema"], ["validation"], ["missing required"], ["invalid type"]]), ("EMPTY_RESPONSE", [["empty", "response"], ["empty", "content"]]),
+    ("PARSE_SCHEMA", [["schema"], ["validation"], ["missing required"], ["invalid type"]]),
+        ("EMPTY_RESPONSE", [["empty", "response"], ["empty", "content"]]),
     ("DB_ERROR", [["database"], ["supabase"], ["postgres"], ["constraint"], ["foreign key"], ["duplicate key"]]),
     ("ENCOUNTER_NOT_FOUND", [["encounter", "not found"]]), ("OCR_QUALITY_LOW", [["ocr", "quality"], ["ocr", "confidence"]]),
 ]
@@ -57,13 +58,15 @@ def entities(answers: DataFrame, key: str, json: str) -> tuple[DataFrame, DataFr
     rows = answers.select(key, F.posexplode(F.from_json(F.get_json_object(json, "$.entities"), f"array<{ENTITY}>")).alias("index", "e"))
     kind, text = entity_type(F.col("e.entity_type")), F.trim("e.original_text")
     error = (
-        F.when(F.coalesce(text, F.lit("")) == "", "missing original_text").when(F.coalesce(F.col("e.entity_type"), F.lit("")) == "", "missing entity_type")
+        F.when(F.coalesce(text, F.lit("")) == "", "missing original_text").when(F.coalesce(F.col("e.entity_type"), F.lit("")) == "",
+            "missing entity_type")
         .when(kind.isNull(), F.concat(F.lit("invalid entity_type: "), F.col("e.entity_type")))
     )
     rows = rows.withColumn("error", error)
     aliases = F.slice(F.filter(F.transform("e.aliases", lambda a: F.trim(a)), lambda a: a != ""), 1, 3)
     good = rows.where("error IS NULL").select(
-        key, "index", F.coalesce("e.id", F.concat(F.lit("e"), (F.col("index") + 1).cast("string"))).alias("id"), text.alias("original_text"), kind.alias("entity_type"),
+        key, "index", F.coalesce("e.id", F.concat(F.lit("e"), (F.col("index") + 1).cast("string"))).alias("id"), text.alias("original_text"),
+            kind.alias("entity_type"),
         F.coalesce(whole(F.col("e.page_number")), F.lit(1)).alias("page_number"), whole(F.col("e.y_coordinate")).alias("y_coordinate"),
         F.coalesce(aliases, F.array().cast("array<string>")).alias("aliases"),
     )
@@ -74,7 +77,8 @@ def zones(answers: DataFrame, key: str, json: str) -> tuple[DataFrame, DataFrame
     """(zones, errors) of the array ``zones`` of each answer (F96): bounds in order, a zone of no height gets one."""
     rows = answers.select(key, F.posexplode(F.from_json(F.get_json_object(json, "$.zones"), f"array<{ZONE}>")).alias("index", "z"))
     a, b = whole(F.col("z.y_start")), whole(F.col("z.y_end"))
-    error = F.when(F.coalesce(F.trim("z.schema_type"), F.lit("")) == "", "missing schema_type").when(a.isNull(), "missing y_start").when(b.isNull(), "missing y_end")
+    error = F.when(F.coalesce(F.trim("z.schema_type"), F.lit("")) == "", "missing schema_type").when(a.isNull(), "missing y_start").when(b.isNull(),
+        "missing y_end")
     rows = rows.withColumn("error", error)
     low = F.least(a, b)
     good = rows.where("error IS NULL").select(
@@ -87,7 +91,8 @@ def zones(answers: DataFrame, key: str, json: str) -> tuple[DataFrame, DataFrame
 def error_code(message: Column, status: Column) -> Column:
     """The kind of an error (F35): by its status, else by the first rule whose words its message has."""
     m = F.lower(F.coalesce(message, F.lit("")))
-    out = F.when(status == 429, "RATE_LIMIT").when(status.isin(401, 403), "API_AUTH").when(status.between(500, 599), "API_5XX").when(status.between(400, 499), "API_4XX")
+    out = F.when(status == 429, "RATE_LIMIT").when(status.isin(401, 403), "API_AUTH").when(status.between(500, 599),
+        "API_5XX").when(status.between(400, 499), "API_4XX")
     for code, lists in MESSAGES:
         some = None
         for words in lists:
@@ -112,7 +117,8 @@ def with_cost(calls: DataFrame, prices: DataFrame, default: tuple[float, float])
     """Adds cost: tokens in and out by the model's price per million, by default prices where it has none."""
     rows = calls.join(prices.select("model", "price_in", "price_out"), "model", "left")
     price = lambda c, d: F.coalesce(c, F.lit(d))
-    cost = (F.coalesce("tokens_in", F.lit(0)) * price("price_in", default[0]) + F.coalesce("tokens_out", F.lit(0)) * price("price_out", default[1])) / 1e6
+    cost = (F.coalesce("tokens_in", F.lit(0)) * price("price_in", default[0]) + F.coalesce("tokens_out", F.lit(0)) * price("price_out",
+        default[1])) / 1e6
     return rows.withColumn("cost", F.round(cost, 9)).drop("price_in", "price_out")
 
 
@@ -130,7 +136,8 @@ def checked_output(rows: DataFrame) -> DataFrame:
     c = F.col("confidence")
     critical = [("low_confidence", c < 0.8), ("name_not_in_text", (F.size(words) > 0) & ~F.exists(words, seen))]
     lesser = [
-        ("moderate_confidence", (c >= 0.8) & (c < 0.9)), ("bad_dosage", F.col("dosage").isNotNull() & ~F.col("dosage").rlike(r"(?i)^\d+(\.\d+)?\s*(mg|g|mcg|ml|units?)$")),
+        ("moderate_confidence", (c >= 0.8) & (c < 0.9)), ("bad_dosage",
+            F.col("dosage").isNotNull() & ~F.col("dosage").rlike(r"(?i)^\d+(\.\d+)?\s*(mg|g|mcg|ml|units?)$")),
         ("medication_not_in_text", F.col("medication").isNotNull() & ~seen(F.left(F.lower("medication"), F.lit(6)))),
     ]
     named = lambda pairs: F.filter(F.array(*(F.when(F.coalesce(w, F.lit(False)), F.lit(n)) for n, w in pairs)), lambda x: x.isNotNull())

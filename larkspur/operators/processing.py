@@ -9,8 +9,10 @@ from .records import expected_next
 from .timeline import first_case, has
 
 # fixed values: how kinds of images are shown: (icon, priority)
-IMAGES = {"x_ray": ("x-ray", 60), "ct_scan": ("scan", 40), "mri": ("brain", 30), "ultrasound": ("waveform", 70), "mammogram": ("scan", 45), "pet_scan": ("atom", 25)}
-CONCERN, ROUTINE, URGENT = ["abnormal", "concerning", "suspicious", "follow", "recommend"], ["screening", "routine", "annual"], ["emergency", "urgent", "stat"]
+IMAGES = {"x_ray": ("x-ray", 60), "ct_scan": ("scan", 40), "mri": ("brain", 30), "ultrasound": ("waveform", 70), "mammogram": ("scan", 45),
+    "pet_scan": ("atom", 25)}
+CONCERN, ROUTINE, URGENT = ["abnormal", "concerning", "suspicious", "follow", "recommend"], ["screening", "routine", "annual"], ["emergency",
+    "urgent", "stat"]
 
 
 def any_of(v: Column, words: list[str]) -> Column:
@@ -23,11 +25,14 @@ def any_of(v: Column, words: list[str]) -> Column:
 def manifests(files: DataFrame, visits: DataFrame, pages: DataFrame) -> DataFrame:
     """(file_id, visits, manifest) with the manifest as a JSON object: a file's visits by start and id, its pages by number; empty lists where it has
     none (A06, J08, N21). Both sides are put together a file before they meet the files."""
-    v = F.struct("start_date", "visit_id", F.struct(F.col("visit_id").alias("encounterId"), F.col("kind").alias("encounterType"), F.struct(F.col("start_date").alias("start"), F.col("end_date").alias("end")).alias("dateRange"), "provider").alias("j"))
+    v = F.struct("start_date", "visit_id", F.struct(F.col("visit_id").alias("encounterId"), F.col("kind").alias("encounterType"),
+        F.struct(F.col("start_date").alias("start"), F.col("end_date").alias("end")).alias("dateRange"), "provider").alias("j"))
     by_file = visits.groupBy("file_id").agg(F.count("*").alias("visits"), F.transform(F.array_sort(F.collect_list(v)), lambda x: x["j"]).alias("_v"))
     assigned = pages.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("page", F.col("visit_id").alias("encounter_id")))).alias("_p"))
     rows = files.join(by_file, "file_id", "left").join(assigned, "file_id", "left")
-    body = F.to_json(F.struct(F.col("file_id").alias("shellFileId"), F.col("pages").alias("totalPages"), F.coalesce("_v", F.array().cast(by_file.schema["_v"].dataType)).alias("encounters"), F.coalesce("_p", F.array().cast(assigned.schema["_p"].dataType)).alias("page_assignments")))
+    body = F.to_json(F.struct(F.col("file_id").alias("shellFileId"), F.col("pages").alias("totalPages"),
+        F.coalesce("_v", F.array().cast(by_file.schema["_v"].dataType)).alias("encounters"),
+        F.coalesce("_p", F.array().cast(assigned.schema["_p"].dataType)).alias("page_assignments")))
     return rows.select("file_id", F.coalesce("visits", F.lit(0)).alias("visits"), body.alias("manifest"))
 
 
@@ -38,20 +43,24 @@ def continued_visits(visits: DataFrame, chunk: int, chunks: int, chunk_end: int)
     ``visits`` has visit_id, kind, last_page, told_status, told_temp_id, told_next, end_date, timeframe.
     """
     if chunk >= chunks:
-        return visits.withColumns({"status": F.lit("complete"), "temp_id": F.lit(None).cast("string"), "expected_continuation": F.lit(None).cast("string")})
+        return visits.withColumns({"status": F.lit("complete"), "temp_id": F.lit(None).cast("string"),
+            "expected_continuation": F.lit(None).cast("string")})
     filled = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    goes_on = (F.col("last_page") == chunk_end) | filled("told_next") | (~filled("end_date") & (F.coalesce("timeframe", F.lit("")) != "completed")) | F.coalesce(F.col("told_status") == "continuing", F.lit(False))
+    goes_on = (F.col("last_page") == chunk_end) | filled("told_next") | (~filled("end_date") & (F.coalesce("timeframe",
+        F.lit("")) != "completed")) | F.coalesce(F.col("told_status") == "continuing", F.lit(False))
     status = F.when(F.col("last_page").isNull(), F.coalesce("told_status", F.lit("complete"))).when(goes_on, "continuing").otherwise("complete")
     temp = F.coalesce("told_temp_id", F.concat(F.lit(f"encounter_temp_chunk{chunk}_"), F.col("visit_id").cast("string")))
     paged = F.col("last_page").isNotNull() & goes_on
-    return visits.withColumns({"status": status, "temp_id": F.when(paged, temp), "expected_continuation": F.when(paged, F.when(filled("told_next"), F.col("told_next")).otherwise(expected_next(F.col("kind"))))})
+    return visits.withColumns({"status": status, "temp_id": F.when(paged, temp),
+        "expected_continuation": F.when(paged, F.when(filled("told_next"), F.col("told_next")).otherwise(expected_next(F.col("kind"))))})
 
 
 def handed_over(pending: DataFrame) -> DataFrame:
     """Pending visits with a valid temp id and an expectation (N41): a missing id, or one with 'undefined' in it, becomes one made from the visit's."""
     bad = F.col("temp_id").isNull() | F.contains("temp_id", F.lit("undefined"))
     made = F.concat(F.lit("encounter_temp_generated_"), F.left(F.md5(F.col("visit_id").cast("string")), F.lit(9)))
-    return pending.withColumn("temp_id", F.when(bad, made).otherwise(F.col("temp_id"))).withColumn("expected_continuation", F.coalesce(F.nullif("expected_continuation", F.lit("")), expected_next(F.col("kind"))))
+    return pending.withColumn("temp_id", F.when(bad, made).otherwise(F.col("temp_id"))).withColumn("expected_continuation",
+        F.coalesce(F.nullif("expected_continuation", F.lit("")), expected_next(F.col("kind"))))
 
 
 def event_of_report(reports: DataFrame) -> DataFrame:
@@ -66,11 +75,14 @@ def event_of_report(reports: DataFrame) -> DataFrame:
     summary = F.concat(F.coalesce("indication", F.lit("Imaging study")), behind(" - Report by ", "radiologist_name"), behind(" at ", "facility_name"))
     odd, routine, urgent = any_of(F.col("impression"), CONCERN), any_of(F.col("indication"), ROUTINE), any_of(F.col("indication"), URGENT)
     priority = F.when(urgent, 20).otherwise(base - F.when(odd, 10).otherwise(0))
-    tags = F.filter(F.array(F.when(kind == "mammogram", "screening"), F.when(odd, "abnormal"), F.when(routine, "preventive"), F.when(urgent, "urgent")), lambda t: t.isNotNull())
+    tags = F.filter(F.array(F.when(kind == "mammogram", "screening"), F.when(odd, "abnormal"), F.when(routine, "preventive"),
+        F.when(urgent, "urgent")), lambda t: t.isNotNull())
     icon = F.coalesce(first_case(*((kind == k, F.lit(i)) for k, (i, _) in IMAGES.items())), F.lit("camera"))
     return reports.select(
-        "report_id", "patient_id", F.lit("test_result").alias("category"), F.lit("imaging").alias("subcategory"), F.when(known, kind).otherwise("imaging_study").alias("tertiary"), title.alias("title"),
-        summary.alias("summary"), icon.alias("icon"), F.col("study_date").alias("event_date"), (priority <= 40).alias("is_major"), priority.alias("priority"), tags.alias("tags"), odd.alias("requires_attention"),
+        "report_id", "patient_id", F.lit("test_result").alias("category"), F.lit("imaging").alias("subcategory"),
+            F.when(known, kind).otherwise("imaging_study").alias("tertiary"), title.alias("title"),
+        summary.alias("summary"), icon.alias("icon"), F.col("study_date").alias("event_date"), (priority <= 40).alias("is_major"),
+            priority.alias("priority"), tags.alias("tags"), odd.alias("requires_attention"),
     )
 
 
@@ -80,12 +92,14 @@ def plausibility(entities: DataFrame) -> DataFrame:
     t, age = F.col("text"), F.col("age")
     event = F.col("category") == "clinical_event"
     cases = {
-        "Colonoscopy screening typically inappropriate for age < 18": event & (age < 18) & has(t, "colonoscopy"), "Pap smear screening typically starts at age 21": event & (age < 21) & has(t, "pap smear"),
+        "Colonoscopy screening typically inappropriate for age < 18": event & (age < 18) & has(t, "colonoscopy"),
+            "Pap smear screening typically starts at age 21": event & (age < 21) & has(t, "pap smear"),
         "Sports physical unusual for age > 80": event & (age > 80) & has(t, "sports physical"),
     }
     g = F.lower("gender")
     opposite = ((g == "male") & (has(t, "she/her") | has(t, "female"))) | ((g == "female") & (has(t, "he/him") | has(t, "male")))
-    issues = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in {**cases, "Potential gender mismatch detected": opposite}.items())), lambda i: i.isNotNull())
+    issues = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n,
+        c in {**cases, "Potential gender mismatch detected": opposite}.items())), lambda i: i.isNotNull())
     rows = entities.select("document_id", F.explode(issues).alias("issue")).distinct()
     return rows.groupBy("document_id").agg(F.array_sort(F.collect_list("issue")).alias("issues"))
 
@@ -94,26 +108,32 @@ def audited(events: DataFrame, record: str, fallback: Column) -> DataFrame:
     """Audit rows with an id that is a UUID, or a fallback and the text."""
     from ..functions.checks import record_ids
 
-    return events.withColumn("_r", record_ids(F.col(record).cast("string"), fallback)).select(*events.columns, F.col("_r.record_id").alias("audit_record_id"), F.col("_r.record_id_text").alias("record_id_text"))
+    return events.withColumn("_r", record_ids(F.col(record).cast("string"), fallback)).select(*events.columns,
+        F.col("_r.record_id").alias("audit_record_id"), F.col("_r.record_id_text").alias("record_id_text"))
 
 
 def cascade_counts(fragments: DataFrame) -> DataFrame:
     """(cascade_id, fragments, first_chunk, last_chunk) of cascades (N19): counted from the fragments, where a counter would be raised."""
-    return fragments.where(F.col("cascade_id").isNotNull()).groupBy("cascade_id").agg(F.count("*").alias("fragments"), F.min("chunk_number").alias("first_chunk"), F.max("chunk_number").alias("last_chunk"))
+    return fragments.where(F.col("cascade_id").isNotNull()).groupBy("cascade_id").agg(F.count("*").alias("fragments"),
+        F.min("chunk_number").alias("first_chunk"), F.max("chunk_number").alias("last_chunk"))
 
 
 def completion_errors(cascades: DataFrame, counts: DataFrame) -> DataFrame:
     """Completed cascades that report fewer fragments than there are, or end before they began (N35): rows have cascade_id, reported, origin_chunk, last_chunk."""
     rows = cascades.join(counts.select("cascade_id", "fragments"), "cascade_id", "left")
-    errors = F.filter(F.array(F.when(F.col("reported") < F.coalesce("fragments", F.lit(0)), "fewer fragments reported than tracked"), F.when(F.col("last_chunk") < F.col("origin_chunk"), "last chunk before origin")), lambda e: e.isNotNull())
+    errors = F.filter(F.array(F.when(F.col("reported") < F.coalesce("fragments", F.lit(0)), "fewer fragments reported than tracked"),
+        F.when(F.col("last_chunk") < F.col("origin_chunk"), "last chunk before origin")), lambda e: e.isNotNull())
     return rows.select("cascade_id", errors.alias("errors")).where(F.size("errors") > 0)
 
 
 def session_statuses(sessions: DataFrame, changes: DataFrame) -> DataFrame:
     """Sessions after their changes (session_id, event, at) (N15): complete ends one, error fails it and adds a retry; the last change decides."""
-    n = changes.groupBy("session_id").agg(F.max_by("event", F.struct("at", "event")).alias("_last"), F.count_if(F.col("event") == "error").alias("_errors"), F.max(F.when(F.col("event") == "complete", F.col("at"))).alias("_end"))
+    n = changes.groupBy("session_id").agg(F.max_by("event", F.struct("at", "event")).alias("_last"),
+        F.count_if(F.col("event") == "error").alias("_errors"), F.max(F.when(F.col("event") == "complete", F.col("at"))).alias("_end"))
     status = F.when(F.col("_last") == "complete", "completed").when(F.col("_last") == "error", "failed").otherwise(F.col("status"))
-    return sessions.join(n, "session_id", "left").select("session_id", status.alias("status"), (F.col("retries") + F.coalesce("_errors", F.lit(0))).alias("retries"), F.when(F.col("_last") == "complete", F.col("_end")).alias("completed_at"))
+    return sessions.join(n, "session_id", "left").select("session_id", status.alias("status"),
+        (F.col("retries") + F.coalesce("_errors", F.lit(0))).alias("retries"),
+        F.when(F.col("_last") == "complete", F.col("_end")).alias("completed_at"))
 
 
 def backlog(codes: DataFrame, page: int, size: int = 1000) -> DataFrame:
@@ -126,19 +146,22 @@ def batch_outcomes(asked: DataFrame, results: DataFrame, key: str = "id", most:
     # the first of all ids by value: a sort with a limit, not a window over all of them
     first = asked.select(key).distinct().orderBy(key).limit(most).withColumn("_in", F.lit(True))
     rows = asked.select(key).distinct().join(first, key, "left").join(results.select(key, "error", F.lit(True).alias("_there")), key, "left")
-    outcome = F.when(F.col("_in").isNull(), "refused").when(F.col("_there").isNull(), "not_found").when(F.col("error").isNotNull(), "failed").otherwise("done")
+    outcome = F.when(F.col("_in").isNull(), "refused").when(F.col("_there").isNull(), "not_found").when(F.col("error").isNotNull(),
+        "failed").otherwise("done")
     return rows.select(key, outcome.alias("outcome"), F.when(outcome == "failed", F.col("error")).alias("error"))
 
 
 def candidate_summary(entities: DataFrame, found: DataFrame, query: str = "query") -> DataFrame:
     """One row: entities in all, without a candidate, and candidates an entity."""
     n = entities.select(query).distinct().join(found.groupBy(query).agg(F.count("*").alias("n")), query, "left")
-    return n.agg(F.count("*").alias("entities"), F.count_if(F.col("n").isNull()).alias("failed"), F.round(F.coalesce(F.avg(F.coalesce("n", F.lit(0))), F.lit(0.0)), 6).alias("mean_candidates"))
+    return n.agg(F.count("*").alias("entities"), F.count_if(F.col("n").isNull()).alias("failed"),
+        F.round(F.coalesce(F.avg(F.coalesce("n", F.lit(0))), F.lit(0.0)), 6).alias("mean_candidates"))
 
 
 def to_normalise(documents: DataFrame, most: int) -> DataFrame:
     """The newest completed documents that are not normalised yet."""
-    return documents.where((F.col("status") == "completed") & F.col("normalized_at").isNull()).orderBy(F.desc("created_at"), "document_id").limit(most)
+    return documents.where((F.col("status") == "completed") & F.col("normalized_at").isNull()).orderBy(F.desc("created_at"),
+        "document_id").limit(most)
 
 
 def joined_batches(batches: DataFrame, key: str, index: str, items: str) -> DataFrame:
@@ -158,7 +181,8 @@ def contraindicated(medications: DataFrame, allergies: DataFrame) -> DataFrame:
 
 def narrative_timeline(narratives: DataFrame, links: DataFrame, events: DataFrame) -> DataFrame:
     """(narrative_id, event_id, position) of the events that narratives link to, in the order of the links."""
-    return narratives.where("is_current").select("narrative_id").join(links, "narrative_id").join(events.select("event_id"), "event_id").select("narrative_id", "event_id", "position")
+    return narratives.where("is_current").select("narrative_id").join(links, "narrative_id").join(events.select("event_id"),
+        "event_id").select("narrative_id", "event_id", "position")
 
 
 def pages_for_vision(pages: DataFrame, share: float = 0.2, confidence: float = 0.6) -> DataFrame:

@@ -29,14 +29,16 @@ def cascade_errors(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("before", F.lag("chunk_number").over(order)).withColumn("until", F.lag("end_page").over(order))
     s = lambda c: F.col(c).cast("string")
     gap = F.when(F.col("chunk_number") != F.col("before") + 1, F.concat(F.lit("Chunk gap: "), s("before"), F.lit(" -> "), s("chunk_number")))
-    overlap = F.when(F.col("start_page") < F.col("until"), F.concat(F.lit("Page overlap: Chunk "), s("before"), F.lit(" ends at "), s("until"), F.lit(", Chunk "), s("chunk_number"), F.lit(" starts at "), s("start_page")))
+    overlap = F.when(F.col("start_page") < F.col("until"), F.concat(F.lit("Page overlap: Chunk "), s("before"), F.lit(" ends at "), s("until"),
+        F.lit(", Chunk "), s("chunk_number"), F.lit(" starts at "), s("start_page")))
     kind = F.coalesce("encounter_type", F.lit("unknown"))
     found = rows.withColumns({"gap": gap, "overlap": overlap, "kind": kind}).groupBy(*GROUP).agg(
         F.collect_list(F.when(F.col("gap").isNotNull(), F.struct("pos", F.col("gap").alias("said")))).alias("gaps"),
         F.collect_list(F.when(F.col("overlap").isNotNull(), F.struct("pos", F.col("overlap").alias("said")))).alias("overlaps"),
         F.array_sort(F.collect_set("kind")).alias("kinds"),
     )
-    types = F.when(F.size("kinds") > 1, F.array(F.concat(F.lit("Multiple encounter types: "), F.array_join("kinds", ", ")))).otherwise(F.array().cast("array<string>"))
+    types = F.when(F.size("kinds") > 1, F.array(F.concat(F.lit("Multiple encounter types: "),
+        F.array_join("kinds", ", ")))).otherwise(F.array().cast("array<string>"))
     said = lambda c: F.transform(F.array_sort(c), lambda e: e["said"])
     return found.select(*GROUP, F.concat(types, said("gaps"), said("overlaps")).alias("errors"))
 
@@ -102,9 +104,11 @@ def reconciled(pendings: DataFrame, file_date: Column, today: Column, max_year:
     merged = rows.groupBy(*GROUP).agg(
         *map(first, [*START, "encounter_type", "provider_name", "facility_name"]), *(F.max_by(c, "pos").alias(c) for c in END),
         F.bool_or("is_real_world_visit").alias("real"), weighted_confidence("position_confidence", pages).alias("position_confidence"),
-        longest_value("patient_full_name", "pos").alias("patient_full_name"), best_birth_date("patient_date_of_birth", "pos", max_year).alias("birth_raw"),
+        longest_value("patient_full_name", "pos").alias("patient_full_name"),
+            best_birth_date("patient_date_of_birth", "pos", max_year).alias("birth_raw"),
         best_date("encounter_start_date", "date_source", "pos").alias("began"), best_date("encounter_end_date", "date_source", "pos").alias("ended"),
-        F.min_by(F.struct("patient_full_name", "patient_date_of_birth", "encounter_start_date"), "pos").alias("head"), F.count("*").alias("fragments"), F.max("chunk_number").alias("last_chunk"),
+        F.min_by(F.struct("patient_full_name", "patient_date_of_birth", "encounter_start_date"), "pos").alias("head"),
+            F.count("*").alias("fragments"), F.max("chunk_number").alias("last_chunk"),
     )
     ranges = rows.select(*GROUP, F.explode("page_ranges").alias("r")).select(*GROUP, F.col("r")[0].alias("a"), F.col("r")[1].alias("b"))
     spans = merged_ranges(ranges, GROUP, "a", "b").groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.array("a", "b"))).alias("page_ranges"))
@@ -118,8 +122,10 @@ def reconciled(pendings: DataFrame, file_date: Column, today: Column, max_year:
     )
     full = merged.join(checked, GROUP).join(spans, GROUP, "left").withColumns({"dates": dates, "birth": birth})
     visits = full.where(F.size("errors") == 0).select(
-        *GROUP, "fragments", "last_chunk", *START, *END, "encounter_type", "provider_name", "facility_name", F.col("real").alias("is_real_world_visit"),
-        "position_confidence", "patient_full_name", F.col("birth.iso").alias("birth_date"), (F.col("birth.method") == "failed_sanity_check").alias("needs_review"),
+        *GROUP, "fragments", "last_chunk", *START, *END, "encounter_type", "provider_name", "facility_name",
+            F.col("real").alias("is_real_world_visit"),
+        "position_confidence", "patient_full_name", F.col("birth.iso").alias("birth_date"),
+            (F.col("birth.method") == "failed_sanity_check").alias("needs_review"),
         F.col("dates.start").alias("start_date"), F.col("dates.end").alias("end_date"), F.col("dates.source").alias("date_source"),
         F.coalesce("page_ranges", F.array().cast("array<array<int>>")).alias("page_ranges"), tier.alias("quality_tier"),
     )
@@ -144,8 +150,10 @@ def splits_within(splits: Column, start: Column, end: Column) -> Column:
 def split_summary(splits: DataFrame, key: str, pages: str) -> DataFrame:
     """Per document: split points in all, between and within pages, mean confidence, pages a split."""
     return splits.groupBy(key).agg(
-        F.count("*").alias("total"), F.count_if(F.col("split_type") == "inter_page").alias("inter"), F.count_if(F.col("split_type") == "intra_page").alias("intra"),
-        F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 6).alias("confidence"), F.round(F.try_divide(F.max(pages), F.count("*")), 6).alias("pages_per_split"),
+        F.count("*").alias("total"), F.count_if(F.col("split_type") == "inter_page").alias("inter"),
+            F.count_if(F.col("split_type") == "intra_page").alias("intra"),
+        F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 6).alias("confidence"),
+            F.round(F.try_divide(F.max(pages), F.count("*")), 6).alias("pages_per_split"),
     )
 
 
@@ -170,7 +178,8 @@ def batches(first: Column, last: Column, splits: Column) -> Column:
         best = F.array_min(F.transform(near, lambda s, i: F.struct(F.abs(s - target).alias("far"), i.alias("place"), s.alias("page"))))["page"]
         cut = F.coalesce(best, target)
         more = target <= last
-        return F.struct(F.when(more, cut).otherwise(acc["at"]).alias("at"), F.when(more, F.array_append(acc["out"], cut)).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.when(more, cut).otherwise(acc["at"]).alias("at"),
+            F.when(more, F.array_append(acc["out"], cut)).otherwise(acc["out"]).alias("out"))
 
     steps = F.sequence(F.lit(1), F.least(F.lit(101), F.ceil((last - first + 1) / LEAST_BATCH).cast("int") + 1))
     chosen = F.aggregate(steps, F.struct(page(first).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
@@ -182,7 +191,8 @@ def batches(first: Column, last: Column, splits: Column) -> Column:
 
 def planned_batches(visits: DataFrame, key: str, first: str, last: str, splits: str) -> DataFrame:
     """(key, index, start, end): ``batches`` of every visit, a row each."""
-    return visits.select(key, F.posexplode(batches(F.col(first), F.col(last), F.col(splits))).alias("index", "b")).select(key, "index", "b.start", "b.end")
+    return visits.select(key, F.posexplode(batches(F.col(first), F.col(last), F.col(splits))).alias("index", "b")).select(key, "index", "b.start",
+        "b.end")
 
 
 def cascades_on(chunk: Column, chunks: Column, flagged: Column, end_page: Column, last_page: Column) -> Column:
@@ -208,7 +218,8 @@ def chain_heads(rows: DataFrame, key: list[str], effective: str, tie: str) -> Da
     """Adds ``current``: the newest version at the end of each row's chain of successors, and its distance."""
     order = Window.partitionBy(*key).orderBy(effective, tie)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumn("current", F.last(tie).over(whole)).withColumn("steps", F.count("*").over(Window.partitionBy(*key)) - F.row_number().over(order))
+    return rows.withColumn("current", F.last(tie).over(whole)).withColumn("steps",
+        F.count("*").over(Window.partitionBy(*key)) - F.row_number().over(order))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str, keep_old: bool = False) -> DataFrame:
@@ -231,7 +242,8 @@ def row_changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def soft_deleted(rows: DataFrame, ids: DataFrame, key: str, as_of: Column, by: str) -> tuple[DataFrame, DataFrame]:
     """(rows with archived_at set for those asked for and not archived yet, audit rows of these)."""
-    asked = rows.join(ids.select(key).distinct().withColumn("_asked", F.lit(True)), key, "left").withColumn("_hit", F.col("_asked").isNotNull() & F.col("archived_at").isNull())
+    asked = rows.join(ids.select(key).distinct().withColumn("_asked", F.lit(True)), key, "left").withColumn("_hit",
+        F.col("_asked").isNotNull() & F.col("archived_at").isNull())
     after = asked.withColumn("archived_at", F.when(F.col("_hit"), as_of).otherwise(F.col("archived_at"))).drop("_asked", "_hit")
     audit = asked.where("_hit").select(key, F.lit("archive").alias("action"), as_of.alias("at"), F.lit(by).alias("by"))
     return after, audit
@@ -243,5 +255,6 @@ def narrative_version(current: DataFrame, fresh: DataFrame, key: str, number: st
     new = fresh.join(last, key, "left").select(
         "id", key, "content", (F.coalesce("_n", F.lit(0)) + 1).alias(number), F.lit(True).alias("is_current"), "supersedes_id"
     )
-    retired = current.join(fresh.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left").withColumn("is_current", F.col("is_current") & F.col("_hit").isNull()).drop("_hit")
+    retired = current.join(fresh.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left").withColumn("is_current",
+        F.col("is_current") & F.col("_hit").isNull()).drop("_hit")
     return retired.unionByName(new.select(*retired.columns))

@@ -34,7 +34,8 @@ def second_pass(entities: DataFrame, session: int | str | None = None, category:
 
 def pending_reviews(reviews: DataFrame, patient: int | str) -> DataFrame:
     """A patient's open reviews by priority, then by age."""
-    return reviews.where((F.col("patient_id") == patient) & (F.col("status") == "pending")).orderBy(rank_of(F.col("priority"), REVIEWS), "created_at", "review_id")
+    return reviews.where((F.col("patient_id") == patient) & (F.col("status") == "pending")).orderBy(rank_of(F.col("priority"), REVIEWS), "created_at",
+        "review_id")
 
 
 def active_records(rows: DataFrame, patient: int | str, date: str, active_only: bool = True) -> DataFrame:
@@ -51,10 +52,12 @@ def sure_narratives(rows: DataFrame, minimum: float = 0.7) -> DataFrame:
 
 def viewed_as(rows: DataFrame, kind: str, columns: dict[str, str], **constants: str) -> DataFrame:
     """Rows of one system that are not archived, under other names and with constants."""
-    return rows.where((F.col("system") == kind) & F.col("archived_at").isNull()).select(*(F.col(c).alias(n) for n, c in columns.items()), *(F.lit(v).alias(n) for n, v in constants.items()))
+    return rows.where((F.col("system") == kind) & F.col("archived_at").isNull()).select(*(F.col(c).alias(n) for n, c in columns.items()),
+        *(F.lit(v).alias(n) for n, v in constants.items()))
 
 
-def search_providers(providers: DataFrame, term: str | None = None, country: str | None = None, specialty: str | None = None, verified_only: bool = True) -> DataFrame:
+def search_providers(providers: DataFrame, term: str | None = None, country: str | None = None, specialty: str | None = None,
+    verified_only: bool = True) -> DataFrame:
     """Providers whose names or id hold a text, with the other conditions that are given, by family name."""
     rows = providers
     if term is not None:
@@ -68,12 +71,14 @@ def search_providers(providers: DataFrame, term: str | None = None, country: str
         rows = rows.where(F.array_contains("specialties", specialty))
     if verified_only:
         rows = rows.where("verified")
-    return rows.select("provider_id", F.concat_ws(" ", "given_names", "family_name").alias("full_name"), "country").orderBy("full_name", "provider_id")
+    return rows.select("provider_id", F.concat_ws(" ", "given_names", "family_name").alias("full_name"), "country").orderBy("full_name",
+        "provider_id")
 
 
 def provider_records(rows: DataFrame, grants: DataFrame, provider: int | str, scope: str, as_of: Column) -> DataFrame:
     """Records of the patients who let a provider see them (N05): active grants that are not over and hold the scope."""
-    mine = grants.where((F.col("provider_id") == provider) & (F.col("status") == "active") & unexpired(F.col("expires_at"), as_of) & F.array_contains("scope", scope))
+    mine = grants.where((F.col("provider_id") == provider) & (F.col("status") == "active") & unexpired(F.col("expires_at"),
+        as_of) & F.array_contains("scope", scope))
     return rows.where(~F.coalesce("archived", F.lit(False))).join(mine.select("patient_id"), "patient_id", "left_semi")
 
 
@@ -87,7 +92,8 @@ def granted_access(grants: DataFrame, fresh: DataFrame, providers: DataFrame, as
     hit = fine.select("provider_id", "patient_id").distinct().withColumn("_hit", F.lit(True))
     old = grants.join(hit, ["provider_id", "patient_id"], "left")
     over = F.col("_hit").isNotNull() & (F.col("status") == "active")
-    old = old.withColumn("revoked_at", F.when(over, as_of).otherwise(F.col("revoked_at"))).withColumn("status", F.when(over, "revoked").otherwise(F.col("status"))).drop("_hit")
+    old = old.withColumn("revoked_at", F.when(over, as_of).otherwise(F.col("revoked_at"))).withColumn("status",
+        F.when(over, "revoked").otherwise(F.col("status"))).drop("_hit")
     new = fine.select("grant_id", "provider_id", "patient_id", F.lit("active").alias("status"), F.lit(None).cast("timestamp_ntz").alias("revoked_at"))
     return old.select(*new.columns).unionByName(new), refused
 
@@ -95,11 +101,13 @@ def granted_access(grants: DataFrame, fresh: DataFrame, providers: DataFrame, as
 def answered_items(items: DataFrame, answers: DataFrame, permissions: DataFrame, as_of: Column) -> DataFrame:
     """Action items after their answers (item_id, provider_id, status, response) (N12): an answer counts if the provider may act for the patient; it is
     resolved at as_of only if it is completed or declined."""
-    allowed = answers.join(items.select("item_id", "patient_id"), "item_id").join(permissions.select("provider_id", "patient_id").distinct(), ["provider_id", "patient_id"], "left_semi")
+    allowed = answers.join(items.select("item_id", "patient_id"), "item_id").join(permissions.select("provider_id", "patient_id").distinct(),
+        ["provider_id", "patient_id"], "left_semi")
     last = allowed.groupBy("item_id").agg(F.max_by(F.struct("status", "response", "provider_id"), F.struct("status", "provider_id")).alias("a"))
     done = F.col("a.status").isin("completed", "declined")
     return items.join(last, "item_id", "left").select(
-        "item_id", "patient_id", F.coalesce("a.status", "status").alias("status"), F.col("a.response").alias("response"), F.when(done, as_of).alias("resolved_at")
+        "item_id", "patient_id", F.coalesce("a.status", "status").alias("status"), F.col("a.response").alias("response"),
+            F.when(done, as_of).alias("resolved_at")
     )
 
 
@@ -110,7 +118,8 @@ def study_context(reports: DataFrame, visits: DataFrame) -> DataFrame:
     parts = F.filter(F.transform(F.split(said, r"[;.]"), lambda s: F.trim(s)), lambda s: s != "")
     rows = reports.join(visits.select("visit_id", "provider_name", "facility_name"), "visit_id", "left")
     study = F.to_json(F.struct("imaging_type", "body_region", F.date_format("study_date", "yyyy-MM-dd").alias("study_date")))
-    return rows.select("report_id", study.alias("study"), F.to_json(F.struct("provider_name", "facility_name")).alias("visit"), parts.alias("follow_up"))
+    return rows.select("report_id", study.alias("study"), F.to_json(F.struct("provider_name", "facility_name")).alias("visit"),
+        parts.alias("follow_up"))
 
 
 def expected_next(kind: Column) -> Column:
@@ -118,7 +127,8 @@ def expected_next(kind: Column) -> Column:
     k = F.lower(F.coalesce(kind, F.lit("")))
     has = lambda *words: F.greatest(*(F.contains(k, F.lit(w)) for w in words)) if len(words) > 1 else F.contains(k, F.lit(words[0]))
     return (
-        F.when(has("admission", "inpatient"), "discharge_summary").when(has("surgery", "procedure"), "post_operative_notes").when(has("emergency"), "disposition_or_admission")
+        F.when(has("admission", "inpatient"), "discharge_summary").when(has("surgery", "procedure"), "post_operative_notes").when(has("emergency"),
+            "disposition_or_admission")
         .when(has("consultation"), "recommendations").when(has("diagnostic", "imaging"), "results_or_report").otherwise("continuation")
     )
 
@@ -156,7 +166,8 @@ def performance_metrics(runs: DataFrame, as_of: Column, days: int = 7) -> DataFr
     """One row: mean confidence and duration of the last days, profiles active on the last one."""
     since = lambda n: F.col("at") >= F.timestamp_add("DAY", F.lit(-n), as_of)
     return runs.agg(
-        F.round(F.avg(F.when(since(days), F.col("confidence"))), 6).alias("confidence"), F.round(F.avg(F.when(since(days), F.col("seconds"))), 6).alias("seconds"),
+        F.round(F.avg(F.when(since(days), F.col("confidence"))), 6).alias("confidence"),
+            F.round(F.avg(F.when(since(days), F.col("seconds"))), 6).alias("seconds"),
         F.count_distinct(F.when(since(1), F.col("profile_id"))).alias("active_profiles"),
     )
 
@@ -167,4 +178,5 @@ def merged_by_name(known: DataFrame, fresh: DataFrame, key: str = "patient_id")
     norm = F.lower(F.trim(F.regexp_replace("name", r"\s+", " ")))
     both = known.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1))).withColumn("name_key", norm)
     pick = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_new", c))).alias(c)
-    return both.groupBy(key, "name_key").agg(pick("value"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), (F.max("_new") == 1).alias("touched"))
+    return both.groupBy(key, "name_key").agg(pick("value"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
+        (F.max("_new") == 1).alias("touched"))

@@ -32,11 +32,14 @@ def vector_search(
         codes = codes.where(F.col("country") == country)
     asked = queries.select(query, *([kind] if kind else []), unit(F.col(vector)).alias("_q"))
     block = F.pmod(F.xxhash64(query), F.lit(2**20))
-    few = asked.withColumn("_block", F.floor(F.row_number().over(Window.partitionBy((block % 64).alias("_part")).orderBy(block, query)) / BLOCK)).withColumn("_part", block % 64)
+    few = asked.withColumn("_block", F.floor(F.row_number().over(Window.partitionBy((block % 64).alias("_part")).orderBy(block,
+        query)) / BLOCK)).withColumn("_part", block % 64)
     blocks = few.groupBy("_part", "_block").agg(F.collect_list(F.struct(query, *([kind] if kind else []), "_q")).alias("_asked")).select("_asked")
     have = codes.select(*key, *([F.col(kind).alias("_kind")] if kind else []), unit(F.col(vector)).alias("_v"))
-    scored = F.transform("_asked", lambda q: F.struct(q[query].alias(query), F.round(unit_dot(q["_q"], F.col("_v")), 6).alias("similarity"), *([q[kind].alias("_wanted")] if kind else [])))
-    hits = F.filter(scored, lambda h: (h["similarity"] >= minimum) & ((h["_wanted"].isNull() | (h["_wanted"] == F.col("_kind"))) if kind else F.lit(True)))
+    scored = F.transform("_asked", lambda q: F.struct(q[query].alias(query), F.round(unit_dot(q["_q"], F.col("_v")), 6).alias("similarity"),
+        *([q[kind].alias("_wanted")] if kind else [])))
+    hits = F.filter(scored,
+        lambda h: (h["similarity"] >= minimum) & ((h["_wanted"].isNull() | (h["_wanted"] == F.col("_kind"))) if kind else F.lit(True)))
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("_q")).alias("dims")).first()
     # every code meets every query: sent to all tasks while that is small, else block by block in a product of partitions
     small = size["n"] * 8 * max(size["dims"] or 0, 1) <= BROADCAST_BYTES
@@ -78,7 +81,8 @@ def by_type_rules(rows: DataFrame, kind: str, system: str, query: str = "query")
     return kept.withColumn("position", F.row_number().over(Window.partitionBy(query).orderBy("_group", "position"))).drop("_group", "_n", "_first")
 
 
-def selected_candidates(rows: DataFrame, query: str, position: str, score: str, minimum: float = 0.60, sure: float = 0.85, good: float = 0.75, target: int = 10, most: int = 20) -> DataFrame:
+def selected_candidates(rows: DataFrame, query: str, position: str, score: str, minimum: float = 0.60, sure: float = 0.85, good: float = 0.75,
+    target: int = 10, most: int = 20) -> DataFrame:
     """The candidate list of each query cut to size and ranked by score (V06); cuts follow ``position``, not the score.
 
     Of candidates from ``minimum`` on: those from ``sure`` on, filled up to ``target``; where more than ``target`` reach
@@ -86,7 +90,8 @@ def selected_candidates(rows: DataFrame, query: str, position: str, score: str,
     """
     some = rows.where(F.col(score) >= minimum)
     by_query, order = Window.partitionBy(query), Window.partitionBy(query).orderBy(position)
-    some = some.withColumn("_good", F.count_if(F.col(score) >= good).over(by_query)).withColumn("_sure", F.count_if(F.col(score) >= sure).over(by_query))
+    some = some.withColumn("_good", F.count_if(F.col(score) >= good).over(by_query)).withColumn("_sure",
+        F.count_if(F.col(score) >= sure).over(by_query))
     some = some.withColumn("_good_n", F.count_if(F.col(score) >= good).over(order)).withColumn("_rest_n", F.count_if(F.col(score) < sure).over(order))
     many = (F.col(score) >= good) & (F.col("_good_n") <= most)
     few = (F.col(score) >= sure) | (F.col("_rest_n") <= target - F.col("_sure"))
@@ -118,16 +123,19 @@ VARIANT_WORTH = [1.00, 0.95, 0.90, 0.85, 0.80]
 
 def hybrid_search(codes: DataFrame, text: str, similarity: str, variants: list[str], key: str, k: int = 10, lexical_share: float = 0.7) -> DataFrame:
     """(key, lexical, semantic, score, match_source): the best variant's worth and the similarity over the greatest one."""
-    worth = F.greatest(F.lit(0.0), F.lit(0.0), *(F.when(F.lower(text).contains(v.strip().lower()), w).otherwise(0.0) for v, w in zip(variants, VARIANT_WORTH, strict=False)))
+    worth = F.greatest(F.lit(0.0), F.lit(0.0), *(F.when(F.lower(text).contains(v.strip().lower()), w).otherwise(0.0) for v,
+        w in zip(variants, VARIANT_WORTH, strict=False)))
     rows = codes.select(key, worth.alias("lexical"), F.greatest(F.coalesce(similarity, F.lit(0.0)), F.lit(0.0)).alias("_s"))
     top = rows.agg(F.max("_s").alias("_top"))  # one row
     rows = rows.crossJoin(F.broadcast(top)).withColumn("semantic", F.coalesce(F.try_divide("_s", F.nullif("_top", F.lit(0.0))), F.lit(0.0)))
     source = F.when((F.col("lexical") > 0) & (F.col("semantic") > 0), "both").when(F.col("lexical") > 0, "lexical").otherwise("semantic")
     score = lexical_share * F.col("lexical") + (1 - lexical_share) * F.col("semantic")
-    return rows.select(key, "lexical", "semantic", score.alias("score"), source.alias("match_source")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+    return rows.select(key, "lexical", "semantic", score.alias("score"), source.alias("match_source")).where("score > 0").orderBy(F.desc("score"),
+        key).limit(k)
 
 
-def retrieval_accuracy(entities: DataFrame, found: DataFrame, query: str = "query", code: str = "code_value", at: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
+def retrieval_accuracy(entities: DataFrame, found: DataFrame, query: str = "query", code: str = "code_value",
+    at: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
     """One row: entities with known codes, the share that has an expected code among the first k, and that without a result.
 
     ``entities`` has ``query`` and ``expected`` (array of codes; empty or null: not known); ``found`` has ``query``, ``code`` and ``rank``.
@@ -143,14 +151,16 @@ def retrieval_accuracy(entities: DataFrame, found: DataFrame, query: str = "quer
 def listed_similarity(pairs: DataFrame, vectors: DataFrame, left: str = "a", right: str = "b", by: str = "model") -> DataFrame:
     """The cosine of each listed pair in each model; pairs without a vector are left out."""
     v = vectors.select("id", by, unit(F.col("embedding")).alias("_v"))
-    joined = pairs.join(v.select(F.col("id").alias(left), by, F.col("_v").alias("_a")), left).join(v.select(F.col("id").alias(right), by, F.col("_v").alias("_b")), [right, by])
+    joined = pairs.join(v.select(F.col("id").alias(left), by, F.col("_v").alias("_a")),
+        left).join(v.select(F.col("id").alias(right), by, F.col("_v").alias("_b")), [right, by])
     return joined.withColumn("similarity", F.round(unit_dot(F.col("_a"), F.col("_b")), 6)).drop("_a", "_b")
 
 
 def best_models(rows: DataFrame, kind: str, model: list[str], similarity: str) -> DataFrame:
     """Per entity kind the model whose mean similarity between different things is least, and that mean."""
     means = rows.groupBy(kind, *model).agg(F.avg(similarity).alias("mean"))
-    return means.groupBy(kind).agg(F.min(F.struct("mean", *model)).alias("best")).select(kind, *(F.col("best")[m].alias(m) for m in model), F.round(F.col("best")["mean"], 6).alias("mean"))
+    return means.groupBy(kind).agg(F.min(F.struct("mean", *model)).alias("best")).select(kind, *(F.col("best")[m].alias(m) for m in model),
+        F.round(F.col("best")["mean"], 6).alias("mean"))
 
 
 def share_of(column: str | Column, partition: list[str]) -> Column:

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 # fixed values: how visits and purposes of events are shown: (category, icon, priority)
 VISITS = {
-    "outpatient": ("routine_visit", "building-hospital", 60), "emergency": ("emergency_visit", "emergency", 20), "specialist": ("specialist_consult", "user-doctor", 40),
+    "outpatient": ("routine_visit", "building-hospital", 60), "emergency": ("emergency_visit", "emergency", 20),
+        "specialist": ("specialist_consult", "user-doctor", 40),
     "telehealth": ("telehealth", "video", 70), "diagnostic": ("diagnostic_visit", "microscope", 50),
 }
-OBSERVATIONS = [("screening", "screening", "clipboard-check", 80, "preventive"), ("diagnostic", "test_result", "flask", 60, "diagnostic"), ("monitoring", "test_result", "chart-line", 70, "monitoring")]
+OBSERVATIONS = [("screening", "screening", "clipboard-check", 80, "preventive"), ("diagnostic", "test_result", "flask", 60, "diagnostic"),
+    ("monitoring", "test_result", "chart-line", 70, "monitoring")]
 INTERVENTIONS = [("therapeutic", "treatment", "medical-bag", 40, "treatment"), ("preventive", "vaccination", "syringe", 90, "preventive")]
 #: What a question is about, by the first words that it has.
-INTENTS = [("temporal", ["when", "date"]), ("medication", ["medication", "drug"]), ("test_results", ["test", "result"]), ("encounters", ["doctor", "visit"]), ("conditions", ["condition", "diagnosis"])]
+INTENTS = [("temporal", ["when", "date"]), ("medication", ["medication", "drug"]), ("test_results", ["test", "result"]),
+    ("encounters", ["doctor", "visit"]), ("conditions", ["condition", "diagnosis"])]
 PERIODS = [("1 month", "last month"), ("1 year", "last year"), ("current_year", "this year"), ("march", "march")]
 MONTH_DAYS = 30.44
 
@@ -46,7 +49,8 @@ def timeline_filter(
 
 
 def patient_timeline(
-    events: DataFrame, patient: int | str, categories: list[str] | None = None, subcategories: list[str] | None = None, since: str | None = None, until: str | None = None,
+    events: DataFrame, patient: int | str, categories: list[str] | None = None, subcategories: list[str] | None = None, since: str | None = None,
+        until: str | None = None,
     major_only: bool = False, search: str | None = None, tags: list[str] | None = None,
 ) -> DataFrame:
     """A patient's events that are not archived and meet every given parameter, newest first, then by priority (P02, P04, P05p, P07, N01).
@@ -101,7 +105,8 @@ def by_day(events: DataFrame, most: int, newest_first: bool = True) -> DataFrame
     order = [F.desc("ts") if newest_first else F.asc("ts"), F.asc("event_id")]
     some = events.orderBy(*order).limit(most)
     place = F.row_number().over(Window.orderBy(*order))  # ``most`` rows
-    rows = some.withColumn("_n", place).groupBy(F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("_n", "event_id"))).alias("_e"))
+    rows = some.withColumn("_n", place).groupBy(F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("_n",
+        "event_id"))).alias("_e"))
     return rows.select("day", F.transform("_e", lambda e: e["event_id"]).alias("events"))
 
 
@@ -116,17 +121,22 @@ def event_of_clinical(rows: DataFrame) -> DataFrame:
     """A timeline event for each clinical event (D16): rows have event_id, patient_id, activity_type, purposes (array), event_name, method,
     performed_by, body_site, event_date. Activities and purposes without a rule have no category."""
     seen, done = F.col("activity_type") == "observation", F.col("activity_type") == "intervention"
-    rules = [(seen & F.array_contains("purposes", p), r) for p, *r in OBSERVATIONS] + [(done & F.array_contains("purposes", p), r) for p, *r in INTERVENTIONS]
+    rules = [(seen & F.array_contains("purposes", p), r) for p, *r in OBSERVATIONS] + [(done & F.array_contains("purposes", p), r) for p,
+        *r in INTERVENTIONS]
     pick = lambda i: first_case(*((w, F.lit(r[i])) for w, r in rules))
-    sub = first_case((seen & (pick(3) == "monitoring"), "monitoring"), (done & (pick(0) == "vaccination"), "preventive_care"), (pick(0).isNotNull(), F.col("method")))
+    sub = first_case((seen & (pick(3) == "monitoring"), "monitoring"), (done & (pick(0) == "vaccination"), "preventive_care"),
+        (pick(0).isNotNull(), F.col("method")))
     n, by, site = F.col("event_name"), F.col("performed_by"), F.col("body_site")
     blank = lambda c: F.coalesce(c, F.lit(""))
-    summary = F.coalesce(F.concat(n, blank(F.concat(F.lit(" performed by "), by))), F.concat(F.lit("Clinical event on "), F.to_date("event_date").cast("string")))
-    sought = F.concat(n, F.lit(" "), blank(by), F.lit(" "), blank(site), F.lit(" "), F.array_join("purposes", " "), F.lit(" "), F.col("activity_type"))
+    summary = F.coalesce(F.concat(n, blank(F.concat(F.lit(" performed by "), by))),
+        F.concat(F.lit("Clinical event on "), F.to_date("event_date").cast("string")))
+    sought = F.concat(n, F.lit(" "), blank(by), F.lit(" "), blank(site), F.lit(" "), F.array_join("purposes", " "), F.lit(" "),
+        F.col("activity_type"))
     return rows.select(
         "event_id", "patient_id", pick(0).alias("category"), sub.alias("subcategory"), F.coalesce(site, "method").alias("tertiary"),
         first_case((seen, F.concat(n, F.lit(" Result"))), (done, n)).alias("title"), summary.alias("summary"), pick(1).alias("icon"), "event_date",
-        F.coalesce(pick(0) == "treatment", F.lit(False)).alias("is_major"), F.coalesce(pick(2), F.lit(100)).alias("priority"), sought.alias("searchable"),
+        F.coalesce(pick(0) == "treatment", F.lit(False)).alias("is_major"), F.coalesce(pick(2), F.lit(100)).alias("priority"),
+            sought.alias("searchable"),
         F.filter(F.array(pick(3)), lambda t: t.isNotNull()).alias("tags"),
     )
 
@@ -138,14 +148,19 @@ def event_of_visit(rows: DataFrame) -> DataFrame:
     pick = lambda i, other: F.coalesce(first_case(*((kind == k, F.lit(v[i])) for k, v in VISITS.items())), F.lit(other))
     blank = lambda c: F.coalesce(c, F.lit(""))
     title = F.coalesce(F.concat("specialty", F.lit(" Visit")), F.concat(F.initcap(kind), F.lit(" Visit")))
-    told = F.coalesce(F.concat(F.lit("Visit with "), "provider_name"), F.concat(F.lit("Healthcare visit at "), "facility_name"), F.concat(F.initcap(kind), F.lit(" healthcare encounter")))
+    told = F.coalesce(F.concat(F.lit("Visit with "), "provider_name"), F.concat(F.lit("Healthcare visit at "), "facility_name"),
+        F.concat(F.initcap(kind), F.lit(" healthcare encounter")))
     summary = F.when(F.col("complaint").isNotNull(), F.concat(told, F.lit(" - "), "complaint")).otherwise(told)
-    routine = kind.isin("outpatient", "telehealth") & (blank(has(F.col("complaint"), "annual").cast("string")).eqNullSafe("true") | has(F.col("complaint"), "check") | has(F.col("summary"), "routine"))
+    routine = kind.isin("outpatient", "telehealth") & (blank(has(F.col("complaint"),
+        "annual").cast("string")).eqNullSafe("true") | has(F.col("complaint"), "check") | has(F.col("summary"), "routine"))
     tags = F.filter(F.array(F.when(kind == "emergency", "urgent"), F.when(F.coalesce(routine, F.lit(False)), "routine")), lambda t: t.isNotNull())
-    sought = F.concat_ws(" ", blank(F.col("provider_name")), blank(F.col("facility_name")), blank(F.col("specialty")), blank(F.col("complaint")), blank(F.col("summary")), kind)
+    sought = F.concat_ws(" ", blank(F.col("provider_name")), blank(F.col("facility_name")), blank(F.col("specialty")), blank(F.col("complaint")),
+        blank(F.col("summary")), kind)
     return rows.select(
-        "visit_id", "patient_id", F.lit("visit").alias("category"), pick(0, "healthcare_visit").alias("subcategory"), title.alias("title"), summary.alias("summary"),
-        pick(1, "hospital").alias("icon"), F.col("visit_date").alias("event_date"), F.lit(True).alias("is_major"), pick(2, 50).alias("priority"), sought.alias("searchable"), tags.alias("tags"),
+        "visit_id", "patient_id", F.lit("visit").alias("category"), pick(0, "healthcare_visit").alias("subcategory"), title.alias("title"),
+            summary.alias("summary"),
+        pick(1, "hospital").alias("icon"), F.col("visit_date").alias("event_date"), F.lit(True).alias("is_major"), pick(2, 50).alias("priority"),
+            sought.alias("searchable"), tags.alias("tags"),
     )
 
 
@@ -156,7 +171,8 @@ def identity_key(table: str) -> Column:
     known = lambda *columns: reduce(and_, (c(x).isNotNull() for x in columns))
     if table == "medications":
         composite = text("composite:", F.lower("name"), ":", c("strength"), ":", F.coalesce(F.lower("form"), F.lit("unknown")))
-        return first_case(*((known(f"{s}_code"), text(f"{s}:", c(f"{s}_code"))) for s in ("rxnorm", "pbs", "atc")), (known("name", "strength"), composite)).otherwise(text("fallback:", c("id").cast("string")))
+        return first_case(*((known(f"{s}_code"), text(f"{s}:", c(f"{s}_code"))) for s in ("rxnorm", "pbs", "atc")),
+            (known("name", "strength"), composite)).otherwise(text("fallback:", c("id").cast("string")))
     if table == "conditions":
         return F.when(known("code"), text(c("system"), ":", c("code"))).otherwise(text("normalized:", F.lower(F.trim("name"))))
     if table == "allergies":
@@ -164,7 +180,8 @@ def identity_key(table: str) -> Column:
     if table == "vitals":
         return text("vital:", c("type"), ":", day("date"))
     if table == "immunizations":
-        return first_case((known("snomed_code"), text("snomed_vaccine:", c("snomed_code"), ":", day("date"))), (known("cvx_code"), text("cvx:", c("cvx_code"), ":", day("date")))).otherwise(text("vaccine:", F.lower("name"), ":", day("date")))
+        return first_case((known("snomed_code"), text("snomed_vaccine:", c("snomed_code"), ":", day("date"))),
+            (known("cvx_code"), text("cvx:", c("cvx_code"), ":", day("date")))).otherwise(text("vaccine:", F.lower("name"), ":", day("date")))
     return text("generic:", c("id").cast("string"))
 
 
@@ -177,13 +194,16 @@ def condition_journeys(events: DataFrame, visits: DataFrame) -> DataFrame:
     rows = events.where(~F.coalesce("archived", F.lit(False)) & F.col("condition_id").isNotNull())
     rows = rows.join(visits.select("visit_id", "provider_name", "facility_name"), "visit_id", "left")
     monitored = F.coalesce(F.array_contains("tags", "monitoring"), F.lit(False)) | (F.col("category") == "test_result")
-    sections = F.filter(F.array(F.when(F.col("category") == "diagnosis", F.lit(1)), F.when(F.col("category") == "treatment", F.lit(2)), F.when(monitored, F.lit(3))), lambda x: x.isNotNull())
+    sections = F.filter(F.array(F.when(F.col("category") == "diagnosis", F.lit(1)), F.when(F.col("category") == "treatment", F.lit(2)),
+        F.when(monitored, F.lit(3))), lambda x: x.isNotNull())
     rows = rows.withColumn("section_order", F.explode(sections))
     days = F.unix_micros(F.col("event_date").cast("timestamp_ntz").cast("timestamp"))
-    key = F.struct(F.when(F.col("section_order") == 1, days).otherwise(-days).alias("k"), F.col("event_id").alias("i"), F.to_json(F.struct("event_id", "title", F.date_format("event_date", "yyyy-MM-dd").alias("date"), "provider_name")).alias("j"))
+    key = F.struct(F.when(F.col("section_order") == 1, days).otherwise(-days).alias("k"), F.col("event_id").alias("i"),
+        F.to_json(F.struct("event_id", "title", F.date_format("event_date", "yyyy-MM-dd").alias("date"), "provider_name")).alias("j"))
     lists = rows.groupBy("patient_id", "condition_id", "section_order").agg(F.array_sort(F.collect_list(key)).alias("e"))
     name = F.element_at(F.array(F.lit("diagnosis"), F.lit("treatments"), F.lit("monitoring")), F.col("section_order"))
-    return lists.select("patient_id", "condition_id", name.alias("section"), "section_order", F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["j"]), ","), F.lit("]")).alias("events"))
+    return lists.select("patient_id", "condition_id", name.alias("section"), "section_order",
+        F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["j"]), ","), F.lit("]")).alias("events"))
 
 
 def journey_summary(events: DataFrame) -> DataFrame:
@@ -200,7 +220,8 @@ def journey_summary(events: DataFrame) -> DataFrame:
 def question_intent(v: Column) -> Column:
     """struct<intent, period> of a question (F30): the first words of a list that it has."""
     any_of = lambda words: reduce(lambda a, b: a | b, (has(v, w) for w in words))
-    return F.struct(first_case(*((any_of(w), F.lit(i)) for i, w in INTENTS)).otherwise("general").alias("intent"), first_case(*((has(v, w), F.lit(p)) for p, w in PERIODS)).alias("period"))
+    return F.struct(first_case(*((any_of(w), F.lit(i)) for i, w in INTENTS)).otherwise("general").alias("intent"),
+        first_case(*((has(v, w), F.lit(p)) for p, w in PERIODS)).alias("period"))
 
 
 def answers(questions: DataFrame, events: DataFrame, as_of: Column, most: int = 10) -> DataFrame:
@@ -217,19 +238,23 @@ def answers(questions: DataFrame, events: DataFrame, as_of: Column, most: int =
     timely = F.col("period").isNull() | ((F.col("period") == "1 month") & (F.col("event_date") >= F.add_months(as_of, -1)))
     words = F.filter(F.array_distinct(F.split("text", r"[^a-z0-9]+")), lambda w: F.length(w) > 3)
     score = F.size(F.filter(words, lambda w: F.contains(F.lower("searchable"), w)))
-    rows = joined.withColumn("_score", F.when(listed, F.lit(0)).otherwise(score)).where(F.when(listed, wanted & timely).otherwise(F.col("_score") > 0))
+    rows = joined.withColumn("_score", F.when(listed, F.lit(0)).otherwise(score)).where(F.when(listed,
+        wanted & timely).otherwise(F.col("_score") > 0))
     order = Window.partitionBy("question_id").orderBy(F.desc("_score"), F.desc("event_date"), "event_id")
     ranked = rows.withColumn("_n", F.row_number().over(order)).where(listed | (F.col("_n") <= most))
-    kind = F.when(F.col("intent") == "test_results", "recent_tests").when(F.col("intent") == "encounters", "recent_visits").otherwise("general_search")
+    kind = F.when(F.col("intent") == "test_results", "recent_tests").when(F.col("intent") == "encounters",
+        "recent_visits").otherwise("general_search")
     sure = F.when(F.col("intent") == "test_results", 0.80).when(F.col("intent") == "encounters", 0.85).otherwise(0.70)
-    found = ranked.groupBy("question_id", "intent").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "event_id"))), lambda e: e["event_id"]).alias("events"))
+    found = ranked.groupBy("question_id", "intent").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "event_id"))),
+        lambda e: e["event_id"]).alias("events"))
     return found.select("question_id", kind.alias("response_type"), "events", sure.alias("confidence"))
 
 
 def with_context(reports: DataFrame, events: DataFrame) -> DataFrame:
     """Reports beside the event of the same patient and day that shows them (J04): requires_attention and tags, null without one."""
     shown = events.where((F.col("category") == "test_result") & (F.col("subcategory") == "imaging") & ~F.coalesce("archived", F.lit(False)))
-    return reports.join(shown.select("patient_id", F.col("event_date").alias("study_date"), "requires_attention", "tags"), ["patient_id", "study_date"], "left")
+    return reports.join(shown.select("patient_id", F.col("event_date").alias("study_date"), "requires_attention", "tags"),
+        ["patient_id", "study_date"], "left")
 
 
 def imaging_summary(reports: DataFrame) -> DataFrame:
@@ -238,10 +263,12 @@ def imaging_summary(reports: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     latest = F.max(F.struct("study_date", "report_id", blank("indication"), blank("impression")))
     rows = reports.groupBy("patient_id", "imaging_type", "body_region").agg(
-        F.count("*").alias("studies"), F.min("study_date").alias("first_study"), F.max("study_date").alias("last_study"), F.count_if("requires_attention").alias("attention"),
+        F.count("*").alias("studies"), F.min("study_date").alias("first_study"), F.max("study_date").alias("last_study"),
+            F.count_if("requires_attention").alias("attention"),
         tagged("abnormal"), tagged("screening"), latest.alias("_l"),
     )
-    said = F.to_json(F.struct(F.date_format("_l.study_date", "yyyy-MM-dd").alias("study_date"), F.col("_l.indication").alias("indication"), F.col("_l.impression").alias("impression")))
+    said = F.to_json(F.struct(F.date_format("_l.study_date", "yyyy-MM-dd").alias("study_date"), F.col("_l.indication").alias("indication"),
+        F.col("_l.impression").alias("impression")))
     return rows.withColumn("latest", said).drop("_l")
 
 
@@ -252,14 +279,18 @@ def months_between_days(first: Column, last: Column) -> Column:
 def imaging_patterns(reports: DataFrame) -> DataFrame:
     """(patient_id, pattern, body_region, studies, months) of all patients (A31, A09): three studies or more of a kind and region; screening
     followed by diagnostic studies of a region; two or more that need attention. ``months`` are of 30.44 days."""
-    frequent = reports.groupBy("patient_id", "imaging_type", "body_region").agg(F.count("*").alias("studies"), months_between_days(F.min("study_date"), F.max("study_date")).alias("months")).where("studies >= 3")
+    frequent = reports.groupBy("patient_id", "imaging_type", "body_region").agg(F.count("*").alias("studies"),
+        months_between_days(F.min("study_date"), F.max("study_date")).alias("months")).where("studies >= 3")
     tag = lambda t: F.array_contains("tags", t)
     began, went_on = F.min(F.when(tag("screening"), F.col("study_date"))), F.max(F.when(tag("diagnostic"), F.col("study_date")))
-    led = reports.groupBy("patient_id", "body_region").agg((F.count_if(tag("screening")) + F.count_if(tag("diagnostic"))).alias("studies"), months_between_days(began, went_on).alias("months")).where("months IS NOT NULL")
-    cluster = reports.where("requires_attention").groupBy("patient_id").agg(F.count("*").alias("studies"), months_between_days(F.min("study_date"), F.max("study_date")).alias("months")).where("studies >= 2")
+    led = reports.groupBy("patient_id", "body_region").agg((F.count_if(tag("screening")) + F.count_if(tag("diagnostic"))).alias("studies"),
+        months_between_days(began, went_on).alias("months")).where("months IS NOT NULL")
+    cluster = reports.where("requires_attention").groupBy("patient_id").agg(F.count("*").alias("studies"),
+        months_between_days(F.min("study_date"), F.max("study_date")).alias("months")).where("studies >= 2")
     shape = lambda df, name, region: df.select("patient_id", F.lit(name).alias("pattern"), region.alias("body_region"), "studies", "months")
     return (
-        shape(frequent, "frequent_imaging", F.concat_ws("/", "imaging_type", "body_region")).unionByName(shape(led, "screening_to_diagnostic", F.col("body_region")))
+        shape(frequent, "frequent_imaging", F.concat_ws("/", "imaging_type", "body_region")).unionByName(shape(led, "screening_to_diagnostic",
+            F.col("body_region")))
         .unionByName(shape(cluster, "attention_cluster", F.lit(None).cast("string")))
     )
 
@@ -273,16 +304,22 @@ def alerts(medications: DataFrame, patients: DataFrame, labs: DataFrame, items:
     """
     open_items = items.where(F.col("status").isin("pending", "assigned"))
     since = lambda df, days: df.where(F.col("created_at") > F.timestamp_add("DAY", F.lit(-days), as_of))
-    many = medications.where(~F.coalesce("archived", F.lit(False)) & (F.col("status") == "active")).groupBy("patient_id").agg(F.count("*").alias("n")).where("n >= 5")
-    many = many.select("patient_id", F.lit("polypharmacy_check").alias("action_type"), F.lit(None).cast("string").alias("subject"), F.lit("moderate").alias("priority"), F.when(F.col("n") >= 10, "high").otherwise("moderate").alias("risk"))
+    many = medications.where(~F.coalesce("archived",
+        F.lit(False)) & (F.col("status") == "active")).groupBy("patient_id").agg(F.count("*").alias("n")).where("n >= 5")
+    many = many.select("patient_id", F.lit("polypharmacy_check").alias("action_type"), F.lit(None).cast("string").alias("subject"),
+        F.lit("moderate").alias("priority"), F.when(F.col("n") >= 10, "high").otherwise("moderate").alias("risk"))
     many = many.join(since(open_items.where("action_type = 'polypharmacy_check'"), 30), "patient_id", "left_anti")
     out = many
     age = F.year(as_of) - F.year("birth_date") - (F.date_format(as_of, "MMdd") < F.date_format("birth_date", "MMdd")).cast("int")
     for subject, oldest, days in (("mammography", 74, 182), ("colorectal", 75, 365)):
-        due = patients.where(age.between(50, oldest)).select("patient_id", F.lit("screening_due").alias("action_type"), F.lit(subject).alias("subject"), F.lit("routine").alias("priority"), F.lit(None).cast("string").alias("risk"))
-        out = out.unionByName(due.join(since(open_items.where((F.col("action_type") == "screening_due") & (F.col("subject") == subject)), days), "patient_id", "left_anti"))
-    odd = labs.where(F.col("flag").isin("high", "low", "critical_high", "critical_low") & ~F.coalesce("archived", F.lit(False)) & (F.col("test_date") > F.timestamp_add("DAY", F.lit(-30), as_of)))
-    odd = odd.select("patient_id", F.lit("lab_abnormal").alias("action_type"), F.col("lab_id").cast("string").alias("subject"), F.when(F.col("flag").startswith("critical"), "critical").otherwise("moderate").alias("priority"), F.lit(None).cast("string").alias("risk"))
+        due = patients.where(age.between(50, oldest)).select("patient_id", F.lit("screening_due").alias("action_type"),
+            F.lit(subject).alias("subject"), F.lit("routine").alias("priority"), F.lit(None).cast("string").alias("risk"))
+        out = out.unionByName(due.join(since(open_items.where((F.col("action_type") == "screening_due") & (F.col("subject") == subject)), days),
+            "patient_id", "left_anti"))
+    odd = labs.where(F.col("flag").isin("high", "low", "critical_high", "critical_low") & ~F.coalesce("archived",
+        F.lit(False)) & (F.col("test_date") > F.timestamp_add("DAY", F.lit(-30), as_of)))
+    odd = odd.select("patient_id", F.lit("lab_abnormal").alias("action_type"), F.col("lab_id").cast("string").alias("subject"),
+        F.when(F.col("flag").startswith("critical"), "critical").otherwise("moderate").alias("priority"), F.lit(None).cast("string").alias("risk"))
     return out.unionByName(odd.join(open_items.where("action_type = 'lab_abnormal'"), ["patient_id", "action_type", "subject"], "left_anti"))
 
 
@@ -293,7 +330,8 @@ def retained(events: DataFrame, at: str, as_of: Column, days: int) -> DataFrame:
 
 def current_state(sources: dict[str, DataFrame], patient: int | str | None = None) -> DataFrame:
     """(patient_id, kind, id, name, date) of several tables with these columns, in the order of kind and date."""
-    parts = [df.select("patient_id", F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "name", "date") for kind, df in sources.items()]
+    parts = [df.select("patient_id", F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "name", "date") for kind,
+        df in sources.items()]
     rows = reduce(DataFrame.unionByName, parts)
     return rows if patient is None else rows.where(F.col("patient_id") == patient).orderBy("kind", F.desc("date"), "id")
 

@@ -40,7 +40,8 @@ SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_or
 o_custkey""")
 def a05(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.ordered_list(t("orders").where("o_totalprice > 50000"), ["o_custkey"], c("o_orderkey").cast("string"), ["o_orderdate", "o_orderkey"], "orders").withColumn("orders", F.array_join("orders", ","))
+    return A.ordered_list(t("orders").where("o_totalprice > 50000"), ["o_custkey"], c("o_orderkey").cast("string"), ["o_orderdate", "o_orderkey"],
+        "orders").withColumn("orders", F.array_join("orders", ","))
 
 
 @query("a07_distinct_concat", """
@@ -78,7 +79,8 @@ UNION ALL SELECT 'events', count(*), count(*) FILTER (WHERE event_type <> 'error
 (WHERE c_acctbal > 0) FROM customer""")
 def a11(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.volume_stats({"orders": (t("orders"), c("o_orderstatus") == "O"), "events": (t("events"), c("event_type") != "error"), "customer": (t("customer"), c("c_acctbal") > 0)})
+    return A.volume_stats({"orders": (t("orders"), c("o_orderstatus") == "O"), "events": (t("events"), c("event_type") != "error"),
+        "customer": (t("customer"), c("c_acctbal") > 0)})
 
 
 @query("a12_dashboard", """
@@ -86,7 +88,8 @@ SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM events WHE
 FROM customer) AS balance""")
 def a12(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.dashboard({"orders": (t("orders"), F.count("*")), "errors": (t("events"), F.count_if(c("event_type") == "error")), "balance": (t("customer"), F.round(F.avg("c_acctbal"), 4))})
+    return A.dashboard({"orders": (t("orders"), F.count("*")), "errors": (t("events"), F.count_if(c("event_type") == "error")),
+        "balance": (t("customer"), F.round(F.avg("c_acctbal"), 4))})
 
 
 @query("a13_elapsed_ms", """
@@ -101,7 +104,8 @@ SELECT p.p_partkey, coalesce(round(avg(l.l_discount), 6), 0.85) AS confidence FR
 l.l_quantity > 45 GROUP BY p.p_partkey""")
 def a15(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.mean_or(t("part"), t("lineitem").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "l_discount", 0.85, "confidence", c("l_quantity") > 45).withColumn("confidence", F.round("confidence", 6))
+    return A.mean_or(t("part"), t("lineitem").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "l_discount", 0.85, "confidence",
+        c("l_quantity") > 45).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("a19_histogram", """
@@ -116,7 +120,8 @@ SELECT count(*) AS n, coalesce(round(avg(k), 6), 0) AS mean_k, coalesce(min(k),
 FROM lineitem GROUP BY l_orderkey) t""")
 def a20(spark, d):
     t = lambda name: table(spark, d, name)
-    return queues.batch_sizes(t("lineitem").groupBy("l_orderkey").count(), "count").select(c("batches").alias("n"), c("mean").alias("mean_k"), c("least").alias("min_k"), c("most").alias("max_k"))
+    return queues.batch_sizes(t("lineitem").groupBy("l_orderkey").count(), "count").select(c("batches").alias("n"), c("mean").alias("mean_k"),
+        c("least").alias("min_k"), c("most").alias("max_k"))
 
 
 @query("a23_best_model", """
@@ -124,7 +129,8 @@ SELECT o_orderpriority, arg_min(o_orderstatus, m) AS best FROM (SELECT o_orderpr
 o_orderpriority, o_orderstatus) t GROUP BY o_orderpriority""")
 def a23(spark, d):
     t = lambda name: table(spark, d, name)
-    return retrieval.best_models(t("orders"), "o_orderpriority", ["o_orderstatus"], "o_totalprice").select("o_orderpriority", c("o_orderstatus").alias("best"))
+    return retrieval.best_models(t("orders"), "o_orderpriority", ["o_orderstatus"], "o_totalprice").select("o_orderpriority",
+        c("o_orderstatus").alias("best"))
 
 
 @query("a25_any_true", """
@@ -139,7 +145,9 @@ SELECT event_type, count(*) AS n, CASE WHEN count(*) > 3000 THEN 'CRITICAL' WHEN
 GROUP BY event_type""")
 def a32(spark, d):
     t = lambda name: table(spark, d, name)
-    return records.health_checks(A.histogram(t("events"), "event_type", "value").withColumnRenamed("event_type", "metric"), dict.fromkeys(("signup", "purchase", "error", "view", "click"), (1001, 3001))).select(c("metric").alias("event_type"), c("value").alias("n"), "status")
+    return records.health_checks(A.histogram(t("events"), "event_type", "value").withColumnRenamed("event_type", "metric"),
+        dict.fromkeys(("signup", "purchase", "error", "view", "click"), (1001, 3001))).select(c("metric").alias("event_type"), c("value").alias("n"),
+        "status")
 
 
 @query("a34_quality", """
@@ -155,7 +163,9 @@ SELECT c.c_custkey, n.n_name, r.r_name FROM customer c LEFT JOIN nation n ON n.n
 n.n_regionkey""")
 def j02(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.left_chain(t("customer").select("c_custkey", "c_nationkey"), (t("nation"), c("n_nationkey") == c("c_nationkey"), ["n_name", "n_regionkey"]), (t("region"), c("r_regionkey") == c("n_regionkey"), ["r_name"])).select("c_custkey", "n_name", "r_name")
+    return A.left_chain(t("customer").select("c_custkey", "c_nationkey"),
+        (t("nation"), c("n_nationkey") == c("c_nationkey"), ["n_name", "n_regionkey"]),
+        (t("region"), c("r_regionkey") == c("n_regionkey"), ["r_name"])).select("c_custkey", "n_name", "r_name")
 
 
 @query("j03_fanout_rewrite", """
@@ -163,28 +173,34 @@ SELECT c_custkey, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderkey E
 o_orderkey END) AS large FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def j03(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.distinct_where(t("customer").join(t("orders"), c("o_custkey") == c("c_custkey"), "left"), ["c_custkey"], {"done": (c("o_orderkey"), c("o_orderstatus") == "F"), "large": (c("o_orderkey"), c("o_totalprice") > 100000)})
+    return A.distinct_where(t("customer").join(t("orders"), c("o_custkey") == c("c_custkey"), "left"), ["c_custkey"],
+        {"done": (c("o_orderkey"), c("o_orderstatus") == "F"), "large": (c("o_orderkey"), c("o_totalprice") > 100000)})
 
 
 @query("j05_self_join", """
 SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey""")
 def j05(spark, d):
     t = lambda name: table(spark, d, name)
-    return access.allowed_patients(t("supplier").select(c("s_suppkey").alias("profile_id"), c("s_nationkey").alias("owner_id"), F.lit("self").alias("profile_type"), F.lit(False).alias("archived")), F.lit("2024-01-01").cast("timestamp_ntz")).where("scope = 'emergency'").select(c("profile_id").alias("a"), c("patient_id").alias("b"))
+    return access.allowed_patients(t("supplier").select(c("s_suppkey").alias("profile_id"), c("s_nationkey").alias("owner_id"),
+        F.lit("self").alias("profile_type"), F.lit(False).alias("archived")),
+        F.lit("2024-01-01").cast("timestamp_ntz")).where("scope = 'emergency'").select(c("profile_id").alias("a"), c("patient_id").alias("b"))
 
 
 @query("j06_semi", """
 SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)""")
 def j06(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.with_match(t("customer"), t("orders").where("o_totalprice > 150000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey")
+    return A.with_match(t("customer"), t("orders").where("o_totalprice > 150000").withColumnRenamed("o_custkey", "c_custkey"),
+        "c_custkey").select("c_custkey")
 
 
 @query("j07_anti_recent", """
-SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderdate > TIMESTAMP '1998-01-01')""")
+SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderdate > TIMESTAMP
+'1998-01-01')""")
 def j07(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.without_recent(t("customer"), t("orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "o_orderdate", F.lit("1998-01-01").cast("timestamp_ntz")).select("c_custkey")
+    return A.without_recent(t("customer"), t("orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "o_orderdate",
+        F.lit("1998-01-01").cast("timestamp_ntz")).select("c_custkey")
 
 
 @query("j09_either_side", """
@@ -230,7 +246,8 @@ SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER
 lineitem""")
 def w09(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.numbered(t("lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]).select("l_orderkey", "l_linenumber", "n")
+    return A.numbered(t("lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]).select("l_orderkey", "l_linenumber",
+        "n")
 
 
 @query("w10_total_with_page", """
@@ -245,7 +262,8 @@ SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriori
 o_orderdate, o_orderkey LIMIT 50""")
 def l02(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.ranked(t("orders"), F.when(c("o_orderpriority").startswith("1"), 0).when(c("o_orderpriority").startswith("2"), 1).otherwise(2), ["o_orderdate", "o_orderkey"], 50).select("o_orderkey", "rank")
+    return A.ranked(t("orders"), F.when(c("o_orderpriority").startswith("1"), 0).when(c("o_orderpriority").startswith("2"), 1).otherwise(2),
+        ["o_orderdate", "o_orderkey"], 50).select("o_orderkey", "rank")
 
 
 @query("l05_offset_page", """
@@ -260,7 +278,8 @@ SELECT 'customer' AS kind, c_custkey AS id, c_name AS name FROM customer UNION A
 'part', p_partkey, p_name FROM part""")
 def u01(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.tagged_union(**{k: t(k).select(c(f"{p}key").alias("id"), c(n).alias("name")) for k, p, n in (("customer", "c_cust", "c_name"), ("supplier", "s_supp", "s_name"), ("part", "p_part", "p_name"))})
+    return A.tagged_union(**{k: t(k).select(c(f"{p}key").alias("id"), c(n).alias("name")) for k, p,
+        n in (("customer", "c_cust", "c_name"), ("supplier", "s_supp", "s_name"), ("part", "p_part", "p_name"))})
 
 
 @query("u03_distinct_branches", """
@@ -283,7 +302,8 @@ SELECT o_orderkey FROM orders WHERE TIMESTAMP '1996-06-01' >= o_orderdate AND (o
 '90' DAY)""")
 def p08(spark, d):
     t = lambda name: table(spark, d, name)
-    return t("orders").where(access.valid_at(c("o_orderdate"), F.when(c("o_totalprice") >= 1000, F.timestamp_add("DAY", F.lit(90), c("o_orderdate"))), F.lit("1996-06-01").cast("timestamp_ntz"))).select("o_orderkey")
+    return t("orders").where(access.valid_at(c("o_orderdate"), F.when(c("o_totalprice") >= 1000, F.timestamp_add("DAY", F.lit(90), c("o_orderdate"))),
+        F.lit("1996-06-01").cast("timestamp_ntz"))).select("o_orderkey")
 
 
 @query("p10_status_buckets", """
@@ -312,7 +332,8 @@ SELECT day::DATE AS day, year(day) AS y, month(day) AS m, day(day) AS d FROM (SE
 INTERVAL 1 DAY)) AS day) t""")
 def s18(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.date_spine(spark, "2000-01-01", "2050-12-31").select("day", F.year("day").alias("y"), F.month("day").alias("m"), F.dayofmonth("day").alias("d"))
+    return A.date_spine(spark, "2000-01-01", "2050-12-31").select("day", F.year("day").alias("y"), F.month("day").alias("m"),
+        F.dayofmonth("day").alias("d"))
 
 
 @query("d13_retention", """

@@ -31,7 +31,8 @@ m AS (SELECT *, max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS BETWEEN
 i AS (SELECT *, sum(CASE WHEN a <= p + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY a, b) AS g FROM m)
 SELECT l_orderkey, min(a) AS a, max(b) AS b FROM i GROUP BY l_orderkey, g""")
 def w03(spark, d):
-    r = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 3).alias("a"), (F.col("l_linenumber") * 3 + F.col("l_quantity").cast("int") % 5).alias("b"))
+    r = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 3).alias("a"),
+        (F.col("l_linenumber") * 3 + F.col("l_quantity").cast("int") % 5).alias("b"))
     return reconcile.merged_ranges(r, "l_orderkey", "a", "b")
 
 
@@ -42,10 +43,12 @@ def a26(spark, d):
 
 
 @query("a14_weighted_confidence", """
-SELECT l_orderkey, round(sum(l_quantity * CASE WHEN l_discount IS NULL OR l_discount = 0 THEN 0.5 ELSE l_discount END) / sum(l_quantity), 9) AS confidence
+SELECT l_orderkey, round(sum(l_quantity * CASE WHEN l_discount IS NULL OR l_discount = 0 THEN 0.5 ELSE l_discount END) / sum(l_quantity), 9) AS
+confidence
 FROM lineitem GROUP BY l_orderkey""")
 def a14(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(reconcile.weighted_confidence("l_discount", F.col("l_quantity")), 9).alias("confidence"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(reconcile.weighted_confidence("l_discount", F.col("l_quantity")),
+        9).alias("confidence"))
 
 
 @query("d02_current_versions", """
@@ -57,8 +60,10 @@ def d02(spark, d):
 
 
 @query("d03_upsert", """
-WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice, 0 AS fresh FROM orders UNION ALL SELECT o_custkey, xor(o_orderkey, 1), o_totalprice + 1, 1 FROM orders)
-SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM b QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, fresh DESC) = 1""")
+WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice, 0 AS fresh FROM orders UNION ALL SELECT o_custkey, xor(o_orderkey, 1), o_totalprice + 1, 1 FROM
+orders)
+SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM b QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey
+DESC, fresh DESC) = 1""")
 def d03(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     new = o.select("o_custkey", F.col("o_orderkey").bitwiseXOR(F.lit(1)).alias("o_orderkey"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
@@ -66,14 +71,16 @@ def d03(spark, d):
 
 
 @query("v07_lexical_matches", """
-WITH h AS (SELECT p_partkey, contains(lower(p_name), 'widget')::INT + contains(lower(p_name), 'bolt')::INT + contains(lower(p_name), 'cold')::INT AS hits FROM part)
+WITH h AS (SELECT p_partkey, contains(lower(p_name), 'widget')::INT + contains(lower(p_name), 'bolt')::INT + contains(lower(p_name), 'cold')::INT AS
+hits FROM part)
 SELECT p_partkey, hits, hits / 3.0 AS score FROM h WHERE hits > 0 ORDER BY hits DESC, p_partkey LIMIT 20""")
 def v07(spark, d):
     return retrieval.lexical_matches(table(spark, d, "part"), "p_name", ["Widget", "bolt", " ", "cold"], "p_partkey")
 
 
 @query("f05_embeddable", r"""
-SELECT doc_id, coalesce(length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 2 AND length(text) <= 8000 AND length(regexp_replace(text, '[\s\d\-./]', '', 'g')) >= 2, false) AS ok FROM documents""")
+SELECT doc_id, coalesce(length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 2 AND length(text) <= 8000 AND length(regexp_replace(text,
+'[\s\d\-./]', '', 'g')) >= 2, false) AS ok FROM documents""")
 def f05(spark, d):
     return table(spark, d, "documents").select("doc_id", X.embeddable(F.col("text")).alias("ok"))
 
@@ -84,7 +91,8 @@ def f06(spark, d):
 
 
 @query("f12_folded_similarity", """
-SELECT n_nationkey, round(1 - levenshtein(lower(n_name), lower(r_name)) / greatest(length(n_name), length(r_name)), 6) AS similarity FROM nation JOIN region ON n_regionkey = r_regionkey""")
+SELECT n_nationkey, round(1 - levenshtein(lower(n_name), lower(r_name)) / greatest(length(n_name), length(r_name)), 6) AS similarity FROM nation JOIN
+region ON n_regionkey = r_regionkey""")
 def f12(spark, d):
     j = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five rows
     return j.select("n_nationkey", F.round(X.name_similarity(F.col("n_name"), F.col("r_name")), 6).alias("similarity"))
@@ -96,7 +104,8 @@ def f07(spark, d):
 
 
 @query("f11_name_similarity", """
-SELECT n_nationkey, round(1 - levenshtein(n_name, r_name) / greatest(length(n_name), length(r_name)), 6) AS similarity FROM nation JOIN region ON n_regionkey = r_regionkey""")
+SELECT n_nationkey, round(1 - levenshtein(n_name, r_name) / greatest(length(n_name), length(r_name)), 6) AS similarity FROM nation JOIN region ON
+n_regionkey = r_regionkey""")
 def f11(spark, d):
     j = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five rows
     return j.select("n_nationkey", F.round(X.similarity(F.col("n_name"), F.col("r_name")), 6).alias("similarity"))
@@ -108,23 +117,29 @@ def f24(spark, d):
 
 
 @query("f25_truncated_text", """
-SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '... [truncated ' || (length(text) - 80) || ' chars]' ELSE text END AS shown FROM documents""")
+SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '... [truncated ' || (length(text) - 80) || ' chars]' ELSE text END AS shown FROM
+documents""")
 def f25(spark, d):
     return table(spark, d, "documents").select("doc_id", X.truncated(F.col("text"), 80).alias("shown"))
 
 
 @query("f50_normalized_dates", """
 WITH x AS (SELECT event_id, ts::DATE AS t, event_id % 5 AS k FROM events)
-SELECT event_id, strftime(CASE WHEN k = 1 AND day(t) <= 12 THEN make_date(2024, day(t), month(t)) ELSE t END, '%Y-%m-%d') AS iso, k IN (0, 1) AND day(t) <= 12 AS ambiguous,
-CASE WHEN k IN (0, 1) AND day(t) <= 12 THEN 'ambiguous_default' WHEN k = 0 THEN 'dd_mm' WHEN k = 1 THEN 'mm_dd' WHEN k = 2 THEN 'iso' ELSE 'text' END AS method, CASE WHEN k IN (0, 1) AND day(t) <= 12 THEN 'low' ELSE 'high' END AS confidence FROM x""")
+SELECT event_id, strftime(CASE WHEN k = 1 AND day(t) <= 12 THEN make_date(2024, day(t), month(t)) ELSE t END, '%Y-%m-%d') AS iso, k IN (0, 1) AND
+day(t) <= 12 AS ambiguous,
+CASE WHEN k IN (0, 1) AND day(t) <= 12 THEN 'ambiguous_default' WHEN k = 0 THEN 'dd_mm' WHEN k = 1 THEN 'mm_dd' WHEN k = 2 THEN 'iso' ELSE 'text' END
+AS method, CASE WHEN k IN (0, 1) AND day(t) <= 12 THEN 'low' ELSE 'high' END AS confidence FROM x""")
 def f50(spark, d):
-    form = F.element_at(F.array(*map(F.lit, ("dd/MM/yyyy", "MM/dd/yy", "yyyy-MM-dd", "d MMM yyyy", "MMMM d, yyyy"))), (F.col("event_id") % 5 + 1).cast("int"))
+    form = F.element_at(F.array(*map(F.lit, ("dd/MM/yyyy", "MM/dd/yy", "yyyy-MM-dd", "d MMM yyyy", "MMMM d, yyyy"))),
+        (F.col("event_id") % 5 + 1).cast("int"))
     raw = F.coalesce(*(F.when(form == p, F.date_format("ts", p)) for p in ("dd/MM/yyyy", "MM/dd/yy", "yyyy-MM-dd", "d MMM yyyy", "MMMM d, yyyy")))
-    return table(spark, d, "events").select("event_id", X.normalized_date(raw, 2027).alias("date")).select("event_id", "date.iso", "date.ambiguous", "date.method", "date.confidence")
+    return table(spark, d, "events").select("event_id", X.normalized_date(raw, 2027).alias("date")).select("event_id", "date.iso", "date.ambiguous",
+        "date.method", "date.confidence")
 
 
 @query("f55_age_years", """
-SELECT o_orderkey, date_diff('year', o_orderdate, TIMESTAMP '2024-02-28') - (strftime(TIMESTAMP '2024-02-28', '%m%d') < strftime(o_orderdate, '%m%d'))::INT AS age FROM orders""")
+SELECT o_orderkey, date_diff('year', o_orderdate, TIMESTAMP '2024-02-28') - (strftime(TIMESTAMP '2024-02-28', '%m%d') < strftime(o_orderdate,
+'%m%d'))::INT AS age FROM orders""")
 def f55(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.age_years(F.col("o_orderdate"), F.lit("2024-02-28").cast("date")).alias("age"))
 
@@ -135,13 +150,16 @@ def f74(spark, d):
 
 
 @query("s10_page_manifest", """
-SELECT conv_id AS doc_id, count(*) AS pages, sum(octet_length(encode(text))) AS bytes, sha256(string_agg(sha256(text), '' ORDER BY turn)) AS checksum FROM conversations GROUP BY conv_id""")
+SELECT conv_id AS doc_id, count(*) AS pages, sum(octet_length(encode(text))) AS bytes, sha256(string_agg(sha256(text), '' ORDER BY turn)) AS checksum
+FROM conversations GROUP BY conv_id""")
 def s10(spark, d):
-    return page_manifest(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.col("text").alias("content")))
+    return page_manifest(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"),
+        F.col("text").alias("content")))
 
 
 @query("p19_validation_errors", """
-WITH e AS (SELECT o_orderkey, list_filter([CASE WHEN o_totalprice > 200000 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'status' END], lambda x: x IS NOT NULL) AS errors FROM orders)
+WITH e AS (SELECT o_orderkey, list_filter([CASE WHEN o_totalprice > 200000 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'status'
+END], lambda x: x IS NOT NULL) AS errors FROM orders)
 SELECT o_orderkey, array_to_string(errors, ',') AS errors FROM e WHERE len(errors) > 0""")
 def p19(spark, d):
     o = table(spark, d, "orders")

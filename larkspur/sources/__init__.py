@@ -18,7 +18,8 @@ def csv_strings(spark: SparkSession, path: str, columns: list[str], null_value:
     return (reader.option("nullValue", null_value) if null_value is not None else reader).csv(path)
 
 
-def scan(df: DataFrame, columns: list[str] | None = None, equal: dict | None = None, among: dict[str, list] | None = None, order: list[Column] | None = None, limit: int | None = None) -> DataFrame:
+def scan(df: DataFrame, columns: list[str] | None = None, equal: dict | None = None, among: dict[str, list] | None = None,
+    order: list[Column] | None = None, limit: int | None = None) -> DataFrame:
     """The rows of a table that meet all given conditions (S07): equal values, lists of values, order, limit; all of it reaches the scan."""
     for c, v in (equal or {}).items():
         df = df.where(F.col(c).isNull() if v is None else F.col(c) == v)
