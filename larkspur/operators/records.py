@@ -62,7 +62,7 @@ def search_providers(providers: DataFrame, term: str | None = None, country: str
     rows = providers
     if term is not None:
         hit = F.lit(False)
-        for c in ("given_names", "family_name", "guardian_id"):
+        for c in ("given_names", "family_name", "public_id"):
             hit = hit | F.ilike(F.coalesce(F.col(c), F.lit("")), F.lit(f"%{term}%"))
         rows = rows.where(hit)
     if country is not None:

@@ -111,7 +111,7 @@ SELECT s_suppkey AS provider_id, s_name || ' Who' AS full_name FROM supplier WHE
 s_nationkey = 3 AND s_acctbal > 0""")
 def p26(spark, d):
     rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("provider_id"), F.col("s_name").alias("given_names"),
-        F.lit("Who").alias("family_name"), F.concat(F.lit("G-"), F.col("s_suppkey").cast("string")).alias("guardian_id"),
+        F.lit("Who").alias("family_name"), F.concat(F.lit("G-"), F.col("s_suppkey").cast("string")).alias("public_id"),
         F.col("s_nationkey").cast("string").alias("country"), F.array(F.lit("gp")).alias("specialties"), (F.col("s_acctbal") > 0).alias("verified"))
     return records.search_providers(rows, "1", "3", "gp").select("provider_id", "full_name")
 
