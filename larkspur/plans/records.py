@@ -34,7 +34,7 @@ def shown_flags(df):
 WITH j AS (SELECT a.*, p.date_of_birth FROM appointments a JOIN profiles p ON p.profile_id = a.profile_id)
 SELECT document_id, 'future_date_check' AS problem_code, 'warning' AS severity, 0.85 AS confidence, date::VARCHAR AS raw_value, date::VARCHAR AS
 suggestion, false AS auto_resolvable
-FROM j WHERE epoch(date) - epoch({NOW}) > 12 * 30 * 86400 AND year(date) <= 2002
+FROM j WHERE epoch(date) - epoch({NOW}) > 12 * 30 * 86400
 UNION ALL SELECT document_id, 'birth_date_consistency', 'critical', 0.95, date::VARCHAR, NULL, false FROM j WHERE date < date_of_birth"""))
 def q01(spark, d):
     rows = stand_in(spark, d, "appointments").join(stand_in(spark, d, "profiles").select("profile_id", "date_of_birth"), "profile_id")
@@ -44,10 +44,10 @@ def q01(spark, d):
 @query("q03_future_labs", over("labs", f"""
 WITH x AS (SELECT *, ceil((epoch(date) - epoch({NOW})) / 86400.0) AS ahead FROM labs)
 SELECT document_id, 'future_date_check' AS problem_code, CASE WHEN ahead > 30 THEN 'warning' ELSE 'info' END AS severity, 0.8 AS confidence,
-date::VARCHAR AS raw_value, date::VARCHAR AS suggestion, ahead <= 7 AS auto_resolvable
-FROM x WHERE ahead > 0 AND year(date) <= 2002"""))
+date::VARCHAR AS raw_value, (CASE WHEN year(date) > 2002 THEN date + INTERVAL (1997 - year(date)) YEAR ELSE date END)::DATE::VARCHAR AS suggestion, ahead <= 7 AS auto_resolvable
+FROM x WHERE ahead > 0"""))
 def q03(spark, d):
-    return shown_flags(flags.raised(stand_in(spark, d, "labs").where("year(date) <= 2002"), "lab_results", flags.lab_rules(now())))
+    return shown_flags(flags.raised(stand_in(spark, d, "labs"), "lab_results", flags.lab_rules(now())))
 
 
 @query("q04_q06_identity_flags", over("patient_info", """
@@ -389,12 +389,11 @@ def f56(spark, d):
 
 
 @query("f60_corrected_years", """
-SELECT o_orderkey, CASE WHEN year(o_orderdate) + o_orderkey % 20 > 2002 THEN strftime(o_orderdate, '1997-%m-%d') ELSE (o_orderdate + INTERVAL
-(o_orderkey % 20) YEAR)::DATE::VARCHAR END AS v FROM orders WHERE strftime(o_orderdate, '%m-%d') <> '02-29'""")
+WITH x AS (SELECT o_orderkey, (o_orderdate + INTERVAL (o_orderkey % 20) YEAR)::DATE AS t FROM orders)
+SELECT o_orderkey, (CASE WHEN year(t) > 2002 THEN t + INTERVAL (1997 - year(t)) YEAR ELSE t END)::DATE::VARCHAR AS v FROM x""")
 def f60(spark, d):
-    rows = table(spark, d, "orders").where("date_format(o_orderdate, 'MM-dd') <> '02-29'")
-    return rows.select("o_orderkey", D.corrected_year(F.add_months("o_orderdate", (F.col("o_orderkey") % 20 * 12).cast("int")),
-        now()).cast("string").alias("v"))
+    moved = F.add_months("o_orderdate", (F.col("o_orderkey") % 20 * 12).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", D.corrected_year(moved, now()).cast("string").alias("v"))
 
 
 # access
