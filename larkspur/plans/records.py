@@ -32,8 +32,8 @@ def shown_flags(df):
 
 @query("q01_q02_appointment_flags", over("appointments profiles", f"""
 WITH j AS (SELECT a.*, p.date_of_birth FROM appointments a JOIN profiles p ON p.profile_id = a.profile_id)
-SELECT document_id, 'future_date_check' AS problem_code, 'warning' AS severity, 0.85 AS confidence, date::VARCHAR AS raw_value, date::VARCHAR AS
-suggestion, false AS auto_resolvable
+SELECT document_id, 'future_date_check' AS problem_code, 'warning' AS severity, 0.85 AS confidence, date::VARCHAR AS raw_value, (CASE WHEN year(date)
+> 2002 THEN date + INTERVAL (1997 - year(date)) YEAR ELSE date END)::DATE::VARCHAR AS suggestion, false AS auto_resolvable
 FROM j WHERE epoch(date) - epoch({NOW}) > 12 * 30 * 86400
 UNION ALL SELECT document_id, 'birth_date_consistency', 'critical', 0.95, date::VARCHAR, NULL, false FROM j WHERE date < date_of_birth"""))
 def q01(spark, d):
@@ -44,7 +44,8 @@ def q01(spark, d):
 @query("q03_future_labs", over("labs", f"""
 WITH x AS (SELECT *, ceil((epoch(date) - epoch({NOW})) / 86400.0) AS ahead FROM labs)
 SELECT document_id, 'future_date_check' AS problem_code, CASE WHEN ahead > 30 THEN 'warning' ELSE 'info' END AS severity, 0.8 AS confidence,
-date::VARCHAR AS raw_value, (CASE WHEN year(date) > 2002 THEN date + INTERVAL (1997 - year(date)) YEAR ELSE date END)::DATE::VARCHAR AS suggestion, ahead <= 7 AS auto_resolvable
+date::VARCHAR AS raw_value, (CASE WHEN year(date) > 2002 THEN date + INTERVAL (1997 - year(date)) YEAR ELSE date END)::DATE::VARCHAR AS suggestion,
+ahead <= 7 AS auto_resolvable
 FROM x WHERE ahead > 0"""))
 def q03(spark, d):
     return shown_flags(flags.raised(stand_in(spark, d, "labs"), "lab_results", flags.lab_rules(now())))
