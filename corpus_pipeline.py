@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir); ``run`` writes each result as Parquet in the shared folder and reads it
 again for the next stage. All stages but the last return the columns of ``documents``.
+
+Stages go by rows, as ids may be null or repeat. Null texts count as empty ones: ``quality`` scores them by the share of good labels,
+``exact_dedup`` keeps one of all null and empty texts, ``ngram_join`` links them with nothing, ``pii`` leaves them as they are, ``packing``
+makes a piece of one id of each. Of a group the row with the smallest id stays, null before all others; of rows that repeat this id
+the first that was read. Other columns pass as they are. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from larkspur.llm.quality import fit, keep_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that the model rejects go; without labels none does, as their share of good ones is 1."""
     return keep_quality(docs, fit(docs, read(spark, sf_dir, "labels")))
 
 
@@ -36,7 +41,9 @@ def first_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id stays."""
+    """Of texts that are equal once white space is squeezed, the row with the smallest id stays.
+
+    Turns on the removal of shuffle files for the session (see ``release_shuffles``)."""
     release_shuffles(spark)
     rows = numbered(docs)
     groups = exact_groups(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("_group"))
@@ -44,7 +51,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word shingle similarity of 0.8 or more the one with the smallest id stays."""
+    """Of documents linked, directly or by others, by a five-word shingle similarity of 0.8 or more the one with the smallest id stays.
+
+    Turns on the removal of shuffle files for the session (see ``release_shuffles``)."""
     release_shuffles(spark)
     rows = numbered(docs)
     groups = jaccard_components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
@@ -68,8 +77,7 @@ STAGES = [
     ("pii", personal_data),
     ("packing", packing),
 ]
-#: Nearest neighbours, boosted trees and linear programs have no SQL form; tests compare the stages that drop
-#: copies with plain versions.
+#: Nearest neighbours, boosted trees and linear programs have no SQL form; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 
