@@ -53,10 +53,9 @@ def finite(vector: Column, dims: int | None = None) -> Column:
     return F.coalesce(vector.isNotNull() & sized & whole, F.lit(False))
 
 
-def whole_numbers(column: pa.Array, dims: int, scale: int) -> np.ndarray:
-    """floor(scale * x) of a column of vectors, x as double, a row a vector."""
-    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    scaled = np.floor(scale * flat)
+def whole_numbers(flat: np.ndarray, dims: int, scale: int) -> np.ndarray:
+    """floor(scale * x) of vectors that stand end to end, x as double, a row a vector."""
+    scaled = np.floor(scale * np.asarray(flat, dtype=np.float64))
     if len(scaled) and np.abs(scaled).max() > LARGEST:
         raise ArithmeticError(f"a component is beyond {LARGEST} after scaling: its squared distances may not fit a long")
     return scaled.astype(np.int64).reshape(-1, dims)
@@ -142,7 +141,7 @@ def trees_of(vectors: DataFrame, dims: int, scale: int, leaf: int = LEAF, tree_b
             for at in range(0, len(batch), most):
                 run = batch.slice(at, most)
                 ids = run.column("id").to_numpy(zero_copy_only=False)
-                order, tree = grow(whole_numbers(run.column("vector"), dims, scale), leaf)
+                order, tree = grow(whole_numbers(run.column("vector").flatten().to_numpy(zero_copy_only=False), dims, scale), leaf)
                 raw = [x.astype(np.int32 if name in ("points", "low", "high") else np.int64).tobytes() for name, x in tree._asdict().items()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[order]], pa.list_(pa.int64()))] + [pa.array([x], pa.binary()) for x in raw], names=["ids", *Tree._fields]
@@ -214,7 +213,7 @@ def fitted(
     first = kept.withColumn("_h", digest).orderBy(F.asc_nulls_last("_h"), "vector").limit(k).collect()
     if not first:
         return None
-    centroids = np.floor(scale * np.array([r.vector for r in first], dtype=np.float64)).astype(np.int64)
+    centroids = whole_numbers(np.array([r.vector for r in first]), dims, scale)
     trees = trees_of(kept, dims, scale, leaf, tree_bytes)
     for _ in range(rounds):
         totals = totals_of(trees, centroids)
