@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, exact_dedup, licenses, ngram_join, packing, pieces, pii, quality, sharding, simhash, substrings
+from . import centroids, decontamination, exact_dedup, licenses, ngram_join, packing, pieces, pii, quality, sharding, simhash, substrings
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,8 +16,10 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
     "op11_centroid_clustering": centroids.op11_centroid_clustering,
+    "op12_decontamination": decontamination.op12_decontamination,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op11_centroid_clustering": centroids.ORACLE,
+    "op12_decontamination": decontamination.ORACLE,
 }
