@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, decontamination, exact_dedup, licenses, ngram_join, packing, pieces, pii, quality, sharding, simhash, substrings
+from . import centroids, decontamination, exact_dedup, hard_negatives, licenses, ngram_join, packing, pieces, pii, quality, sharding, simhash, substrings
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_centroid_clustering": centroids.op11_centroid_clustering,
     "op12_decontamination": decontamination.op12_decontamination,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op11_centroid_clustering": centroids.ORACLE,
     "op12_decontamination": decontamination.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
