@@ -116,16 +116,18 @@ def first_hits(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(blocks: DataFrame, windows: DataFrame, shelves: DataFrame, k: int, same_label: bool) -> DataFrame:
+def search(blocks: DataFrame, windows: DataFrame, shelves: DataFrame, k: int, same_label: bool, bucket: int) -> DataFrame:
     """(anchor, slot, row, id, score, rank), written: of each window the first ``k`` rows of the anchor's label, or of the others.
 
     ``windows`` has block, pos, anchor, slot, low, high. A block of anchors meets a bucket only where the bucket's greatest norm can
-    reach the lower limit of one of its windows. Buckets are searched in rounds of 1, 2, 4, ... a label, those of the greatest norms first;
-    after each round a window's lower limit rises to its k-th score, so later rounds meet fewer buckets. Buckets
+    reach the lower limit of one of its windows. Buckets are searched in rounds of 1, 2, 4, ... times ``bucket`` rows a label, those of the
+    greatest norms first; after each round a window's lower limit rises to its k-th score, so later rounds meet fewer buckets. Buckets
     meet blocks by their numbers alone until both are joined to their vectors, and every round is written.
     """
-    order = Window.partitionBy("dims", "label").orderBy(F.desc("high"), "shelf")
-    about = cut(shelves.select("shelf", "dims", "label", "high").withColumn("place", F.row_number().over(order)))
+    order = Window.partitionBy("dims", "label").orderBy(F.desc("high"), "shelf").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(order), F.lit(0))
+    about = shelves.select("shelf", "dims", "label", "high", F.size("rows").alias("n"))
+    about = cut(about.withColumn("place", F.floor(before / bucket) + 1).drop("n"))
     last = about.agg(F.max("place")).first()[0] or 0
     norm = blocks.select("block", F.posexplode("norms").alias("pos", "norm"))
     sized = cut(windows.join(norm, ["block", "pos"]))
@@ -197,7 +199,7 @@ def hard_negatives(
     )
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     open_ends = each.select("block", "pos", "anchor", F.lit(0).alias("slot"), F.lit(LEAST).alias("low"), F.lit(MOST).alias("high"))
-    positives = search(blocks, open_ends, shelves, k_positives, True)
+    positives = search(blocks, open_ends, shelves, k_positives, True, bucket)
     out = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if positives is None:
         return rows.sparkSession.createDataFrame([], out)
@@ -207,7 +209,7 @@ def hard_negatives(
         "anchor", "slot", F.expr(f"({low} * positive_score + 99) div 100").alias("low"), F.expr(f"({high} * positive_score) div 100").alias("high")
     )
     windows = each.select("block", "pos", "anchor").join(limits, "anchor").where("low <= high")
-    negatives = search(blocks, windows, shelves, k_negatives, False)
+    negatives = search(blocks, windows, shelves, k_negatives, False, bucket)
     rows_out = negatives.select("anchor", "slot", F.col("id").alias("negative"), F.col("score").alias("negative_score"), "rank")
     return rows_out.join(told, ["anchor", "slot"]).join(each.select("anchor", "anchor_id"), "anchor").select(
         "anchor_id", shown("positive").alias("positive_id"), "rank", shown("negative").alias("negative_id"), "positive_score", "negative_score"
