@@ -7,45 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions import unit, unit_dot
 from ..functions.text import DIAGNOSIS, MEASURED, MEDICATION, PROCEDURE
+from .vector_index import CELLS, build_index, search_index
 
-#: Queries that meet a code in one row.
-BLOCK = 256
-#: Bytes of query vectors that may be broadcast.
-BROADCAST_BYTES = 64 << 20
 
 
 def vector_search(
     codes: DataFrame, queries: DataFrame, key: list[str], k: int = 10, minimum: float = 0.7, query: str = "query", kind: str | None = None,
-    country: str | None = None, vector: str = "embedding",
+    country: str | None = None, vector: str = "embedding", probes: int | None = None, cells: int = CELLS,
 ) -> DataFrame:
     """(query, *key, similarity, position): of each query the k codes with the greatest cosine from ``minimum`` on.
 
     ``queries`` has ``query`` and ``vector`` and, where ``kind`` names a column of both tables, that column: then null asks for all
     kinds, else codes of another kind are left out. ``country`` keeps codes of a country. Codes without a vector, and
-    inactive ones where there is a column ``active``, are left out. Vectors are made unit vectors once; queries
-    meet every code in blocks, and a limit within each task goes before the shuffle. Ties go by ``key``.
+    inactive ones where there is a column ``active``, are left out. An index is made for the search; ``build_index`` and ``search_index`` keep one
+    for several. Exact unless ``probes`` limits the cells that a query meets. Ties go by ``key``; similarities are not rounded.
     """
-    codes = codes.where(F.col(vector).isNotNull())
     if "active" in codes.columns:
         codes = codes.where("active")
     if country is not None:
         codes = codes.where(F.col("country") == country)
-    asked = queries.select(query, *([kind] if kind else []), unit(F.col(vector)).alias("_q"))
-    block = F.pmod(F.xxhash64(query), F.lit(2**20))
-    few = asked.withColumn("_block", F.floor(F.row_number().over(Window.partitionBy((block % 64).alias("_part")).orderBy(block,
-        query)) / BLOCK)).withColumn("_part", block % 64)
-    blocks = few.groupBy("_part", "_block").agg(F.collect_list(F.struct(query, *([kind] if kind else []), "_q")).alias("_asked")).select("_asked")
-    have = codes.select(*key, *([F.col(kind).alias("_kind")] if kind else []), unit(F.col(vector)).alias("_v"))
-    scored = F.transform("_asked", lambda q: F.struct(q[query].alias(query), F.round(unit_dot(q["_q"], F.col("_v")), 6).alias("similarity"),
-        *([q[kind].alias("_wanted")] if kind else [])))
-    hits = F.filter(scored,
-        lambda h: (h["similarity"] >= minimum) & ((h["_wanted"].isNull() | (h["_wanted"] == F.col("_kind"))) if kind else F.lit(True)))
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("_q")).alias("dims")).first()
-    # every code meets every query: sent to all tasks while that is small, else block by block in a product of partitions
-    small = size["n"] * 8 * max(size["dims"] or 0, 1) <= BROADCAST_BYTES
-    found = have.crossJoin(F.broadcast(blocks) if small else blocks).select(*key, F.inline(hits))
-    order = Window.partitionBy(query).orderBy(F.desc("similarity"), *key)
-    return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select(query, *key, "similarity", "position")
+    return search_index(build_index(codes, key, kind, vector, cells), queries, k, minimum, query, kind, vector, probes)
 
 
 def combined(first: DataFrame, second: DataFrame, key: list[str], query: str = "query") -> DataFrame:

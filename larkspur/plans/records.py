@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -147,24 +148,40 @@ def a16(spark, d):
 
 # retrieval
 
-COSINE = "round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+COSINE = "list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+def shown(rows):
+    """Similarities are rounded to show them only; thresholds and ranks go by the raw ones."""
+    return rows.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("v01_universal_search", over("universal asked", f"""
 WITH s AS (SELECT query, code_system, code_value, {COSINE} AS similarity FROM universal c, asked q WHERE active)
-SELECT query, code_system, code_value, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, code_system, code_value) AS
-position FROM s WHERE similarity >= 0.1 QUALIFY position <= 10"""))
+SELECT query, code_system, code_value, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY s.similarity DESC, code_system, code_value) AS
+position FROM s WHERE s.similarity >= 0.1 QUALIFY position <= 10"""))
 def v01(spark, d):
-    return retrieval.vector_search(stand_in(spark, d, "universal"), stand_in(spark, d, "asked"), ["code_system", "code_value"], 10, 0.1)
+    return shown(retrieval.vector_search(stand_in(spark, d, "universal"), stand_in(spark, d, "asked"), ["code_system", "code_value"], 10, 0.1))
 
 
 @query("v02_regional_search", over("regional asked", f"""
 WITH s AS (SELECT query, code_system, code_value, {COSINE} AS similarity FROM regional c, asked q WHERE country = 'AUS')
-SELECT query, code_system, code_value, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, code_system, code_value) AS
-position FROM s WHERE similarity >= 0.05 QUALIFY position <= 10"""))
+SELECT query, code_system, code_value, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY s.similarity DESC, code_system, code_value) AS
+position FROM s WHERE s.similarity >= 0.05 QUALIFY position <= 10"""))
 def v02(spark, d):
     return retrieval.vector_search(stand_in(spark, d, "regional"), stand_in(spark, d, "asked"), ["code_system", "code_value"], 10, 0.05,
-        country="AUS")
+        country="AUS").withColumn("similarity", F.round("similarity", 6))
+
+
+@query("v09_similar_of_owner", f"""
+WITH s AS (SELECT q.vec_id AS query, c.vec_id AS code, {COSINE} AS similarity FROM embeddings c, embeddings q WHERE q.vec_id % 50 = 0 AND q.label = c.label AND q.vec_id <> c.vec_id)
+SELECT query, code, round(similarity, 6) AS similarity, (row_number() OVER (PARTITION BY query ORDER BY s.similarity DESC, code))::INTEGER AS position FROM s WHERE s.similarity >= 0.05 QUALIFY position <= 5""")
+def v09(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("code"), F.col("label").cast("string").alias("owner"), "embedding")
+    asked = rows.where("code % 50 = 0").withColumnRenamed("code", "query")
+    hits = retrieval.vector_search(rows, asked, ["code"], 6, 0.05, kind="owner").where("query <> code")
+    order = Window.partitionBy("query").orderBy("position")
+    return shown(hits.withColumn("position", F.row_number().over(order)).where("position <= 5"))
 
 
 FOUND = f"""u AS (SELECT query, entity_type, code_system, code_value, {COSINE} AS similarity, 0 AS source FROM universal c, asked q WHERE active),
@@ -182,9 +199,9 @@ def found(spark, d):
 
 
 @query("v03_v04_combined_candidates", over("universal regional asked",
-    f"WITH {FOUND} SELECT query, code_system, code_value, similarity, source, position FROM m"))
+    f"WITH {FOUND} SELECT query, code_system, code_value, round(similarity, 6) AS similarity, source, position FROM m"))
 def v04(spark, d):
-    return found(spark, d)
+    return shown(found(spark, d))
 
 
 RULED = """g AS (SELECT *, CASE entity_type WHEN 'medication' THEN CASE WHEN code_system IN ('pbs', 'ndc') THEN 0 WHEN code_system = 'rxnorm' THEN 1 END WHEN 'procedure' THEN CASE WHEN code_system IN ('mbs', 'cpt') THEN 0 WHEN code_system = 'snomed' THEN 1 END
@@ -197,23 +214,23 @@ WHERE NOT (entity_type IN ('medication', 'procedure', 'lab_result') AND grp = 1
 
 
 @query("v05_type_rules",
-    over("universal regional asked", f"WITH {FOUND}, {RULED} SELECT query, code_system, code_value, similarity, position FROM t"))
+    over("universal regional asked", f"WITH {FOUND}, {RULED} SELECT query, code_system, code_value, round(similarity, 6) AS similarity, position FROM t"))
 def v05(spark, d):
     rows = found(spark, d).join(stand_in(spark, d, "asked").select("query", "entity_type"), "query")
-    return retrieval.by_type_rules(rows, "entity_type", "code_system").select("query", "code_system", "code_value", "similarity", "position")
+    return shown(retrieval.by_type_rules(rows, "entity_type", "code_system").select("query", "code_system", "code_value", "similarity", "position"))
 
 
 SELECTED = """c AS (SELECT *, count(*) FILTER (WHERE similarity >= 0.2) OVER w AS good, count(*) FILTER (WHERE similarity >= 0.9) OVER w AS sure, count(*) FILTER (WHERE similarity >= 0.2) OVER o AS good_n, count(*) FILTER (WHERE similarity < 0.9) OVER o AS rest_n
 FROM t WHERE similarity >= 0.1 WINDOW w AS (PARTITION BY query), o AS (PARTITION BY query ORDER BY position)),
 f AS (SELECT * FROM c WHERE CASE WHEN good > 10 THEN similarity >= 0.2 AND good_n <= 20 ELSE similarity >= 0.9 OR rest_n <= 10 - sure END)
-SELECT query, code_system, code_value, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, position) AS rank FROM f"""
+SELECT query, code_system, code_value, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY f.similarity DESC, position) AS rank FROM f"""
 
 
 @query("v13_ranked_codes", over("universal regional asked", f"WITH {FOUND}, {RULED}, {SELECTED}"))
 def v13(spark, d):
     rows = retrieval.ranked_codes(stand_in(spark, d, "universal"), stand_in(spark, d, "regional"), stand_in(spark, d, "asked"), "entity_type", 30,
         0.1, sure=0.9, good=0.2)
-    return rows.select("query", "code_system", "code_value", "similarity", "rank")
+    return shown(rows.select("query", "code_system", "code_value", "similarity", "rank"))
 
 
 @query("v06_selected_candidates", """
