@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import similarity
 from ..functions.text import cleaned_marker
+from ..shared import written
+from .similar import edit_pairs
 
 REGIONS = ["top", "upper_middle", "lower_middle", "bottom"]
 
@@ -111,41 +112,56 @@ def in_region(y: Column, region: Column, height: Column) -> Column:
     return F.coalesce(quarter < 0, F.lit(True)) | y.between(quarter * 0.25 * height, (quarter + 1) * 0.25 * height)
 
 
+def runs_of_words(words: DataFrame, views: DataFrame, page: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, runs): each page's words as an array in their order, written; and (view, i, said), written: the text, in lower
+    case, of each run of as many words as ``views`` asks for (n), among the words of its region (W07)."""
+    one = F.struct("seq", "text", "y", "height", F.col("confidence").cast("double").alias("confidence"))
+    pages = written(words.groupBy(page).agg(F.array_sort(F.collect_list(one)).alias("_words")))
+    seen = F.filter("_words", lambda w: in_region(w["y"], F.col("region"), F.col("page_height")))
+    held = views.join(pages, page).withColumn("_seen", seen).where((F.size("_seen") >= F.col("n")))
+    starts = held.select("view", page, "n", "_seen", F.explode(F.sequence(F.lit(1), F.size("_seen") - F.col("n") + 1)).alias("i"))
+    said = F.lower(F.array_join(F.transform(F.slice("_seen", F.col("i"), F.col("n")), lambda w: w["text"]), " "))
+    return pages, written(starts.select("view", "i", said.alias("said")))
+
+
 def marker_matches(words: DataFrame, markers: DataFrame, page: str = "page", threshold: float = 0.85, near: float = 100.0) -> DataFrame:
-    """(marker_id, text, y, height, confidence, exact): where each marker stands on its page.
+    """(marker_id, text, y, height, confidence, exact): where each marker stands on its page.
 
     ``words`` has page, seq, text, y, height, confidence; ``markers`` has marker_id, page, marker, context, region, page_height.
-    Runs of as many words as a marker has, within its region, match exactly (any case) or, where none does, with a similarity
-    from ``threshold`` on. Of several the one with the most words of the context within ``near`` above or below stays, of
-    equal ones the first. The confidence is the words' mean, times 0.8 for a similar match; a place or height that no page has is left out (F72).
-    Markers with less than three characters match nothing.
+    Runs of as many words as a marker has, whatever their number, within its region, match exactly (any case) or, where none does, with a
+    similarity from ``threshold`` on (see ``edit_pairs``: only runs that share a rare q-gram with a marker of their page are compared). Of
+    several the one with the most words of the context within ``near`` above or below stays, a context word that repeats counts as
+    often as it stands; of equal ones the first. The confidence is the words' mean, times 0.8 for a similar match; a place or
+    height that no page has is left out (F72). Markers with less than three characters match nothing. A page's words are few, so they are one row.
     """
     m = markers.withColumn("_want", F.lower(cleaned_marker(F.col("marker")))).where(F.length("_want") >= 3)
-    m = m.withColumn("_n", F.size(F.split("_want", " ")))
-    near_words = words.select(page, F.lower("text").alias("_w"), (F.col("y") + F.col("height") / 2).alias("_c"))
-    on_page = m.join(words, page).where(in_region(F.col("y"), F.col("region"), F.col("page_height")))
-    order = Window.partitionBy("marker_id").orderBy("seq")
-    most = 40  # words of the longest marker that is searched for
-    ahead = F.collect_list(F.struct("text", "y", "height", "confidence")).over(order.rowsBetween(0, most - 1))
-    runs = on_page.withColumn("_run", F.slice(ahead, 1, F.col("_n"))).where((F.size("_run") == F.col("_n")) & (F.col("_n") <= most))
-    said = F.array_join(F.transform("_run", lambda w: w["text"]), " ")
+    m = m.withColumn("n", F.size(F.split("_want", " "))).withColumn("_region", F.coalesce("region", F.lit("")))
+    m = m.withColumn("view", F.to_json(F.struct(page, "_region", "page_height", "n")))
+    views = m.select("view", page, "region", "page_height", "n").distinct()
+    pages, runs = runs_of_words(words, views, page)
+    alike = edit_pairs(m.select("view", "_want"), runs, threshold, ["view"], "_want", "said")
+    hits = m.select("marker_id", page, "view", "region", "page_height", "n", "context", F.col("_want").alias("left_text")).join(alike, ["view", "left_text"])
+    hits = hits.withColumn("exact", F.col("left_text") == F.col("right_text"))
+    hits = hits.withColumn("_any", F.bool_or("exact").over(Window.partitionBy("marker_id"))).where(F.col("exact") | ~F.col("_any"))
+    placed = hits.join(runs.withColumnRenamed("said", "right_text"), ["view", "right_text"]).join(pages, page)
+    seen = F.filter("_words", lambda w: in_region(w["y"], F.col("region"), F.col("page_height")))
+    placed = placed.withColumn("_run", F.slice(seen, F.col("i"), F.col("n")))
     top = F.array_min(F.transform("_run", lambda w: w["y"].cast("double")))
     low = F.array_max(F.transform("_run", lambda w: (w["y"] + w["height"]).cast("double")))
-    mean = F.aggregate("_run", F.lit(0.0), lambda s, w: s + w["confidence"].cast("double")) / F.size("_run")
-    runs = runs.select("marker_id", page, "_want", "context", "seq", said.alias("text"), top.alias("y"), (low - top).alias("height"),
-        mean.alias("confidence"))
-    runs = runs.withColumn("_like", similarity(F.lower("text"), F.col("_want"))).where(F.col("_like") >= threshold)
-    runs = runs.withColumn("exact", F.lower("text") == F.col("_want"))
-    runs = runs.withColumn("_any", F.bool_or("exact").over(Window.partitionBy("marker_id"))).where(F.col("exact") | ~F.col("_any"))
+    mean = F.aggregate("_run", F.lit(0.0), lambda s, w: s + w["confidence"]) / F.size("_run")
+    told = F.array_join(F.transform("_run", lambda w: w["text"]), " ")
+    # a context word counts if a word near the run's middle contains it
     context = F.filter(F.split(F.lower(cleaned_marker(F.coalesce("context", F.lit("")))), r"\s+"), lambda w: w != "")
-    told = runs.select("marker_id", "seq", page, (F.col("y") + F.col("height") / 2).alias("_m"), F.explode(context).alias("_word"))
-    hits = told.join(near_words, page).where((F.abs(F.col("_c") - F.col("_m")) <= near) & F.contains("_w", F.col("_word")))
-    scores = hits.groupBy("marker_id", "seq").agg(F.count_distinct("_word").alias("_score"))
-    best = Window.partitionBy("marker_id").orderBy(F.desc(F.coalesce("_score", F.lit(0))), "seq")
-    ranked = runs.join(scores, ["marker_id", "seq"], "left").withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
+    middle = top + (low - top) / 2
+    by = F.filter("_words", lambda w: F.abs(w["y"] + w["height"] / 2 - middle) <= near)
+    by_text = F.transform(by, lambda w: F.lower(w["text"]))
+    score = F.size(F.filter(context, lambda c: F.exists(by_text, lambda t: F.contains(t, c))))
+    best = Window.partitionBy("marker_id").orderBy(F.desc("_score"), "i")
+    ranked = placed.select("marker_id", "i", "exact", told.alias("text"), top.alias("y"), (low - top).alias("height"), mean.alias("confidence"), score.alias("_score"))
+    ranked = ranked.withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
     ranked = ranked.where(F.col("y").between(0, 3300) & F.col("height").between(8, 500))
-    return ranked.select("marker_id", "text", "y", "height", (F.col("confidence") * F.when(F.col("exact"), 1.0).otherwise(0.8)).alias("confidence"),
-        "exact")
+    sure = F.col("confidence") * F.when(F.col("exact"), 1.0).otherwise(0.8)
+    return ranked.select("marker_id", "text", "y", "height", sure.alias("confidence"), "exact")
 
 
 def text_height(words: DataFrame, asked: DataFrame, page: str = "page") -> DataFrame:
