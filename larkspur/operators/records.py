@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .access import unexpired
+from .graph import components
+from .similar import edit_pairs
 
 # fixed values: ranks of priorities, and events that are never left out
 PRIORITIES = ["highest", "high", "medium", "low"]
@@ -180,3 +182,27 @@ def merged_by_name(known: DataFrame, fresh: DataFrame, key: str = "patient_id")
     pick = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_new", c))).alias(c)
     return both.groupBy(key, "name_key").agg(pick("value"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
         (F.max("_new") == 1).alias("touched"))
+
+
+def merged_by_similar_name(known: DataFrame, fresh: DataFrame, key: str = "patient_id", threshold: float = 0.8) -> DataFrame:
+    """Known records and new ones as one for each group of nearly equal names of a patient (D05, J19, U05): names are squeezed and in lower case;
+    those with an edit similarity from ``threshold`` on, and those that others link so, are one group.
+
+    (key, name_key, names, value, sources, touched): the group's name is that of the least known one, or the least new one; new
+    values win where they are not null, sources are joined. Rows with a null patient, or a null name, go by equality alone.
+    """
+    norm = F.lower(F.trim(F.regexp_replace("name", r"\s+", " ")))
+    both = known.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1))).withColumn("_name", norm)
+    both = both.withColumn("_id", F.struct(key, "_name"))
+    names = both.select(key, "_name").distinct()
+    alike = edit_pairs(names, names, threshold, [key], "_name", "_name").where("left_text < right_text")
+    pair = lambda text: F.struct(F.col(key), F.col(text).alias("_name"))
+    groups = components(alike.select(pair("left_text").alias("a"), pair("right_text").alias("b")))
+    rows = both.join(groups.select(F.col("node").alias("_id"), "root"), "_id", "left")
+    rows = rows.withColumn("_group", F.coalesce(F.col("root._name"), F.col("_name")))
+    pick = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_new", c))).alias(c)
+    merged = rows.groupBy(key, "_group").agg(
+        F.min(F.struct("_new", "_name"))["_name"].alias("name_key"), F.array_sort(F.collect_set("_name")).alias("names"), pick("value"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), (F.max("_new") == 1).alias("touched"),
+    )
+    return merged.drop("_group")
