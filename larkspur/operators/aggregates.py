@@ -141,12 +141,6 @@ def with_total(rows: DataFrame, key: list[str], name: str = "total") -> DataFram
     return rows.withColumn(name, F.count("*").over(Window.partitionBy(*key)))
 
 
-def gaps(rows: DataFrame, key: list[str], number: Column) -> DataFrame:
-    """Rows whose number does not follow the one before it within their key."""
-    before = F.lag("_v").over(Window.partitionBy(*key).orderBy("_v"))
-    return rows.withColumn("_v", number).withColumn("_b", before).where(F.col("_v") != F.col("_b") + 1).drop("_v", "_b")
-
-
 def ranked(rows: DataFrame, rank: Column, then: list, most: int) -> DataFrame:
     """The first rows by a rank, then by other columns, with the rank."""
     return rows.withColumn("rank", rank).orderBy("rank", *then).limit(most)

@@ -14,10 +14,12 @@ TOGETHER = 16
 
 
 class Shortcuts:
-    """Edges, and the jumps of 2, 4, 8, ... steps along each node's least successor: one more length with each ``longer``.
+    """Edges, and the jumps of 2, 4, 8, ... steps along each node's least and along its greatest successor: one more length with
+    each ``longer``.
 
-    A jump leads where edges lead, so reachability is that of the edges, while a path without branches takes as many hops
-    as its length has binary digits. Jumps that end leave no row; those around a cycle stop at the number of nodes.
+    A jump leads where edges lead, so reachability is that of the edges, while a path that keeps to one of the two takes as many hops
+    as its length has binary digits; where paths fork otherwise, hops are single steps. Jumps that end leave no row;
+    those around a cycle stop at the number of nodes.
     """
 
     def __init__(self, edges: DataFrame):
@@ -28,16 +30,21 @@ class Shortcuts:
     def longer(self) -> None:
         if self.length >= self.most:
             return
-        base = self.jump if self.jump is not None else self.tables[0].groupBy("a").agg(F.min("b").alias("b"))
-        following = base.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        after = written(base.join(following, "b").select("a", F.col("c").alias("b")).where("a <> b"))
+        base = self.jump
+        if base is None:
+            ends = self.tables[0].groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("ends"))
+            base = ends.select("a", F.posexplode("ends").alias("way", "b"))
+            # a node with one successor is on both ways
+            base = base.unionByName(ends.where("size(ends) = 1").select("a", F.lit(1).alias("way"), F.col("ends")[0].alias("b")))
+        following = base.select("way", F.col("a").alias("b"), F.col("b").alias("c"))
+        after = written(base.join(following, ["way", "b"]).select("a", "way", F.col("c").alias("b")).where("a <> b"))
         self.jump, self.length = after, 2 * self.length
         self.tables.append(after)
         if after.isEmpty():
             self.most = 0
 
     def all(self) -> DataFrame:
-        return reduce(DataFrame.union, self.tables)
+        return reduce(DataFrame.union, [t.select("a", "b") for t in self.tables])
 
     def close(self) -> None:
         for table in self.tables:

@@ -189,13 +189,43 @@ def mean_confidence(pages: DataFrame, key: str, words: str, default: float = 0.8
     return rows.groupBy(key).agg(F.coalesce(F.avg("w.confidence"), F.lit(default)).alias("confidence"))
 
 
+#: Least level of a bin: zones that are shorter than 2^LEAST_LEVEL, or have no length, lie in bins of that width.
+LEAST_LEVEL = -20
+
+
+def bin_of(y: Column, level: Column) -> Column:
+    """The number of the bin of width 2^level that a place lies in; powers of two divide exactly."""
+    return F.floor(y.cast("double") / F.pow(F.lit(2.0), level.cast("double")))
+
+
+def zone_candidates(entities: DataFrame, zones: DataFrame) -> DataFrame:
+    """Entities beside the zones of their page that share a bin with them.
+
+    A zone lies in bins of the least power of two that its length does not exceed, so in two of them at most; an entity looks into one bin for
+    each such level in use. So what meets has about the size of what matches, however many zones and entities a page has.
+    Zones that are equal but for their id are one, the least.
+    """
+    z = zones.where(F.col("y_start") <= F.col("y_end")).groupBy("page", "y_start", "y_end", "schema_type").agg(F.min("zone_id").alias("zone_id"))
+    length = (F.col("y_end") - F.col("y_start")).cast("double")
+    level = F.when(length > 2.0**LEAST_LEVEL, F.ceil(F.log2(length))).otherwise(LEAST_LEVEL).cast("int")
+    z = z.withColumn("_level", level)
+    levels = [r[0] for r in z.select("_level").distinct().collect()]  # as many as a double has exponents at most
+    at = lambda c: bin_of(F.col(c), F.col("_level"))
+    z = z.withColumn("_bin", F.explode(F.sequence(at("y_start"), at("y_end"))))
+    used = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+    e = entities.where(F.col("y").isNotNull()).withColumn("_level", F.explode(used))
+    e = e.withColumn("_bin", bin_of(F.col("y"), F.col("_level")))
+    return e.join(z, ["page", "_level", "_bin"])
+
+
 def zone_of(entities: DataFrame, zones: DataFrame) -> DataFrame:
     """(entity_id, zone_id): the zone of its page that an entity's y lies in; of several the first of its own type, else the first
-    (J10, D22). Entities without y, or in no zone, have none.
+    (J10, D22). Entities without y, or in no zone, have none; zones that end before they start hold nothing.
 
-    ``entities`` has entity_id, page, y, entity_type; ``zones`` zone_id, page, y_start, y_end, schema_type.
+    ``entities`` has entity_id, page, y, entity_type; ``zones`` zone_id, page, y_start, y_end, schema_type. They meet by bins of a
+    width that follows the zone's length (see ``zone_candidates``).
     """
-    hits = entities.join(zones, "page").where(F.col("y").between(F.col("y_start"), F.col("y_end")))
+    hits = zone_candidates(entities, zones).where(F.col("y").between(F.col("y_start"), F.col("y_end")))
     kind = F.when(F.col("schema_type").startswith(F.col("entity_type")), 0).otherwise(1)
     first = hits.groupBy("entity_id").agg(F.min(F.struct(kind.alias("k"), "zone_id"))["zone_id"].alias("zone_id"))
     return entities.select("entity_id").join(first, "entity_id", "left")

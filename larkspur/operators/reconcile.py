@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalized_date
 from ..functions.dates import visit_dates
+from .scan import merged_ranges
 
 GROUP = ["session_id", "group_id"]
 # fixed values: how good a source of dates is
@@ -71,16 +72,6 @@ def weighted_confidence(confidence: str, weight: Column) -> Column:
     return F.try_divide(F.sum(c * weight), F.sum(weight))
 
 
-def merged_ranges(rows: DataFrame, key: str | list[str], start: str, end: str) -> DataFrame:
-    """Ranges of each key merged where one begins at most 1 after what is covered so far."""
-    keys = [key] if isinstance(key, str) else key
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col(start) <= before + 1, 0).otherwise(1)
-    island = rows.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(order))
-    return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
-
-
 def quality_tier(identity: Column, place: Column, verified: Column | None = None) -> Column:
     """verified, high (identity and place), medium (identity) or low."""
     tier = F.when(identity & place, "high").when(identity, "medium").otherwise("low")

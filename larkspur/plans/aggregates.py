@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_bounds
-from ..operators import access, queues, reconcile, records, retrieval, timeline
+from ..operators import access, queues, reconcile, records, retrieval, scan, timeline
 from ..operators import aggregates as A
 from ..registry import query
 from ..sources import table
@@ -231,7 +231,7 @@ SELECT conv_id, turn FROM (SELECT conv_id, turn, turn + cast(floor(turn / 3) AS
 FROM conversations) t WHERE v <> before + 1""")
 def w02(spark, d):
     t = lambda name: table(spark, d, name)
-    return A.gaps(t("conversations").select("conv_id", "turn"), ["conv_id"], c("turn") + F.floor(c("turn") / 3))
+    return scan.gaps(t("conversations").select("conv_id", "turn"), ["conv_id"], c("turn") + F.floor(c("turn") / 3))
 
 
 @query("w08_chunks", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as X
-from ..operators import reconcile, retrieval, timeline
+from ..operators import reconcile, retrieval, scan, timeline
 from ..registry import query
 from ..sources import page_manifest, split_valid, table
 
@@ -33,7 +33,7 @@ SELECT l_orderkey, min(a) AS a, max(b) AS b FROM i GROUP BY l_orderkey, g""")
 def w03(spark, d):
     r = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 3).alias("a"),
         (F.col("l_linenumber") * 3 + F.col("l_quantity").cast("int") % 5).alias("b"))
-    return reconcile.merged_ranges(r, "l_orderkey", "a", "b")
+    return scan.merged_ranges(r, "l_orderkey", "a", "b")
 
 
 @query("a26_longest_value", """

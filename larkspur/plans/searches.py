@@ -66,10 +66,10 @@ def j19(spark, d):
 
 @query("g02_refused_edges", """
 WITH RECURSIVE e AS (SELECT DISTINCT vec_id AS a, vec_id * 2 AS b FROM embeddings WHERE vec_id > 0 UNION SELECT vec_id, vec_id - 7 FROM embeddings WHERE vec_id % 9 = 0 AND vec_id > 7),
-p AS (SELECT vec_id AS a, (vec_id * 37 + 11) % 500 AS b FROM embeddings WHERE vec_id % 25 = 1),
+p AS (SELECT vec_id * 8 AS a, vec_id AS b FROM embeddings WHERE vec_id % 5 = 1 UNION ALL SELECT vec_id, vec_id * 37 % 500 FROM embeddings WHERE vec_id % 5 = 2),
 r AS (SELECT DISTINCT b AS s, b AS n FROM p UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.n)
 SELECT p.a, p.b FROM p JOIN r ON r.s = p.b AND r.n = p.a""")
 def g02(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"))
     edges = v.where("v > 0").selectExpr("v AS a", "v * 2 AS b").union(v.where("v % 9 = 0 AND v > 7").selectExpr("v AS a", "v - 7 AS b"))
-    return graph.refused_edges(edges, v.where("v % 25 = 1").selectExpr("v AS a", "(v * 37 + 11) % 500 AS b"))
+    return graph.refused_edges(edges, v.where("v % 5 = 1").selectExpr("v * 8 AS a", "v AS b").union(v.where("v % 5 = 2").selectExpr("v AS a", "v * 37 % 500 AS b")))

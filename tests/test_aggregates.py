@@ -1,6 +1,6 @@
 import pytest
 from larkspur.operators import access, aggregates as A
-from larkspur.operators import flags, model_output, processing, queues, records, retrieval, timeline
+from larkspur.operators import flags, model_output, processing, queues, records, retrieval, scan, timeline
 from pyspark.sql import functions as F
 
 
@@ -44,7 +44,7 @@ def test_groups_and_joins(spark, rows):
     assert got(A.distinct_branches(owners, owners)) == [(1,), (1,), (9,), (9,)]
     assert got(A.either_side(spark.createDataFrame([(1, 2), (2, 1)], "a int, b int"), "a", "b", [1], [2])) == [(1, 2, "child"), (1, 2, "parent")]
     assert [r.n for r in A.numbered(rows, ["k"], ["t", "v"]).orderBy("k", "n").collect()] == [1, 1, 2, 3, 1]
-    assert got(A.gaps(spark.createDataFrame([(1, 1), (1, 2), (1, 4), (2, 7)], "k int, v int"), ["k"], F.col("v"))) == [(1, 4)]
+    assert got(scan.gaps(spark.createDataFrame([(1, 1), (1, 2), (1, 4), (2, 7)], "k int, v int"), ["k"], F.col("v"))) == [(1, 4)]
     assert got(A.date_spine(spark, "2024-02-28", "2024-03-01"))[1][0].day == 29
 
 
@@ -55,7 +55,7 @@ def test_values_below_limits(rows):
 
 def test_empty_tables(spark, rows):
     none = rows.limit(0)
-    for df in (A.conditional_counts(none, ["k"], {"x": F.col("v") > 1}), A.keep_first(none, ["k"], ["t"]), A.frequent(none, ["k"], 1), A.with_total(none, ["k"]), A.histogram(none, "s"), A.gaps(none, ["k"], F.col("t"))):
+    for df in (A.conditional_counts(none, ["k"], {"x": F.col("v") > 1}), A.keep_first(none, ["k"], ["t"]), A.frequent(none, ["k"], 1), A.with_total(none, ["k"]), A.histogram(none, "s"), scan.gaps(none, ["k"], F.col("t"))):
         assert df.count() == 0
     assert retrieval.retrieval_accuracy(spark.createDataFrame([], "query int, expected array<string>"), spark.createDataFrame([], "query int, code_value string, rank int")).first().known == 0
     assert flags.flag_statistics(spark.createDataFrame([], "status string, severity string, created_at timestamp_ntz, resolved_at timestamp_ntz")).first().resolution_rate == 0.0

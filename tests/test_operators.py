@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from larkspur import functions as X
 from larkspur import plans, registry, sources, streaming
-from larkspur.operators import queues, reconcile, retrieval
+from larkspur.operators import queues, reconcile, retrieval, scan
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -33,7 +33,7 @@ def test_query_agrees_with_its_oracle(spark, name):
 
 def test_merged_ranges(spark):
     rows = spark.createDataFrame([(1, 5, 7), (1, 1, 3), (1, 4, 4), (1, 10, 12)], "k int, a int, b int")
-    assert sorted(map(tuple, reconcile.merged_ranges(rows, "k", "a", "b").collect())) == [(1, 1, 7), (1, 10, 12)]
+    assert sorted(map(tuple, scan.merged_ranges(rows, "k", "a", "b").collect())) == [(1, 1, 7), (1, 10, 12)]
 
 
 def test_window_limit(spark):
