@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fulltext
+
 # fixed values: how visits and purposes of events are shown: (category, icon, priority)
 VISITS = {
     "outpatient": ("routine_visit", "building-hospital", 60), "emergency": ("emergency_visit", "emergency", 20),
@@ -228,7 +230,8 @@ def answers(questions: DataFrame, events: DataFrame, as_of: Column, most: int =
     """(question_id, response_type, events, confidence): what a patient's timeline says to each question.
 
     Questions on tests and visits list such events, of the last month where they ask for it, newest first; of another period none. All others
-    search the words of a text, the more of them it has the earlier; this is a plain count, not the ranking of a text index (F29).
+    search the texts of the patient's events for all their words, without those that say nothing; the first ``most`` by rank (F29, see
+    ``fulltext.search``), of equal ones the newest.
     """
     q = questions.withColumn("i", question_intent(F.col("text"))).select("question_id", "patient_id", F.lower("text").alias("text"), "i.*")
     live = events.where(~F.coalesce("archived", F.lit(False)))
@@ -236,10 +239,10 @@ def answers(questions: DataFrame, events: DataFrame, as_of: Column, most: int =
     listed = F.col("intent").isin("test_results", "encounters")
     wanted = F.when(F.col("intent") == "test_results", F.col("category") == "test_result").otherwise(F.col("category") == "visit")
     timely = F.col("period").isNull() | ((F.col("period") == "1 month") & (F.col("event_date") >= F.add_months(as_of, -1)))
-    words = F.filter(F.array_distinct(F.split("text", r"[^a-z0-9]+")), lambda w: F.length(w) > 3)
-    score = F.size(F.filter(words, lambda w: F.contains(F.lower("searchable"), w)))
-    rows = joined.withColumn("_score", F.when(listed, F.lit(0)).otherwise(score)).where(F.when(listed,
-        wanted & timely).otherwise(F.col("_score") > 0))
+    index = fulltext.build_index(live, "event_id", {"searchable": "D"}, ["patient_id"], fulltext.STOP_WORDS)
+    ranks = fulltext.search(index, q.where(~listed), "question_id", stop=fulltext.STOP_WORDS)
+    found = ranks.join(live, "event_id").join(q, ["question_id", "patient_id"]).withColumnRenamed("rank", "_score")
+    rows = joined.where(listed & wanted & timely).withColumn("_score", F.lit(0.0)).unionByName(found.select(*joined.columns, "_score"))
     order = Window.partitionBy("question_id").orderBy(F.desc("_score"), F.desc("event_date"), "event_id")
     ranked = rows.withColumn("_n", F.row_number().over(order)).where(listed | (F.col("_n") <= most))
     kind = F.when(F.col("intent") == "test_results", "recent_tests").when(F.col("intent") == "encounters",

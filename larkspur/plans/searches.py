@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, layout, records, similar
+from ..operators import fulltext, graph, layout, records, similar, timeline
 from ..registry import query
 from ..sources import table
 from .stand_ins import over, stand_in
@@ -73,3 +73,40 @@ def g02(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"))
     edges = v.where("v > 0").selectExpr("v AS a", "v * 2 AS b").union(v.where("v % 9 = 0 AND v > 7").selectExpr("v AS a", "v - 7 AS b"))
     return graph.refused_edges(edges, v.where("v % 5 = 1").selectExpr("v * 8 AS a", "v AS b").union(v.where("v % 5 = 2").selectExpr("v AS a", "v * 37 % 500 AS b")))
+
+
+WORDS = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+')"
+
+
+@query("f29_text_rank", f"""
+WITH q AS (SELECT item_id, list_distinct([{WORDS.format(t='text')}[3], {WORDS.format(t='text')}[5], {WORDS.format(t='text')}[3 + item_id % 3 * 2]]) AS terms FROM benchmark),
+d AS (SELECT doc_id, {WORDS.format(t='text')} AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d),
+t AS (SELECT item_id, unnest(terms) AS term, len(list_filter(terms, lambda x: x IS NOT NULL)) AS n FROM q),
+h AS (SELECT t.item_id, p.doc_id, t.term, t.n, p.pos, row_number() OVER (PARTITION BY t.item_id, p.doc_id, t.term ORDER BY p.pos) AS j FROM t JOIN p ON p.term = t.term),
+m AS (SELECT item_id, doc_id, n FROM h GROUP BY item_id, doc_id, n HAVING count(DISTINCT term) = n),
+o AS (SELECT item_id, doc_id, (0.1 + sum(0.1 / (j * j)) - 0.1) / 1.64493406685 AS rank FROM h JOIN m USING (item_id, doc_id) WHERE m.n = 1 GROUP BY item_id, doc_id),
+x AS (SELECT item_id, doc_id, a.pos AS p, b.pos AS r FROM m JOIN h a USING (item_id, doc_id) JOIN h b USING (item_id, doc_id) WHERE m.n > 1 AND a.term < b.term),
+s AS (SELECT item_id, doc_id, 1 - exp(sum(ln(1 - sqrt(0.01 * CASE WHEN abs(p - r) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(p - r) / 1.5 - 2)) END)))) AS rank FROM x GROUP BY item_id, doc_id)
+SELECT item_id AS query, doc_id, round(rank, 6) AS rank FROM (SELECT * FROM o UNION ALL SELECT * FROM s) u""")
+def f29(spark, d):
+    """Of each test item the third and the fifth word, and by its number a third one, are looked for in all documents."""
+    words, i = fulltext.tokens(F.col("text")), F.col("item_id")
+    at = lambda n: F.coalesce(F.get(words, n), F.lit(""))
+    asked = table(spark, d, "benchmark").select(i.alias("query"), F.concat_ws(" ", at(F.lit(2)), at(F.lit(4)), at((2 + i % 3 * 2).cast("int"))).alias("text"))
+    index = fulltext.build_index(table(spark, d, "documents"), "doc_id", {"text": "D"})
+    return fulltext.search(index, asked).select("query", "doc_id", F.round("rank", 6).alias("rank"))
+
+
+@query("n03_general_answers", over("timeline", """
+WITH q AS (SELECT c_custkey AS question_id, c_custkey % 15 AS patient_id, CASE c_custkey % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'purchase' END AS w FROM customer),
+r AS (SELECT question_id, event_id, row_number() OVER (PARTITION BY question_id ORDER BY event_date DESC, event_id) AS n FROM q JOIN timeline t ON t.patient_id = q.patient_id AND archived IS NOT TRUE AND subcategory = w)
+SELECT question_id, 'general_search' AS response_type, string_agg(event_id::VARCHAR, ',' ORDER BY n) AS events, 0.7::DOUBLE AS confidence FROM r WHERE n <= 10 GROUP BY question_id"""))
+def n03_general(spark, d):
+    """Each title has the asked words once and side by side, so the newest of equal ranks come first."""
+    n = F.col("c_custkey")
+    word = F.when(n % 3 == 0, "click").when(n % 3 == 1, "view").otherwise("purchase")
+    q = table(spark, d, "customer").select(n.alias("question_id"), (n % 15).alias("patient_id"), F.concat(F.lit("And the "), F.upper(word), F.lit(" NO?")).alias("text"))
+    events = stand_in(spark, d, "timeline").withColumn("searchable", F.col("title"))
+    found = timeline.answers(q, events, F.lit("2024-01-20").cast("timestamp_ntz"))
+    return found.withColumn("events", F.array_join(F.transform("events", lambda e: e.cast("string")), ","))
