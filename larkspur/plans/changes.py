@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
 
+from ..operators import views
 from ..registry import query
-from ..shared import shared_dir
+from ..shared import shared_dir, written
 from ..sources import table
 from ..streaming import changes
 
@@ -30,3 +32,19 @@ def t01(spark, d):
         run = applied.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
     run.awaitTermination()
     return spark.read.schema(changes.CHANGE).parquet(f"{at}/out")
+
+
+SHOWN = views.View(["l_suppkey", "l_returnflag"], sums={"quantity": "l_quantity"}, counts={"lines": "l_orderkey"}, means={"mean_quantity": "l_quantity"},
+    least={"first_ship": "l_shipdate"}, greatest={"last_ship": "l_shipdate", "most": "l_quantity"})
+
+
+@query("d21_refreshed_view", """
+SELECT l_suppkey, l_returnflag, count(*) AS rows, round(sum(l_quantity), 2) AS quantity, round(avg(l_quantity), 6) AS mean_quantity, count(l_orderkey) AS lines, min(l_shipdate) AS first_ship,
+  max(l_shipdate) AS last_ship, max(l_quantity) AS most FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY l_suppkey, l_returnflag""")
+def d21(spark, d):
+    """The view was stored before orders divisible by 5 came and those divisible by 7 went; the oracle reads the whole table."""
+    rows, n = table(spark, d, "lineitem"), F.col("l_orderkey")
+    stored = written(views.full_refresh(SHOWN, rows.where(n % 5 != 0)))
+    now = rows.where(n % 7 != 0)
+    fresh = views.incremental_refresh(SHOWN, stored, now, now.where(n % 5 == 0), rows.where((n % 5 != 0) & (n % 7 == 0)))
+    return views.shown(SHOWN, fresh).withColumns({"quantity": F.round("quantity", 2), "mean_quantity": F.round("mean_quantity", 6)})
