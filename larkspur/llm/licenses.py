@@ -15,8 +15,12 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 #: label: (keys, parted by |, of which every match of the family has one as words in a row, how the licence is called)
 FAMILIES = {
-    "apache-2.0": ("apache", "apache(?: software)? license(?:,? version)? 2 0|apache 2 0|apache license"),
-    "mit": ("licen", "mit license|mit licence|expat license|x11 license"),
+    "apache-2.0": ("apache", "apache(?: software)? license(?: v| version)? ?2 0|apache(?: software)? license(?: v| version)? ?2|apache 2 0"),
+    "apache-1.1": ("apache", "apache(?: software)? license(?: v| version)? ?1 1|apache 1 1"),
+    "apache-1.0": ("apache", "apache(?: software)? license(?: v| version)? ?1 0|apache 1 0"),
+    "apache": ("apache", "apache license|apache software license"),
+    "mit": ("licen", "mit license|mit licence|expat license"),
+    "x11": ("x11 license", "x11 license"),
     "bsd-3-clause": ("bsd", "bsd 3 clause|new bsd|3 clause bsd|modified bsd"),
     "bsd-2-clause": ("bsd", "bsd 2 clause|simplified bsd|freebsd license"),
     "bsd": ("bsd", "bsd license|bsd style license"),
@@ -25,18 +29,24 @@ FAMILIES = {
     "gpl-3.0": ("gnu", "gnu general public license(?: v| version)? ?3(?: 0)?|gnu gpl ?v? ?3"),
     "lgpl-2.1": ("gnu", "gnu lesser general public license(?: v| version)? ?2 1"),
     "lgpl-3.0": ("gnu", "gnu lesser general public license(?: v| version)? ?3(?: 0)?"),
-    "agpl-3.0": ("affero", "gnu affero general public license(?: v| version)? ?3(?: 0)?|affero general public license"),
+    "lgpl": ("gnu", "gnu lesser general public license"),
+    "agpl-3.0": ("affero", "gnu affero general public license(?: v| version)? ?3(?: 0)?|affero general public license(?: v| version)? ?3(?: 0)?"),
+    "agpl": ("affero", "gnu affero general public license|affero general public license"),
     "gfdl": ("gnu", "gnu free documentation license"),
     "mpl-1.1": ("mozilla", "mozilla public license(?: v| version)? ?1 1"),
     "mpl-2.0": ("mozilla", "mozilla public license(?: v| version)? ?2 0"),
+    "mpl": ("mozilla", "mozilla public license"),
     "epl-1.0": ("eclipse", "eclipse public license(?: v| version)? ?1 0"),
     "epl-2.0": ("eclipse", "eclipse public license(?: v| version)? ?2 0"),
+    "epl": ("eclipse", "eclipse public license"),
     "cddl": ("distribution license", "common development and distribution license"),
     "cpl": ("public license", "common public license"),
     "isc": ("isc license", "isc license"),
     "zlib": ("zlib", "zlib license|zlib libpng license"),
     "boost": ("boost software", "boost software license"),
-    "artistic-2.0": ("artistic license", "artistic license(?: 2 0)?"),
+    "artistic-2.0": ("artistic license", "artistic license(?: v| version)? ?2 0"),
+    "artistic-1.0": ("artistic license", "artistic license(?: v| version)? ?1 0"),
+    "artistic": ("artistic license", "artistic license"),
     "unlicense": ("unlicense", "the unlicense|unlicense org"),
     "wtfpl": ("wtfpl|do what the fuck", "wtfpl|do what the fuck you want to public license"),
     "postgresql": ("postgresql license", "postgresql license"),
@@ -44,7 +54,12 @@ FAMILIES = {
     "ofl": ("font license", "sil open font license|open font license"),
     "odbl": ("odbl", "odbl|open database license odbl"),
     "cc0": ("cc0|creative commons zero", "cc0(?: 1 0)?|creative commons zero"),
-    "cc-by-4.0": ("cc by", "cc by 4 0|cc by(?: 3 0| 2 5| 2 0)?"),
+    "cc-by-4.0": ("cc by", "cc by 4 0"),
+    "cc-by-3.0": ("cc by", "cc by 3 0"),
+    "cc-by-2.5": ("cc by", "cc by 2 5"),
+    "cc-by-2.0": ("cc by", "cc by 2 0"),
+    "cc-by-1.0": ("cc by", "cc by 1 0"),
+    "cc-by": ("cc by", "cc by"),
     "cc-by-sa": ("cc by", "cc by sa(?: 4 0| 3 0)?"),
     "cc-by-nc": ("cc by", "cc by nc(?: 4 0| 3 0)?"),
     "cc-by-nd": ("cc by", "cc by nd(?: 4 0| 3 0)?"),

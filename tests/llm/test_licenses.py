@@ -87,6 +87,24 @@ def test_long_names_and_wording(spark):
     assert rows == {0: "cc0", 1: "wtfpl", 2: "mit", 3: "bsd"}
 
 
+#: A phrase and the labels it has, with the base ones.
+LABELS = {
+    "CC BY 4.0": "cc-by,cc-by-4.0", "CC BY 3.0": "cc-by,cc-by-3.0", "CC-BY 2.5": "cc-by,cc-by-2.5", "licensed under CC BY 2.0": "cc-by,cc-by-2.0", "CC BY 1.0": "cc-by,cc-by-1.0",
+    "CC BY": "cc-by", "available under CC BY.": "cc-by", "CC BY-SA 3.0": "cc-by,cc-by-sa", "Artistic License": "artistic", "Artistic License 2.0": "artistic-2.0",
+    "the Artistic License, version 1.0": "artistic-1.0", "Apache License": "apache", "Apache License 1.1": "apache-1.1", "Apache Software License, Version 1.0": "apache-1.0",
+    "Apache License, Version 2.0": "apache-2.0", "Apache License v2": "apache-2.0", "Apache License v2.0": "apache-2.0", "Apache 2.0": "apache-2.0", "Apache License 3.0": "apache",
+    "GNU Affero General Public License": "agpl,gpl", "GNU Affero General Public License v3": "agpl-3.0,gpl", "GNU Lesser General Public License": "gpl,lgpl",
+    "GNU Lesser General Public License version 2.1": "gpl,lgpl-2.1", "Mozilla Public License": "mpl", "Mozilla Public License 2.0": "mpl-2.0", "Eclipse Public License - v 1.0": "epl-1.0",
+    "X11 License": "x11", "MIT License": "mit", "GNU General Public License": "gpl", "GNU General Public License, version 2": "gpl,gpl-2.0",
+}
+
+
+def test_each_name_has_the_label_of_its_version(spark):
+    phrases = list(LABELS)
+    docs = spark.createDataFrame([(i, f"It says: {t}; and more.", "") for i, t in enumerate(phrases)], SCHEMA)
+    assert {phrases[r.doc_id]: r.labels for r in license_scan(docs).collect()} == LABELS
+
+
 def test_very_many_detections_take_linear_time(spark):
     import time
 
