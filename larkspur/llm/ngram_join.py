@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SLICE_BYTES, connected_components, cut, drop_table, id_text, mix64, random_words, read, shown_id, slices, text_bytes
+from .common import NULL_ID, SLICE_BYTES, connected_components, cut, drop_table, mix64, random_words, read, slices, text_bytes
 from .words import span_hashes, word_spans
 
 _SALT = random_words(201, 64)
+#: Ids from here on are ids; smaller ones stand for texts of rows without one.
+NAMED = -(2**62)
 #: Token groups of a count vector, and points or boxes under one box of the tree.
 GROUPS, LEAF = 32, 16
 #: Shingles of one block of a candidate cluster.
@@ -219,10 +221,14 @@ def jaccard_components(
     only one of them takes part in the rest. Every step up to the verification is exact; shingles
     are told apart by 64-bit hashes.
 
-    Rows that repeat an id are one node; a null id is a node of its own, shown as null. Extra columns are ignored.
+    Rows that repeat an id are one node. Rows with a null id are one node for each text: such rows link only as their texts do, and equal ones
+    link anyway. They are shown as null, as is the component of all that they reach (null comes before all ids); ids below -2^62
+    are kept for them. Extra columns are ignored.
     """
     num, den = threshold
-    rows = id_text(docs, id_col, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    unnamed = F.lit(NULL_ID) + F.xxhash64(text).bitwiseAND(F.lit(NAMED - NULL_ID - 1))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("doc_id"), text.alias("text"))
     repeats = shingle_counts(rows, n)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,9 +313,9 @@ def jaccard_components(
     links = dealt.groupBy("root", "low", "high").applyInArrow(verify, "a long, b long")
     equal = nodes.join(heads, ["set1", "set2", "n_shingles"]).where("doc_id <> head").select("doc_id", "head")
     found = connected_components(links.union(equal.toDF("a", "b")))
+    named = lambda c: F.when(c >= NAMED, c)
     return nodes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        shown_id(), "n_shingles",
-        F.when(F.coalesce("root", "doc_id") != NULL_ID, F.coalesce("root", "doc_id")).alias("component_id"),
+        named(F.col("doc_id")).alias("doc_id"), "n_shingles", named(F.coalesce("root", "doc_id")).alias("component_id")
     )
 
 

@@ -117,3 +117,12 @@ def test_document_that_links_two_smaller_ids_comes_out_once(spark):
     rows = jaccard_components(spark.createDataFrame([(i, x, "clash") for i, x in docs], SCHEMA), 3, (97, 100)).collect()
     assert len(rows) == len(docs) and {tuple(r) for r in rows} == near
     assert {r.component_id for r in rows if r.doc_id in (1, 2, 5)} == {1}
+
+
+def test_null_ids_link_only_as_their_texts_do(spark):
+    rows = [(None, "a b c d e f"), (None, "z y x w v u"), (1, "a b c d e f"), (2, "z y x w v u"), (3, "one two three"), (None, ""), (None, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, 3).collect()), key=str)
+    assert got == sorted([(None, 4, None), (None, 4, None), (1, 4, None), (2, 4, None), (3, 1, 3), (None, 0, None), (None, 0, None), (4, 0, 4)], key=str)
+    parts = spark.createDataFrame([r for r in rows if r[0] != 1 and r[1] != "z y x w v u"] + [(9, "z y x w v u"), (8, "z y x w v u")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_components(parts, 3).where("doc_id IS NOT NULL").collect()} == {3: 3, 4: 4, 8: 8, 9: 8}
