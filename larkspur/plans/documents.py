@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import embedding_cache, history
 from ..registry import query
 from ..shared import shared_dir
-from ..sources import clinical, table
+from ..sources import clinical, schedule, table
 
 
 def kept_events(spark, d):
@@ -62,3 +62,36 @@ def v12(spark, d):
     cache = held.select(embedding_cache.cache_key(F.upper("text"), model("o_orderkey")).alias("cache_key"), F.array(F.lit(1.0)).alias("embedding"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"))
     as_of = F.lit("1998-05-01").cast("timestamp_ntz")
     return embedding_cache.to_fetch(embedding_cache.looked_up(texts, cache, as_of))
+
+
+#: The order tables as a set: lines refer to orders and parts, orders to customers, customers to nations.
+ORDERS = {
+    "nation": schedule.Table(("n_nationkey",)),
+    "customer": schedule.Table(("c_custkey",), {"nation": ("c_nationkey",)}),
+    "part": schedule.Table(("p_partkey",)),
+    "orders": schedule.Table(("o_orderkey",), {"customer": ("o_custkey",)}),
+    "lineitem": schedule.Table(("l_orderkey", "l_linenumber"), {"orders": ("l_orderkey",), "part": ("l_partkey",)}),
+}
+KEPT = {"customer": "c_custkey % 4 <> 1", "part": "p_partkey % 50 <> 0"}
+
+
+def order_tables(spark, d):
+    return {n: table(spark, d, n).where(KEPT.get(n, "true")) for n in ORDERS}
+
+
+@query("s03_key_errors", """
+SELECT 'lineitem' AS "table", 'repeated key' AS problem, l_orderkey || '|' || l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+UNION ALL SELECT 'lineitem', 'no row in part', l_partkey::VARCHAR, count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 50 <> 0) GROUP BY l_partkey
+UNION ALL SELECT 'lineitem', 'no row in orders', l_orderkey::VARCHAR, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey
+UNION ALL SELECT 'orders', 'no row in customer', o_custkey::VARCHAR, count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 1) GROUP BY o_custkey""")
+def s03_errors(spark, d):
+    return schedule.key_errors(order_tables(spark, d), ORDERS)
+
+
+@query("s03_with_parents", """
+SELECT l_orderkey, l_linenumber, p_name, c_name, n_name, count(*) AS n FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 50 <> 0 LEFT JOIN orders ON o_orderkey = l_orderkey
+LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 4 <> 1 LEFT JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""")
+def s03_parents(spark, d):
+    rows = schedule.with_parents(order_tables(spark, d), "lineitem", ORDERS)
+    wide = rows.select("l_orderkey", "l_linenumber", "part.p_name", "orders.customer.c_name", "orders.customer.nation.n_name")
+    return wide.groupBy(wide.columns).agg(F.count("*").alias("n"))

@@ -87,10 +87,3 @@ def code_errors(system: str) -> dict[str, Column]:
 def list_counts(good: DataFrame, bad: DataFrame) -> DataFrame:
     """(entity_type, codes) of the codes kept, and a row 'invalid' for the others."""
     return good.groupBy("entity_type").agg(F.count("*").alias("codes")).unionByName(bad.agg(F.count("*").alias("codes")).select(F.lit("invalid").alias("entity_type"), "codes"))
-
-
-def related(items: DataFrame, *others: tuple[DataFrame, list[str]]) -> DataFrame:
-    """Items with the rows of related tables that share a schedule and a key (S03): left joins, one after the other."""
-    for df, key in others:
-        items = items.join(df, key, "left")
-    return items
