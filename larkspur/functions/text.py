@@ -170,3 +170,13 @@ def json_object_of(v: Column) -> Column:
     fenced = F.regexp_extract(v, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     braces = F.regexp_extract(v, r"(?s)(\{.*\})", 1)
     return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(braces, F.lit("")))
+
+
+def words_of(text: Column, separator: str) -> Column:
+    """The parts of a text between separators, empty ones too (F93); a null text has no parts, an empty one none."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, r"\Q" + separator.replace(r"\E", "") + r"\E"))
+
+
+def words_joined(parts: Column, separator: str) -> Column:
+    """Parts as one text, without those that are null or empty."""
+    return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), separator)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import age_years, name_similarity
 from ..functions.dates import corrected_year, days_ahead
-from ..functions.text import first_number, formatted_phone, valid_phone
+from ..functions.text import first_number, formatted_phone, shared_words, valid_phone
 
 # fixed values: the confidence from which on a raised flag of a problem is kept
 THRESHOLDS = {
@@ -164,6 +164,30 @@ def completeness_rules() -> list[Rule]:
     return [Rule("incomplete_extraction", F.col("completeness") < 0.5, "warning", 0.8, "extraction_completeness", F.round("completeness", 4))]
 
 
+#: fixed values: weights of the parts of a document in the earlier check
+LEGACY_SECTIONS = {"patient_info": 2.0, "medical_data": 1.5, "dates": 1.0, "provider": 1.0}
+
+
+def legacy_completeness(filled: dict[str, Column]) -> Column:
+    """The weight of the parts that have any value over that of all (Q15)."""
+    held = sum((F.when(F.coalesce(filled[n], F.lit(False)), w).otherwise(0.0) for n, w in LEGACY_SECTIONS.items()), F.lit(0.0))
+    return held / sum(LEGACY_SECTIONS.values())
+
+
+def legacy_rules(as_of: Column) -> list[Rule]:
+    """The earlier checks of a document (Q15): a date of more than a month of thirty days ahead, with today as the suggestion; a name that
+    shares few words with the profile's, as sure as it differs; less than four tenths of the parts filled.
+
+    Rows have document_date, name, display_name and completeness (see ``legacy_completeness``). A check whose value is missing says nothing.
+    """
+    date, alike = F.col("document_date"), shared_words(F.col("name"), F.col("display_name"))
+    return [
+        Rule("future_date_check", days_ahead(date, as_of) / 30 > 1, "warning", 0.85, "document_date", date, F.date_format(as_of, "yyyy-MM-dd")),
+        Rule("name_similarity_check", (F.col("name") != "") & (F.col("display_name") != "") & (alike < 0.6), "critical", 1 - alike, "patient_name", F.col("name"), F.col("display_name")),
+        Rule("incomplete_extraction", F.col("completeness") < 0.4, "warning", 0.8, "extraction_completeness", F.col("completeness")),
+    ]
+
+
 def same_day(appointments: DataFrame) -> DataFrame:
     """(document_id, dates): documents with several appointments on one day."""
     days = appointments.where("date IS NOT NULL").groupBy("document_id", "date").count().where("count > 1")

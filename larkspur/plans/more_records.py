@@ -70,11 +70,16 @@ def s23(spark, d):
 
 
 @query("f26_sanitized_fields", """
-SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...[truncated]' ELSE text END AS note, 1 AS n FROM documents""")
+SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...[truncated]' ELSE text END AS note, lang AS lang, 2 + (doc_id % 7 = 3)::INTEGER AS n FROM documents""")
 def f26(spark, d):
-    fields = F.create_map(F.lit("note"), F.col("text"), F.lit("email"), F.lit("a@b.c"), F.lit("name"), F.lit("x"))
+    n = F.col("doc_id")
+    private = F.element_at(F.array(*map(F.lit, ("email", "phone", "ssn", "medical_record_number", "name", "address"))), (n % 6 + 1).cast("int"))
+    more = F.when(n % 7 == 3, "named").otherwise(F.element_at(F.array(F.lit("phone"), F.lit("ssn")), (n % 2 + 1).cast("int")))
+    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    held = F.array(pair(F.lit("note"), F.col("text")), pair(F.lit("lang"), F.col("lang")), pair(private, F.lit("x")), pair(more, F.lit("x")))
+    fields = F.map_from_entries(F.array_distinct(held))
     kept = J.sanitized_fields(fields)
-    return table(spark, d, "documents").select("doc_id", kept["note"].alias("note"), F.size(kept).alias("n"))
+    return table(spark, d, "documents").select("doc_id", kept["note"].alias("note"), kept["lang"].alias("lang"), F.size(kept).alias("n"))
 
 
 @query("p20_l02_second_pass", """

@@ -135,13 +135,15 @@ def q12(spark, d):
 
 
 @query("a16_flag_statistics", """
-SELECT count(*) AS total, count(*) FILTER (WHERE toxic IS NULL OR quality IS NULL) AS open, count(*) AS resolved, count(*) FILTER (WHERE toxic = 1) AS
+SELECT count(*) AS total, count(*) FILTER (WHERE doc_id % 4 = 0) AS open, count(*) FILTER (WHERE doc_id % 4 IN (1, 2)) AS resolved, count(*) FILTER (WHERE toxic = 1) AS
 critical, count(*) FILTER (WHERE toxic = 0 AND quality = 0) AS warning,
-count(*) FILTER (WHERE toxic = 0 AND quality = 1) AS info, 100.0 AS resolution_rate, round(avg(doc_id % 50), 4) AS mean_hours FROM labels""")
+count(*) FILTER (WHERE toxic = 0 AND quality = 1) AS info, round(100.0 * count(*) FILTER (WHERE doc_id % 4 IN (1, 2)) / count(*), 2) AS resolution_rate,
+round(avg(doc_id % 50) FILTER (WHERE doc_id % 4 IN (1, 2)), 4) AS mean_hours FROM labels""")
 def a16(spark, d):
     severity = F.when(F.col("toxic") == 1, "critical").when(F.col("quality") == 0, "warning").otherwise("info")
-    at = F.lit("2024-01-01").cast("timestamp_ntz")
-    rows = table(spark, d, "labels").select(severity.alias("severity"), F.lit("resolved").alias("status"), at.alias("created_at"),
+    at, k = F.lit("2024-01-01").cast("timestamp_ntz"), F.col("doc_id") % 4
+    status = F.when(k == 0, "open").when(k == 1, "resolved").when(k == 2, "ignored").otherwise("in_review")
+    rows = table(spark, d, "labels").select(severity.alias("severity"), status.alias("status"), at.alias("created_at"),
         F.timestamp_add("HOUR", (F.col("doc_id") % 50).cast("int"), at).alias("resolved_at"))
     return flags.flag_statistics(rows)
 
@@ -298,12 +300,15 @@ def f01(spark, d):
 
 
 @query("f02_f03_code_text", """
-SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN lower(p_name) || ' repair' ELSE lower(p_name || '  MBS 12') END AS v FROM part""")
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN lower(p_name) || ' repair' WHEN 1 THEN lower(p_name || '  MBS 12') WHEN 2 THEN 'of ' || lower(p_name) || ' mbs' ELSE lower(p_name) || ' 500 mg' END AS v FROM part""")
 def f02(spark, d):
     p = table(spark, d, "part")
-    kind = F.when(F.col("p_partkey") % 2 == 0, "procedure").otherwise("condition")
-    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("MBS  23 "), "p_name",
-        F.lit(" T8 including but not limited to Repair "))).otherwise(F.concat("p_name", F.lit("  MBS 12")))
+    n = F.col("p_partkey") % 4
+    kind = F.when(n % 2 == 0, "procedure").when(n == 3, "medication").otherwise("condition")
+    name = (
+        F.when(n == 0, F.concat(F.lit("MBS  23 "), "p_name", F.lit(" T8 including but not limited to Repair "))).when(n == 1, F.concat("p_name", F.lit("  MBS 12")))
+        .when(n == 2, F.concat(F.lit(" Initiation of management of of  "), "p_name", F.lit(" t12 MBS"))).otherwise(F.concat(F.lit(" "), "p_name", F.lit(" 500 mg ")))
+    )
     return p.select("p_partkey", T.code_text(kind, name, F.lit("")).alias("v"))
 
 

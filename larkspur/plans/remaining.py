@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import text as T
-from ..operators import access, flags, layout, model_output, queues, reconcile, records
+from ..operators import access, flags, layout, model_output, processing, queues, reconcile, records
 from ..registry import query
 from ..sources import table
 
@@ -195,3 +195,53 @@ def n42(spark, d):
     told = F.concat(F.lit("Sun, 15 Jun 1997 00:00:"), F.lpad((n % 60).cast("string"), 2, "0"), F.lit(" GMT"))
     after = F.when(n % 3 == 0, (n % 90).cast("string")).when(n % 3 == 1, told)
     return table(spark, d, "events").select("event_id", queues.retry_wait(n % 5, after, F.lit("1997-06-15 00:00:20").cast("timestamp"), most=3).alias("ms"))
+
+
+@query("q15_legacy_checks", f"""
+WITH x AS (SELECT o_orderkey AS document_id, o_orderdate::DATE AS date, CASE o_orderkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'Someone else' WHEN 2 THEN '' ELSE 'customer ' || c_mktsegment END AS name, lower(c_name || ' ' || c_mktsegment) AS display,
+  (CASE WHEN o_orderkey % 4 <> 2 AND o_orderkey % 3 <> 0 THEN 2.0 ELSE 0 END + CASE WHEN o_orderkey % 5 = 0 THEN 1.5 ELSE 0 END + 1.0 + CASE WHEN o_orderkey % 7 = 0 THEN 1.0 ELSE 0 END) / 5.5 AS share FROM orders JOIN customer ON c_custkey = o_custkey),
+s AS (SELECT *, string_split(lower(name), ' ') AS a, string_split(display, ' ') AS b FROM x),
+y AS (SELECT *, len(list_filter(a, lambda w: len(list_filter(b, lambda v: contains(w, v) OR contains(v, w))) > 0)) / greatest(len(a), len(b)) AS alike FROM s)
+SELECT document_id, 'future_date_check' AS problem_code, 'warning' AS severity, 0.85::DOUBLE AS confidence, '1997-06-15' AS suggestion FROM y WHERE date_diff('day', DATE '1997-06-15', date) > 30
+UNION ALL SELECT document_id, 'name_similarity_check', 'critical', round(1 - alike, 6), display FROM y WHERE name <> '' AND alike < 0.6
+UNION ALL SELECT document_id, 'incomplete_extraction', 'warning', 0.8, NULL FROM y WHERE share < 0.4""")
+def q15(spark, d):
+    n, segment = F.col("o_orderkey"), F.col("c_mktsegment")
+    name = F.when(n % 4 == 0, F.col("c_name")).when(n % 4 == 1, "Someone else").when(n % 4 == 2, "").otherwise(F.concat(F.lit("customer "), segment))
+    filled = {"patient_info": (name != "") & (n % 3 != 0), "medical_data": n % 5 == 0, "dates": F.lit(True), "provider": F.when(n % 7 == 0, True)}
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        n.alias("document_id"), F.col("o_custkey").alias("profile_id"), F.col("o_orderdate").cast("timestamp_ntz").cast("date").alias("document_date"), name.alias("name"),
+        F.lower(F.concat("c_name", F.lit(" "), segment)).alias("display_name"), flags.legacy_completeness(filled).alias("completeness"),
+    )
+    found = flags.raised(rows, "documents", flags.legacy_rules(now()))
+    return found.select("document_id", "problem_code", "severity", F.round("confidence", 6).alias("confidence"), "suggestion")
+
+
+@query("f93_split_and_joined", """
+SELECT p_partkey, len(string_split(p_name, ' ')) AS n, array_to_string(list_reverse(list_filter(string_split(p_name, ' '), lambda w: w <> '')), ', ') AS said FROM part""")
+def f93(spark, d):
+    words = T.words_of(F.col("p_name"), " ")
+    return table(spark, d, "part").select("p_partkey", F.size(words).cast("long").alias("n"), T.words_joined(F.reverse(words), ", ").alias("said"))
+
+
+@query("t04_delayed_jobs", """
+WITH l AS (SELECT max(CASE WHEN n_nationkey % 2 = 0 AND n_nationkey * 4.0 / 50 > 0.8 THEN n_nationkey * 10 END) AS wait FROM nation)
+SELECT event_id AS job_id, ts + to_seconds(CASE WHEN event_id % 4 = 1 THEN coalesce(wait, 0) ELSE 0 END) AS scheduled_at FROM events, l""")
+def t04(spark, d):
+    n = F.col("n_nationkey")
+    limits = table(spark, d, "nation").select(F.lit("p").alias("provider"), F.when(n % 2 == 0, "e").otherwise("f").alias("endpoint"), F.lit("active").alias("status"), (n * 4).alias("requests_used"),
+        F.lit(50).alias("requests_per_minute"), F.lit(0.8).alias("threshold"), (n * 10).alias("delay_seconds"))
+    jobs = table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.when(F.col("event_id") % 4 == 1, "ai_processing").otherwise("audit_cleanup").alias("job_type"), F.col("ts").alias("scheduled_at"))
+    return queues.delayed(jobs, limits, "p", "e").select("job_id", "scheduled_at")
+
+
+@query("n41_handed_over", """
+SELECT o_orderkey AS visit_id, CASE WHEN o_orderkey % 3 = 0 THEN 'encounter_temp_generated_' || md5(o_orderkey::VARCHAR)[1:9] WHEN o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 THEN 'encounter_temp_generated_' || md5(o_orderkey::VARCHAR)[1:9] ELSE 't' || o_orderkey END AS temp_id,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'told' WHEN o_orderkey % 4 = 0 THEN 'discharge_summary' WHEN o_orderkey % 4 = 1 THEN 'post_operative_notes' WHEN o_orderkey % 4 = 2 THEN 'results_or_report' ELSE 'continuation' END AS expected_continuation FROM orders""")
+def n41(spark, d):
+    n = F.col("o_orderkey")
+    temp = F.when(n % 3 == 0, F.lit(None).cast("string")).when((n % 3 == 1) & (n % 2 == 0), "x_undefined_1").otherwise(F.concat(F.lit("t"), n.cast("string")))
+    kind = F.when(n % 4 == 0, "Inpatient stay").when(n % 4 == 1, "Surgery").when(n % 4 == 2, "imaging visit").otherwise("walk")
+    told = F.when(n % 5 == 0, "told").when(n % 5 == 1, "")
+    rows = table(spark, d, "orders").select(n.alias("visit_id"), temp.alias("temp_id"), kind.alias("kind"), told.alias("expected_continuation"))
+    return processing.handed_over(rows).select("visit_id", "temp_id", "expected_continuation")
