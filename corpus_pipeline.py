@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import NULL_ID, cut, read, release_shuffles
+from larkspur.llm.common import NULL_ID, SHUFFLE_CLEANUP, cut, drop_table, read, release_shuffles
 from larkspur.llm.exact_dedup import exact_groups
 from larkspur.llm.ngram_join import jaccard_components
 from larkspur.llm.packing import pack, word_bpe_path
@@ -82,7 +82,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    """All stages; a stage's table goes once the next one is written, and the session's setting is what it was. The last but one stays, as the
+    result reads it."""
+    docs, before = read(spark, sf_dir, "documents"), spark.conf.get(SHUFFLE_CLEANUP, None)
+    written = None
+    try:
+        for _, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir))
+            if written is not None:
+                drop_table(written)
+            written = docs
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return STAGES[-1][1](spark, docs, sf_dir)
