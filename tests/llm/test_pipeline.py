@@ -101,3 +101,20 @@ def test_quality_keeps_rows_as_the_model_scores_them(spark):
 
 def test_the_stages_and_their_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "ngram_join", "pii", "packing"]
+
+
+def test_run_is_the_stages_one_after_another_and_restores_the_setting(spark):
+    sf, before = "/root/testdata/sf0.001", spark.conf.get(SHUFFLE_CLEANUP, None)
+    got = corpus_pipeline.run(spark, sf)
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == before
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    try:
+        for _, f in corpus_pipeline.STAGES:
+            docs = f(spark, docs, sf)
+        columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, docs.select(columns).collect()))
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
