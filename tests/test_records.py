@@ -188,3 +188,13 @@ def test_small_functions(spark):
     assert one(spark, T.rollout(F.col("v"), 100), v="u") is True and one(spark, T.rollout(F.col("v"), 0), v="u") is False
     share = spark.range(20000).select(T.rollout(F.col("id").cast("string"), 30).alias("v")).where("v").count() / 20000
     assert abs(share - 0.3) < 0.02
+
+
+def test_parts_of_texts_and_earlier_checks(spark):
+    df = spark.createDataFrame([("a,,b",), ("",), (None,), ("x.y",)], "t string")
+    assert [r.p for r in df.select(T.words_of(F.col("t"), ",").alias("p")).collect()] == [["a", "", "b"], [], None, ["x.y"]]
+    assert [r.p for r in df.select(T.words_joined(T.words_of(F.col("t"), "."), "-").alias("p")).collect()] == ["a,,b", "", None, "x-y"]
+    rows = spark.createDataFrame([(1, 1, "1997-08-01", "Ann Lee", "ann b lee", 0.39), (2, 1, None, None, "x", 0.4), (3, 1, "1997-07-15", "", "x", None), (4, 1, "1997-06-20", "bob", "ann lee", 1.0)], "document_id int, profile_id int, document_date string, name string, display_name string, completeness double")
+    rows = rows.withColumn("document_date", F.col("document_date").cast("date"))
+    found = flags.raised(rows, "documents", flags.legacy_rules(F.lit("1997-06-15").cast("timestamp_ntz")))
+    assert sorted((r.document_id, r.problem_code, round(r.confidence, 3)) for r in found.collect()) == [(1, "future_date_check", 0.85), (1, "incomplete_extraction", 0.8), (4, "name_similarity_check", 1.0)]
