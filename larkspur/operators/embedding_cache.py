@@ -40,4 +40,5 @@ def stored(cache: DataFrame, fetched: DataFrame, as_of: Column, days: int = DAYS
     columns = ["cache_key", "embedding", "created_at"]
     held = cache.where((F.col("created_at") > as_of - F.make_interval(days=F.lit(days))) & (F.col("created_at") <= as_of)).select(columns)
     new = fetched.where("cache_key IS NOT NULL AND embedding IS NOT NULL").withColumn("created_at", as_of).select(columns)
-    return held.unionByName(new).groupBy("cache_key").agg(F.max_by(F.struct("embedding", "created_at"), F.struct("created_at", "embedding")).alias("e")).select("cache_key", "e.*")
+    last = F.max_by(F.struct("embedding", "created_at"), F.struct("created_at", "embedding")).alias("e")
+    return held.unionByName(new).groupBy("cache_key").agg(last).select("cache_key", "e.*")

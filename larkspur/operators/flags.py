@@ -181,9 +181,10 @@ def legacy_rules(as_of: Column) -> list[Rule]:
     Rows have document_date, name, display_name and completeness (see ``legacy_completeness``). A check whose value is missing says nothing.
     """
     date, alike = F.col("document_date"), shared_words(F.col("name"), F.col("display_name"))
+    named = (F.col("name") != "") & (F.col("display_name") != "")
     return [
         Rule("future_date_check", days_ahead(date, as_of) / 30 > 1, "warning", 0.85, "document_date", date, F.date_format(as_of, "yyyy-MM-dd")),
-        Rule("name_similarity_check", (F.col("name") != "") & (F.col("display_name") != "") & (alike < 0.6), "critical", 1 - alike, "patient_name", F.col("name"), F.col("display_name")),
+        Rule("name_similarity_check", named & (alike < 0.6), "critical", 1 - alike, "patient_name", F.col("name"), F.col("display_name")),
         Rule("incomplete_extraction", F.col("completeness") < 0.4, "warning", 0.8, "extraction_completeness", F.col("completeness")),
     ]
 

@@ -56,7 +56,8 @@ def page_by_offset(history: History, owner, limit: int = 50, offset: int = 0) ->
     """
     limit, offset = min(1000, max(1, limit)), max(0, offset)
     order = Window.partitionBy("_owner").orderBy("first", "file")
-    own = history.files.where(F.col("_owner") == F.lit(owner)).withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy("_owner")))
+    own = history.files.where(F.col("_owner") == F.lit(owner)).withColumn("upto", F.sum("n").over(order))
+    own = own.withColumn("total", F.sum("n").over(Window.partitionBy("_owner")))
     needed = own.where((F.col("upto") > offset) & (F.col("upto") - F.col("n") < offset + limit)).orderBy("upto").collect()  # as many files as a page spans
     before = needed[0].upto - needed[0].n if needed else 0
     rows = _rows(history, owner, [r.file for r in needed])

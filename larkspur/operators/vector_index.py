@@ -81,10 +81,9 @@ def packed(rows: DataFrame, columns: list[str], most: int) -> DataFrame:
                 for at in range(a, b, most):
                     n = min(most, b - at)
                     keys = pa.StructArray.from_arrays([batch.column(c).slice(at, n) for c in columns], names=columns)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([cell[at]], pa.int32()), pa.ListArray.from_arrays([0, n], keys), pa.array([b"".join(batch.column("vec").slice(at, n).to_pylist())], pa.binary())],
-                        names=["cell", "keys", "vecs"],
-                    )
+                    vecs = b"".join(batch.column("vec").slice(at, n).to_pylist())
+                    columns = [pa.array([cell[at]], pa.int32()), pa.ListArray.from_arrays([0, n], keys), pa.array([vecs], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["cell", "keys", "vecs"])
 
     order = ["cell", F.xxhash64("vec")]
     return rows.repartitionByRange(*order).sortWithinPartitions("cell").mapInArrow(pack, schema)
@@ -202,7 +201,8 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, minimum: float,
     schema = T.StructType([T.StructField(query, queries.schema[query].dataType)] + [struct[c] for c in key]).add("similarity", "double")
     if not len(index.centroids):
         return spark.createDataFrame([], T.StructType(schema.fields).add("position", "integer"))
-    asked = queries.where(usable(F.col(vector))).select(query, (F.col(kind).cast("string") if kind else F.lit(None).cast("string")).alias("_wanted"), F.col(vector).alias("_v"))
+    wanted = F.col(kind).cast("string") if kind else F.lit(None).cast("string")
+    asked = queries.where(usable(F.col(vector))).select(query, wanted.alias("_wanted"), F.col(vector).alias("_v"))
     probed = placed(asked, [query, "_wanted"], "_v", index.centroids, within_reach(index.reach, minimum, probes))
     asked_blocks = packed(probed.drop("near"), [query, "_wanted"], QUERY_BLOCK).select("cell", F.struct("keys", "vecs").alias("q"))
     dims = index.centroids.shape[1]
@@ -212,7 +212,9 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, minimum: float,
             for row in range(len(batch)):
                 q_keys, c_keys = (batch.column(side).field("keys")[row].values for side in ("q", "c"))
                 wanted, kinds = q_keys.field("_wanted").to_pylist(), c_keys.field("_kind").to_pylist()
-                allowed = np.array([[w is None or w == c for c in kinds] for w in wanted]) if any(w is not None for w in wanted) else np.ones((len(wanted), len(kinds)), bool)
+                allowed = np.ones((len(wanted), len(kinds)), bool)
+                if any(w is not None for w in wanted):
+                    allowed = np.array([[w is None or w == c for c in kinds] for w in wanted])
                 order = [tuple((x is not None, x) for x in r) for r in zip(*(c_keys.field(c).to_pylist() for c in key), strict=True)]
                 vectors = (np.frombuffer(batch.column(side).field("vecs")[row].as_py(), np.float64).reshape(-1, dims) for side in ("q", "c"))
                 hits = first_codes(*vectors, allowed, order, k, minimum)

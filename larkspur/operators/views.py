@@ -56,7 +56,8 @@ def incremental_refresh(view: View, stored: DataFrame, base: DataFrame, inserted
     every = side(stored, 1).unionByName(side(plus, 1)).unionByName(side(minus, -1))
     extreme = lambda n: F.min if n in view.least else F.max
     merged = every.groupBy(*view.key).agg(
-        *(F.sum(n).cast(stored.schema[n].dataType).alias(n) for n in numbers), *(extreme(n)(n).alias(n) for n in ends), *(extreme(n)(f"_out_{n}").alias(f"_out_{n}") for n in ends)
+        *(F.sum(n).cast(stored.schema[n].dataType).alias(n) for n in numbers),
+        *(extreme(n)(c).alias(c) for n in ends for c in (n, f"_out_{n}")),
     )
     merged = merged.where("rows > 0")
     again: Column = F.lit(False)

@@ -48,7 +48,8 @@ def sections(docs: DataFrame, key: str, xml: str) -> DataFrame:
     """
     depth = docs.agg(F.max(nesting(F.col(xml)))).first()[0] or 0
     if not depth:
-        return docs.select(key).limit(0).select(key, F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.lit("").alias("title"), F.lit("").alias("code"), F.lit(None).cast(_TEXT).alias("text"))
+        nothing = {"path": F.array().cast("array<int>"), "depth": F.lit(0), "title": F.lit(""), "code": F.lit(""), "text": F.lit(None).cast(_TEXT)}
+        return docs.select(key).limit(0).select(key, *(c.alias(n) for n, c in nothing.items()))
     schema = f"struct<component: struct<structuredBody: struct<component: array<struct<section: {_section(depth)}>>>>>"
     parsed = docs.select(key, F.from_xml(F.col(xml), schema, OPTIONS).alias("d"))
     level = parsed.select(key, F.array().cast("array<int>").alias("path"), F.col("d.component.structuredBody.component").alias("c"))
@@ -56,7 +57,8 @@ def sections(docs: DataFrame, key: str, xml: str) -> DataFrame:
     for n in range(1, depth + 1):
         each = level.select(key, "path", F.posexplode("c").alias("i", "c")).where("c.section IS NOT NULL")
         each = each.select(key, F.array_append("path", F.col("i") + 1).alias("path"), F.col("c.section").alias("s"))
-        found.append(each.select(key, "path", F.lit(n).alias("depth"), plain(F.col("s.title")).alias("title"), F.col("s.code.at_code").alias("code"), F.col("s.text").alias("text")))
+        told = {"depth": F.lit(n), "title": plain(F.col("s.title")), "code": F.col("s.code.at_code"), "text": F.col("s.text")}
+        found.append(each.select(key, "path", *(c.alias(name) for name, c in told.items())))
         if n < depth:
             level = each.select(key, "path", F.col("s.component").alias("c"))
     return reduce(DataFrame.unionByName, found)
@@ -66,14 +68,17 @@ def tables(found: DataFrame, key: str) -> DataFrame:
     """(key, path, table, row, cell, header, value): the cells of the tables of ``sections``, all numbered from 1; ``header`` is that of the
     cell's column in the first row of headers, null where there is none."""
     each = found.select(key, "path", F.posexplode("text.table").alias("t", "table"))
-    each = each.select(key, "path", (F.col("t") + 1).alias("table"), F.col("table.thead.tr")[0]["th"].alias("_heads"), F.posexplode("table.tbody.tr").alias("r", "tr"))
+    heads = F.get("table.thead.tr", 0)["th"].alias("_heads")
+    each = each.select(key, "path", (F.col("t") + 1).alias("table"), heads, F.posexplode("table.tbody.tr").alias("r", "tr"))
     cells = each.select(key, "path", "table", (F.col("r") + 1).alias("row"), "_heads", F.posexplode("tr.td").alias("c", "value"))
-    return cells.select(key, "path", "table", "row", (F.col("c") + 1).alias("cell"), plain(F.get("_heads", F.col("c"))).alias("header"), plain(F.col("value")).alias("value"))
+    header = plain(F.get("_heads", F.col("c"))).alias("header")
+    return cells.select(key, "path", "table", "row", (F.col("c") + 1).alias("cell"), header, plain(F.col("value")).alias("value"))
 
 
 def passages(found: DataFrame, key: str) -> DataFrame:
     """(key, path, kind, n, text): paragraphs, list items and bare text of ``sections``, each kind numbered from 1; blank ones are left out."""
-    items = F.flatten(F.transform(F.coalesce("text.list", F.array().cast("array<struct<item: array<string>>>")), lambda x: F.coalesce(x["item"], F.array().cast("array<string>"))))
+    lists = F.coalesce("text.list", F.array().cast("array<struct<item: array<string>>>"))
+    items = F.flatten(F.transform(lists, lambda x: F.coalesce(x["item"], F.array().cast("array<string>"))))
     kinds = {"paragraph": F.col("text.paragraph"), "item": items, "text": F.array(F.col("text.said"))}
     each = [found.select(key, "path", F.lit(k).alias("kind"), F.posexplode(v).alias("n", "text")) for k, v in kinds.items()]
     rows = reduce(DataFrame.unionByName, each).withColumns({"n": F.col("n") + 1, "text": plain(F.col("text"))})
