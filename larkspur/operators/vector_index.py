@@ -82,8 +82,8 @@ def packed(rows: DataFrame, columns: list[str], most: int) -> DataFrame:
                     n = min(most, b - at)
                     keys = pa.StructArray.from_arrays([batch.column(c).slice(at, n) for c in columns], names=columns)
                     vecs = b"".join(batch.column("vec").slice(at, n).to_pylist())
-                    columns = [pa.array([cell[at]], pa.int32()), pa.ListArray.from_arrays([0, n], keys), pa.array([vecs], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["cell", "keys", "vecs"])
+                    made = [pa.array([cell[at]], pa.int32()), pa.ListArray.from_arrays([0, n], keys), pa.array([vecs], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(made, names=["cell", "keys", "vecs"])
 
     order = ["cell", F.xxhash64("vec")]
     return rows.repartitionByRange(*order).sortWithinPartitions("cell").mapInArrow(pack, schema)
