@@ -165,7 +165,10 @@ def to_normalise(documents: DataFrame, most: int) -> DataFrame:
 
 
 def joined_batches(batches: DataFrame, key: str, index: str, items: str) -> DataFrame:
-    """(key, items): the lists of a visit's batches as one, in the order of the batches (U06, W09): structs get ids e1 to en."""
+    """(key, items): the lists of a visit's batches as one, in the order of the batches (U06, W09): structs get ids e1 to en.
+
+    ``index`` may be a struct, whose fields then order the batches one after the other.
+    """
     rows = batches.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(index, items))), lambda b: b[items])).alias(items))
     return rows.withColumn(items, F.transform(items, lambda e, i: e.withField("id", F.concat(F.lit("e"), (i + 1).cast("string")))))
 

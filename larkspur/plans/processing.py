@@ -154,7 +154,7 @@ SELECT l_orderkey, list_aggregate(list(l_partkey::VARCHAR ORDER BY l_linenumber,
 FROM lineitem GROUP BY l_orderkey""")
 def u06(spark, d):
     item = F.array(F.struct(F.col("l_partkey").alias("part"), F.lit("x").alias("id")))
-    rows = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("n"), item.alias("items"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("n"), item.alias("items"))
     done = processing.joined_batches(rows, "l_orderkey", "n", "items")
     return done.select("l_orderkey", F.array_join(F.transform("items", lambda e: e["part"].cast("string")), ",").alias("parts"),
         F.element_at("items", -1)["id"].alias("last_id"))
