@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from larkspur import plans, registry
+from larkspur.operators import layout
 
 from .test_operators import SF, told
 
@@ -26,3 +27,34 @@ def agrees(spark, folder, name, **tables):
 @pytest.mark.parametrize("wide", [1, 1_000_003])
 def test_batches_keep_their_order_whatever_the_keys(spark, tmp_path, wide):
     agrees(spark, tmp_path, "u06_w09_joined_batches", lineitem=f"SELECT * REPLACE (l_partkey * {wide} AS l_partkey) FROM {{lineitem}}")
+
+
+def test_height_beside_a_place_of_a_full_page(spark, tmp_path):
+    """Words that share y and text meet as one: 2,000 words and as many places on one page give far fewer pairs than 4,000,000."""
+    w = spark.range(2000).selectExpr("1 AS page", "id AS seq", "concat('w', id % 5) AS text", "CAST(id % 40 * 7 AS INT) AS y", "CAST(8 + id % 5 AS INT) AS height")
+    a = spark.range(2000).selectExpr("id AS ask_id", "1 AS page", "concat('see W', id % 5) AS marker", "CAST(id % 40 * 7 + id % 13 AS INT) AS y")
+    a = a.unionByName(spark.createDataFrame([(5000, 1, None, 7), (5001, 1, "w1", None), (5002, None, "w1", 7), (5003, 2, "w1", 7)], "ask_id long, page int, marker string, y int"))
+    words, want = [tuple(r) for r in w.collect()], {}
+    for r in a.collect():
+        near = [(0 if abs(y - r.y) <= 5 and text in (r.marker or "").lower() else 1, seq, height) for page, seq, text, y, height in words if r.y is not None and page == r.page and abs(y - r.y) <= 10]
+        want[r.ask_id] = min(near)[2] if near else None
+    found = layout.text_height(w, a)
+    assert {r.ask_id: r.height for r in found.collect()} == want and want[5000] is not None and want[5001] is None
+    joins = [int(n) for n in rows_of_joins(found)]
+    assert max(joins) < 100_000
+
+
+def rows_of_joins(df):
+    """The rows that each join of a query that has run gave."""
+    nodes, plan = [], df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    waiting = [plan]
+    while waiting:
+        at = waiting.pop()
+        name = at.nodeName()
+        if "QueryStage" in name:
+            waiting.append(at.plan())
+        if "Join" in name:
+            nodes.append(at.metrics().apply("numOutputRows").value())
+        waiting += [at.children().apply(i) for i in range(at.children().size())]
+    return nodes
