@@ -308,13 +308,14 @@ SELECT page * 1000000 + seq AS marker_id, text, y FROM (SELECT *, row_number() O
 def v11(spark, d):
     words = stand_in(spark, d, "words")
     first = words.groupBy("page", "text").agg(F.min("seq").alias("seq"))
-    markers = first.select((F.col("page") * 1000000 + F.col("seq")).alias("marker_id"), "page",
+    marker = F.struct("page", "seq").alias("marker_id")
+    markers = first.select(marker, "page",
         F.concat(F.lit('"'), F.upper("text"), F.lit('"')).alias("marker"), F.lit(None).cast("string").alias("context"),
         F.lit(None).cast("string").alias("region"), F.lit(3300).alias("page_height"))
     found = layout.marker_matches(words, markers)
-    at = words.join(first, ["page", "text", "seq"], "left_semi").select((F.col("page") * 1000000 + F.col("seq")).alias("marker_id"),
-        F.col("y").alias("own"))
-    return found.join(at, "marker_id").select("marker_id", "text", F.col("y").cast("int").alias("y"))
+    at = words.join(first, ["page", "text", "seq"], "left_semi").select(marker, F.col("y").alias("own"))
+    number = F.col("marker_id.page") * 1000000 + F.col("marker_id.seq")
+    return found.join(at, "marker_id").select(number.alias("marker_id"), "text", F.col("y").cast("int").alias("y"))
 
 
 @query("f70_visual_share", """

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from larkspur import plans, registry
 from larkspur.operators import layout
+from pyspark.sql import functions as F
 
 from .test_operators import SF, told
 
@@ -58,3 +59,23 @@ def rows_of_joins(df):
             nodes.append(at.metrics().apply("numOutputRows").value())
         waiting += [at.children().apply(i) for i in range(at.children().size())]
     return nodes
+
+
+def test_no_row_of_a_marker_search_holds_a_page(spark, tmp_path, monkeypatch):
+    sizes, keep = [], layout.written
+
+    def seen(df):
+        table = keep(df)
+        sizes.append(table.agg(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] or 0)
+        return table
+
+    monkeypatch.setattr(layout, "written", seen)
+    part = "SELECT * REPLACE (1 AS p_size) FROM {part}"
+    agrees(spark, tmp_path, "v11_marker_matches", part=part)
+    agrees(spark, tmp_path, "v11_fuzzy_markers", part=part)
+    words = spark.range(600).selectExpr("1 AS page", "id AS seq", "concat('word', id % 9) AS text", "CAST(id * 5 AS INT) AS y", "12 AS height", "0.5 AS confidence")
+    markers = spark.createDataFrame([(1, "word3", "word4 word4"), (2, "word3 word4 ward5", "word0 none"), (3, "word8 word0", None)], "marker_id int, marker string, context string")
+    markers = markers.selectExpr("*", "1 AS page", "IF(marker_id = 1, 'bottom', NULL) AS region", "3300 AS page_height")
+    got = {r.marker_id: (r.text, r.y, r.exact) for r in layout.marker_matches(words, markers).collect()}
+    assert got == {1: ("word3", 2490.0, True), 2: ("word3 word4 word5", 15.0, False), 3: ("word8 word0", 40.0, True)}
+    assert max(sizes) < 1500
