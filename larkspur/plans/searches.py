@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import fulltext, graph, layout, records, similar, timeline
@@ -23,7 +24,8 @@ WHERE list_max(ys) + 10 - list_min(ys) BETWEEN 8 AND 500"""))
 def v11_fuzzy(spark, d):
     """Of each page the last three words, with another seventh character and without '#3', are looked for."""
     words = stand_in(spark, d, "words")
-    last = words.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("w")).where("size(w) >= 3")
+    ahead = words.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("seq")))).where("n <= 3")
+    last = ahead.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("w")).where("size(w) >= 3")
     said = F.array_join(F.transform(F.slice("w", -3, 3), lambda w: w["text"]), " ")
     wrong = F.replace(F.expr("concat(substring(said, 1, 6), 'x', substring(said, 8))"), F.lit("#3"), F.lit("#"))
     none = F.lit(None).cast("string")
