@@ -3,6 +3,7 @@ import os
 import time
 
 from larkspur.streaming import changes
+from pyspark.sql import Row
 
 
 def run(spark, folder, out, checkpoint):
@@ -62,3 +63,35 @@ def test_repeats_within_the_watermark_go(spark, tmp_path):
     query = feed.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
     query.awaitTermination(120)
     assert sorted(r.change_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+
+
+def test_a_batch_goes_to_the_state_a_few_times_however_many_changes_it_has():
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "exists":
+                    return bool(self.held)
+                if name == "get":
+                    return self.held[-1] if self is rows.image else iter(self.held)
+                self.held += args[-1] if name == "appendList" else [args[-1]]
+                return None
+
+            return call
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *args: State()
+
+    rows = changes._Rows(None)
+    rows.init(Handle())
+    told = lambda a, b: [Row(op="UPDATE", seq=i, change_id=f"c{i}", image=f"v{i}") for i in range(a, b)] * 2
+    for a, b in ((0, 300), (200, 500)):  # 100 of the second batch were in the first
+        calls.clear()
+        made = list(rows.handleInputRows(("k",), iter(told(a, b)), None))
+        assert [r.seq for r in made] == list(range(max(a, 300 * (a > 0)), b)) and len(calls) <= 5
