@@ -14,6 +14,8 @@ from ..shared import written
 BUCKETS = 64
 #: Words further apart than this are not near each other.
 NEAR = 100
+#: Asked words that are sent to all tasks, so that others have no postings made; more are left to the join.
+SENT = 100_000
 
 # fixed values: what a word of a field of each class is worth, what a pair is worth beyond NEAR, the limit of the sum of 1/n^2,
 # and words that are not looked for
@@ -102,16 +104,20 @@ def search(index: TextIndex, queries: DataFrame, query: str = "query", text: str
     A query of one word ranks by ``single_rank``. One of several combines all pairs of places of different words, each worth the
     root of both weights and of ``nearness``: rank = 1 - product of (1 - worth). Pairs within NEAR words are found by a window over the
     places; all others are worth the same, so their number is enough. Words of ``stop`` and repeated words don't count; a query
-    without words finds nothing. Of the postings only the folders of the asked words are read.
+    without words finds nothing. Of the postings only the folders of the asked words are read; from an index that is not saved only theirs
+    are made, as the asked words meet the documents' words before these are grouped.
     """
     key, by = index.key, index.by
-    terms = F.array_distinct(tokens(F.col(text)))
+    words = F.array_distinct(tokens(F.col(text)))
     if stop:
-        terms = F.filter(terms, lambda t: ~t.isin(stop))
-    asked = queries.select(query, *by, terms.alias("_terms")).where("size(_terms) > 0")
+        words = F.filter(words, lambda t: ~t.isin(stop))
+    asked = queries.select(query, *by, words.alias("_terms")).where("size(_terms) > 0")
     asked = asked.select(query, *by, F.size("_terms").alias("_n"), F.posexplode("_terms").alias("_t", "term")).withColumn("bucket", bucket_of(F.col("term")))
     buckets = [r[0] for r in asked.select("bucket").distinct().collect()]  # BUCKETS at most
     postings = index.postings.where(F.col("bucket").isin(buckets)) if buckets else index.postings.limit(0)
+    terms = asked.select("term").distinct()
+    if buckets and terms.limit(SENT + 1).count() <= SENT:
+        postings = postings.join(F.broadcast(terms), "term", "left_semi")
     hits = postings.join(asked, ["bucket", "term", *by])
     whole = Window.partitionBy(query, key)
     matched = written(hits.withColumn("_found", F.count("*").over(whole)).where("_found = _n").select(query, key, "_n", "_t", "places"))

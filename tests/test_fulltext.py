@@ -74,3 +74,13 @@ def test_owners_and_edges(spark):
     q = spark.createDataFrame([(1, 2, "car red"), (2, None, "car"), (3, 1, "bus")], "query int, owner int, text string")
     assert [(r.query, r.id) for r in fulltext.search(index, q).collect()] == [(1, 11)]
     assert fulltext.search(index, q.limit(0)).count() == 0 == fulltext.search(fulltext.build_index(df.limit(0), "id", {"text": "D"}, ["owner"]), q).count()
+
+
+def test_only_postings_of_asked_words_are_made(spark):
+    df = spark.createDataFrame([(i, f"w{i} common " + " ".join(f"v{i}x{j}" for j in range(50))) for i in range(40)], "id long, text string")
+    q = spark.createDataFrame([(1, "w7 common")], "query long, text string")
+    plans, keep = [], fulltext.written
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(fulltext, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+        assert [r.id for r in fulltext.search(fulltext.build_index(df, "id", {"text": "D"}), q).collect()] == [7]
+    assert "LeftSemi" in plans[0].split("collect_list", 1)[1]  # beneath the grouping, so before its shuffle
