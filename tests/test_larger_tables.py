@@ -79,3 +79,9 @@ def test_no_row_of_a_marker_search_holds_a_page(spark, tmp_path, monkeypatch):
     got = {r.marker_id: (r.text, r.y, r.exact) for r in layout.marker_matches(words, markers).collect()}
     assert got == {1: ("word3", 2490.0, True), 2: ("word3 word4 word5", 15.0, False), 3: ("word8 word0", 40.0, True)}
     assert max(sizes) < 1500
+
+
+def test_costs_need_no_shuffle_by_model(spark, tmp_path):
+    agrees(spark, tmp_path, "f76_a40_costs", lineitem="SELECT * FROM {lineitem}")
+    plan = registry.QUERIES["f76_a40_costs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
