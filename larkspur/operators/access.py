@@ -10,6 +10,8 @@ from ..functions.text import rollout
 # fixed values: the levels that imply a required one
 LEVELS = ["emergency", "read_only", "read_write", "full_access", "owner"]
 SENSITIVE = ("ai_processing", "narrative_data", "semantic_analysis")
+#: About how many profiles of an owner meet as many others of theirs under one key.
+BLOCK = 2048
 
 
 def unexpired(until: Column, as_of: Column) -> Column:
@@ -106,14 +108,34 @@ def semantic_access(asked: DataFrame, access: DataFrame, consents: DataFrame, pr
     return rows.select(*asked.columns, allowed.alias("allowed"), is_set("_provider").alias("via_provider"))
 
 
+def owner_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b): every pair of a row of ``left`` and one of ``right`` with the same owner_id.
+
+    The rows of an owner with more than BLOCK of them are dealt into bins by a hash of their id, and each bin meets each: no key gives more
+    than about BLOCK * BLOCK pairs. Keys go to as many tasks as shuffles have whatever their bytes, as few rows give many pairs.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_owner = lambda df, name: df.groupBy("owner_id").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    large = by_owner(left, "_left").join(by_owner(right, "_right"), "owner_id").where("_left > 1 OR _right > 1")  # a row for BLOCK of the input at most
+    bins = lambda c: F.coalesce(c, F.lit(1))
+
+    def dealt(df: DataFrame, key: str, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        rows = df.select("owner_id", key).join(F.broadcast(large), "owner_id", "left")
+        rows = rows.select("owner_id", key, F.pmod(F.xxhash64(key), bins(F.col(own))).alias(names[0]), F.explode(F.sequence(F.lit(1).cast("long"), bins(F.col(other)))).alias("_n"))
+        return rows.withColumn(names[1], F.col("_n") - 1).repartition(n, "owner_id", "_i", "_j")
+
+    one, two = dealt(left, a, "_left", "_right", ("_i", "_j")), dealt(right, b, "_right", "_left", ("_j", "_i"))
+    return one.join(two.hint("merge"), ["owner_id", "_i", "_j"]).select(a, b)
+
+
 def allowed_patients(profiles: DataFrame, as_of: Column) -> DataFrame:
     """(profile_id, patient_id, relationship, scope, valid_until): each profile itself, and its owner's other profiles of type
-    self in an emergency (R07, J05)."""
+    self in an emergency (R07, J05). All pairs of an owner are the result, so it grows with the square of their profiles."""
     own = profiles.where(F.col("archived") == F.lit(False))
     full = own.select("profile_id", F.col("profile_id").alias("patient_id"), F.col("profile_type").alias("relationship"),
         F.lit("full").alias("scope"), F.add_months(as_of, 12).alias("valid_until"))
     selves = profiles.where("profile_type = 'self'").select(F.col("owner_id"), F.col("profile_id").alias("patient_id"))
-    other = own.select("profile_id", "owner_id").join(selves, "owner_id").where("patient_id <> profile_id")
+    other = owner_pairs(own, selves, "profile_id", "patient_id").where("patient_id <> profile_id")
     emergency = other.select("profile_id", "patient_id", F.lit("emergency").alias("relationship"), F.lit("emergency").alias("scope"),
         F.add_months(as_of, 6).alias("valid_until"))
     return full.unionByName(emergency)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 from larkspur import plans, registry
-from larkspur.operators import layout
+from larkspur.operators import access, layout
 from pyspark.sql import functions as F
 
 from .test_operators import SF, told
@@ -85,3 +85,13 @@ def test_costs_need_no_shuffle_by_model(spark, tmp_path):
     agrees(spark, tmp_path, "f76_a40_costs", lineitem="SELECT * FROM {lineitem}")
     plan = registry.QUERIES["f76_a40_costs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("block", [12, 2048])
+def test_pairs_of_one_owner_are_dealt_to_all_tasks(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(access, "BLOCK", block, raising=False)
+    agrees(spark, tmp_path, "r07_allowed_patients", customer="SELECT * REPLACE (CASE WHEN c_custkey % 10 > 7 THEN c_nationkey WHEN c_custkey % 100 > 2 THEN 3 END AS c_nationkey) FROM {customer}")
+    if block == 12:
+        rows = registry.QUERIES["r07_allowed_patients"](spark, str(tmp_path)).where("scope = 'emergency'")
+        tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(tasks) == 4 and max(tasks) < 0.5 * sum(tasks)
