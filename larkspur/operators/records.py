@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .access import unexpired
 from .graph import components
 from .similar import edit_pairs
@@ -197,7 +198,7 @@ def merged_by_similar_name(known: DataFrame, fresh: DataFrame, key: str = "patie
     names = both.select(key, "_name").distinct()
     alike = edit_pairs(names, names, threshold, [key], "_name", "_name").where("left_text < right_text")
     pair = lambda text: F.struct(F.col(key), F.col(text).alias("_name"))
-    groups = components(alike.select(pair("left_text").alias("a"), pair("right_text").alias("b")))
+    groups = components(written(alike.select(pair("left_text").alias("a"), pair("right_text").alias("b"))))
     rows = both.join(groups.select(F.col("node").alias("_id"), "root"), "_id", "left")
     rows = rows.withColumn("_group", F.coalesce(F.col("root._name"), F.col("_name")))
     pick = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_new", c))).alias(c)

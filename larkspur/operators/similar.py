@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
@@ -34,20 +35,30 @@ def _strings(left: DataFrame, right: DataFrame, by: list[str], left_text: str, r
     return written(each.withColumn("sid", F.monotonically_increasing_id()))
 
 
+def _slot(g: Column) -> Column:
+    return F.pmod(F.xxhash64(g["gram"], g["nth"]), F.lit(SLOTS)).cast("int")
+
+
+def _sketch(rows: DataFrame) -> bytes:
+    """A byte for each slot: the logarithm of how many grams of the arrays ``g`` are in it. It comes from SLOTS rows at most."""
+    common = rows.select(F.explode("g").alias("g")).groupBy(_slot(F.col("g")).alias("slot")).agg(F.count("*").alias("seen")).toArrow()
+    counts = np.zeros(SLOTS)
+    counts[common.column("slot").to_numpy()] = common.column("seen").to_numpy()
+    return np.minimum(8 * np.log2(counts + 1), 255).astype(np.uint8).tobytes()
+
+
 def _prefixes(strings: DataFrame, grams: Column, most: Column, by: list[str], repeated: bool) -> DataFrame:
-    """The ``most`` rarest grams of each string: sid, *by, size, gram, nth. With ``repeated`` a gram that stands twice is two."""
-    rows = strings.select("sid", *by, "is_left", "is_right", most.alias("_most"), F.length("text").alias("length"), grams.alias("_grams"))
-    keep = ["sid", *by, "is_left", "is_right", "_most", "length"]
-    each = rows.select(*keep, F.size("_grams").alias("size"), F.explode("_grams").alias("gram"))
-    counted = each.groupBy(*keep, "size", "gram").agg(F.count("*").cast("int").alias("_c"))
-    nth = F.explode(F.sequence(F.lit(1), F.col("_c"))) if repeated else F.lit(1)
-    counted = counted.select(*keep, "size", "gram", nth.alias("nth"))
-    slot = F.pmod(F.xxhash64("gram", "nth"), F.lit(SLOTS))
-    counted = written(counted.withColumn("_slot", slot))
-    common = counted.groupBy("_slot").agg(F.count("*").alias("_seen"))  # SLOTS rows at most
-    order = Window.partitionBy("sid").orderBy("_seen", "_slot", "gram", "nth")
-    ranked = counted.join(F.broadcast(common), "_slot").withColumn("_n", F.row_number().over(order))
-    return ranked.where("_n <= _most").select("sid", *by, "is_left", "is_right", "length", "size", "gram", "nth")
+    """The ``most`` rarest grams of each string: sid, *by, size, gram, nth. With ``repeated`` a gram that stands twice is two.
+
+    Grams are numbered and ranked within their string's row, so no task holds or sorts the grams of a table."""
+    keep = ["sid", *by, "is_left", "is_right"]
+    rows = strings.select(*keep, most.cast("int").alias("_most"), F.length("text").alias("length"), F.sort_array(grams).alias("_grams"))
+    nth = lambda g, i: i + 2 - F.array_position("_grams", g).cast("int") if repeated else F.lit(1)
+    rows = written(rows.select(*keep, "_most", "length", F.transform("_grams", lambda g, i: F.struct(g.alias("gram"), nth(g, i).alias("nth"))).alias("g")))
+    sketch = F.lit(_sketch(rows))
+    ranked = F.sort_array(F.transform("g", lambda g: F.struct(F.substring(sketch, _slot(g) + 1, F.lit(1)).alias("seen"), g["gram"].alias("gram"), g["nth"].alias("nth"))))
+    first = rows.select(*keep, "length", F.size("g").alias("size"), F.explode(F.slice(ranked, F.lit(1), F.col("_most"))).alias("g"))
+    return written(first.select(*keep, "length", "size", "g.gram", "g.nth"))
 
 
 def _candidates(prefixes: DataFrame, by: list[str], near: str) -> DataFrame:

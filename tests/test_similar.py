@@ -83,3 +83,24 @@ def test_names_that_are_nearly_equal_are_one(spark):
         (1, "ibuprofen", ["ibuprofen"], "e", ["s2"], True), (1, "metformin", ["metformin", "metformine", "metfromin"], "d", ["s1", "s2", "s3"], True),
         (2, "metformin", ["metformin"], "c", ["s1"], False),
     ]
+
+
+def test_grams_are_numbered_and_ranked_in_their_row(spark):
+    rows = spark.createDataFrame([(i, t, True, True) for i, t in enumerate(["aaaaa", "abab", "", "xyz"])], "sid long, text string, is_left boolean, is_right boolean")
+    grams = similar.padded_grams(rows.text, 3)
+    found = similar._prefixes(rows, grams, similar.F.lit(100), [], True)
+    got = sorted((r.sid, r.gram, r.nth, r["size"]) for r in found.collect())
+    want = []
+    for i, t in enumerate(["aaaaa", "abab", "", "xyz"]):
+        full, seen = "\u0001\u0001" + t + "\u0002\u0002", []
+        for at in range(len(t) + 2):
+            seen.append(full[at : at + 3])
+            want.append((i, seen[-1], seen.count(seen[-1]), len(t) + 2))
+    assert got == sorted(want)
+    tables, keep = [], similar.written
+    try:
+        similar.written = lambda df: tables.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df)
+        similar._prefixes(rows, grams, similar.F.lit(2), [], True)
+    finally:
+        similar.written = keep
+    assert tables and not any(n in p for p in tables for n in ("Window", "Aggregate", "Exchange"))  # no task gathers grams
