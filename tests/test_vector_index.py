@@ -86,3 +86,11 @@ def test_thresholds_are_not_rounded(spark):
     codes = spark.createDataFrame([(1, [just_below, (1 - just_below**2) ** 0.5]), (2, [0.7000001, (1 - 0.7000001**2) ** 0.5])], "code long, embedding array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query long, embedding array<double>")
     assert [r.code for r in retrieval.vector_search(codes, asked, ["code"], 5, 0.7).collect()] == [2]
+
+
+def test_queries_are_placed_in_their_cells_a_few_at_a_time(spark):
+    """A query that meets all of 100 cells has a hundred rows; 3,000 queries of one batch are not placed at once."""
+    asked = spark.range(0, 3000, 1, 1).selectExpr("id AS query", "array(cast(id % 7 + 1 AS double), cast(id % 5 AS double)) AS v")
+    centroids = np.random.default_rng(1).normal(size=(100, 2))
+    placed = V.placed(asked, ["query"], "v", centroids, lambda near: np.full(near.shape, len(near) * 100 <= V.PLACED))
+    assert placed.count() == 300_000 and placed.select("query", "cell").distinct().count() == 300_000
