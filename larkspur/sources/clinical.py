@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 #: How XML is read: prefixes of names don't count, text beside elements is in ``said``.
 OPTIONS = {"ignoreNamespace": "true", "valueTag": "said", "attributePrefix": "at_", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true"}
 _ROWS = "struct<tr: array<struct<th: array<string>, td: array<string>>>>"
@@ -44,14 +46,14 @@ def sections(docs: DataFrame, key: str, xml: str) -> DataFrame:
     """(key, path, depth, title, code, text): the sections of each document, in ``path`` their numbers from the outermost on.
 
     The levels that are read follow the deepest nesting there is, so none is left out. ``text`` holds the parsed text, see ``tables`` and
-    ``passages``. Documents that are null, no XML, or have no body give no rows.
+    ``passages``. Documents that are null, no XML, or have no body give no rows. What is parsed is written, as each level reads it.
     """
     depth = docs.agg(F.max(nesting(F.col(xml)))).first()[0] or 0
     if not depth:
         nothing = {"path": F.array().cast("array<int>"), "depth": F.lit(0), "title": F.lit(""), "code": F.lit(""), "text": F.lit(None).cast(_TEXT)}
         return docs.select(key).limit(0).select(key, *(c.alias(n) for n, c in nothing.items()))
     schema = f"struct<component: struct<structuredBody: struct<component: array<struct<section: {_section(depth)}>>>>>"
-    parsed = docs.select(key, F.from_xml(F.col(xml), schema, OPTIONS).alias("d"))
+    parsed = written(docs.select(key, F.from_xml(F.col(xml), schema, OPTIONS).alias("d")))
     level = parsed.select(key, F.array().cast("array<int>").alias("path"), F.col("d.component.structuredBody.component").alias("c"))
     found = []
     for n in range(1, depth + 1):

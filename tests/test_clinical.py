@@ -34,3 +34,8 @@ def test_tables_without_documents(spark):
     none = spark.createDataFrame([], "k int, x string")
     found = clinical.sections(none, "k", "x")
     assert found.count() == clinical.tables(found, "k").count() == clinical.passages(found, "k").count() == 0
+
+
+def test_documents_are_parsed_once_for_all_levels(spark):
+    found = clinical.sections(spark.createDataFrame([(1, DOC)], "k int, x string"), "k", "x")
+    assert found.count() == 5 and "from_xml" not in found._jdf.queryExecution().optimizedPlan().toString()
