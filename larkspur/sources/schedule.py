@@ -39,6 +39,10 @@ SCHEDULE = {
 }
 
 
+#: Rows that a task of a key check counts, about, and the number of shares, by a hash of the key, whose rows are counted before.
+ROWS, SHARES = 1 << 21, 4096
+
+
 def load(spark: SparkSession, folder: str, spec: dict[str, Table] = SCHEDULE) -> dict[str, DataFrame]:
     """Each table of ``spec`` from its headered CSV under ``folder``, all columns as strings; an error where a key or reference column is missing."""
     found = {}
@@ -55,25 +59,75 @@ def _told(columns: tuple[str, ...]) -> Column:
     return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
 
 
+def _full(columns: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
+
+
+def _share(key: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(SHARES))
+
+
+def _shares(met: list[tuple[DataFrame, list[str]]]) -> list[dict[int, int]]:
+    """Of each DataFrame, by its key, the rows that each of SHARES shares has; in one pass over all."""
+    rows = reduce(DataFrame.union, (df.select(F.lit(i).alias("i"), _share(key).alias("share")) for i, (df, key) in enumerate(met)))
+    sizes = [{} for _ in met]
+    for r in rows.groupBy("i", "share").agg(F.count("*").alias("n")).collect():
+        sizes[r.i][r.share] = r.n
+    return sizes
+
+
+def _counted(met: DataFrame, key: list[str], counts: list[Column], sizes: dict[int, int]) -> DataFrame:
+    """``met`` grouped by ``key``, in tasks of about ROWS rows however many rows there are; ``sizes`` are its shares.
+
+    A grouping deals its keys to a fixed number of tasks and merges small ones by compressed bytes, so what a task holds would grow with the
+    table. Here the number of tasks follows the rows. Where a share is far above the others, many rows have the same key: its rows are
+    grouped as usual, as each task then counts its own rows before they are dealt out.
+    """
+    total = sum(sizes.values())
+    if total <= ROWS:
+        return met.groupBy(*key).agg(*counts)
+    often = [s for s, n in sizes.items() if n > max(ROWS, 4 * total / SHARES)]
+    tasks = max(-(-total // ROWS), int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    seldom = met.where(~_share(key).isin(often)) if often else met
+    found = seldom.repartition(tasks, *key).groupBy(*key).agg(*counts)
+    return found.union(met.where(_share(key).isin(often)).groupBy(*key).agg(*counts)) if often else found
+
+
 def key_errors(tables: dict[str, DataFrame], spec: dict[str, Table] = SCHEDULE) -> DataFrame:
     """(table, problem, key, n): keys with a null part, keys that repeat, and references whose row is missing (S03), with their rows.
 
-    A reference with a null part refers to nothing and is no error. Keys are counted before they meet their parents' keys, so a key that
-    many rows share is one row of a join.
+    A reference with a null part refers to nothing and is no error. The keys of a table and the references to it are counted in one grouping
+    and need no join: Spark would move an anti join below the counts, where it meets and sorts all rows. Only references of another type than
+    the key are joined to it, as they are told as they stand.
     """
-    found = []
+    types = lambda name, columns: [tables[name].schema[c].dataType for c in columns]
+    references, found = {name: [] for name in spec}, []
     for name, table in spec.items():
-        rows = tables[name]
-        none = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in table.key))
-        keyed = rows.groupBy(*table.key).agg(F.count("*").alias("n"))
-        problem = F.when(none, "null key").when(F.col("n") > 1, "repeated key")
-        found.append(keyed.select(F.lit(name).alias("table"), problem.alias("problem"), _told(table.key).alias("key"), "n").where("problem IS NOT NULL"))
         for parent, columns in table.parents.items():
-            full = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
-            asked = rows.where(full).groupBy(*columns).agg(F.count("*").alias("n"))
+            if types(name, columns) == types(parent, spec[parent].key):
+                references[parent].append((name, columns))
+                continue
+            asked = tables[name].where(_full(columns)).groupBy(*columns).agg(F.count("*").alias("n"))
             have = tables[parent].select(*(F.col(p).alias(c) for p, c in zip(spec[parent].key, columns, strict=True))).distinct()
             lost = asked.join(have, list(columns), "left_anti")
             found.append(lost.select(F.lit(name).alias("table"), F.lit(f"no row in {parent}").alias("problem"), _told(columns).alias("key"), "n"))
+    met = []
+    for name, table in spec.items():
+        key = [f"_k{i}" for i in range(len(table.key))]
+        named = lambda columns: (F.col(c).alias(k) for c, k in zip(columns, key, strict=True))
+        rows = tables[name].select(*named(table.key), F.lit(0).alias("_from"))
+        for i, (child, columns) in enumerate(references[name], 1):
+            rows = rows.union(tables[child].where(_full(columns)).select(*named(columns), F.lit(i).alias("_from")))
+        met.append((rows, key))
+    for name, (rows, key), sizes in zip(spec, met, _shares(met), strict=True):
+        counts = [F.count_if(F.col("_from") == i).alias(f"_n{i}") for i in range(len(references[name]) + 1)]
+        own, none = F.col("_n0"), ~_full(tuple(key))
+        problems = [(name, F.when(none & (own > 0), "null key").when(own > 1, "repeated key"), own)]
+        for i, (child, _) in enumerate(references[name], 1):
+            problems.append((child, F.when((own == 0) & (F.col(f"_n{i}") > 0), f"no row in {name}"), F.col(f"_n{i}")))
+        told = F.array(*(F.struct(F.lit(t).alias("table"), p.alias("problem"), n.alias("n")) for t, p, n in problems))
+        wrong = _counted(rows, key, counts, sizes).where(none | (own != 1)).select(_told(tuple(key)).alias("key"), F.inline(told))
+        found.append(wrong.where("problem IS NOT NULL").select("table", "problem", "key", "n"))
     return reduce(DataFrame.unionByName, found)
 
 
